@@ -8,7 +8,9 @@ from tarn.llm.packing import op10_packing
 from tarn.llm.pieces import op2_pieces
 from tarn.llm.secrets import op7_secrets
 from tarn.llm.shards import op5_shards
+from tarn.llm.toxicity import op6_toxicity
+from tarn.llm.warc import OP1_SQL, op1_warc
 
-QUERIES = {f.__name__: f for f in (op2_pieces, op4_exact_dedup, op5_shards, op7_secrets, op8_attribution, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pieces, op4_exact_dedup, op5_shards, op6_toxicity, op7_secrets, op8_attribution, op10_packing)}
 
-SQL = {"op4_exact_dedup": OP4_SQL}
+SQL = {"op1_warc": OP1_SQL, "op4_exact_dedup": OP4_SQL}
