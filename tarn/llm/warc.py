@@ -203,7 +203,7 @@ OP1_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 d AS (
   SELECT page_id, strlen(html) AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS best,
-         list_aggregate(list_transform(range(32), i -> substr('{ALPHABET}', 1 + CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest
+         list_aggregate(list_transform(range(32), lambda i: substr('{ALPHABET}', 1 + CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest
   FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
