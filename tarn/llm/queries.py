@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tarn.llm.attribution import op8_attribution
 from tarn.llm.chosen_path import OP3_SQL, op3_near_duplicates
+from tarn.llm.chunks import op9_media
 from tarn.llm.grace import OP4_SQL, op4_exact_dedup
 from tarn.llm.packing import op10_packing
 from tarn.llm.pieces import op2_pieces
@@ -12,6 +13,6 @@ from tarn.llm.shards import op5_shards
 from tarn.llm.toxicity import op6_toxicity
 from tarn.llm.warc import OP1_SQL, op1_warc
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pieces, op3_near_duplicates, op4_exact_dedup, op5_shards, op6_toxicity, op7_secrets, op8_attribution, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pieces, op3_near_duplicates, op4_exact_dedup, op5_shards, op6_toxicity, op7_secrets, op8_attribution, op9_media, op10_packing)}
 
 SQL = {"op1_warc": OP1_SQL, "op3_near_duplicates": OP3_SQL, "op4_exact_dedup": OP4_SQL}
