@@ -1,60 +1,70 @@
-"""Ids of the word-end BPE tokenizer, word by word.
+"""Ids of the word-end BPE tokenizer, part by part.
 
-Its normalizer and splitter never look across white space, so a document's ids are those of its words in a row. Words
-repeat; each worker keeps the ids of the words it has met, up to a bound, and asks the tokenizers library for the rest.
+Its normalizer and splitter never look across white space, so a document's ids are those of its words in a row. Parts of
+words repeat; each worker keeps the ids of those it has met, up to a bound, and asks the tokenizers library for the rest.
+Words with characters other than plain ones go to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
+import re
+from array import array
 from collections.abc import Callable
 
-import regex
+#: Characters whose lower case and NFC form need no context: ASCII and the precomposed Latin-1 letters.
+PLAIN = re.compile(r"[\t-\r -~À-ÿ]*")
+#: The splitter's own pattern (fixed value of the tokenizer file), for plain characters.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+")
+#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+#: The same for the two UTF-8 bytes of each plain letter outside ASCII.
+LEVEL = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+#: Parts of words that a worker remembers; beyond, it starts afresh.
+PARTS = 500_000
 
-#: The splitter's own pattern (fixed value of the tokenizer file).
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Characters whose lower case and NFC form need no context: printable ASCII and the precomposed Latin-1 letters.
-PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: Words and parts of words that a worker remembers; beyond, it starts afresh.
-WORDS, PARTS = 400_000, 200_000
 
+class _Parts(dict):
+    """The ids of lower-case parts, as bytes."""
 
-class _Words(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.tokenize = self.encoder.model.tokenize
         self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
-        self.parts: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.encoder.encode(text, add_special_tokens=False).ids)
-
-    def part(self, text: str) -> bytes:
-        ids = self.parts.get(text)
-        if ids is None:
-            if len(self.parts) >= PARTS:
-                self.parts.clear()
-            ids = self.parts[text] = self.whole(text)
-        return ids
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        plain = PLAIN.fullmatch(text) and not any(s in text for s in self.special)
-        ids = b"".join(map(self.part, SPLIT.findall(text.lower()))) if plain else self.whole(text)
-        if len(word) <= 64:
-            if len(self) >= WORDS:
+    def __missing__(self, part: str) -> bytes:
+        # Lower case, NFC and split already: what is left of the tokenizer is its model.
+        ids = array("I", [t.id for t in self.tokenize(part.translate(LEVEL))]).tobytes()
+        if len(part) <= 64:
+            if len(self) >= PARTS:
                 self.clear()
-            self[word] = ids
+            self[part] = ids
         return ids
 
+    def plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def encode(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "replace")
+        if self.plain(text):
+            return b"".join(map(self.__getitem__, SPLIT.findall(text.lower())))
+        return b"".join([self.word(w) for w in raw.split()])
+
+    def word(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "replace")
+        if self.plain(text):
+            return b"".join(map(self.__getitem__, SPLIT.findall(text.lower())))
+        return array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
+
 
 @functools.cache
-def _words(path: str) -> _Words:
-    return _Words(path)
+def _parts(path: str) -> _Parts:
+    return _Parts(path)
 
 
 def word_ids(path: str) -> Callable[[bytes], bytes]:
     """From UTF-8 text to its ids, as little-endian unsigned 32-bit numbers in a row."""
-    words = _words(path)
-    return lambda text: b"".join(map(words.__getitem__, text.split()))
+    return _parts(path).encode
