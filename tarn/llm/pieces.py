@@ -1,9 +1,9 @@
 """Encoding and decoding with a SentencePiece vocabulary of merges.
 
 A text's symbols are joined by an agenda of adjacent pairs, best score first and leftmost among equals, until no pair is
-a piece. No piece of such a vocabulary holds a space mark after another character, and none of more than one character
-holds a line feed, so no merge crosses a place where a run of space marks or a line feed begins: segments between such
-places are encoded one by one, and each worker keeps those it has met. Every segment that an Arrow batch adds is
+a piece. No piece of such a vocabulary holds a space mark after another character, or a letter beside a character that
+is neither letter nor space mark, so no merge crosses a place where one follows the other: segments between such places
+are encoded one by one, and each worker keeps those it has met. Every segment that an Arrow batch adds is
 checked against the sentencepiece library before the batch is returned; a difference is an error.
 """
 
@@ -13,6 +13,7 @@ import functools
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tarn.llm.common import bound_batches, vocabulary
 
 SPACE = "▁"
+_NEVER = float("inf")
 #: Segments that a worker remembers; beyond, it starts afresh. Longer segments than so many characters aren't kept.
-SEGMENTS, KEPT_LENGTH = 300_000, 48
+SEGMENTS, KEPT_LENGTH = 500_000, 48
+#: Spaces with what follows them, or what follows something else: letters, or characters that are neither.
+CUT = re.compile(r" +(?:[^\W\d_¹²³]+|(?:[^\w ]|[\d_¹²³])*)|[^\W\d_¹²³]+|(?:[^\w ]|[\d_¹²³])+")
+#: Up to so many characters, the agenda is a list that is searched for its best pair; beyond, a heap.
+LIST_LENGTH = 40
 
 
 class PieceEncoder:
@@ -46,16 +52,39 @@ class PieceEncoder:
                 self.rank[piece] = (-lib.get_score(i), i)
         if len(self.byte) != 256:
             raise ValueError("the model has no byte fallback")
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) or (len(p) > 1 and "\n" in p) for p in self.rank):
+        if any(len(p) > 1 and len(CUT.findall(p.replace(SPACE, " "))) > 1 for p in self.rank):
             raise ValueError("a piece crosses the places at which texts are cut into segments")
         probe = f"  aäﬁÅ\t{SPACE}b \n c "
         if lib.normalize(probe) != SPACE + probe.replace(" ", SPACE):
             raise ValueError("the model's normalizer changes more than spaces")
+        self.number = {piece: number for piece, (_, number) in self.rank.items()}.get
+        self.score = {piece: score for piece, (score, _) in self.rank.items()}.get
+        self.decimal = [str(i).encode() for i in range(lib.get_piece_size())]
         self.segments: dict[str, tuple[bytes, bytes]] = {}
         self.unchecked: dict[str, list[int]] = {}
 
     def agenda(self, segment: str) -> list[int]:
         """Ids of a segment: the best pair of neighbours is joined again and again."""
+        symbols = self._joined_by_list(segment) if len(segment) <= LIST_LENGTH else self._joined_by_heap(segment)
+        ids = list(map(self.number, symbols))
+        if None not in ids:
+            return ids
+        return [i for s, n in zip(symbols, ids, strict=True) for i in ([n] if n is not None else map(self.byte.__getitem__, s.encode()))]
+
+    def _joined_by_list(self, segment: str) -> list[str]:
+        score, symbols = self.score, list(segment)
+        agenda = [score(segment[i : i + 2], _NEVER) for i in range(len(segment) - 1)]
+        while agenda and (best := min(agenda)) < _NEVER:
+            i = agenda.index(best)  # the leftmost of equals
+            symbols[i : i + 2] = [joined := symbols[i] + symbols[i + 1]]
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = score(joined + symbols[i + 1], _NEVER)
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + joined, _NEVER)
+        return symbols
+
+    def _joined_by_heap(self, segment: str) -> list[str]:
         rank, n = self.rank, len(segment)
         symbols: list[str | None] = list(segment)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -77,19 +106,13 @@ class PieceEncoder:
                     heapq.heappush(todo, (found[0], i, pair))
             if (h := before[i]) >= 0 and (found := rank.get(pair := symbols[h] + joined)):
                 heapq.heappush(todo, (found[0], h, pair))
-        ids: list[int] = []
-        for symbol in filter(None, symbols):
-            if found := rank.get(symbol):
-                ids.append(found[1])
-            else:
-                ids.extend(map(self.byte.__getitem__, symbol.encode()))
-        return ids
+        return [s for s in symbols if s]
 
     def segment(self, key: str) -> tuple[bytes, bytes]:
         got = self.segments.get(key)
         if got is None:
             ids = self.agenda(key.replace(" ", SPACE))
-            got = ",".join(map(str, ids)).encode(), np.array(ids, dtype="<u4").tobytes()
+            got = b",".join([self.decimal[i] for i in ids]), array("I", ids).tobytes()
             self.unchecked[key] = ids
             if len(key) <= KEPT_LENGTH:
                 if len(self.segments) >= SEGMENTS:
@@ -101,17 +124,22 @@ class PieceEncoder:
         """Decimal ids joined by commas, and the ids; an empty text has none."""
         if not text:
             return b"", []
-        keys = re.findall(r" +[^ \n]*|\n[^ \n]*", " " + text.replace(SPACE, " "))
+        keys = CUT.findall(" " + text.replace(SPACE, " "))
         found = list(map(self.segments.get, keys))
         if None in found:
             found = list(map(self.segment, keys))
         return b",".join([f[0] for f in found]), np.frombuffer(b"".join([f[1] for f in found]), dtype="<u4").tolist()
 
     def check(self) -> None:
-        """Holds what was encoded since the last call against the library, which puts a space mark before each text."""
+        """Holds what was encoded since the last call against the library, which puts a space mark before each text.
+
+        A segment that doesn't begin with one is given to it after a line feed, which no piece joins to anything.
+        """
         keys = list(self.unchecked)
-        for key, ids in zip(keys, self.library.encode([k[k[0] == " " :] for k in keys], num_threads=1), strict=True):
-            if (ids if key[0] == " " else ids[1:]) != self.unchecked[key]:
+        marked = [len(k) > 1 and k[0] == " " for k in keys]
+        given = [k[1:] if m else "\n" + k for k, m in zip(keys, marked, strict=True)]
+        for key, own, ids in zip(keys, marked, self.library.encode(given, num_threads=1), strict=True):
+            if (ids if own else ids[2:]) != self.unchecked[key]:
                 raise ValueError(f"the agenda and the library differ on {key!r}: {self.unchecked[key]} and {ids}")
         self.unchecked.clear()
 
