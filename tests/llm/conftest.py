@@ -18,7 +18,7 @@ TEXTS = [
     (10, "token = 'Zx8Qw2Lm9Vb4Tn6Rk1Yp3Js7' 🙂 é ﬁ sha256: " + "ab12" * 16),
     (11, "x" * 5000 + " " + "word " * 3000),
     (12, "日本語 のテキスト 🙂🙂 ÀÉÎ ²³ ▁ <s> <|endoftext|> it's 12's"),
-    (13, "you are a stуpid 1d10t and a class clown, you moron"),
+    (13, "you are a stupіd 1d10t and a class clown, you moron"),
 ]
 
 
