@@ -162,7 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             values = [features(t, lexicon) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"toxic": batch.column(0).cast(pa.int64()), "x": pa.array([v[0] for v in values], pa.float64()), "y": pa.array([v[1] for v in values], pa.float64())})
 
-    got = np.array([tuple(r) for r in sample.mapInArrow(measure, "toxic long, x double, y double").orderBy("toxic", "x", "y").collect()])
+    got = np.array(sorted(tuple(r) for r in sample.mapInArrow(measure, "toxic long, x double, y double").collect()))  # ``rows`` rows at most
     return Lexicon(lexicon.entries, _fit_curve(got[:, 1:], got[:, 0]))
 
 
