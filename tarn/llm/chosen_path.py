@@ -2,9 +2,9 @@
 
 Each of several independent trees deals the documents out by one minwise token of their shingle sets; a node with many
 documents is dealt out again by one or two further tokens, 1 / similarity in expectation, so that a pair at the
-threshold keeps its chance from level to level. Nodes that are small are compared exhaustively by sketches; a node that
-stays large after many levels holds documents that share as many tokens, and is taken as a whole. What is similar in a
-sketch joins one candidate group. Within a group the full shingle sets are compared until every pair is either confirmed,
+threshold keeps its chance from level to level. Nodes that are small are compared exhaustively by sketches; a large node
+that takes most of the node above it, or is still large after many levels, holds documents that are mostly similar, and
+is taken as a whole. What is similar in a sketch joins one candidate group. Within a group the full shingle sets are compared until every pair is either confirmed,
 refuted, or known to be connected; groups too large for one task are compared block by block.
 """
 
@@ -29,7 +29,9 @@ TREES, TOKENS = 10, 64
 #: A pair is a candidate if so many tokens agree. At a similarity of 0.75 fewer agree once in ten million pairs.
 AGREE = 28
 #: Documents of a node that are compared exhaustively, and levels at most.
-LEAF, LEVELS = 512, 8
+LEAF, LEVELS = 1024, 8
+#: Part of the node above, in percent, from which on a large node is taken as a whole.
+DENSE = 75
 #: Shingles of a candidate group that one task compares; larger groups go in blocks of half of that.
 TASK_SHINGLES = 4_000_000
 
@@ -223,18 +225,21 @@ def _confirm_group(percent: int):
 
 def candidate_links(classes: DataFrame, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
     """Links (a, b) of sets that may be similar, from the trees. ``classes``: key, nodes, sketch of distinct sets; a written table."""
-    nodes = classes.select("key", F.explode("nodes").alias("node"))
+    nodes = classes.select("key", F.explode("nodes").alias("node"), F.lit(None).cast("long").alias("above"))
     small, whole = [], []
     for level in range(levels + 1):
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         nodes = written(nodes.join(sizes, "node"), "nodes")
         small.append(nodes.where(F.col("n") <= leaf).select("node", "key"))
-        large = nodes.where(F.col("n") > leaf).select("node", "key")
+        large = nodes.where(F.col("n") > leaf).select("node", "key", "n", "above")
         if large.isEmpty():
             break
+        # Sets most of which agree in a further token, or in one at each level: candidates of one another, whatever their number.
+        dense = F.coalesce(100 * F.col("n") >= DENSE * F.col("above"), F.lit(False)) | F.lit(level == levels)
+        taken = large.where(dense)
+        whole.append(taken.join(taken.groupBy("node").agg(F.min("key").alias("least")), "node").select(F.col("key").alias("a"), F.col("least").alias("b")))
+        large = large.where(~dense)
         if level == levels:
-            # Sets that share a token at each level: candidates of one another, whatever their number.
-            whole.append(large.join(large.groupBy("node").agg(F.min("key").alias("least")), "node").select(F.col("key").alias("a"), F.col("least").alias("b")))
             break
         # The node's own number chooses: one token, and in a third of the nodes two. Members of a node choose alike.
         free = TOKENS - TREES
@@ -243,7 +248,7 @@ def candidate_links(classes: DataFrame, leaf: int = LEAF, levels: int = LEVELS)
         nodes = (
             large.withColumn("token", F.explode(chosen))
             .join(classes.select("key", "sketch"), "key")
-            .select("key", F.xxhash64("node", "token", F.substring(F.col("sketch"), 2 * F.col("token") + 1, F.lit(2))).alias("node"))
+            .select("key", F.xxhash64("node", "token", F.substring(F.col("sketch"), 2 * F.col("token") + 1, F.lit(2))).alias("node"), F.col("n").alias("above"))
         )
     for_sketches = small[0]
     for more in small[1:]:
