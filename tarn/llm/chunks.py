@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tarn.llm.common import bound_batches, fresh_path, removed, written
+from tarn.llm.common import bound_batches, written
 
 #: Bytes of a chunk: least, and most. A cut is where the hash's upper bits are zero, once in 2**CUT_BITS bytes.
 LEAST, MOST, CUT_BITS = 512, 8192, 11
@@ -73,7 +73,7 @@ class MediaStore:
 def store_media(media: DataFrame, id_col: str, media_col: str) -> MediaStore:
     """Stores the binary column ``media_col``; a null is an empty payload.
 
-    ``media`` is read twice. Equal payloads share their media_id (SHA-256) and everything that is stored of them.
+    ``media`` is read three times; only chunks that may be repeated are shuffled. Equal payloads share their media_id (SHA-256) and everything that is stored of them.
     Repeated rows and null ids keep their rows in the manifest. An empty table gives empty tables.
     """
     spark = media.sparkSession
@@ -100,35 +100,32 @@ def store_media(media: DataFrame, id_col: str, media_col: str) -> MediaStore:
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
     field = spark.sparkContext.broadcast(table)
 
-    row_schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("data", T.BinaryType())])
-    row_arrow = to_arrow_schema(row_schema)
+    def repeats(parts: list[tuple[bytes, bytes]]) -> bool:
+        slots = np.array([_slot(d) for d, _ in parts])
+        return bool(((field.value[slots >> 6] >> (slots & 63)) & 1).any())
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, done = field.value, set()
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
+            rows = [(hashlib.sha256(raw).digest(), raw) for raw in batch.column(1).to_pylist() if not repeats(chunks_of(raw))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["media_id", "data"])
+
+    def in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()  # what a task repeats itself needn't leave it twice
+        for batch in batches:
+            rows = []
             for raw in batch.column(1).to_pylist():
                 parts = chunks_of(raw)
-                slots = np.array([_slot(d) for d, _ in parts])
-                if not ((bits[slots >> 6] >> (slots & 63)) & 1).any():
-                    rows.append((0, hashlib.sha256(raw).digest(), raw))
-                    continue
-                for digest, part in parts:
-                    if digest not in done:
-                        if len(done) >= 100_000:
-                            done.clear()
-                        done.add(digest)
-                        rows.append((1, digest, part))
+                if repeats(parts):
+                    rows += [part for part in parts if part[0] not in done]
+                    done.update(d for d, _ in parts)
+            if len(done) > 100_000:
+                done.clear()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, row_arrow[i].type) for i, c in enumerate(zip(*rows, strict=True))], schema=row_arrow)
-
-    path = fresh_path(spark, "media")
-    slim.mapInArrow(deal, row_schema).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    dealt = spark.read.schema(row_schema).parquet(path)
-    whole = dealt.where("kind = 0").select(F.col("key").alias("media_id"), "data")
-    landed = dealt.where("kind = 1").select(F.col("key").alias("digest"), "data")
-    chunks = written(landed.groupBy("digest").agg(F.min("data").alias("data")), "chunks")
-    removed(spark, f"{path}/kind=1")
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["digest", "data"])
+
+    whole = written(slim.mapInArrow(alone, "media_id binary, data binary"), "whole")
+    chunks = written(slim.mapInArrow(in_chunks, "digest binary, data binary").groupBy("digest").agg(F.min("data").alias("data")), "chunks")
     return MediaStore(manifest.drop("slots"), whole, chunks)
 
 

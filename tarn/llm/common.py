@@ -32,12 +32,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    writer = df.write.option("compression", codec)
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,9 +55,3 @@ def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a table of the shared folder that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
