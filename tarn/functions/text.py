@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Control, format and surrogate characters, which no identifier or label may hold.
 UNSAFE = r"[\p{Cc}\p{Cf}\p{Cs}]"
@@ -33,7 +34,7 @@ def byte_key(text: Column) -> Column:
     return F.coalesce(F.lower(F.hex(F.encode(text, "UTF-8"))), F.lit("~"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded_label(labels: pd.Series) -> pd.Series:
     """A label for comparison: NFC, ASCII white space trimmed and collapsed, case folded, NFC again."""
 

@@ -53,8 +53,11 @@ def completeness(stages: DataFrame) -> DataFrame:
 def merged_fragments(nodes: DataFrame, node_id: str, order: str, values: Sequence[str]) -> DataFrame:
     """Fragments of one node in one row: array properties joined in the order of the fragments, each value once, at its first place."""
     parts = F.array_sort(F.collect_list(F.struct(order, *values))).alias("_parts")
-    merged = nodes.groupBy(node_id).agg(parts)
-    return merged.select(node_id, *[F.array_distinct(F.flatten(F.transform("_parts", lambda p, c=c: F.coalesce(p[c], F.array())))).alias(c) for c in values])
+
+    def joined(name: str) -> Column:
+        return F.array_distinct(F.flatten(F.filter(F.transform("_parts", lambda part: part[name]), lambda values: values.isNotNull())))
+
+    return nodes.groupBy(node_id).agg(parts).select(node_id, *[joined(c).alias(c) for c in values])
 
 
 def complete_products(rows: DataFrame, key: str, left: str, right: str) -> DataFrame:

@@ -83,11 +83,10 @@ def result_hash(rows: DataFrame, number: str, columns: list[str], fan: int = 102
     text = lambda c: F.coalesce(F.concat(F.lit("V"), F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("N"))
     level = rows.select((F.col(number) - 1).alias("n"), *[text(c).alias(f"c{i}") for i, c in enumerate(columns)])
     size = level.agg(F.coalesce(F.max("n"), F.lit(-1))).first()[0] + 1
-    while True:
+    levels = 0
+    while size > 1 or levels < 2:  # values to chunks, chunks to a column, however few
         join = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c]), "\n"), 256).alias(c)  # noqa: B023, E731
         level = level.groupBy(F.floor(F.col("n") / fan).alias("chunk")).agg(*[join(f"c{i}") for i in range(len(columns))]).withColumnRenamed("chunk", "n")
-        size = -(-size // fan)
-        if size <= 1:
-            break
+        size, levels = -(-size // fan), levels + 1
     table = F.sha2(F.concat_ws("\n", *[F.concat_ws(":", F.lit(c), F.col(f"c{i}")) for i, c in enumerate(columns)]), 256)
     return level.select(table.alias("result_sha256"))
