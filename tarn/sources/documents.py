@@ -72,20 +72,20 @@ def _value_pages(docs: DataFrame, kind: str) -> DataFrame:
     """docs: doc_id, body, site, parameter_code, statistic_id, time_start, time_end, page_limit."""
     parsed = docs.withColumn("d", F.from_json("body", _PAGE))
     at = strict_date if kind == "daily" else rfc3339_utc
-    value = lambda f, name: F.get_json_object(f["properties"], f"$.{name}")
+    own = ", ".join(f"{p} string" for p in PROPERTIES)
     exact = F.array_sort(F.array(*map(F.lit, PROPERTIES)))
     # The page's own columns meet each feature inside the array, so nothing is joined or shuffled.
     features = F.transform(
         "d.features",
         lambda f: F.struct(
-            f["id"].alias("own_id"), *[value(f, p).alias(p) for p in PROPERTIES],
+            f["id"].alias("own_id"), F.from_json(f["properties"], own).alias("p"),
             ((f["type"] == "Feature") & (F.coalesce(f["id"], F.lit("")) != "") & f["geometry"].isNull() & (F.array_sort(F.json_object_keys(f["properties"])) == exact)).alias("shaped"),
         ),
     )
     parsed = parsed.withColumn("f", features)
     good = F.forall("f", lambda x: F.coalesce(x["shaped"], F.lit(False)))
-    planned = F.forall("f", lambda x: F.coalesce((x["monitoring_location_id"] == F.col("site")) & (x["parameter_code"] == F.col("parameter_code")) & (x["statistic_id"] == F.col("statistic_id")), F.lit(False)))
-    inside = F.forall("f", lambda x: F.coalesce(at(x["time"]).between(at(F.col("time_start")), at(F.col("time_end"))) & rfc3339_utc(x["last_modified"]).isNotNull(), F.lit(False)))
+    planned = F.forall("f", lambda x: F.coalesce((x["p"]["monitoring_location_id"] == F.col("site")) & (x["p"]["parameter_code"] == F.col("parameter_code")) & (x["p"]["statistic_id"] == F.col("statistic_id")), F.lit(False)))
+    inside = F.forall("f", lambda x: F.coalesce(at(x["p"]["time"]).between(at(F.col("time_start")), at(F.col("time_end"))) & rfc3339_utc(x["p"]["last_modified"]).isNotNull(), F.lit(False)))
     no = lambda test: ~F.coalesce(test, F.lit(False))
     problem = (
         F.when(no(F.col("d.type") == "FeatureCollection") | F.col("d.features").isNull() | F.col("d.links").isNull(), F.lit("not_a_page"))
@@ -101,9 +101,10 @@ def value_rows(docs: DataFrame, kind: str = "daily") -> DataFrame:
     """doc_id and the eleven native columns of daily or continuous values."""
     if kind not in ("daily", "continuous"):
         raise ValueError("kind is daily or continuous")
-    rows = _value_pages(docs, kind).where("problem IS NULL").select("doc_id", F.explode("f").alias("v"))
-    when = strict_date(F.col("v.time")) if kind == "daily" else rfc3339_utc(F.col("v.time"))
-    return rows.select("doc_id", F.col("v.own_id").alias(f"{kind}_id"), *[F.col(f"v.{p}").alias(p) for p in PROPERTIES[:4]], when.alias("time"), *[F.col(f"v.{p}").alias(p) for p in PROPERTIES[5:9]], rfc3339_utc(F.col("v.last_modified")).alias("last_modified"))
+    # Pages with a problem explode to nothing. A filter on it would be pushed below, where all features are parsed again.
+    rows = _value_pages(docs, kind).select("doc_id", F.explode(F.when(F.col("problem").isNull(), F.col("f"))).alias("v"))
+    when = strict_date(F.col("v.p.time")) if kind == "daily" else rfc3339_utc(F.col("v.p.time"))
+    return rows.select("doc_id", F.col("v.own_id").alias(f"{kind}_id"), *[F.col(f"v.p.{p}").alias(p) for p in PROPERTIES[:4]], when.alias("time"), *[F.col(f"v.p.{p}").alias(p) for p in PROPERTIES[5:9]], rfc3339_utc(F.col("v.p.last_modified")).alias("last_modified"))
 
 
 def page_status(docs: DataFrame, kind: str = "daily") -> DataFrame:
