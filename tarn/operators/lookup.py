@@ -124,3 +124,15 @@ def resolved_redirects(edges: DataFrame, starts: DataFrame, limit: int = 10) ->
     last = now.join(steps, F.col("final") == F.col("_from"), "left")
     loop = F.size("seen") > F.size(F.array_distinct("seen"))
     return last.select("start", "final", "hops", F.when(loop, F.lit("redirect_loop")).when(F.col("_to").isNotNull(), F.lit("too_many_redirects")).alias("problem"))
+
+
+def release_violations(reference: DataFrame, key: str, value: str, rows: int, known: dict[str, str], absent: Sequence[str] = ()) -> DataFrame:
+    """Checks of a lookup release: rule and violations, for its number of rows, answers that are known, and keys it must not have."""
+    spark = reference.sparkSession
+    wanted = spark.createDataFrame([(k, v) for k, v in known.items()] + [(k, None) for k in absent], "_key string, _value string")
+    found = F.broadcast(wanted).join(reference.select(F.col(key).alias("_k"), F.col(value).alias("_v")), F.col("_key") == F.col("_k"), "left")
+    judged = found.groupBy("_key", "_value").agg(F.count("_v").alias("n"), F.count_if(F.col("_v") == F.col("_value")).alias("right"))
+    answers = judged.agg(F.count_if(F.col("_value").isNotNull() & (F.col("right") == 0)).alias("known_answer"), F.count_if(F.col("_value").isNull() & (F.col("n") > 0)).alias("absent_key"))
+    size = reference.agg(F.abs(F.count(F.lit(1)) - rows).alias("row_count"))
+    rule = lambda df, name: df.select(F.lit(name).alias("rule"), F.col(name).alias("violations"))
+    return rule(size, "row_count").unionByName(rule(answers, "known_answer")).unionByName(rule(answers, "absent_key"))

@@ -209,3 +209,10 @@ def op37(t):
 @query("OP70_complete_products", "SELECT l_orderkey, count(DISTINCT l_returnflag) AS lefts, count(DISTINCT l_suppkey % 3) AS rights, count(DISTINCT (l_returnflag, l_suppkey % 3)) AS pairs, count(DISTINCT (l_returnflag, l_suppkey % 3)) = count(DISTINCT l_returnflag) * count(DISTINCT l_suppkey % 3) AS complete FROM lineitem GROUP BY 1")
 def op70(t):
     return grouping.complete_products(t.lineitem.select("l_orderkey", "l_returnflag", (F.col("l_suppkey") % 3).alias("s")), "l_orderkey", "l_returnflag", "s")
+
+
+@query("OP19_release_checks", "SELECT 'row_count' AS rule, abs(count(*) - 1000) AS violations FROM customer UNION ALL SELECT 'known_answer', CAST(1 AS BIGINT) UNION ALL SELECT 'absent_key', count(*) FROM customer WHERE c_custkey = 5")
+def op19(t):
+    reference = t.customer.select(F.col("c_custkey").cast("string").alias("k"), "c_name")
+    name = t.customer.where("c_custkey = 7").first()["c_name"]
+    return lookup.release_violations(reference, "k", "c_name", 1000, {"7": name, "8": "nobody"}, ["5", "none"])

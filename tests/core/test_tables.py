@@ -240,3 +240,16 @@ def test_feature_collections(spark, service):
     asked.clear()
     assert [r["n"] for r in read().where("code = '07'").collect()] == [7]
     assert all(q.get("code") == "07" for q in asked) and asked
+
+
+def test_parameters():
+    import datetime as dt
+
+    from tarn.plans import parameters as p
+
+    assert p.uri_list(["urn:b", "urn:a", "urn:b"]) == ["urn:a", "urn:b"] and p.whole(5, 1, 10) == 5 and p.literal("é") == "é"
+    assert p.instant(dt.datetime(2024, 1, 1, 2, tzinfo=dt.timezone(dt.timedelta(hours=2)))).hour == 0
+    assert p.area("POLYGON ((0 0, 1 0, 1 1, 0 0))")
+    for bad in (lambda: p.uri("a b"), lambda: p.uri("urn:<x>"), lambda: p.uri_list([]), lambda: p.whole(True, 0, 1), lambda: p.whole(11, 1, 10), lambda: p.literal("a\n"), lambda: p.instant(dt.datetime(2024, 1, 1)), lambda: p.area("POLYGON ((0 0, 200 0, 1 1, 0 0))")):
+        with pytest.raises(ValueError):
+            bad()
