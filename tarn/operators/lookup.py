@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.storage import stored
+
 #: Bytes of a lookup's side that may be broadcast, by Spark's own estimate.
 BROADCAST_BYTES = 32 << 20
 
@@ -17,18 +19,29 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def joinable(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """A grouped or ranked side of a join: broadcast if it is small, else stored.
+
+    A grouped side keeps the partitions of its key, and a join that takes these over can't be split where the other side
+    has a hot key. A stored side is dealt out for the join like the other, and Spark splits such partitions.
+    """
+    hinted = small(df, BROADCAST_BYTES if limit is None else limit)
+    return hinted if hinted is not df else stored(df, "side")
+
+
 def lookup_with_status(inputs: DataFrame, key: str, reference: DataFrame, reference_key: str, order: Sequence[str], index: str = "input_index", ambiguous: bool = True) -> DataFrame:
     """Every row of ``inputs`` with every match in ``reference``: status, match_index and the reference's columns.
 
     status is matched (one match, or any number where ``ambiguous`` is false), ambiguous (several) or not_found: then one
     row, whose match_index and reference columns are null. Matches are numbered by ``order``, by bytes, nulls last.
-    ``index`` identifies an input row; repeated keys are looked up for each of their rows. The reference is ranked once,
-    by key, before the join, so the join's rows are final and a hot key is not gathered for its inputs.
+    ``index`` identifies an input row; repeated keys are looked up for each of their rows. The reference is ranked by key
+    before the join, so inputs are never gathered by key.
     """
     by_key = Window.partitionBy(reference_key)
     ranked = reference.where(F.col(reference_key).isNotNull())
     ranked = ranked.withColumn("match_index", F.row_number().over(by_key.orderBy(*[F.col(c).asc_nulls_last() for c in order]))).withColumn("_matches", F.count(F.lit(1)).over(by_key))
-    joined = inputs.join(small(ranked), inputs[key] == ranked[reference_key], "left")
+    ranked = joinable(ranked)
+    joined = inputs.join(ranked, inputs[key] == ranked[reference_key], "left")
     several = F.lit("ambiguous" if ambiguous else "matched")
     status = F.when(F.col("_matches").isNull(), F.lit("not_found")).when(F.col("_matches") == 1, F.lit("matched")).otherwise(several)
     return joined.withColumn("status", status).drop("_matches")
@@ -43,7 +56,8 @@ def lookup_metadata(result: DataFrame, index: str, key: str) -> DataFrame:
 def fallback_lookup(inputs: DataFrame, key: str, advertised: str, reference: DataFrame, reference_key: str, value: str) -> DataFrame:
     """The advertised value where there is one, else the value that the key maps to: adds value, match_source and status."""
     counted = reference.groupBy(reference_key).agg(F.min(value).alias("_mapped"), F.count(F.lit(1)).alias("_n"))
-    joined = inputs.join(small(counted), inputs[key] == counted[reference_key], "left").drop(counted[reference_key])
+    counted = joinable(counted)
+    joined = inputs.join(counted, inputs[key] == counted[reference_key], "left").drop(counted[reference_key])
     given = F.col(advertised).isNotNull()
     return joined.select(
         *inputs.columns,
@@ -56,7 +70,7 @@ def fallback_lookup(inputs: DataFrame, key: str, advertised: str, reference: Dat
 def with_currentness(rows: DataFrame, uri: str, current: DataFrame, current_uri: str, columns: dict[str, str]) -> DataFrame:
     """Overwrites ``columns`` (of rows: of current) where the row's URI has a current entry; rows without a URI stay as they are."""
     fresh = current.select(F.col(current_uri).alias("_uri"), *[F.col(c).alias(f"_{k}") for k, c in columns.items()]).dropDuplicates(["_uri"])
-    joined = rows.join(small(fresh), F.col(uri) == F.col("_uri"), "left")
+    joined = rows.join(joinable(fresh), F.col(uri) == F.col("_uri"), "left")
     return joined.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
@@ -72,12 +86,12 @@ def currentness_status(superseded: Column, replacement: Column) -> Column:
 
 def uncovered(rows: DataFrame, key: str, covering: DataFrame, covering_key: str) -> DataFrame:
     """Rows whose key nothing covers."""
-    return rows.join(small(covering.select(F.col(covering_key).alias("_key")).distinct()), F.col(key) == F.col("_key"), "left_anti")
+    return rows.join(joinable(covering.select(F.col(covering_key).alias("_key")).distinct()), F.col(key) == F.col("_key"), "left_anti")
 
 
 def restricted(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     """Rows whose keys are among those wanted; each row once, however often it is wanted."""
-    return rows.join(small(wanted.select(*keys).distinct()), keys, "left_semi")
+    return rows.join(joinable(wanted.select(*keys).distinct()), keys, "left_semi")
 
 
 def positional(status: DataFrame, *others: DataFrame, key: str = "distribution_id") -> DataFrame:

@@ -67,6 +67,16 @@ def test_lookup_keeps_inputs(spark):
     assert {r["status"] for r in again.collect()} == {"matched"}
 
 
+def test_large_sides_are_stored(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    inputs = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i}") for i in range(300)], "input_index int, k string")
+    reference = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("k1", "c")], "key string, uri string")
+    found = lookup.lookup_with_status(inputs, "k", reference, "key", ["uri"])
+    assert {r["status"]: r["count"] for r in found.groupBy("status").count().collect()} == {"ambiguous": 200, "matched": 1, "not_found": 199}
+    assert lookup.restricted(inputs, ["k"], reference.withColumnRenamed("key", "k")).count() == 101
+    assert lookup.uncovered(inputs, "k", reference, "key").count() == 199
+
+
 def test_redirect_loops_and_limits(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("s", "s"), *[(f"n{i}", f"n{i + 1}") for i in range(8)]], "url string, location string")
     got = {r["start"]: (r["final"], r["hops"], r["problem"]) for r in lookup.resolved_redirects(edges, edges.select("url").unionByName(spark.createDataFrame([("q",)], "url string")), limit=5).collect()}
