@@ -28,6 +28,8 @@ from tarn.llm.common import bound_batches, written
 LABELLED_ROWS = 20_000
 #: Entries of a learned lexicon at most.
 ENTRIES = 2_000
+#: An entry occurs in so many toxic texts at least, and in this part of them: one text's copies make no entry.
+LEAST_TEXTS, SUPPORT = 3, 0.02
 #: Beginnings of words that are tried as entries, in characters.
 SHORTEST, LONGEST = 4, 9
 
@@ -131,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(rows)  # so many rows at most are broadcast
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    sample = written(text.join(F.broadcast(known), "id").select("toxic", "text"), "toxicity")
+    sample = written(text.join(F.broadcast(known), "id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text"), "toxicity")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = Counter(), Counter()
@@ -149,11 +151,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     terms = sample.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log(((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1)))
     # A term has to be likelier in toxic texts by far more than the best of a million useless terms would be by chance.
-    best = terms.where("toxic >= 3").withColumn("odds", odds).where((F.col("odds") > 2.5) & (F.col("toxic") * F.col("odds") > 14)).orderBy(F.col("toxic").desc(), "term").limit(entries)
+    least = max(LEAST_TEXTS, round(SUPPORT * n_toxic))
+    best = terms.where(F.col("toxic") >= least).withColumn("odds", odds).where((F.col("odds") > 2.5) & (F.col("toxic") * F.col("odds") > 14)).orderBy(F.col("toxic").desc(), "term").limit(entries)
     learned: dict[str, float] = {}
+    seen = {}
     for row in sorted(best.collect(), key=lambda r: (len(r["term"]), r["term"])):  # ``entries`` rows at most
-        if not any(row["term"][:n] in learned for n in range(SHORTEST, len(row["term"]))):
-            learned[row["term"]] = float(row["odds"]) / 3
+        term, weight = row["term"], float(row["odds"]) / 3
+        seen[term] = row["toxic"]
+        shorter = next((term[:n] for n in range(SHORTEST, len(term)) if term[:n] in learned), None)
+        if shorter is None:
+            learned[term] = weight
+        elif weight > learned[shorter] + 0.2 and row["toxic"] >= 0.6 * seen[shorter]:  # the shorter one also begins harmless words
+            del learned[shorter]
+            learned[term] = weight
     merged = {w: 1.0 for w in BASE if not any(w.startswith(t) for t in learned)} | learned
     lexicon = Lexicon(tuple(sorted(merged.items())))
 
