@@ -57,11 +57,6 @@ def op35(t):
     return predicates.classified(facts).select("page_id", "handler_id")
 
 
-@query("OP36_handler_registry")
-def op36(t):
-    return predicates.handler_table(t.spark)
-
-
 _LONLAT = "CAST(c_custkey % 360 - 180 AS DOUBLE) AS lon, CAST(c_nationkey * 7 % 180 - 90 AS DOUBLE) AS lat"
 
 
