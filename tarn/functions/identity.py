@@ -22,8 +22,11 @@ def contract_hash(namespace: str, *values: Column, kind: str = "string", version
 
 def dataset_id(site_uri: Column, dataset_uri: Column, provider_uri: Column, provider_name: Column, name: Column) -> Column:
     """By site and dataset URI; where either is malformed by site, provider (URI, else folded name) and folded dataset name; else null."""
-    site, dataset = identity_iri(site_uri), identity_iri(dataset_uri)
-    provider, label = F.coalesce(identity_iri(provider_uri), folded_label(provider_name)), folded_label(name)
+    return dataset_id_of(identity_iri(site_uri), identity_iri(dataset_uri), F.coalesce(identity_iri(provider_uri), folded_label(provider_name)), folded_label(name))
+
+
+def dataset_id_of(site: Column, dataset: Column, provider: Column, label: Column) -> Column:
+    """The same from canonical parts. As columns of their own these are computed once, not wherever the identity names them."""
     by_uri = contract_hash(DATASET, F.lit("uri"), site, dataset)
     by_label = contract_hash(DATASET, F.lit("fallback"), site, provider, label)
     return F.when(site.isNotNull() & dataset.isNotNull(), by_uri).when(site.isNotNull() & provider.isNotNull() & (label != ""), by_label)
@@ -36,5 +39,9 @@ def distribution_id(dataset: Column, url: Column, media: Column) -> Column:
 
 def variable_id(variable_uri: Column, provider: Column, name: Column) -> Column:
     """By URI; else by provider and folded name; null where neither is complete."""
-    uri, label = identity_iri(variable_uri), folded_label(name)
+    return variable_id_of(identity_iri(variable_uri), provider, folded_label(name))
+
+
+def variable_id_of(uri: Column, provider: Column, label: Column) -> Column:
+    """The same from canonical parts."""
     return F.when(uri.isNotNull(), contract_hash(VARIABLE, uri)).when(provider.isNotNull() & (label != ""), contract_hash(VARIABLE, provider, label))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.identity import dataset_id, distribution_id, variable_id
+from tarn.functions.identity import dataset_id_of, distribution_id, variable_id_of
 from tarn.functions.temporal import temporal_interval
 from tarn.functions.text import folded_label, identity_iri, media_type
 from tarn.operators.grouping import diagnostic, diagnostics
@@ -90,14 +90,17 @@ def datasets(profiles: DataFrame) -> DataFrame:
         F.col("var.unitText").alias("unit_label"), F.col("var.measurementTechnique").alias("measurement_technique"),
     )
     base = base.withColumn("span", temporal_interval(F.col("temporal_coverage")))
-    base = base.withColumn("dataset_id", dataset_id(*[F.col(c) for c in ("site_uri", "dataset_uri", "provider_uri", "provider_name", "dataset_name")]))
-    base = base.withColumn("distribution_id", distribution_id(F.col("dataset_id"), identity_iri(F.col("distribution_url")), F.col("media_type")))
-    base = base.withColumn("variable_id", variable_id(F.col("variable_uri"), F.coalesce(identity_iri(F.col("provider_uri")), folded_label(F.col("provider_name"))), F.col("variable_name")))
+    parts = {"_site": identity_iri(F.col("site_uri")), "_dataset": identity_iri(F.col("dataset_uri")), "_provider": identity_iri(F.col("provider_uri")), "_url": identity_iri(F.col("distribution_url")), "_variable": identity_iri(F.col("variable_uri"))}
+    labels = {"_provider": F.coalesce("_provider", folded_label(F.col("provider_name"))), "_label": folded_label(F.col("dataset_name")), "_variable_label": folded_label(F.col("variable_name"))}
+    base = base.withColumns(parts).withColumns(labels)
+    base = base.withColumn("dataset_id", dataset_id_of(*[F.col(c) for c in ("_site", "_dataset", "_provider", "_label")]))
+    base = base.withColumn("distribution_id", distribution_id(F.col("dataset_id"), F.col("_url"), F.col("media_type")))
+    base = base.withColumn("variable_id", variable_id_of(F.col("_variable"), F.col("_provider"), F.col("_variable_label")))
     handled = base.withColumn("access_url", F.col("distribution_url")).withColumn("handler_id", F.when(F.col("distribution_url").isNotNull(), first_match(HANDLERS))).drop("access_url")
     found = diagnostics(
         diagnostic(F.col("span.problem").isNotNull(), "warning", "invalid_temporal_coverage", "/temporalCoverage", "Temporal coverage is no interval of instants."),
         diagnostic(F.col("dataset_id").isNull(), "warning", "dataset_identity_incomplete", "/@id", "A dataset lacks what identifies it."),
-        diagnostic(F.col("dataset_uri").isNotNull() & identity_iri(F.col("dataset_uri")).isNull(), "warning", "invalid_dataset_uri", "/@id", "A dataset's URI is malformed."),
+        diagnostic(F.col("dataset_uri").isNotNull() & F.col("_dataset").isNull(), "warning", "invalid_dataset_uri", "/@id", "A dataset's URI is malformed."),
     )
     fetchable = F.col("handler_id").isNotNull() & (F.col("handler_id") != "unknown")
-    return handled.select("*", F.col("span.start").alias("temporal_start"), F.col("span.end").alias("temporal_end"), fetchable.alias("fetchable"), found.alias("diagnostics")).drop("span")
+    return handled.select("*", F.col("span.start").alias("temporal_start"), F.col("span.end").alias("temporal_end"), fetchable.alias("fetchable"), found.alias("diagnostics")).drop("span", *parts, *labels)
