@@ -228,7 +228,8 @@ def candidate_links(classes: DataFrame, leaf: int = LEAF, levels: int = LEVELS)
     nodes = classes.select("key", F.explode("nodes").alias("node"), F.lit(None).cast("long").alias("above"))
     small, whole = [], []
     for level in range(levels + 1):
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # Written, so that the join reads two plain tables and Spark can split the partition of a very large node.
+        sizes = written(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         nodes = written(nodes.join(sizes, "node"), "nodes")
         small.append(nodes.where(F.col("n") <= leaf).select("node", "key"))
         large = nodes.where(F.col("n") > leaf).select("node", "key", "n", "above")
@@ -237,7 +238,7 @@ def candidate_links(classes: DataFrame, leaf: int = LEAF, levels: int = LEVELS)
         # Sets most of which agree in a further token, or in one at each level: candidates of one another, whatever their number.
         dense = F.coalesce(100 * F.col("n") >= DENSE * F.col("above"), F.lit(False)) | F.lit(level == levels)
         taken = large.where(dense)
-        whole.append(taken.join(taken.groupBy("node").agg(F.min("key").alias("least")), "node").select(F.col("key").alias("a"), F.col("least").alias("b")))
+        whole.append(taken.join(written(taken.groupBy("node").agg(F.min("key").alias("least")), "least"), "node").select(F.col("key").alias("a"), F.col("least").alias("b")))
         large = large.where(~dense)
         if level == levels:
             break
@@ -316,7 +317,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     members = _own_texts(texts.join(grouped, texts["id"].eqNullSafe(grouped["id"])).select("group", "key", "n_shingles", "text"))
     parts = components(confirmed_links(members, percent, task_shingles))
     placed = rows.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = placed.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
+    least = written(placed.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id")), "least")
     found = placed.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 

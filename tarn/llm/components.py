@@ -11,13 +11,13 @@ from tarn.llm.common import written
 def _to_least(links: DataFrame, larger: bool) -> DataFrame:
     """Links every node's neighbours (the larger, or the others) to the least of the node and its neighbours.
 
-    The least neighbour of each node is found with sums in the tasks first; the join that hands it to the neighbours is
-    an ordinary one, whose large partitions Spark splits, so a node with very many links is no single task's work.
+    The least neighbour of each node is found with minima in the tasks first, and written: the join that hands it to the
+    neighbours then reads two plain tables, and Spark can split the partition of a node with very many links.
     """
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not larger:
         both = both.where("a > b")
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")).select("a", "least")
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")).select("a", "least"), "least")
     handed = both.join(least, "a")
     if larger:
         pairs = handed.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
