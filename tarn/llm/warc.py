@@ -73,8 +73,9 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), payload.alias("payload"), F.octet_length(payload).alias("bytes"), F.sha2(payload.cast("binary"), 256).alias("key"), F.monotonically_increasing_id().alias("nth"))
     rows = rows.withColumn("capture", F.concat_ws("-", F.col("id").cast("string"), F.col("nth").cast("string")))
-    # The narrow table is grouped, with sums in the tasks first; then only each payload's one row meets the wide table.
-    best = rows.groupBy("key").agg(F.max(F.struct("id", "capture")).alias("best"))
+    # The narrow table is grouped, with maxima in the tasks first, and written: the join with the wide one then reads two
+    # plain tables, and Spark can split the partition of a payload that very many pages share.
+    best = written(rows.groupBy("key").agg(F.max(F.struct("id", "capture")).alias("best")), "payloads")
     paired = rows.join(best, "key")
     first = F.col("id").eqNullSafe(F.col("best.id")) | (F.col("bytes") < least_bytes)
     response_id = _urn(F.col("capture"), F.lit("response"))
