@@ -157,7 +157,8 @@ def load_media(store: MediaStore) -> DataFrame:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.binary()), pa.array([_verified(now, b"".join(parts))], pa.binary())], schema=arrow)
 
-    lists = store.manifest.select("media_id", "digests").join(store.whole.select("media_id"), "media_id", "left_anti").groupBy("media_id").agg(F.min("digests").alias("digests"))
+    distinct = store.manifest.groupBy("media_id").agg(F.min("digests").alias("digests"))  # copies meet in the tasks first
+    lists = distinct.join(store.whole.select("media_id"), "media_id", "left_anti")
     ordered = lists.select("media_id", F.posexplode("digests").alias("place", "digest")).join(store.chunks, "digest").select("media_id", "place", "data")
     joined = ordered.repartition("media_id").sortWithinPartitions("media_id", "place").mapInArrow(put_together, schema)
     return store.whole.mapInArrow(verify, schema).unionByName(joined)
