@@ -40,12 +40,23 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The session's own Arrow batch size and the one that was set here last, by application.
+_batches: dict[str, tuple[int, int]] = {}
+
+
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lowers the session's Arrow batch size to at most ``rows``; larger batches of whole documents fill a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """Holds the session's Arrow batches to at most ``rows`` rows; larger batches of whole documents fill a worker.
+
+    The size is read when a plan runs, so it stays set. It is never above what the session itself had asked for.
+    """
+    key, app = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.sparkContext.applicationId
     now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    own, last = _batches.get(app, (now, now))
+    if now != last:
+        own = now
+    size = min(own, rows) if own > 0 else rows
+    _batches[app] = own, size
+    spark.conf.set(key, str(size))
 
 
 def vocabulary(name: str) -> str:
