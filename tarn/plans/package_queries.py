@@ -59,14 +59,14 @@ def op116(t):
 def _payloads(t: Tables):
     """Coverages of users and daily pages of customers; every eleventh customer's transport failed, nations have no parser."""
     named = lambda df, handler: df.withColumn("request_id", F.concat(F.lit(f"{handler}-"), F.col("doc_id").cast("string"))).withColumn("handler_id", F.lit(handler)).drop("doc_id")
-    pages = named(_pages(t, "daily").where("doc_id < 200"), "usgs_waterdata_daily")
+    pages = named(_pages(t, "daily"), "usgs_waterdata_daily")
     pages = pages.withColumn("body", F.when(F.split_part("request_id", F.lit("-"), F.lit(2)).cast("int") % 11 != 0, F.col("body")))
     other = t.nation.select(F.concat(F.lit("csv-"), F.col("n_nationkey").cast("string")).alias("request_id"), F.lit("csv").alias("handler_id"), F.lit("x").alias("body"))
     return named(_coverages(t), "edr").unionByName(pages, allowMissingColumns=True).unionByName(other, allowMissingColumns=True)
 
 
 _STATUS_SQL = """s AS (SELECT DISTINCT 'edr-' || CAST(user_id AS VARCHAR) AS request_id, CASE WHEN user_id % 10 IN (1, 3, 5) THEN 'parse_failed' ELSE 'succeeded' END AS status FROM events
-UNION ALL SELECT DISTINCT 'usgs_waterdata_daily-' || CAST(o_custkey AS VARCHAR), CASE WHEN o_custkey % 11 = 0 THEN 'transport_failed' WHEN o_custkey % 10 IN (2, 7) THEN 'parse_failed' ELSE 'succeeded' END FROM orders WHERE o_custkey < 200
+UNION ALL SELECT DISTINCT 'usgs_waterdata_daily-' || CAST(o_custkey AS VARCHAR), CASE WHEN o_custkey % 11 = 0 THEN 'transport_failed' WHEN o_custkey % 10 IN (2, 7) THEN 'parse_failed' ELSE 'succeeded' END FROM orders
 UNION ALL SELECT 'csv-' || CAST(n_nationkey AS VARCHAR), 'capability_failed' FROM nation)"""
 
 

@@ -167,7 +167,7 @@ def _catalog(t: Tables):
     text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
     url = F.when(key % 5 == 0, text("https://example.org/x/", key)).otherwise(F.concat(text("https://example.org/", key), F.lit(".csv")))
     start = F.timestamp_add("DAY", (key % 60).cast("int"), F.lit("2024-01-01").cast("timestamp"))
-    return t.lineitem.where("l_orderkey < 4000").select(
+    return t.lineitem.select(
         text("site-", key % 50).alias("site_uri"), F.lit("d").alias("dataset_id"), F.when(key % 13 != 0, text("x", key)).alias("distribution_id"), F.when(key % 3 != 0, text("p", key % 7)).alias("provider_uri"),
         text("n", key % 4).alias("provider_name"), url.alias("distribution_url"), F.lit(None).cast("string").alias("media_type"), F.lit(None).cast("array<string>").alias("conforms_to"), F.lit(None).cast("string").alias("handler_id"),
         (key % 11 != 0).alias("fetchable"), start.alias("temporal_start"), F.lit(None).cast("timestamp").alias("temporal_end"), text("v", F.col("l_partkey")).alias("variable_id"),
@@ -176,7 +176,7 @@ def _catalog(t: Tables):
 
 
 _PLAN_SQL = """d AS (SELECT l_orderkey AS k, 'x' || CAST(l_orderkey AS VARCHAR) AS distribution_id, count(*) AS variable_count, CASE WHEN l_orderkey % 3 <> 0 THEN 'p' || CAST(l_orderkey % 7 AS VARCHAR) END AS pu, 'n' || CAST(l_orderkey % 4 AS VARCHAR) AS pn,
-'site-' || CAST(l_orderkey % 50 AS VARCHAR) AS su FROM lineitem WHERE l_orderkey < 4000 AND l_orderkey % 13 <> 0 GROUP BY l_orderkey),
+'site-' || CAST(l_orderkey % 50 AS VARCHAR) AS su FROM lineitem WHERE l_orderkey % 13 <> 0 GROUP BY l_orderkey),
 c AS (SELECT *, CASE WHEN k % 5 = 0 THEN 'reference_only' WHEN k % 11 = 0 THEN 'not_fetchable' WHEN k % 60 > 39 THEN 'outside_time' ELSE 'candidate' END AS first FROM d),
 o AS (SELECT *, row_number() OVER (ORDER BY pu NULLS LAST, pn, su, distribution_id) AS selection_order FROM c),
 f AS (SELECT *, sum(CASE WHEN first = 'candidate' THEN 1 ELSE 0 END) OVER (ORDER BY selection_order ROWS UNBOUNDED PRECEDING) AS n FROM o),
@@ -198,7 +198,7 @@ def op63(t):
     return fetch.plan_counts(_plan(t))
 
 
-@query("OP41_unplannable", "SELECT count(*) FILTER (l_orderkey % 13 = 0) AS unplannable_rows FROM lineitem WHERE l_orderkey < 4000")
+@query("OP41_unplannable", "SELECT count(*) FILTER (l_orderkey % 13 = 0) AS unplannable_rows FROM lineitem")
 def op41(t):
     return fetch.plannable(_catalog(t))[1]
 
@@ -240,23 +240,23 @@ def op105(t):
 def _graph(t: Tables) -> graph.Graph:
     """Suppliers are sites, nations providers, orders datasets, line items distributions, parts variables."""
     text = lambda c: F.col(c).cast("string")
-    lines = t.lineitem.where("l_orderkey < 1500")
+    lines = t.lineitem
     return graph.Graph(
         sites=t.supplier.select(text("s_suppkey").alias("site"), F.col("s_name").alias("name"), text("s_nationkey").alias("provider"), F.lit(None).cast("string").alias("site_wkt")),
         positions=t.supplier.select(text("s_suppkey").alias("site"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("e")).alias("element"), (F.col("s_suppkey") % 9).cast("string").alias("mainstem")),
         providers=t.nation.select(text("n_nationkey").alias("provider"), F.col("n_name").alias("url")),
         subject_of=lines.select(text("l_suppkey").alias("site"), text("l_orderkey").alias("dataset")).distinct(),
-        datasets=t.orders.where("o_orderkey < 1500").select(text("o_orderkey").alias("dataset"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("dataset_name"), F.lit(None).cast("string").alias("temporal_coverage")),
-        distributions=lines.where("l_linenumber <= 2").select(text("l_orderkey").alias("dataset"), F.concat_ws("-", text("l_orderkey"), text("l_linenumber")).alias("distribution"), F.col("l_returnflag").alias("access_url"), F.col("l_linestatus").alias("media_type")),
-        measured=lines.where("l_linenumber <= 3").select(text("l_orderkey").alias("dataset"), text("l_partkey").alias("variable")).distinct(),
+        datasets=t.orders.select(text("o_orderkey").alias("dataset"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("dataset_name"), F.lit(None).cast("string").alias("temporal_coverage")),
+        distributions=lines.select(text("l_orderkey").alias("dataset"), F.concat_ws("-", text("l_orderkey"), text("l_linenumber")).alias("distribution"), F.col("l_returnflag").alias("access_url"), F.col("l_linestatus").alias("media_type")),
+        measured=lines.select(text("l_orderkey").alias("dataset"), text("l_partkey").alias("variable")).distinct(),
         variables=t.part.select(text("p_partkey").alias("variable"), F.col("p_name").alias("variable_name"), F.col("p_brand").alias("variable_match"), F.lit(None).cast("string").alias("unit_uri"), F.col("p_type").alias("unit_label")),
     )
 
 
-_GRAPH_SQL = """subject_of AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS site, CAST(l_orderkey AS VARCHAR) AS dataset FROM lineitem WHERE l_orderkey < 1500),
-ds AS (SELECT CAST(o_orderkey AS VARCHAR) AS dataset, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS dataset_name FROM orders WHERE o_orderkey < 1500),
-di AS (SELECT CAST(l_orderkey AS VARCHAR) AS dataset, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS distribution, l_returnflag AS access_url, l_linestatus AS media_type FROM lineitem WHERE l_orderkey < 1500 AND l_linenumber <= 2),
-me AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS dataset, CAST(l_partkey AS VARCHAR) AS variable FROM lineitem WHERE l_orderkey < 1500 AND l_linenumber <= 3),
+_GRAPH_SQL = """subject_of AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS site, CAST(l_orderkey AS VARCHAR) AS dataset FROM lineitem),
+ds AS (SELECT CAST(o_orderkey AS VARCHAR) AS dataset, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS dataset_name FROM orders),
+di AS (SELECT CAST(l_orderkey AS VARCHAR) AS dataset, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS distribution, l_returnflag AS access_url, l_linestatus AS media_type FROM lineitem),
+me AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS dataset, CAST(l_partkey AS VARCHAR) AS variable FROM lineitem),
 va AS (SELECT CAST(p_partkey AS VARCHAR) AS variable, p_name AS variable_name, p_brand AS variable_match, p_type AS unit_label FROM part)"""
 _TWELVE = "site, dataset, dataset_name, CAST(NULL AS VARCHAR) AS temporal_coverage, distribution, access_url, media_type, variable, variable_name, variable_match, CAST(NULL AS VARCHAR) AS unit_uri, unit_label"
 _TWELVE_ORDER = "ORDER BY site NULLS LAST, dataset NULLS LAST, distribution NULLS LAST, variable NULLS LAST, access_url NULLS LAST, dataset_name NULLS LAST, media_type NULLS LAST, variable_name NULLS LAST, variable_match NULLS LAST, unit_label NULLS LAST LIMIT 1000"
