@@ -140,10 +140,16 @@ def op68(t):
     return grouping.distinct_coverage(rows, "s_nationkey", site_count="s_suppkey", dataset_count="l_partkey", distribution_count="l_orderkey")
 
 
-@query("OP69_merged_fragments")
+@query(
+    "OP69_merged_fragments",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus, CAST(l_suppkey AS VARCHAR)) AS n FROM lineitem),
+f AS (SELECT l_orderkey, l_returnflag AS v, n * 2 AS p FROM r UNION ALL SELECT l_orderkey, l_linestatus, n * 2 + 1 FROM r), g AS (SELECT l_orderkey, v, min(p) AS p FROM f GROUP BY 1, 2), a AS (SELECT l_orderkey, string_agg(v, ',' ORDER BY p) AS flags FROM g GROUP BY 1),
+s AS (SELECT l_orderkey, CAST(l_suppkey AS VARCHAR) AS v, min(n) AS p FROM r GROUP BY 1, 2), b AS (SELECT l_orderkey, string_agg(v, ',' ORDER BY p) AS suppliers FROM s GROUP BY 1) SELECT l_orderkey, flags, suppliers FROM a JOIN b USING (l_orderkey)""",
+)
 def op69(t):
     nodes = t.lineitem.select("l_orderkey", "l_linenumber", F.array("l_returnflag", "l_linestatus").alias("flags"), F.array(F.col("l_suppkey").cast("string")).alias("suppliers"))
-    return grouping.merged_fragments(nodes, "l_orderkey", "l_linenumber", ["flags", "suppliers"])
+    merged = grouping.merged_fragments(nodes, "l_orderkey", "l_linenumber", ["flags", "suppliers"])
+    return merged.select("l_orderkey", F.array_join("flags", ",").alias("flags"), F.array_join("suppliers", ",").alias("suppliers"))
 
 
 @query(
