@@ -23,28 +23,35 @@ def numbered(rows: DataFrame, order: Sequence[Column | str], out: str, by: Seque
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def global_number(rows: DataFrame, order: Sequence[Column | str], out: str, start: int = 1) -> DataFrame:
-    """Numbers all rows by a total order without moving them to one task.
+def global_number(rows: DataFrame, order: Sequence[Column | str], out: str, running: dict[str, Column] | None = None) -> DataFrame:
+    """Numbers all rows from 1 by a total order without moving them to one task.
 
     Rows are dealt to ranges of the order, ranges are counted, and each row's number is its place in its range and what
     comes before it. The ranges come from a sample, which differs from run to run, so the dealt rows are stored: counts
-    and places are then of the same ranges. ``order`` must be total for the numbers to be reproducible.
+    and places are then of the same ranges. ``order`` must be total for the numbers to be reproducible. ``running`` adds
+    columns that number, along the same order, the rows for which a condition holds; null for the others.
     """
-    spark = rows.sparkSession
+    spark, running = rows.sparkSession, running or {}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
-    ranged = stored(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "numbered")
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # as many rows as there are ranges
+    flags = {name: F.coalesce(holds, F.lit(False)).cast("long") for name, holds in running.items()}
+    ranged = stored(rows.withColumns({f"_f_{n}": c for n, c in flags.items()}).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    totals = {"_n": F.count(F.lit(1)), **{f"_n_{n}": F.sum(f"_f_{n}") for n in flags}}
+    counts = ranged.groupBy("_part").agg(*[c.alias(n) for n, c in totals.items()])  # as many rows as there are ranges
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_local", local).join(F.broadcast(bases), "_part").withColumn(out, F.col("_base") + F.col("_local") + (start - 1)).drop("_part", "_local", "_base")
-
-
-def running_admission(rows: DataFrame, order: str, candidate: Column, cap: int, out: str = "fetch_order") -> DataFrame:
-    """Numbers candidates along ``order`` (a number from 1, unique); ``out`` is null beyond ``cap`` and for other rows."""
-    picked = global_number(rows.where(candidate), [order], "_n").select(F.col(order).alias("_order"), "_n")
-    return rows.join(picked, F.col(order) == F.col("_order"), "left").withColumn(out, F.when(F.col("_n") <= cap, F.col("_n").cast("int"))).drop("_order", "_n")
+    bases = counts.select("_part", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_base{n}") for n in totals])
+    here = Window.partitionBy("_part").orderBy(*order)
+    numbers = {out: F.col("_base_n") + F.row_number().over(here)}
+    for n in flags:
+        numbers[n] = F.when(F.col(f"_f_{n}") == 1, F.col(f"_base_n_{n}") + F.sum(f"_f_{n}").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    done = ranged.join(F.broadcast(bases), "_part").withColumns(numbers)
+    return done.drop("_part", *[f"_base{n}" for n in totals], *[f"_f_{n}" for n in flags])
+
+
+def ordered_admission(rows: DataFrame, order: Sequence[Column | str], candidate: Column, cap: int, number: str = "selection_order", out: str = "fetch_order") -> DataFrame:
+    """Numbers all rows (``number``) and, along the same order, the first ``cap`` candidates (``out``, null for all others)."""
+    numbered_rows = global_number(rows, order, number, {out: candidate})
+    return numbered_rows.withColumn(out, F.when(F.col(out) <= cap, F.col(out).cast("int")))
 
 
 def partitioned_evenly(rows: DataFrame, order: Sequence[str], by: Sequence[str], total: Column, ceiling: Column, out: str = "share") -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tarn.functions.temporal import intersection
 from tarn.functions.text import url_is_safe
-from tarn.operators.grouping import collapsed, counts_by_value, group_conflicts
-from tarn.operators.ordering import global_number, numbered, partitioned_evenly, running_admission
+from tarn.operators.grouping import counts_by_value
+from tarn.operators.ordering import numbered, ordered_admission, partitioned_evenly
 from tarn.operators.predicates import HANDLERS, Handler, first_match
+from tarn.storage import stored
 
 VARIABLE = ["variable_id", "variable_uri", "variable_name", "unit_uri", "unit_label", "measurement_technique"]
 FACTS = ["site_uri", "dataset_id", "provider_uri", "provider_name", "distribution_url", "media_type", "conforms_to", "handler_id", "fetchable", "temporal_start", "temporal_end"]
@@ -44,17 +45,21 @@ class FetchPlan:
 def fetch_plan(datasets: DataFrame, start: Column | None = None, end: Column | None = None, max_datasets: int = 100, handlers: tuple[Handler, ...] = HANDLERS) -> FetchPlan:
     """Plans all distributions of a catalog. Distributions whose rows disagree, and unsafe URLs, are reported, not planned."""
     rows, unplannable = plannable(datasets)
-    conflicts = group_conflicts(rows, "distribution_id", FACTS)
-    unsafe = rows.where(~url_is_safe(F.col("distribution_url"))).select("distribution_id").distinct()
-    rows = rows.join(conflicts.unionByName(unsafe).distinct(), "distribution_id", "left_anti")
-    one = collapsed(rows, "distribution_id", [*VARIABLE, *FACTS[:4]], FACTS)
+    # Rows of one distribution collapse by their facts, in hash aggregates; it agrees if one row is left. The URL is judged
+    # once for each distribution. Stored, as conflicts, plan and parameters all read it.
+    versions = rows.groupBy("distribution_id", *FACTS).agg(F.count(F.lit(1)).alias("n"))
+    grouped = versions.groupBy("distribution_id").agg(F.count(F.lit(1)).alias("versions"), F.sum("n").alias("variable_count"), F.min(F.struct(*FACTS)).alias("low"))
+    judged = grouped.select("distribution_id", "low.*", "variable_count", (F.col("versions") == 1).alias("_agree"), url_is_safe(F.col("low.distribution_url")).alias("_safe"))
+    groups = stored(judged, "distributions")
+    conflicts, unsafe = groups.where("NOT _agree").select("distribution_id"), groups.where("NOT _safe").select("distribution_id")
+    rows = rows.join(groups.where("NOT (_agree AND _safe)").select("distribution_id"), "distribution_id", "left_anti")
+    one = groups.where("_agree AND _safe").drop("_agree", "_safe")
     one = one.withColumn("access_url", F.col("distribution_url")).withColumn("handler_id", first_match(handlers)).drop("access_url")
     outcomes = F.create_map(*[F.lit(x) for h in handlers for x in (h.name, h.outcome)])
     none = F.lit(None).cast("timestamp")
     window = intersection(start if start is not None else none, end if end is not None else none, F.col("temporal_start"), F.col("temporal_end"))
     decided = one.withColumn("_window", window).withColumn("decision", decision(outcomes[F.col("handler_id")], F.col("fetchable"), F.col("_window.outside")))
-    ordered = global_number(decided, ORDER, "selection_order")
-    capped = running_admission(ordered, "selection_order", F.col("decision") == "candidate", max_datasets)
+    capped = ordered_admission(decided, ORDER, F.col("decision") == "candidate", max_datasets)
     chosen = F.col("fetch_order").isNotNull()
     final = F.when(F.col("decision") != "candidate", F.col("decision")).when(chosen, F.lit("selected_unplanned")).otherwise(F.lit("skipped_max_datasets"))
     distributions = capped.select(

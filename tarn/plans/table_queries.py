@@ -209,9 +209,8 @@ def op76(t):
 SELECT o_orderkey, n AS selection_order, CAST(CASE WHEN o_orderstatus = 'O' AND f <= 500 THEN f END AS INTEGER) AS fetch_order, CASE WHEN o_orderstatus <> 'O' THEN 'not_fetchable' WHEN f <= 500 THEN 'selected_unplanned' ELSE 'skipped_max_datasets' END AS decision FROM c""",
 )
 def op77(t):
-    rows = ordering.global_number(t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate"), ["o_orderdate", "o_orderkey"], "selection_order")
     open_ = F.col("o_orderstatus") == "O"
-    capped = ordering.running_admission(rows, "selection_order", open_, 500)
+    capped = ordering.ordered_admission(t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate"), ["o_orderdate", "o_orderkey"], open_, 500)
     return capped.select("o_orderkey", "selection_order", "fetch_order", F.when(~open_, F.lit("not_fetchable")).when(F.col("fetch_order").isNotNull(), F.lit("selected_unplanned")).otherwise(F.lit("skipped_max_datasets")).alias("decision"))
 
 
