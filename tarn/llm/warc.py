@@ -1,8 +1,9 @@
 """WARC archives: captures written as request, response or revisit, and metadata records, read and assembled again.
 
-Writing is a text write whose line end is the end of a record, so archives land wherever Spark can write. Reading takes
-whole files (bounded in records when written here) and cuts them by Content-Length. Assembly joins records through
-WARC-Concurrent-To, whichever of them names the other, and gives one nested row for each capture.
+Writing makes a gzip member of each record and whole archives of the members in tasks, and hands each archive to Spark's
+writer as one row, so archives land wherever Spark can write. Reading takes whole files (bounded in bytes and records when
+written here) and cuts them by Content-Length. Assembly joins records through WARC-Concurrent-To, whichever of them names
+the other, and gives one nested row for each capture.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,9 +23,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarn.llm.common import bound_batches, fresh_path, written
 
-#: Records of one archive file at most; keeps a file small enough for one task.
-FILE_RECORDS = 3000
+#: Records of one archive file at most, and compressed bytes from which on it is closed: a file is small enough for a task.
+FILE_RECORDS, FILE_BYTES = 3000, 16 << 20
+#: Requests and metadata records in one row of a capture, about; what a capture has beyond goes into rows of their own.
+ATTACHED = 10_000
 EOL = "\r\n"
+#: What closes a record.
+END = b"\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORD = T.StructType(
     [
@@ -62,14 +68,16 @@ def _record(kind: Column | str, record_id: Column, uri: Column, headers: list[tu
     return F.concat(F.concat_ws(EOL, F.lit("WARC/1.1"), *[F.concat(F.lit(f"{k}: "), v) for k, v in lines]), F.lit(EOL * 2), block)
 
 
-def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> str:
-    """Writes gzipped WARC files, three records for each row of ``pages``, and returns ``path``.
+def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> str:
+    """Writes gzipped WARC files, a member for each record, three records for each row of ``pages``, and returns ``path``.
 
     Of rows with equal payloads of at least ``least_bytes`` bytes those with the largest id are responses, the others
     revisits without a payload that refer to the first of these. A null payload is empty; a null URI leaves its header
     out; a null id is smaller than any other. Repeated rows are captures of their own: of wholly equal rows with the
-    largest id each is a response. An empty table gives archives without records.
+    largest id each is a response. An empty table gives archives without records. A very long page is a record like any
+    other and closes its archive; a record has to fit Spark's 2 GB for a value. Further columns play no part.
     """
+    bound_batches(pages.sparkSession, 128)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), payload.alias("payload"), F.octet_length(payload).alias("bytes"), F.sha2(payload.cast("binary"), 256).alias("key"), F.monotonically_increasing_id().alias("nth"))
     rows = rows.withColumn("capture", F.concat_ws("-", F.col("id").cast("string"), F.col("nth").cast("string")))
@@ -93,10 +101,33 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
     fields = F.concat_ws("", F.concat(F.lit("page-id: "), F.col("id").cast("string"), F.lit(EOL)), F.lit(f"charset-for-links: utf-8{EOL}"))
     metadata = _record("metadata", _urn(F.col("capture"), F.lit("metadata")), F.col("uri"), link, "application/warc-fields", fields)
     records = paired.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    archives = records.mapInArrow(partial(_archives, file_bytes=file_bytes), "content binary").select(F.col("content").cast("string"))
+    # A row is an archive without its last byte, which is 0: Spark writes it as the row's end.
+    archives.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
+def _archives(batches: Iterator[pa.RecordBatch], file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Whole archives, each without the 0 it ends with, of the records in the batches; one is closed at ``file_bytes``."""
+    members: list[bytes] = []
+    held = 0
+
+    def closed() -> pa.RecordBatch:
+        # The last byte of a member is the highest of its record's size; beyond 16 MB an empty member gives the 0.
+        content = b"".join(members) + (b"" if members[-1].endswith(b"\0") else gzip.compress(b"", mtime=0))
+        return pa.RecordBatch.from_arrays([pa.array([content[:-1]], pa.binary())], names=["content"])
+
+    for batch in batches:
+        for record in batch.column(0).cast(pa.binary()):
+            members.append(gzip.compress(record.as_py() + END, 6, mtime=0))
+            held += len(members[-1])
+            if len(members) >= FILE_RECORDS or held >= file_bytes:
+                yield closed()
+                members, held = [], 0
+    if members:
+        yield closed()
+
+
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
     """Headers (names in lower case) and block of each record of a WARC file, gzipped or not. A cut-off file is an error."""
     stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)), 1 << 20) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
@@ -156,41 +187,48 @@ def read_records(spark, path: str, payloads: bool = True) -> DataFrame:
     return files.mapInArrow(parse, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row for each capture: capture_id, response, requests, metadata.
+def assemble(records: DataFrame, attached: int = ATTACHED) -> DataFrame:
+    """One nested row for each capture: capture_id, part, response, requests, metadata.
 
     A capture is a response, revisit or resource record and what is concurrent to it: requests and metadata that name
-    it, that it names, or that name a record which names it. A request or metadata record that could belong to several
-    captures goes to the one with the smallest id; without a capture it forms a row of its own, whose response is null.
-    Repeated response ids give a row each. ``requests`` and ``metadata`` are arrays of records, in order of their ids.
-    ``records`` is read several times: pass a written table.
+    it, that it names, or that name a record which is concurrent to it in one of these two ways. A request or metadata
+    record that could belong to several captures goes to the one with the smallest id; without a capture it forms a row of
+    its own, whose response is null. Repeated response ids give a row each. ``requests`` and ``metadata`` are arrays of
+    records, in order of their ids; null ids or links join nothing. A capture to which more than ``attached`` records
+    belong has further rows, with the others and no response, numbered by ``part``: no row and no task gathers more than
+    about so many. No records give no rows. ``records`` is read several times: pass a written table.
     """
     main = records.where(F.col("type").isin("response", "revisit", "resource"))
-    rest = records.where(F.col("type").isin("request", "metadata"))
+    rest = records.where(F.col("type").isin("request", "metadata")).withColumn("nth", F.monotonically_increasing_id())
     named = rest.select("record_id", F.explode("concurrent_to").alias("other"))
-    ids = main.select(F.col("record_id").alias("capture_id")).distinct()
+    # Grouped sides are written: very many records may name one, and Spark can then split that one's partition.
+    ids = written(main.select(F.col("record_id").alias("capture_id")).distinct(), "ids")
     direct = named.join(ids, F.col("other") == F.col("capture_id")).select("record_id", "capture_id")
     naming = main.select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("record_id")).select("record_id", "capture_id")
-    near = direct.unionByName(naming)
+    near = written(direct.unionByName(naming).groupBy("record_id").agg(F.min("capture_id").alias("capture_id")), "near")
     through = named.join(near.withColumnRenamed("record_id", "via"), F.col("other") == F.col("via")).select("record_id", "capture_id")
-    home = near.unionByName(through).groupBy("record_id").agg(F.min("capture_id").alias("capture_id"))
+    home = written(near.unionByName(through).groupBy("record_id").agg(F.min("capture_id").alias("capture_id")), "home")
+    placed = rest.join(home, "record_id", "left").withColumn("capture_id", F.coalesce("capture_id", "record_id"))
+    crowded = written(placed.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > attached), "crowded")
+    part = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("nth"), F.ceil(F.col("n") / attached))).cast("int")
     record = F.struct(*[c for c in records.columns if c not in ("payload", "payload_bytes", "payload_digest", "digest_ok")])
     own = lambda kind: F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.col("record"))))
     around = (
-        rest.join(home, "record_id", "left")
-        .select(F.coalesce("capture_id", "record_id").alias("capture_id"), "type", record.alias("record"))
-        .groupBy("capture_id")
+        placed.withColumn("record", record)
+        .join(crowded, "capture_id", "left")
+        .select("capture_id", part.alias("part"), "type", "record")
+        .groupBy("capture_id", "part")
         .agg(own("request").alias("requests"), own("metadata").alias("metadata"))
     )
-    response = main.select(F.col("record_id").alias("capture_id"), F.struct(*records.columns).alias("response"))
-    return response.join(around, "capture_id", "full")
+    response = main.select(F.col("record_id").alias("capture_id"), F.lit(0).alias("part"), F.struct(*records.columns).alias("response"))
+    return response.join(around, ["capture_id", "part"], "full").select("capture_id", "part", "response", "requests", "metadata")
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
     """All pages written to archives, read back and assembled: one row for each page."""
     path = write_captures(spark.read.parquet(f"{sf_dir}/pages.parquet"), fresh_path(spark, "warc"))
     captures = assemble(written(read_records(spark, path, payloads=False), "records"))
-    page_id = F.regexp_extract(F.decode(F.col("metadata")[0]["block"], "UTF-8"), r"page-id: (-?\d+)", 1)
+    page_id = F.regexp_extract(F.decode(F.get(F.col("metadata"), F.lit(0))["block"], "UTF-8"), r"page-id: (-?\d+)", 1)
     flat = written(
         captures.select("capture_id", F.when(page_id != "", page_id).cast("long").alias("page_id"), *[F.col(f"response.{c}").alias(c) for c in ("type", "refers_to", "payload_bytes", "payload_digest")]), "captures"
     )
