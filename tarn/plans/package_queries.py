@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from tarn.plans.source_queries import _coverages, _pages
 from tarn.sinks import package
 from tarn.sinks import text as sink
 from tarn.sources import delimited
-from tarn.storage import shared_folder
+from tarn.storage import fresh_path
 
 # ruff: noqa: D103
 
@@ -26,7 +25,7 @@ def op36(t):
 
 
 def _written(t: Tables) -> str:
-    path = f"{shared_folder(t.spark)}/package-{uuid.uuid4().hex}"
+    path = fresh_path(t.spark, "package")
     package.write_package(t.spark, path, {"sites": t.nation, "datasets": t.supplier}, {"source": "tables"})
     return path
 

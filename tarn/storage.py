@@ -9,18 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the context's checkpoint folder; only where neither is set (local tests) a temporary one is made."""
+    """spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Only a local master gets a temporary folder where neither is set; on a cluster, where no executor could read another's
+    files there, that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not context.isLocal():
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-"))
         named = context.getCheckpointDir().get()
     return named.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call gets. All of an application's are removed when it ends."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/tarn-{context.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read from then on: its rows and their partitions stay what they are, whatever is lost or run again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written once and read from then on: lineage ends here, and rows and their partitions stay what they are, whatever is lost or run again."""
+    path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,13 +1,18 @@
 import json
+import subprocess
+import sys
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from pathlib import Path
+from types import SimpleNamespace
 from urllib.parse import parse_qs, urlsplit
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn import schemas
+from tarn import schemas, storage
 from tarn.operators import lookup, ordering, predicates, sets
 from tarn.plans import fetch, graph, harmonize, run
 from tarn.sinks import package, publish
@@ -263,3 +268,24 @@ def test_parameters():
     for bad in (lambda: p.uri("a b"), lambda: p.uri("urn:<x>"), lambda: p.uri_list([]), lambda: p.whole(True, 0, 1), lambda: p.whole(11, 1, 10), lambda: p.literal("a\n"), lambda: p.instant(dt.datetime(2024, 1, 1)), lambda: p.area("POLYGON ((0 0, 200 0, 1 1, 0 0))")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_stored_tables_are_removed_at_the_end(spark):
+    rows = storage.stored(spark.range(3), "three")
+    path = rows.inputFiles()[0].removeprefix("file://")
+    assert f"/tarn-{spark.sparkContext.applicationId}/three-" in path and rows.count() == 3
+    code = "import sys\nfrom pyspark.sql import SparkSession\nfrom tarn.storage import stored\nspark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\nprint('AT', stored(spark.range(3), 'three').inputFiles()[0])"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], timeout=120).stdout
+    folder = Path(said.split("AT file://")[1].split("/three-")[0].strip())
+    for _ in range(100):  # the virtual machine ends after Python
+        if not folder.exists():
+            break
+        time.sleep(0.2)
+    assert folder.name.startswith("tarn-local") and not folder.exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    context = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True), isLocal=lambda: False)
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: context)))
+    with pytest.raises(RuntimeError, match="share"):
+        storage.shared_folder(spark)
