@@ -1,43 +1,26 @@
-"""What the operators share: the shared folder, written tables, Arrow batch bounds."""
+"""What the operators share: written tables, Arrow batch bounds, free names, tokenizer files."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: Rows of an Arrow batch; with whole documents in a batch this bounds a worker's memory.
-BATCH_ROWS = 512
+from tarn.storage import fresh_path
+from tarn.storage import stored as written
 
+__all__ = ["bound_batches", "fresh_path", "free_name", "vocabulary", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
-
-    Only where neither is set (local tests) a temporary folder is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get()
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Rows and bytes of an Arrow batch at most (a batch has one row at least): with whole documents these bound a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, with as many underscores behind it as it takes to be none of ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 #: The session's own Arrow batch size and the one that was set here last, by application.
@@ -45,10 +28,14 @@ _batches: dict[str, tuple[int, int]] = {}
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Holds the session's Arrow batches to at most ``rows`` rows; larger batches of whole documents fill a worker.
+    """Holds the session's Arrow batches to at most ``rows`` rows and BATCH_BYTES; larger batches of whole documents fill a worker.
 
-    The size is read when a plan runs, so it stays set. It is never above what the session itself had asked for.
+    The sizes are read when a plan runs, so they stay set. They are never above what the session itself had asked for.
     """
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    asked = spark.conf.get(most, None)
+    if asked is None or not asked.isdigit() or int(asked) > BATCH_BYTES:
+        spark.conf.set(most, str(BATCH_BYTES))
     key, app = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.sparkContext.applicationId
     now = int(spark.conf.get(key, "10000"))
     own, last = _batches.get(app, (now, now))

@@ -119,7 +119,7 @@ def _archives(batches: Iterator[pa.RecordBatch], file_bytes: int) -> Iterator[pa
 
     for batch in batches:
         for record in batch.column(0).cast(pa.binary()):
-            members.append(gzip.compress(record.as_py() + END, 6, mtime=0))
+            members.append(gzip.compress(record.as_py() + END, 4, mtime=0))
             held += len(members[-1])
             if len(members) >= FILE_RECORDS or held >= file_bytes:
                 yield closed()
