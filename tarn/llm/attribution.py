@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +37,25 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+#: A run of white space that is too long for the splitter's look-ahead, which goes as deep as the run is long.
+LONG_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{5000,}")
+
+
+def _ids(encoding, text: str) -> list[int]:
+    """The ids of a text. Of a run of white space the splitter makes one piece, but for its last character where more text follows."""
+    ids, at = [], 0
+    for run in LONG_WHITE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def token_spans(text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     """First character and the one after the last, of each token; tokens that share a character's bytes all cover it."""
     encoding, sizes = _encoding(path)
-    ends = np.cumsum(sizes[np.array(encoding.encode_ordinary(text), dtype=np.int64)])
+    ends = np.cumsum(sizes[np.array(_ids(encoding, text), dtype=np.int64)])
     if not len(ends):
         return ends, ends
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
@@ -73,7 +89,8 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (array<int>, in order; what they leave of the text is one more section); without it every line, with its line feed,
     is a section. The tokens of a document's sections add up to those of the whole document.
     A null or empty text, and a text all of whose sections are empty, gives one section without tokens. Rows that repeat
-    give their sections again. An empty table gives no rows. Further columns of the input play no part.
+    give their sections again. An empty table gives no rows. Further columns of the input play no part. A very long text is
+    encoded once as a whole, in one task; ties between sections are settled by ``rule``.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
@@ -108,5 +125,5 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op8_attribution(spark, sf_dir: str) -> DataFrame:
-    """Token counts of every line of all documents, as part of the whole document."""
+    """Token counts of every line of all documents, as part of the whole document, by the rule ``majority`` (of ties the first)."""
     return section_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))

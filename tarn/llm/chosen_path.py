@@ -4,8 +4,9 @@ Each of several independent trees deals the documents out by one minwise token o
 documents is dealt out again by one or two further tokens, 1 / similarity in expectation, so that a pair at the
 threshold keeps its chance from level to level. Nodes that are small are compared exhaustively by sketches; a large node
 that takes most of the node above it, or is still large after many levels, holds documents that are mostly similar, and
-is taken as a whole. What is similar in a sketch joins one candidate group. Within a group the full shingle sets are compared until every pair is either confirmed,
-refuted, or known to be connected; groups too large for one task are compared block by block.
+is taken as a whole. What is similar in a sketch joins one candidate group. Within a group the full shingle sets are
+compared until every pair is either confirmed, refuted, or known to be connected; groups too large for one task are
+compared block by block.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tarn.llm.common import bound_batches, written
+from tarn.llm.common import bound_batches, free_name, written
 from tarn.llm.components import components
 
 WORDS = 5
@@ -267,7 +268,8 @@ def confirmed_links(members: DataFrame, percent: int, task_shingles: int = TASK_
     compared on its own, with a few members that all blocks get, which connects most of what belongs together. Then the
     members outside the largest part are compared with everything, block by block; within the largest part all is known.
     """
-    weights = members.groupBy("group").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("n"))
+    # Grouped sides are written, here and below: Spark can then split the partition of a group with very many members.
+    weights = written(members.groupBy("group").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("n")), "weights")
     sized = members.join(weights, "group")
     no_label = F.lit(None).cast("binary").alias("label")
     work = _confirm_group(percent)
@@ -284,7 +286,7 @@ def confirmed_links(members: DataFrame, percent: int, task_shingles: int = TASK_
     known = large.join(components(first).select(F.col("node").alias("key"), F.col("component").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
     parts = written(known.groupBy("group", "label").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("part_weight")), "parts")
     largest = parts.groupBy("group").agg(F.max(F.struct("members", "label", "part_weight")).alias("main"), F.sum("part_weight").alias("all"))
-    open_ = known.join(largest.where(F.col("all") > F.col("main.part_weight")), "group")
+    open_ = known.join(written(largest.where(F.col("all") > F.col("main.part_weight")), "largest"), "group")
     per_block = F.lit(task_shingles / 2)
     n_main = F.ceil(F.col("main.part_weight") / per_block).cast("int")
     n_rest = F.ceil((F.col("all") - F.col("main.part_weight")) / per_block).cast("int")
@@ -306,7 +308,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     are. component_id is the smallest id that can be reached through links, the row's own included; kept tells whether
     it is the row's own. An empty set (null or empty text, white space) is linked with nothing. Rows that repeat are
     linked and kept alike. Null ids are larger than any other: a component has one only if all its ids are null, and its
-    rows are kept. An empty table gives no rows. Further columns of the input play no part.
+    rows are kept. An empty table gives no rows. Further columns of the input play no part. A very long text counts with
+    all its shingles; a task holds the text and eight bytes for each of its characters and shingles while it hashes them.
     """
     rows = written(sketches(docs, id_col, text_col), "sketches")
     sets = rows.where("key is not null")
@@ -337,10 +340,14 @@ def _own_texts(rows: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that another one of their component stands for. Ids name documents here: they don't repeat."""
+    """``docs`` without the rows that another one of their component stands for. Ids name documents here: they don't repeat.
+
+    Rows are treated as in ``near_duplicates``: null and empty texts stay, of ties the smallest id. All columns stay.
+    """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    gone = found.where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    name = free_name(docs.columns, "_gone")
+    gone = written(found.where("not kept").select(F.col(id_col).alias(name)).distinct(), "gone")
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -73,8 +73,9 @@ class MediaStore:
 def store_media(media: DataFrame, id_col: str, media_col: str) -> MediaStore:
     """Stores the binary column ``media_col``; a null is an empty payload.
 
-    ``media`` is read three times; only chunks that may be repeated are shuffled. Equal payloads share their media_id (SHA-256) and everything that is stored of them.
-    Repeated rows and null ids keep their rows in the manifest. An empty table gives empty tables.
+    ``media`` is read three times; only chunks that may be repeated are shuffled. Equal payloads (ties) share their media_id
+    (SHA-256) and everything that is stored of them. Repeated rows and null ids keep their rows in the manifest. An empty
+    table gives empty tables. A very long payload is cut like any other: a task holds it, and four bytes for each of its own.
     """
     spark = media.sparkSession
     bound_batches(spark)

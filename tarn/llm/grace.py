@@ -125,6 +125,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when they are identical without ASCII white space; null is empty, and empty texts are one group.
     The row with the most code points stays, then the one with the smallest id (null last); of wholly equal rows any one.
     An empty table gives no rows. All columns of the input travel in the struct ``row``, so their names can't clash.
+    A very long text is compared as a whole; a table that it fills alone goes on to spill files like any other.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -189,7 +190,7 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns: one for each distinct content."""
+    """The rows of ``docs`` that stay, with its columns: one for each distinct content, as in ``exact_groups``."""
     names = docs.columns
     return exact_groups(docs, id_col, text_col).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
 

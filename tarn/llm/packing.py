@@ -122,17 +122,20 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tok
     arrow = to_arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, encode = TaskContext.get().partitionId(), defaultdict(int), word_ids(vocabulary(tokenizer))
+        part, seen, words = TaskContext.get().partitionId(), defaultdict(int), word_ids(vocabulary(tokenizer))
         for batch in batches:
             rows: list[tuple] = []
             texts = batch.column(1).cast(pa.binary())
+            if batch.num_rows:
+                words.check_text(min((t.as_py() or b"" for t in texts.slice(0, 8)), key=len))
             for row, text in enumerate(texts.to_pylist()):
-                ids = encode(text or b"") + bytes(4)
+                ids = words.encode(text or b"") + bytes(4)
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[start : start + 4 * capacity]
                     n = len(own) // 4
                     rows.append((row, piece, start // 4, n, zlib.crc32(own), part, seen[n]))
                     seen[n] += 1
+            words.check()
             if rows:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0])), *(pa.array(c, arrow[i + 1].type) for i, c in enumerate(columns[1:]))], schema=arrow)
@@ -145,7 +148,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     Returns a row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
     A null or empty text is the closing id alone, one token. Rows that repeat, and null ids, are packed like any other.
-    An empty table gives no rows. Further columns of the input play no part.
+    An empty table gives no rows. Further columns of the input play no part. A very long text is tokenized as a whole in
+    one task and cut into as many pieces as it takes.
     """
     spark = docs.sparkSession
     pieces = written(token_pieces(docs, id_col, text_col, capacity, tokenizer), "pieces")

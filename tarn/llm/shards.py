@@ -20,7 +20,8 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
 
     Returns id, size, text_crc32, shard, slot (gapless from 0 within a shard, in order).
     Null text: no bytes, size 1, CRC 0. Null ids come first. Repeated ids are ordered by CRC and size; wholly equal
-    rows are interchangeable. An empty table gives no rows. Further columns of the input play no part.
+    rows are interchangeable. An empty table gives no rows. Further columns of the input play no part. A very long text
+    stays whole in its shard, which may then be larger than the others by that text.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))

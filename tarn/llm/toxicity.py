@@ -1,7 +1,7 @@
 """Toxicity of texts by a weighted lexicon.
 
-Texts are folded first: lower case, look-alike letters and digits to plain Latin letters, one character for one, so
-that offsets stay. An Aho-Corasick automaton then finds the lexicon's entries at the beginnings of words; entries inside
+Texts are folded first: lower case, look-alike letters and digits to plain Latin letters; accents of their own and marks
+without width go. Offsets are of the text as it was. An Aho-Corasick automaton then finds the lexicon's entries at the beginnings of words; entries inside
 an exception phrase don't count. Weighted hits, and hits for the length of the text, give the score by a logistic curve.
 Entries, weights and the curve are learned from labelled rows; a short base lexicon stands where there are too few.
 """
@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +58,20 @@ def _table() -> dict[int, str]:
     return table | {ord(k): v for k, v in SIGNS.items()}
 
 
+#: Characters that folding leaves out: soft hyphens, combining accents, marks without width, variation selectors.
+UNSEEN = re.compile("[\u00ad\u0300-\u036f\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
+
+
 def fold(text: str) -> str:
-    """The text with one folded character for each of its own. Letters of other scripts stay as they are."""
-    return text.translate(_table())
+    """The text with one folded character for each of its own but the unseen ones. Letters of other scripts stay as they are."""
+    return UNSEEN.sub("", text).translate(_table())
+
+
+def _places(text: str) -> Sequence[int]:
+    """Where each folded character stands in ``text``; and, for the end, its length."""
+    if UNSEEN.search(text) is None:
+        return range(len(text) + 1)
+    return [i for i, ch in enumerate(text) if UNSEEN.match(ch) is None] + [len(text)]
 
 
 @dataclass(frozen=True)
@@ -92,7 +106,17 @@ def hits(text: str, lexicon: Lexicon) -> list[tuple[int, int, float]]:
             spared.append((start, end))
         elif start not in found or found[start][1] < weight:
             found[start] = end, weight
-    return [(s, e, w) for s, (e, w) in found.items() if not any(a <= s and e <= b for a, b in spared)]
+    if not found:
+        return []
+    spared.sort()
+    reach = list(accumulate((e for _, e in spared), max))  # the furthest end of the phrases up to each
+    place = _places(text)
+    out = []
+    for start, (end, weight) in found.items():
+        before = bisect_right(spared, (start, len(text))) - 1
+        if before < 0 or reach[before] < end:
+            out.append((place[start], place[end - 1] + 1, weight))
+    return out
 
 
 def features(text: str, lexicon: Lexicon) -> tuple[float, float]:
@@ -100,7 +124,7 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, float]:
     total = sum(h[2] for h in hits(text, lexicon))
     if not total:
         return 0.0, 0.0
-    return math.log1p(total), min(10.0, 100.0 * total / max(20, text.count(" ") + 1))
+    return math.log1p(total), min(10.0, 100.0 * total / max(20, len(text.split())))
 
 
 def score_text(text: str, lexicon: Lexicon) -> float:
@@ -180,7 +204,8 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out: str
     """``docs`` with the column ``out``: a score from 0 to 1.
 
     A null or empty text has no hits, and so the score of a text without any. Rows are scored one by one: repeated rows
-    and null ids change nothing, and an empty table stays empty. ``out`` must not be a column of ``docs``.
+    and null ids change nothing, and an empty table stays empty. A very long text is scored as a whole, in time linear in
+    its length. Of entries that begin at one place the heaviest counts. ``out`` must not be a column of ``docs``.
     """
     if out.lower() in map(str.lower, docs.columns):
         raise ValueError(f"{out} is a column already")

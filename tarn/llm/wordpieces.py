@@ -2,7 +2,8 @@
 
 Its normalizer and splitter never look across white space, so a document's ids are those of its words in a row. Parts of
 words repeat; each worker keeps the ids of those it has met, up to a bound, and asks the tokenizers library for the rest.
-Words with characters other than plain ones go to the library whole.
+Words with characters other than plain ones go to the library whole. New parts, and one whole text of each batch, are
+compared with the library's own encoding.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 import functools
 import re
 from array import array
-from collections.abc import Callable
 
 #: Characters whose lower case and NFC form need no context: ASCII and the precomposed Latin-1 letters.
 PLAIN = re.compile(r"[\t-\r -~À-ÿ]*")
@@ -32,12 +32,14 @@ class _Parts(dict):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.unchecked: list[tuple[str, bytes]] = []
         self.tokenize = self.encoder.model.tokenize
         self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
 
     def __missing__(self, part: str) -> bytes:
         # Lower case, NFC and split already: what is left of the tokenizer is its model.
         ids = array("I", [t.id for t in self.tokenize(part.translate(LEVEL))]).tobytes()
+        self.unchecked.append((part, ids))
         if len(part) <= 64:
             if len(self) >= PARTS:
                 self.clear()
@@ -60,11 +62,25 @@ class _Parts(dict):
         return array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+    def check(self) -> None:
+        """Compares the parts that are new since the last check with what the library makes of them; a difference is an error."""
+        news, self.unchecked = self.unchecked, []
+        for (part, ids), own in zip(news, self.encoder.encode_batch([p for p, _ in news], add_special_tokens=False), strict=True):
+            if array("I", own.ids).tobytes() != ids:
+                raise ValueError(f"{part[:80]!r} has other ids in the tokenizers library")
+
+    def check_text(self, raw: bytes) -> None:
+        """The same for a whole text, and so for where it is split."""
+        text = raw.decode("utf-8", "replace")
+        if array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes() != self.encode(raw):
+            raise ValueError(f"a text that begins {text[:80]!r} has other ids in the tokenizers library")
+
+
 @functools.cache
 def _parts(path: str) -> _Parts:
     return _Parts(path)
 
 
-def word_ids(path: str) -> Callable[[bytes], bytes]:
-    """From UTF-8 text to its ids, as little-endian unsigned 32-bit numbers in a row."""
-    return _parts(path).encode
+def word_ids(path: str) -> _Parts:
+    """The worker's tokenizer: ``encode`` goes from UTF-8 text to its ids, as little-endian unsigned 32-bit numbers in a row."""
+    return _parts(path)

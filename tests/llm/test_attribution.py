@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tarn.llm.attribution import attribute, section_tokens, token_spans
+from tarn.llm.attribution import _encoding, _ids, attribute, section_tokens, token_spans
 from tarn.llm.common import vocabulary
 
 
@@ -39,6 +39,14 @@ def test_lines_against_the_other_library(docs, empty, rule):
     assert section_tokens(empty).count() == 0
 
 
+@pytest.mark.parametrize("white", [" " * 6000, "\n" * 6000, " \n" * 4000, "\t" * 5000 + " ", "\u3000" * 6000])
+@pytest.mark.parametrize("around", [("", ""), ("word", ""), ("", "word"), ("a b.", "'s 12"), ("x ", "!y"), ("", " word")])
+def test_long_white_space(white, around):
+    encoding = _encoding(vocabulary("byte_bpe_50k.tiktoken"))[0]
+    text = around[0] + white + around[1]
+    assert _ids(encoding, text) == encoding.encode_ordinary(text)
+
+
 def test_given_sections(spark):
     df = spark.createDataFrame([(1, "hello wonderful world", [3, 5, -1, 4]), (2, "abc", None), (3, None, [1]), (4, "abc", [9, 9])], "doc_id long, text string, cuts array<int>")
     rows = section_tokens(df, section_col="cuts").orderBy("doc_id", "section").collect()

@@ -45,4 +45,5 @@ def test_stages_keep_columns_and_bear_all_kinds_of_rows(spark, docs, tmp_path):
         assert packed.select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
         ids = {r["doc_id"] for r in now.collect()}
         if start is full:
-            assert ids == {1, 3, 6, 7, None, 9, 10, 11, 12} or 13 not in ids
+            # Of 1, 2 and 3, and of 7 and 8, one stays; 6 is the longest of the texts without words; 13 is toxic.
+            assert ids == {1, 6, 7, None, 9, 10, 11, 12}

@@ -1,8 +1,11 @@
+import math
 import zlib
 
 import pytest
 
-from tarn.llm.toxicity import BASE, Lexicon, fold, held_out, hits, learn, op6_toxicity, score_text, toxicity
+from tarn.llm.toxicity import BASE, UNSEEN, Lexicon, fold, held_out, hits, learn, learned_lexicon, op6_toxicity, score_text, toxicity
+
+from .conftest import SF
 
 
 def test_fold_keeps_places():
@@ -11,6 +14,38 @@ def test_fold_keeps_places():
     assert fold(text).split()[:2] == ["stupid", "idiot"] and "unicode" in fold(text) and "loser" in fold(text)
 
 
+@pytest.mark.parametrize("text", ["i\u0301diot", "id\u200biot", "ïdiót", "i\u00addi\u0301ot\ufeff", "1d\u20601o\u03087", "\u200bidiot"])
+def test_accents_and_unseen_marks(text):
+    found = hits(f"you {text} x", Lexicon())
+    assert [(a, b) for a, b, _ in found] == [(4 + (text[0] == "\u200b"), 4 + len(text.rstrip("\ufeff")))]
+
+
+def plain_score(text, lexicon):
+    """Every entry and phrase tried at every place, without an automaton."""
+    kept = [i for i, ch in enumerate(text) if not UNSEEN.match(ch)]
+    line = " " + "".join(fold(text[i]) for i in kept)
+    at = [i for i in range(len(line)) if line[i] == " "]
+    spared = [(i, i + len(p)) for i in at for p in lexicon.exceptions if line.startswith(" " + fold(p), i)]
+    total = 0.0
+    for i in at:
+        own = [(w, -len(e)) for e, w in lexicon.entries if line.startswith(e, i + 1)]
+        if own:
+            weight, length = max(own)
+            if not any(a <= i and i - length <= b for a, b in spared):
+                total += weight
+    x, y = math.log1p(total), min(10.0, 100.0 * total / max(20, len(text.split()))) if total else 0.0
+    a, b, c = lexicon.curve
+    return 1 / (1 + math.exp(-(a + b * x + c * y)))
+
+
+def test_corpus_against_plain_matching(spark, corpus, texts):
+    own = learned_lexicon(corpus, SF)
+    assert dict(own.entries) != BASE
+    for r in op6_toxicity(spark, SF).collect():
+        assert r["score"] == pytest.approx(plain_score(texts[r["doc_id"]] or "", own), abs=1e-12)
+        assert r["predicted"] == (r["score"] >= 0.5)
+
+
 def test_hits_and_exceptions():
     own = Lexicon()
     text = "the clаss clown met an 1d10t; idiotic!! un-moron"
