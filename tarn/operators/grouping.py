@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.operators.lookup import small
+from tarn.operators.lookup import joinable, small
 
 
 def collapsed(rows: DataFrame, key: str | list[str], order: Sequence[str], facts: Sequence[str], count: str = "variable_count") -> DataFrame:
@@ -31,7 +31,7 @@ def counts_by_value(rows: DataFrame, column: str, values: Sequence[str]) -> Data
 def counts_with_zeros(parents: DataFrame, key: str, rows: DataFrame, rows_key: str, out: str = "row_count") -> DataFrame:
     """Every parent with the number of its rows, zero where it has none."""
     counted = rows.groupBy(F.col(rows_key).alias("_key")).agg(F.count(F.lit(1)).alias(out))
-    return parents.join(counted, F.col(key) == F.col("_key"), "left").drop("_key").withColumn(out, F.coalesce(out, F.lit(0)))
+    return parents.join(joinable(counted), F.col(key) == F.col("_key"), "left").drop("_key").withColumn(out, F.coalesce(out, F.lit(0)))
 
 
 def distinct_coverage(rows: DataFrame, key: str, **columns: str) -> DataFrame:
@@ -51,13 +51,24 @@ def completeness(stages: DataFrame) -> DataFrame:
 
 
 def merged_fragments(nodes: DataFrame, node_id: str, order: str, values: Sequence[str]) -> DataFrame:
-    """Fragments of one node in one row: array properties joined in the order of the fragments, each value once, at its first place."""
-    parts = F.array_sort(F.collect_list(F.struct(order, *values))).alias("_parts")
+    """Fragments of one node in one row: array properties joined in the order of the fragments, each value once, at its first place.
 
-    def joined(name: str) -> Column:
-        return F.array_distinct(F.flatten(F.filter(F.transform("_parts", lambda part: part[name]), lambda values: values.isNotNull())))
+    The arrays ``values`` have elements of one type. Values are made distinct in the tasks, each with its first place, so a
+    node gathers what it keeps and not all of its fragments. A node without values has empty arrays.
+    """
 
-    return nodes.groupBy(node_id).agg(parts).select(node_id, *[joined(c).alias(c) for c in values])
+    def parts_of(k: int, c: str) -> Column:
+        none = F.array().cast(nodes.schema[c].dataType)
+        return F.transform(F.coalesce(F.col(c), none), lambda v, i: F.struct(F.lit(k).alias("column"), i.alias("place"), v.alias("value")))
+
+    def kept_of(k: int) -> Column:
+        return F.transform(F.filter("_all", lambda x: x["column"] == k), lambda x: x["value"])
+
+    parts = F.flatten(F.array(*[parts_of(k, c) for k, c in enumerate(values)]))
+    flat = nodes.select(node_id, F.struct(order, *values).alias("_fragment"), F.explode_outer(parts).alias("_v"))
+    first = flat.groupBy(node_id, F.col("_v.column").alias("column"), F.col("_v.value").alias("value")).agg(F.min(F.struct("_fragment", "_v.place")).alias("at"))
+    kept = first.groupBy(node_id).agg(F.array_sort(F.collect_list(F.struct("at", "column", "value"))).alias("_all"))
+    return kept.select(node_id, *[kept_of(k).alias(c) for k, c in enumerate(values)])
 
 
 def complete_products(rows: DataFrame, key: str, left: str, right: str) -> DataFrame:
@@ -67,8 +78,15 @@ def complete_products(rows: DataFrame, key: str, left: str, right: str) -> DataF
     return counted.withColumn("complete", F.col("pairs") == F.col("lefts") * F.col("rights"))
 
 
+def first_values(rows: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
+    """For each key its first value by ``order`` that isn't null, and whether others differ from it. Combined in the tasks first."""
+    known = F.col(value).isNotNull()
+    first = F.min_by(value, F.when(known, F.struct(*order)))
+    return rows.groupBy(key).agg(F.when(F.count(value) > 0, first).alias("value"), F.coalesce(F.min(value) != F.max(value), F.lit(False)).alias("contradictory"))
+
+
 def first_value_and_conflict(values: Column) -> Column:
-    """struct<value, contradictory> of an array: its first value, and whether others differ from it."""
+    """The same of an array: struct<value, contradictory>."""
     known = F.filter(values, lambda v: v.isNotNull())
     return F.struct(F.try_element_at(known, F.lit(1)).alias("value"), (F.size(F.array_distinct(known)) > 1).alias("contradictory"))
 

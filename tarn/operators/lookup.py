@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from tarn.storage import stored
 
-#: Bytes of a lookup's side that may be broadcast, by Spark's own estimate.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of a lookup's side that may be broadcast, by Spark's own estimate: for a file that is its size as compressed.
+BROADCAST_BYTES = 8 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a table's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if Spark estimates it within ``limit`` bytes; otherwise as it is."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
 def joinable(df: DataFrame, limit: int | None = None) -> DataFrame:
@@ -29,6 +33,27 @@ def joinable(df: DataFrame, limit: int | None = None) -> DataFrame:
     return hinted if hinted is not df else stored(df, "side")
 
 
+def numbered_by_ranges(rows: DataFrame, by: Sequence[str], order: Sequence[Column], out: str, total: str | None = None) -> DataFrame:
+    """Numbers rows from 1 within ``by``, and counts them (``total``), without gathering a key's rows in one task.
+
+    Rows are dealt to ranges of key and order, numbered within a key's part of a range, and moved up by what the key has
+    in the ranges before: a key has as many parts as there are ranges at most.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in by]
+    ranged = stored(rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    of_key = Window.partitionBy(*by)
+    ahead = of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"), F.sum("_n").over(of_key).alias("_total"))
+    numbered = ranged.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    placed = numbered.join(joinable(bases), same)
+    return placed.select(*rows.columns, (F.col("_base") + F.col("_own")).cast("int").alias(out), *([F.col("_total").alias(total)] if total else []))
+
+
 def lookup_with_status(inputs: DataFrame, key: str, reference: DataFrame, reference_key: str, order: Sequence[str], index: str = "input_index", ambiguous: bool = True) -> DataFrame:
     """Every row of ``inputs`` with every match in ``reference``: status, match_index and the reference's columns.
 
@@ -37,9 +62,12 @@ def lookup_with_status(inputs: DataFrame, key: str, reference: DataFrame, refere
     ``index`` identifies an input row; repeated keys are looked up for each of their rows. The reference is ranked by key
     before the join, so inputs are never gathered by key.
     """
-    by_key = Window.partitionBy(reference_key)
-    ranked = reference.where(F.col(reference_key).isNotNull())
-    ranked = ranked.withColumn("match_index", F.row_number().over(by_key.orderBy(*[F.col(c).asc_nulls_last() for c in order]))).withColumn("_matches", F.count(F.lit(1)).over(by_key))
+    known, by_bytes = reference.where(F.col(reference_key).isNotNull()), [F.col(c).asc_nulls_last() for c in order]
+    if estimated_bytes(reference) <= BROADCAST_BYTES:
+        by_key = Window.partitionBy(reference_key)
+        ranked = known.withColumn("match_index", F.row_number().over(by_key.orderBy(*by_bytes))).withColumn("_matches", F.count(F.lit(1)).over(by_key))
+    else:
+        ranked = numbered_by_ranges(known, [reference_key], by_bytes, "match_index", "_matches")
     ranked = joinable(ranked)
     joined = inputs.join(ranked, inputs[key] == ranked[reference_key], "left")
     several = F.lit("ambiguous" if ambiguous else "matched")
@@ -126,9 +154,9 @@ def dereferenced(nodes: DataFrame, node_id: str, reference: str) -> DataFrame:
 def resolved_redirects(edges: DataFrame, starts: DataFrame, limit: int = 10) -> DataFrame:
     """Follows redirects (url -> location) from each start: start, final, hops, problem (null, redirect_loop or too_many_redirects).
 
-    One equi-join for each hop, ``limit`` at most; urls have one location each.
+    One equi-join for each hop, ``limit`` at most; urls have one location each. Many starts may meet at one URL.
     """
-    steps = edges.select(F.col("url").alias("_from"), F.col("location").alias("_to")).dropDuplicates(["_from"])
+    steps = joinable(edges.select(F.col("url").alias("_from"), F.col("location").alias("_to")).dropDuplicates(["_from"]))
     now = starts.select(F.col("url").alias("start"), F.col("url").alias("final"), F.lit(0).alias("hops"), F.array("url").alias("seen"))
     for _ in range(limit):
         open_ = ~F.array_contains(F.slice("seen", 1, F.greatest(F.size("seen") - 1, F.lit(0))), F.col("final"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.functions.numbers import even_share
+from tarn.operators.lookup import BROADCAST_BYTES, estimated_bytes, numbered_by_ranges
 from tarn.storage import stored
 
 
@@ -17,9 +20,14 @@ def nulls_last(*columns: str) -> list[Column]:
 
 
 def numbered(rows: DataFrame, order: Sequence[Column | str], out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Numbers rows from 1 by ``order`` within ``by``; without ``by`` over the whole table, in parallel (see ``global_number``)."""
+    """Numbers rows from 1 by ``order`` within ``by``; without ``by`` over the whole table, in parallel (see ``global_number``).
+
+    A table that is too large for one task isn't gathered by key either: see ``numbered_by_ranges``.
+    """
     if not by:
         return global_number(rows, order, out)
+    if estimated_bytes(rows) > BROADCAST_BYTES:
+        return numbered_by_ranges(rows, by, [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order], out)
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
@@ -64,20 +72,26 @@ def partitioned_evenly(rows: DataFrame, order: Sequence[str], by: Sequence[str],
 def admitted(rows: DataFrame, by: Sequence[str], order: Sequence[str], size: str, max_count: int, max_total: int, out: str = "admitted") -> DataFrame:
     """Sequential admission within each group: an item is admitted if count and total still allow it; one too large is skipped and later ones may fit.
 
-    What an item may do depends on all before it, so a group (a fetch plan, bounded by its own ceilings) is folded in order
-    as one array; groups are folded in parallel.
+    What an item may do depends on all before it, so a group is folded in order, in one task. The fold streams: a task holds
+    a batch of rows and the group's count and total, however many items a group has. An item without a size isn't admitted.
     """
-    others = [c for c in rows.columns if c not in (*by, *order, size)]
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("_size"), *others))).alias("_items")
-    start = F.struct(F.lit(0).alias("count"), F.lit(0).cast("double").alias("total"), F.array().cast("array<boolean>").alias("flags"))
-
-    def step(acc: Column, item: Column) -> Column:
-        fits = (acc["count"] < max_count) & (item["_size"] <= max_total - acc["total"])
-        return F.struct((acc["count"] + fits.cast("int")).alias("count"), (acc["total"] + F.when(fits, item["_size"].cast("double")).otherwise(F.lit(0.0))).alias("total"), F.array_append(acc["flags"], fits).alias("flags"))
-
-    folded = rows.groupBy(*by).agg(items).withColumn("_flags", F.aggregate("_items", start, step, lambda acc: acc["flags"]))
-    flat = folded.select(*by, F.explode(F.arrays_zip("_items", "_flags")).alias("_i"))
-    return flat.select(*by, *[F.col(f"_i._items.{c}").alias(c) for c in order], F.col("_i._items._size").alias(size), *[F.col(f"_i._items.{c}").alias(c) for c in others], F.col("_i._flags").alias(out))
+    target = T.StructType([*rows.schema.fields, T.StructField(out, T.BooleanType())])
+    keys, at = [rows.columns.index(c) for c in by], rows.columns.index(size)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, count, total = None, 0, 0
+        for batch in batches:
+            flags = []
+            for own, n in zip(zip(*[batch.column(k).to_pylist() for k in keys], strict=True), batch.column(at).to_pylist(), strict=True):
+                if own != group:
+                    group, count, total = own, 0, 0
+                fits = n is not None and count < max_count and n <= max_total - total
+                if fits:
+                    count, total = count + 1, total + n
+                flags.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=target.names)
+
+    return rows.repartition(*by).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in (*by, *order)]).mapInArrow(fold, target)
 
 
 def page(rows: DataFrame, order: Sequence[str], limit: int, offset: int = 0) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.operators.lookup import joinable
 from tarn.operators.ordering import export_order, first_by_key
 
 
 def violations(datasets: DataFrame, sites: DataFrame, identities: DataFrame, keys: Sequence[str], intervals: DataFrame) -> DataFrame:
     """A row with a count for each rule: every dataset's site is known, identities are unique (nulls being values), intervals run forward."""
-    missing = datasets.join(sites.select("site_uri").distinct(), "site_uri", "left_anti")
+    missing = datasets.join(joinable(sites.select("site_uri").distinct()), "site_uri", "left_anti")
     repeated = identities.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     backward = intervals.where("temporal_start > temporal_end")
     count = lambda rule, df: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
@@ -26,7 +27,7 @@ def built_catalog(sites: DataFrame, datasets: DataFrame, fallback_sites: DataFra
     times keeps its first row; dataset rows with one identity within a site keep their first.
     """
     described = first_by_key(sites, ["site_uri"], [c for c in ("name", "source_url") if c in sites.columns])
-    missing = fallback_sites.join(described.select("site_uri"), "site_uri", "left_anti")
+    missing = fallback_sites.join(joinable(described.select("site_uri")), "site_uri", "left_anti")
     all_sites = described.unionByName(missing, allowMissingColumns=True)
     keys = ["site_uri", "dataset_id", "distribution_id", "variable_id"]
     rest = [c for c in ("variable_name", "source_url", "dataset_name") if c in datasets.columns]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarn.functions.numbers import admitted_number, affine
 from tarn.functions.temporal import local_to_utc, strict_utc
 from tarn.functions.text import query_value
-from tarn.operators.lookup import convert_by_dimension
+from tarn.operators.lookup import convert_by_dimension, joinable
 from tarn.operators.ordering import global_number
 from tarn.sources import vocabularies
 
@@ -107,7 +107,7 @@ def wqp_native(rows: DataFrame, result: str = "result_id") -> DataFrame:
 def _gated(rows: DataFrame, result: str, fine: Column) -> DataFrame:
     """Rows of the resources all of whose rows are fine. Bad resources are found with sums in the tasks, so size doesn't matter."""
     bad = rows.where(~fine).select(F.col(result).alias("_bad")).distinct()
-    return rows.join(bad, F.col(result) == F.col("_bad"), "left_anti")
+    return rows.join(joinable(bad), F.col(result) == F.col("_bad"), "left_anti")
 
 
 #: For each handler family: id column of its native table, value, unit and time expressions.
@@ -131,7 +131,7 @@ def observations(native: DataFrame, results: DataFrame, parameters: DataFrame, o
 
     Source order and repeated rows are kept; observation_index numbers all rows by result and native row.
     """
-    joined = native.join(results, "result_id").join(parameter_of(parameters), "distribution_id", "left")
+    joined = native.join(results, "result_id").join(joinable(parameter_of(parameters)), "distribution_id", "left")
     flags = joined.fillna(False, ["variable_mapped", "unit_known"])
     done = harmonized_values(flags, overrides)
     numbered = global_number(done, ["result_index", "native_row"], "observation_index")
@@ -145,7 +145,7 @@ def observations(native: DataFrame, results: DataFrame, parameters: DataFrame, o
 def resources(results: DataFrame, observed: DataFrame) -> DataFrame:
     """Every result with its number of observations (zero too) and status: observations, or native_only."""
     counted = observed.groupBy("result_id").agg(F.count(F.lit(1)).alias("observation_count"))
-    joined = results.join(counted, "result_id", "left").withColumn("observation_count", F.coalesce("observation_count", F.lit(0)))
+    joined = results.join(joinable(counted), "result_id", "left").withColumn("observation_count", F.coalesce("observation_count", F.lit(0)))
     return joined.withColumn("timeseries", F.col("observation_count") > 0).withColumn("status", F.when(F.col("timeseries"), F.lit("observations")).otherwise(F.lit("native_only")))
 
 

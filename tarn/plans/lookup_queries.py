@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarn.operators import grouping, lookup, predicates
-from tarn.operators.ordering import numbered
+from tarn.operators.ordering import global_number
 from tarn.plans.registry import Tables, query
 
 # ruff: noqa: D103
@@ -31,23 +31,23 @@ def op46(t):
     return lookup.lookup_with_status(inputs, "requested_id", reference, "provider_id", ["uri"])
 
 
-_BRANDS = "(SELECT DISTINCT p_brand AS requested FROM part UNION ALL SELECT 'Brand#none')"
+_BRANDS = "(SELECT DISTINCT p_brand || '-' || CAST(p_size AS VARCHAR) AS requested FROM part UNION ALL SELECT 'Brand#none')"
 
 
 @query(
     "OP47_comid_to_mainstem",
     f"""WITH i AS (SELECT CAST(row_number() OVER (ORDER BY requested) AS INTEGER) AS input_index, requested FROM {_BRANDS}),
-r AS (SELECT p_brand AS comid, CAST(p_partkey AS VARCHAR) AS uri FROM part WHERE p_size <= 3)
+r AS (SELECT p_brand || '-' || CAST(p_size AS VARCHAR) AS comid, CAST(p_partkey AS VARCHAR) AS uri FROM part)
 SELECT input_index, requested, uri, CAST(CASE WHEN uri IS NOT NULL THEN row_number() OVER (PARTITION BY input_index ORDER BY uri) END AS INTEGER) AS match_index,
 CASE WHEN uri IS NULL THEN 'not_found' WHEN count(*) OVER (PARTITION BY input_index) = 1 THEN 'matched' ELSE 'ambiguous' END AS status,
 CASE WHEN uri IS NOT NULL THEN 'active_in_mapping_release' END AS mainstem_status
 FROM i LEFT JOIN r ON requested = comid""",
 )
 def op47(t):
-    keys = t.part.select(F.col("p_brand").alias("requested")).distinct().unionByName(t.spark.createDataFrame([("Brand#none",)], "requested string"))
-    inputs = keys.withColumn("_all", F.lit(1))
-    inputs = numbered(inputs, ["requested"], "input_index", by=["_all"]).drop("_all")
-    reference = t.part.where("p_size <= 3").select(F.col("p_brand").alias("comid"), F.col("p_partkey").cast("string").alias("uri"))
+    key = F.concat_ws("-", "p_brand", F.col("p_size").cast("string"))
+    keys = t.part.select(key.alias("requested")).distinct().unionByName(t.spark.createDataFrame([("Brand#none",)], "requested string"))
+    inputs = global_number(keys, ["requested"], "input_index").withColumn("input_index", F.col("input_index").cast("int"))
+    reference = t.part.select(key.alias("comid"), F.col("p_partkey").cast("string").alias("uri"))
     found = lookup.lookup_with_status(inputs, "requested", reference, "comid", ["uri"]).drop("comid")
     return found.withColumn("mainstem_status", F.when(F.col("uri").isNotNull(), F.lit("active_in_mapping_release")))
 
@@ -99,16 +99,14 @@ def op52(t):
     wkt = lambda x, y: F.concat(F.lit("POINT ("), x.cast("string"), F.lit(" "), (y % 10).cast("string"), F.lit(")"))
     points = t.customer.select("c_custkey", wkt(F.col("c_nationkey"), F.col("c_custkey")).alias("wkt"))
     catchments = t.supplier.select(wkt(F.col("s_nationkey"), F.col("s_suppkey")).alias("wkt"), "s_name").groupBy("wkt").agg(F.min("s_name").alias("mainstem"))
-    found = points.select("wkt").distinct().join(lookup.small(catchments), "wkt", "left")
-    return points.join(lookup.small(found), "wkt", "left").withColumn("status", F.when(F.col("mainstem").isNull(), F.lit("not_found")).otherwise(F.lit("matched")))
+    found = points.select("wkt").distinct().join(lookup.joinable(catchments), "wkt", "left")
+    return points.join(lookup.joinable(found), "wkt", "left").withColumn("status", F.when(F.col("mainstem").isNull(), F.lit("not_found")).otherwise(F.lit("matched")))
 
 
 @query(
     "OP53_currentness",
-    """SELECT d.doc_id, d.source, coalesce(CASE WHEN l.quality = 1 THEN 'current' ELSE 'superseded' END, d.lang) AS lang, d.n_chars
-FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality, count(*) AS c FROM labels GROUP BY 1) l0 ON d.doc_id = l0.doc_id
-LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id
-WHERE true""".replace("CASE WHEN l.quality = 1 THEN 'current' ELSE 'superseded' END", "CASE WHEN l.quality = 1 THEN 'current' WHEN l.quality = 0 THEN 'superseded' END"),
+    """SELECT d.doc_id, d.source, coalesce(CASE l.quality WHEN 1 THEN 'current' WHEN 0 THEN 'superseded' END, d.lang) AS lang, d.n_chars
+FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id""",
 )
 def op53(t):
     current = t.labels.groupBy("doc_id").agg(F.min("quality").alias("q")).select(F.col("doc_id").alias("uri"), F.when(F.col("q") == 1, F.lit("current")).when(F.col("q") == 0, F.lit("superseded")).alias("status"))

@@ -12,9 +12,6 @@ from tarn.plans.registry import query
 
 # ruff: noqa: D103
 
-_PRIVATE = r"(^|//)(10|127|0)\.|192\.168\.|localhost"
-
-
 @query("OP28_redacted_urls", r"SELECT page_id, regexp_extract(url, '^[^?#]*') || CASE WHEN regexp_extract(url, '^[^#]*') LIKE '%?%' THEN '?[redacted]' ELSE '' END || CASE WHEN url LIKE '%#%' THEN '#[redacted]' ELSE '' END AS url FROM pages")
 def op28(t):
     return t.pages.select("page_id", text.redacted_url(F.col("url")).alias("url"))
@@ -81,9 +78,9 @@ def op42(t):
     return t.events.select("event_id", text.url_is_safe(hosts).alias("safe"))
 
 
-@query("OP43_safe_texts", r"SELECT doc_id, NOT regexp_matches(text, '[\x00-\x1f\x7f-\x{9f}\x{ad}\x{200b}-\x{200f}\x{2028}-\x{202e}\x{feff}]') AND strlen(text) <= 4000 AS safe FROM documents WHERE text IS NOT NULL")
+@query("OP43_safe_texts", r"SELECT doc_id, NOT regexp_matches(text, '[\x00-\x1f\x7f-\x{9f}\x{ad}\x{200b}-\x{200f}\x{2028}-\x{202e}\x{feff}]') AND strlen(text) <= 4000 AS safe FROM documents")
 def op43(t):
-    return t.documents.where("text IS NOT NULL").select("doc_id", text.text_is_safe(F.col("text"), 4000).alias("safe"))
+    return t.documents.select("doc_id", text.text_is_safe(F.col("text"), 4000).alias("safe"))
 
 
 @query("OP44_missing_tokens", "SELECT event_id, CASE WHEN event_type NOT IN ('view', 'error') THEN event_type END AS value FROM events")
@@ -174,9 +171,7 @@ def op72(t):
     "SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_partkey)[1] AS value, count(DISTINCT l_returnflag) > 1 AS contradictory FROM lineitem GROUP BY 1",
 )
 def op73(t):
-    values = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))), lambda x: x["l_returnflag"])
-    got = t.lineitem.groupBy("l_orderkey").agg(values.alias("v")).select("l_orderkey", grouping.first_value_and_conflict(F.col("v")).alias("f"))
-    return got.select("l_orderkey", "f.value", "f.contradictory")
+    return grouping.first_values(t.lineitem, "l_orderkey", "l_returnflag", ["l_linenumber", "l_partkey"])
 
 
 @query(

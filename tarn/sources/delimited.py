@@ -6,11 +6,16 @@ column is text and an empty field is not a missing one.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FIELD = r'"(?:[^"]|"")*"|[^",]*'
-_RECORD = rf"^(?:{_FIELD})(?:,(?:{_FIELD}))*\z"
+from tarn.operators.lookup import joinable
+
+# Possessive throughout: Java then walks fields and records of any length in a loop, where it would recurse otherwise.
+_FIELD = r'"[^"]*+(?:""[^"]*+)*+"|[^",]*+'
+_RECORD = rf"^(?:{_FIELD})(?:,(?:{_FIELD}))*+\z"
 
 
 def fields(line: Column) -> Column:
@@ -40,8 +45,6 @@ def scan_lines(lines: DataFrame, width: int, line: str = "value") -> DataFrame:
 def header_of(line: str) -> list[str]:
     """Column names of a header line: unique and not empty. A byte order mark may begin the file."""
     names, rest = [], "," + line.removeprefix("﻿").rstrip("\r\n")
-    import re
-
     for raw in re.findall(rf",({_FIELD})", rest):
         names.append(raw[1:-1].replace('""', '"') if raw.startswith('"') else raw)
     if not all(names) or len(set(names)) != len(names):
@@ -50,19 +53,26 @@ def header_of(line: str) -> list[str]:
 
 
 def read_strict(spark: SparkSession, path: str, dots: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, problems) of the CSV files under ``path``, which share their first line as header: all columns are text.
+    """(rows, problems) of the CSV files under ``path``: all columns are text; the first line of each file is its header.
 
-    ``dots`` writes names with dots for slashes, as water quality services do.
+    The header of the first file names the columns; a file with another one has the problem ``header`` on all its lines.
+    Only a file's first line is taken for its header: rows like it are rows. Lines end with LF or CRLF, and a carriage
+    return elsewhere is a control character. ``dots`` writes names with dots for slashes, as water quality services do.
     """
-    lines = spark.read.text(path)
-    first = lines.first()
+    text = spark.read.option("lineSep", "\n").text(path)
+    first = text.first()
     if first is None:
         raise ValueError("a file without a header")
     names = header_of(first["value"])
-    body = scan_lines(lines.where(F.col("value") != F.lit(first["value"])), len(names))
+    # A file is read in splits; its first line is the first row of the split at its beginning.
+    lines = text.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row"))
+    heads = lines.where("_at = 0").groupBy("_file").agg(F.min(F.struct("_row", "value")).alias("_head"))
+    bare = lambda c: F.regexp_replace(c, "^\ufeff|\r\\z", "")
+    body = lines.join(joinable(heads), "_file").where((F.col("_at") > 0) | (F.col("_row") != F.col("_head._row")))
+    scanned = scan_lines(body, len(names)).withColumn("problem", F.when(bare(F.col("_head.value")) != bare(F.lit(first["value"])), F.lit("header")).otherwise(F.col("problem")))
     shown = [n.replace("/", ".") if dots else n for n in names]
-    rows = body.where("problem IS NULL").select(*[F.col("fields")[i].alias(n) for i, n in enumerate(shown)])
-    return rows, body.where("problem IS NOT NULL").select("value", "problem")
+    rows = scanned.where("problem IS NULL").select(*[F.col("fields")[i].alias(n) for i, n in enumerate(shown)])
+    return rows, scanned.where("problem IS NOT NULL").select("value", "problem")
 
 
 def with_names(rows: DataFrame, names: list[str], array: str = "fields") -> DataFrame:

@@ -138,6 +138,32 @@ def test_strict_csv_files(spark, tmp_path):
             delimited.header_of(bad)
 
 
+def test_strict_csv_bears_any_field(spark):
+    long = '"' + "x" * 1_000_000 + '""y"'
+    wide = ",".join(['"a"'] * 100_000)
+    lines = spark.createDataFrame([(long,), ("z" * 1_000_000,), ('"' + "q" * 1_000_000,), (wide,), (wide + '"',)], "value string")
+    got = [(r["problem"], r["n"], r["size"]) for r in delimited.scan_lines(lines.coalesce(1), 1).select("problem", F.size("fields").alias("n"), F.char_length(F.col("fields")[0]).alias("size")).collect()]
+    assert got == [(None, 1, 1_000_002), (None, 1, 1_000_000), ("quoting", None, None), ("record_width", None, None), ("quoting", None, None)]
+    assert delimited.scan_lines(lines.where("value LIKE '\"a\"%'"), 100_000).where("problem IS NULL").count() == 1
+
+
+def test_strict_csv_keeps_what_looks_like_a_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'"a","b"\r\n"a","b"\r\n"1","2"\r\n"3\r4","5"\r\n')
+    (tmp_path / "b.csv").write_bytes(b'\xef\xbb\xbf"a","b"\n"a","b"\n6,7')
+    (tmp_path / "c.csv").write_bytes(b'"a","c"\n8,9\n')
+    rows, problems = delimited.read_strict(spark, str(tmp_path))
+    assert sorted(map(tuple, rows.collect())) == [("1", "2"), ("6", "7"), ("a", "b"), ("a", "b")]
+    assert sorted((r["problem"], r["value"]) for r in problems.collect()) == [("control_character", '"3\r4","5"\r'), ("header", "8,9")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        (tmp_path / "d").mkdir()
+        (tmp_path / "d" / "long.csv").write_text("a,b\n" + "".join(f"{i},x\n" for i in range(500)) + "a,b\n")
+        rows, problems = delimited.read_strict(spark, str(tmp_path / "d"))
+        assert rows.count() == 501 and problems.count() == 0 and rows.rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_result_hash_sees_order_and_nulls(spark):
     rows = [(i + 1, None if i == 3 else f"v{i}") for i in range(40)]
     base = delimited.result_hash(spark.createDataFrame(rows, "n long, v string"), "n", ["v"], fan=4).first()[0]
