@@ -127,7 +127,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tok
             rows: list[tuple] = []
             texts = batch.column(1).cast(pa.binary())
             if batch.num_rows:
-                words.check_text(min((t.as_py() or b"" for t in texts.slice(0, 8)), key=len))
+                words.check(min((t.as_py() or b"" for t in texts.slice(0, 8)), key=len))
             for row, text in enumerate(texts.to_pylist()):
                 ids = words.encode(text or b"") + bytes(4)
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
@@ -135,7 +135,6 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tok
                     n = len(own) // 4
                     rows.append((row, piece, start // 4, n, zlib.crc32(own), part, seen[n]))
                     seen[n] += 1
-            words.check()
             if rows:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0])), *(pa.array(c, arrow[i + 1].type) for i, c in enumerate(columns[1:]))], schema=arrow)

@@ -2,8 +2,8 @@
 
 Its normalizer and splitter never look across white space, so a document's ids are those of its words in a row. Parts of
 words repeat; each worker keeps the ids of those it has met, up to a bound, and asks the tokenizers library for the rest.
-Words with characters other than plain ones go to the library whole. New parts, and one whole text of each batch, are
-compared with the library's own encoding.
+Words with characters other than plain ones go to the library whole. One whole text of each batch is compared with the
+library's own encoding of it.
 """
 
 from __future__ import annotations
@@ -16,36 +16,30 @@ from array import array
 PLAIN = re.compile(r"[\t-\r -~À-ÿ]*")
 #: The splitter's own pattern (fixed value of the tokenizer file), for plain characters.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+")
-#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
-_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
-#: The same for the two UTF-8 bytes of each plain letter outside ASCII.
-LEVEL = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 #: Parts of words that a worker remembers; beyond, it starts afresh.
 PARTS = 500_000
 
 
 class _Parts(dict):
-    """The ids of lower-case parts, as bytes."""
+    """The ids of lower-case parts, as bytes; the library encodes each part that is new."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.unchecked: list[tuple[str, bytes]] = []
-        self.tokenize = self.encoder.model.tokenize
         self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
 
     def __missing__(self, part: str) -> bytes:
-        # Lower case, NFC and split already: what is left of the tokenizer is its model.
-        ids = array("I", [t.id for t in self.tokenize(part.translate(LEVEL))]).tobytes()
-        self.unchecked.append((part, ids))
+        ids = self.library_ids(part)
         if len(part) <= 64:
             if len(self) >= PARTS:
                 self.clear()
             self[part] = ids
         return ids
 
+    def library_ids(self, text: str) -> bytes:
+        return array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
+
     def plain(self, text: str) -> bool:
         return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
@@ -62,17 +56,10 @@ class _Parts(dict):
         return array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-    def check(self) -> None:
-        """Compares the parts that are new since the last check with what the library makes of them; a difference is an error."""
-        news, self.unchecked = self.unchecked, []
-        for (part, ids), own in zip(news, self.encoder.encode_batch([p for p, _ in news], add_special_tokens=False), strict=True):
-            if array("I", own.ids).tobytes() != ids:
-                raise ValueError(f"{part[:80]!r} has other ids in the tokenizers library")
-
-    def check_text(self, raw: bytes) -> None:
-        """The same for a whole text, and so for where it is split."""
+    def check(self, raw: bytes) -> None:
+        """Compares a whole text's ids with the library's; a difference, as of where it is split, is an error."""
         text = raw.decode("utf-8", "replace")
-        if array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes() != self.encode(raw):
+        if self.library_ids(text) != self.encode(raw):
             raise ValueError(f"a text that begins {text[:80]!r} has other ids in the tokenizers library")
 
 
