@@ -33,8 +33,8 @@ AGREE = 28
 LEAF, LEVELS = 1024, 8
 #: Part of the node above, in percent, from which on a large node is taken as a whole.
 DENSE = 75
-#: Shingles of a candidate group that one task compares; larger groups go in blocks of half of that.
-TASK_SHINGLES = 4_000_000
+#: Shingles that one task compares at most where parts of a group meet, and those of a block that is compared on its own first.
+TASK_SHINGLES, BLOCK_SHINGLES = 4_000_000, 250_000
 
 _random = np.random.default_rng(20_240_901)
 _BYTE = _random.integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
@@ -261,23 +261,24 @@ def candidate_links(classes: DataFrame, leaf: int = LEAF, levels: int = LEVELS)
     return links
 
 
-def confirmed_links(members: DataFrame, percent: int, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+def confirmed_links(members: DataFrame, percent: int, task_shingles: int = TASK_SHINGLES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Links (a, b) that connect the truly similar sets of each group. ``members``: group, key, n_shingles, text; a written table.
 
-    A group within ``task_shingles`` is compared in one task. A larger one goes in two rounds. First each block of it is
-    compared on its own, with a few members that all blocks get, which connects most of what belongs together. Then the
-    members outside the largest part are compared with everything, block by block; within the largest part all is known.
+    A group within ``block_shingles`` is compared in one task. A larger one goes in two rounds. First each block of it is
+    compared on its own, with a few members that all blocks get, which connects most of what belongs together: a large
+    group of near copies ends there, over as many tasks as it has blocks. Then the members outside the largest part are
+    compared with everything, in pairs of blocks of half of ``task_shingles``; within the largest part all is known.
     """
     # Grouped sides are written, here and below: Spark can then split the partition of a group with very many members.
     weights = written(members.groupBy("group").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("n")), "weights")
     sized = members.join(weights, "group")
     no_label = F.lit(None).cast("binary").alias("label")
     work = _confirm_group(percent)
-    links = _grouped(sized.where(F.col("weight") <= task_shingles).select("group", "key", "text", no_label), ["group"], work, "a binary, b binary")
-    large = sized.where(F.col("weight") > task_shingles)
+    links = _grouped(sized.where(F.col("weight") <= block_shingles).select("group", "key", "text", no_label), ["group"], work, "a binary, b binary")
+    large = sized.where(F.col("weight") > block_shingles)
     if large.isEmpty():
         return links
-    blocks = F.ceil(2 * F.col("weight") / F.lit(task_shingles)).cast("int")
+    blocks = F.ceil(2 * F.col("weight") / F.lit(block_shingles)).cast("int")
     block = F.pmod(F.xxhash64("key"), blocks).cast("int")
     shared = F.pmod(F.xxhash64("key", F.lit(7)), F.col("n")) < 8
     dealt = large.withColumn("block", F.explode(F.when(shared, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))))
@@ -318,7 +319,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     grouped = classes.join(groups, "key").select("id", "key", "group", "n_shingles")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     members = _own_texts(texts.join(grouped, texts["id"].eqNullSafe(grouped["id"])).select("group", "key", "n_shingles", "text"))
-    parts = components(confirmed_links(members, percent, task_shingles))
+    parts = components(confirmed_links(members, percent, task_shingles, min(task_shingles, BLOCK_SHINGLES)))
     placed = rows.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = written(placed.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id")), "least")
     found = placed.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")))

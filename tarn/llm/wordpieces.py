@@ -53,8 +53,7 @@ class _Parts(dict):
         text = raw.decode("utf-8", "replace")
         if self.plain(text):
             return b"".join(map(self.__getitem__, SPLIT.findall(text.lower())))
-        return array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
-
+        return self.library_ids(text)
 
     def check(self, raw: bytes) -> None:
         """Compares a whole text's ids with the library's; a difference, as of where it is split, is an error."""
