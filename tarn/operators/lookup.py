@@ -122,6 +122,20 @@ def restricted(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame
     return rows.join(joinable(wanted.select(*keys).distinct()), keys, "left_semi")
 
 
+def single_item(matches: DataFrame, order: Sequence[str], fallback: DataFrame | None = None) -> DataFrame:
+    """One item out of what matches, with status: matched, or ambiguous (the first two rows by ``order``), or not_found (one row of nulls).
+
+    Where nothing matches, the one row of ``fallback`` (the same columns) is taken instead, as matched_by_fallback.
+    """
+    two = matches.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(2).withColumn("_one", F.lit(1))
+    found = two.withColumn("status", F.when(F.count(F.lit(1)).over(Window.partitionBy("_one")) == 1, F.lit("matched")).otherwise(F.lit("ambiguous")))  # two rows at most
+    if fallback is not None:
+        other = fallback.select(*matches.columns, F.lit(1).alias("_one"), F.lit("matched_by_fallback").alias("status")).limit(1)
+        found = found.unionByName(other.join(F.broadcast(two.select("_one").distinct()), "_one", "left_anti"))
+    one = matches.sparkSession.range(1).select(F.lit(1).alias("_one"))
+    return one.join(F.broadcast(found), "_one", "left").select(*matches.columns, F.coalesce("status", F.lit("not_found")).alias("status"))
+
+
 def positional(status: DataFrame, *others: DataFrame, key: str = "distribution_id") -> DataFrame:
     """A chain of left joins on one key that is unique in every other table; columns after the key are taken over."""
     for other in others:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,36 +66,50 @@ def first_match(handlers: Sequence[Handler]) -> Column:
     return case
 
 
-_HTTP = Test("access_url", "scheme_in", ("https", "http"))
-_OGC = "http://www.opengis.net/spec/ogcapi"
-
-#: The handlers of public water data services, in order of precedence.
-HANDLERS = (
-    Handler(
-        "edr",
-        (_HTTP,),
-        (
-            Test("conforms_to", "contains_any", (f"{_OGC}-edr-1/1.1/conf/core", f"{_OGC}-edr-1/1.0/conf/core")),
-            Test("access_url", "regex", ("/collections/[^/?#]+/(position|area|cube|radius|corridor|trajectory|locations)([/?#]|$)",)),
-            Test("media_type", "equals_any", ("application/prs.coverage+json", "application/vnd.cov+json")),
-        ),
-    ),
-    Handler("usgs_waterdata_continuous", (_HTTP, Test("access_url", "regex", (r"^https?://api\.waterdata\.usgs\.gov/ogcapi/[^/?#]+/collections/(continuous|latest-continuous)/items([/?#]|$)",)))),
-    Handler("usgs_waterdata_daily", (_HTTP, Test("access_url", "regex", (r"^https?://api\.waterdata\.usgs\.gov/ogcapi/[^/?#]+/collections/(daily|latest-daily)/items([/?#]|$)",)))),
-    Handler("nwis_legacy_iv", (Test("access_url", "regex", (r"^https?://waterservices\.usgs\.gov/nwis/iv([/?#]|$)",)),), lifecycle="deprecated"),
-    Handler("nwis_legacy_dv", (Test("access_url", "regex", (r"^https?://waterservices\.usgs\.gov/nwis/dv([/?#]|$)",)),), lifecycle="deprecated"),
-    Handler("wqp", (_HTTP, Test("access_url", "regex", (r"^https?://(www\.)?waterqualitydata\.us/((data|wqx3)/[^/?#]+/search|[^?#]*WQP)([/?#]|$)",)))),
-    Handler(
-        "ogc_api_features",
-        (_HTTP,),
-        (
-            Test("conforms_to", "contains_any", (f"{_OGC}-features-1/1.0/conf/core", f"{_OGC}-features-1/1.0/conf/geojson")),
-            Test("access_url", "regex", ("/collections/[^/?#]+/items([/?#]|$)",)),
-        ),
-    ),
-    Handler("csv", (), (Test("media_type", "equals_any", ("text/csv", "application/csv")), Test("access_url", "regex", (r"\.csv([?#].*)?$",)))),
-    Handler("unknown", outcome="reference_only"),
-)
+OUTCOMES, LIFECYCLES = ("fetch", "reference_only"), ("active", "deprecated")
+
+
+def load_handlers(text: str) -> tuple[Handler, ...]:
+    """The handlers of a registry (JSON text), validated; what is unknown, missing or of another type is an error.
+
+    Names are unique and plain, facts and operators known, values texts, patterns compilable, and the last handler alone has
+    no tests, so that every distribution has a handler.
+    """
+    known = Handler.__dataclass_fields__["facts"].default
+    try:
+        entries = json.loads(text)["handlers"]
+        handlers = tuple(Handler(e["name"], tuple(_test(t, known) for t in e["every"]), tuple(_test(t, known) for t in e["some"]), e["outcome"], e["lifecycle"]) for e in entries)
+    except (KeyError, TypeError) as error:
+        raise ValueError(f"no registry of handlers: {error!r}") from error
+    for handler, entry in zip(handlers, entries, strict=True):
+        if extra := set(entry) - {"name", "outcome", "lifecycle", "every", "some"}:
+            raise ValueError(f"{handler.name} has {sorted(extra)}")
+        if not re.fullmatch("[a-z][a-z0-9_]*", handler.name) or handler.outcome not in OUTCOMES or handler.lifecycle not in LIFECYCLES:
+            raise ValueError(f"{handler.name!r}, {handler.outcome!r} or {handler.lifecycle!r} isn't known")
+    if len({h.name for h in handlers}) != len(handlers):
+        raise ValueError("handlers have unique names")
+    if not handlers or [bool(h.every or h.some) for h in handlers] != [True] * (len(handlers) - 1) + [False]:
+        raise ValueError("the last handler, and no other, has no tests")
+    return handlers
+
+
+def _test(entry: dict, facts: Sequence[str]) -> Test:
+    test = Test(entry["fact"], entry["operator"], tuple(entry["values"]))
+    if set(entry) != {"fact", "operator", "values"} or test.fact not in facts or test.operator not in OPERATORS:
+        raise ValueError(f"no test: {entry}")
+    if not test.values or not all(isinstance(v, str) and v for v in test.values):
+        raise ValueError(f"values are texts: {entry}")
+    if test.operator == "regex":
+        for v in test.values:
+            try:
+                re.compile(v)
+            except re.error as error:
+                raise ValueError(f"no pattern: {v!r}") from error
+    return test
+
+
+#: The handlers of public water data services, in order of precedence.
+HANDLERS = load_handlers((Path(__file__).parent / "handlers.json").read_text())
 
 
 def handler_table(spark, handlers: Sequence[Handler] = HANDLERS) -> DataFrame:
@@ -115,6 +132,30 @@ def valid_identifier(column: Column, pattern: str) -> Column:
     return F.coalesce(column.rlike(pattern), F.lit(False))
 
 
+#: Postal codes of states and territories.
+STATES = (
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ",
+    "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC", "AS", "GU", "MP", "PR", "UM", "VI",
+)
+AREA_KINDS = ("huc", "county", "state")
+
+
+def area_of(identifier: Column, kind: str = "auto") -> Column:
+    """struct<kind, id, problem> of an area's identifier: a hydrologic unit, a county or a state.
+
+    ``auto`` infers the kind from the form: an even number of digits from 2 to 12, five digits, or two letters, which are
+    raised. problem: not_inferred, or the kind whose form or codes the identifier is not of; then there is no id.
+    """
+    if kind not in ("auto", *AREA_KINDS):
+        raise ValueError(f"kind is auto or one of {AREA_KINDS}")
+    inferred = F.when(identifier.rlike(HUC), F.lit("huc")).when(identifier.rlike(r"^\d{5}\z"), F.lit("county")).when(identifier.rlike(r"^[A-Za-z]{2}\z"), F.lit("state"))
+    own = inferred if kind == "auto" else F.lit(kind)
+    shown = F.when(own == "state", F.upper(identifier)).otherwise(identifier)
+    fine = F.when(own == "huc", identifier.rlike(HUC)).when(own == "county", identifier.rlike(r"^\d{5}\z")).otherwise(F.upper(identifier).isin(*STATES))
+    problem = F.when(own.isNull() | identifier.isNull(), F.lit("not_inferred")).when(~fine, own)
+    return F.struct(own.alias("kind"), F.when(problem.isNull(), shown).alias("id"), problem.alias("problem"))
+
+
 #: Which column types a value of each Python type may be compared with.
 _BINDS = {str: (T.StringType,), bool: (T.BooleanType,), int: (T.IntegerType, T.LongType, T.DoubleType), float: (T.DoubleType,)}
 

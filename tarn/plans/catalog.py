@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.operators.lookup import joinable
 from tarn.operators.ordering import export_order, first_by_key
@@ -20,6 +21,13 @@ def violations(datasets: DataFrame, sites: DataFrame, identities: DataFrame, key
     return count("site_missing", missing).unionByName(count("identity_repeated", repeated)).unionByName(count("interval_reversed", backward))
 
 
+def schema_violations(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns that a table lacks, has beyond ``schema``, or has of another type: column, wanted, found. Instants are of type timestamp, which is UTC."""
+    wanted, found = ({f.name: f.dataType.simpleString() for f in s} for s in (schema, df.schema))
+    rows = [(c, wanted.get(c), found.get(c)) for c in {**wanted, **found} if wanted.get(c) != found.get(c)]
+    return df.sparkSession.createDataFrame(rows, "column string, wanted string, found string")
+
+
 def built_catalog(sites: DataFrame, datasets: DataFrame, fallback_sites: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sites and datasets of a catalog, in export order.
 

@@ -10,6 +10,7 @@ from tarn.functions.temporal import local_to_utc, strict_utc
 from tarn.functions.text import query_value
 from tarn.operators.lookup import convert_by_dimension, joinable
 from tarn.operators.ordering import global_number
+from tarn.operators.predicates import RoleMapping, mapped_missing
 from tarn.sources import vocabularies
 
 STATUSES = ("variable_ambiguous", "unit_conflict", "invalid_value", "unit_unmapped", "harmonized_identity", "harmonized_missing", "conversion_unavailable", "harmonized_converted")
@@ -126,6 +127,29 @@ def native_fields(family: str, native: DataFrame, *keep: str) -> DataFrame:
     return native.select(*keep, F.expr(when).alias("datetime"), F.col(value).cast("string").alias("value"), F.col(value).cast("string").alias("original_value"), F.col(unit).alias("unit_label"), qualifier.alias("qualifier"), name.alias("variable_name"))
 
 
+def feature_native(rows: DataFrame, mapping: RoleMapping, result: str = "result_id") -> DataFrame:
+    """Native fields of features, whose ``properties`` are JSON text, under a mapping of roles to properties; other columns stay.
+
+    Properties are judged by their JSON types: times and units are texts, values are texts, numbers or null, qualifiers
+    texts or null. One feature that lacks a property, or has another type or no strict time, leaves its whole resource native.
+    """
+    wanted = [mapping.datetime, mapping.value, mapping.unit, *([mapping.qualifier] if mapping.qualifier else [])]
+    if len(set(wanted)) != len(wanted) or {"feature_id", "geometry"} & set(wanted):
+        raise ValueError("each role has a property of its own")
+    parsed = rows.withColumn("_v", F.try_parse_json("properties"))
+    kind = lambda name: F.schema_of_variant(F.try_variant_get("_v", f"$['{name}']", "variant"))
+    text = lambda name: F.try_variant_get("_v", f"$['{name}']", "string")
+    here = F.forall(F.array(*map(F.lit, wanted)), lambda name: F.array_contains(F.json_object_keys("properties"), name))
+    number = kind(mapping.value).rlike("^(STRING|VOID|BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    fine = here & (kind(mapping.datetime) == "STRING") & (kind(mapping.unit) == "STRING") & number & strict_utc(text(mapping.datetime)).isNotNull()
+    if mapping.qualifier:
+        fine = fine & kind(mapping.qualifier).isin("STRING", "VOID")
+    whole = _gated(parsed, result, F.coalesce(fine, F.lit(False)))
+    roles = mapped_missing({"value": text(mapping.value), "qualifier": text(mapping.qualifier) if mapping.qualifier else F.lit(None).cast("string")}, mapping.missing)
+    keep = [c for c in rows.columns if c != "properties"]
+    return whole.select(*keep, strict_utc(text(mapping.datetime)).alias("datetime"), roles["value"].alias("value"), text(mapping.value).alias("original_value"), text(mapping.unit).alias("unit_label"), roles["qualifier"].alias("qualifier"), F.lit(None).cast("string").alias("variable_name"))
+
+
 def observations(native: DataFrame, results: DataFrame, parameters: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
     """The observation table. native: result_id, native_row and native fields; results: result_id, result_index, distribution facts.
 

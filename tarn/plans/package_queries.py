@@ -60,13 +60,30 @@ def _payloads(t: Tables):
     named = lambda df, handler: df.withColumn("request_id", F.concat(F.lit(f"{handler}-"), F.col("doc_id").cast("string"))).withColumn("handler_id", F.lit(handler)).drop("doc_id")
     pages = named(_pages(t, "daily"), "usgs_waterdata_daily")
     pages = pages.withColumn("body", F.when(F.split_part("request_id", F.lit("-"), F.lit(2)).cast("int") % 11 != 0, F.col("body")))
-    other = t.nation.select(F.concat(F.lit("csv-"), F.col("n_nationkey").cast("string")).alias("request_id"), F.lit("csv").alias("handler_id"), F.lit("x").alias("body"))
-    return named(_coverages(t), "edr").unionByName(pages, allowMissingColumns=True).unionByName(other, allowMissingColumns=True)
+    key = F.col("p_partkey")
+    of = lambda handler, body: t.part.select(F.concat(F.lit(f"{handler}-"), key.cast("string")).alias("request_id"), F.lit(handler).alias("handler_id"), body.alias("body"))
+    pick = lambda *bodies: F.element_at(F.array(*map(F.lit, bodies)), (key % len(bodies) + 1).cast("int"))
+    out = named(_coverages(t), "edr").unionByName(pages, allowMissingColumns=True)
+    for more in (of("csv", pick(*_CSV)), of("wqp", pick(*_WQP)), of("ogc_api_features", pick(*_FEATURES)), of("nwis_legacy_dv", F.lit("x"))):
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+#: Bodies by the key's remainder: fine, two columns of one name, a short row, a quote in the middle.
+_CSV = ("a,b\r\n1,2\r\n", "a,a\n1,2\n", "a,b\n1\n", 'a,b\n1,x"\n')
+#: Fine; without a required column; nothing came.
+_WQP = ("/".join(("ActivityStartTime", "Time")) + "," + ",".join(n.replace("ActivityStartTime.", "ActivityStartTime/").replace("Measure.", "Measure/") for n in delimited.WATER_QUALITY if n != "ActivityStartTime.Time") + "\n1,2,3,4,5,6,7\n", "MonitoringLocationIdentifier\n1\n", None)
+#: Fine, with a next page, no page, more than it says, and not what it says.
+_PAGE = '{{"type": "{0}", "numberReturned": {1}, "features": [{{"type": "Feature", "id": "1", "properties": {{}}}}], "links": [{{"rel": "{2}", "href": "x"}}]}}'
+_FEATURES = (_PAGE.format("FeatureCollection", 1, "self"), _PAGE.format("FeatureCollection", 1, "next"), _PAGE.format("Feature", 1, "self"), _PAGE.format("FeatureCollection", 2, "self"))
 
 
 _STATUS_SQL = """s AS (SELECT DISTINCT 'edr-' || CAST(user_id AS VARCHAR) AS request_id, CASE WHEN user_id % 10 IN (1, 3, 5) THEN 'parse_failed' ELSE 'succeeded' END AS status FROM events
 UNION ALL SELECT DISTINCT 'usgs_waterdata_daily-' || CAST(o_custkey AS VARCHAR), CASE WHEN o_custkey % 11 = 0 THEN 'transport_failed' WHEN o_custkey % 10 IN (2, 7) THEN 'parse_failed' ELSE 'succeeded' END FROM orders
-UNION ALL SELECT 'csv-' || CAST(n_nationkey AS VARCHAR), 'capability_failed' FROM nation)"""
+UNION ALL SELECT 'csv-' || CAST(p_partkey AS VARCHAR), CASE p_partkey % 4 WHEN 0 THEN 'succeeded' ELSE 'parse_failed' END FROM part
+UNION ALL SELECT 'wqp-' || CAST(p_partkey AS VARCHAR), CASE p_partkey % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'parse_failed' ELSE 'transport_failed' END FROM part
+UNION ALL SELECT 'ogc_api_features-' || CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 4 < 2 THEN 'succeeded' ELSE 'parse_failed' END FROM part
+UNION ALL SELECT 'nwis_legacy_dv-' || CAST(p_partkey AS VARCHAR), 'capability_failed' FROM part)"""
 
 
 @query("OP103_run_status", f"WITH {_STATUS_SQL} SELECT request_id, status FROM s")
@@ -74,6 +91,34 @@ def op103(t):
     return run.run_status(_payloads(t)).select("request_id", "status")
 
 
+@query(
+    "OP104_response_limits",
+    """WITH b AS (SELECT p_partkey, p_size % 9 AS n, CASE WHEN p_partkey % 4 = 0 THEN 4 ELSE 2 END AS c FROM part), s AS (SELECT *, 2 * c * (n + 1) AS bytes FROM b),
+q AS (SELECT *, CASE WHEN bytes > 60 THEN 'response_bytes' WHEN n > 6 THEN 'row_limit' WHEN c > 4 THEN 'column_limit' WHEN n * c > 12 THEN 'field_limit' END AS problem FROM s)
+SELECT CAST(p_partkey AS VARCHAR) AS request_id, CASE WHEN problem = 'response_bytes' THEN 'transport_failed' WHEN problem IS NOT NULL THEN 'parse_failed' ELSE 'succeeded' END AS status, problem, CASE WHEN problem IS NULL THEN n END AS rows FROM q""",
+)
+def op104_limits(t):
+    wide = F.col("p_partkey") % 4 == 0
+    line = lambda a, b: F.when(wide, F.lit(a)).otherwise(F.lit(b))
+    body = F.concat(line("a,b,c,d\n", "a,b\n"), F.repeat(line("1,2,3,4\n", "1,2\n"), F.col("p_size") % 9))
+    payloads = t.part.select(F.col("p_partkey").cast("string").alias("request_id"), F.lit("csv").alias("handler_id"), body.alias("body"))
+    for name, kind in {"parameter": "string", "lon": "double", "lat": "double", "site": "string", "parameter_code": "string", "statistic_id": "string", "time_start": "string", "time_end": "string", "page_limit": "int"}.items():
+        payloads = payloads.withColumn(name, F.lit(None).cast(kind))
+    return run.run_status(payloads, run.Limits(response_bytes=60, rows=6, columns=4, fields=12)).drop("handler_id")
+
+
+@query(
+    "OP104_admitted_requests",
+    """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders),
+a(o_custkey, p, o_orderkey, size, ok, n, total) AS (SELECT o_custkey, p, o_orderkey, size, size <= 400000, CASE WHEN size <= 400000 THEN 1 ELSE 0 END, CASE WHEN size <= 400000 THEN size ELSE 0 END FROM o WHERE p = 1
+UNION ALL SELECT o.o_custkey, o.p, o.o_orderkey, o.size, n < 3 AND o.size <= 400000 - total, n + CASE WHEN n < 3 AND o.size <= 400000 - total THEN 1 ELSE 0 END, total + CASE WHEN n < 3 AND o.size <= 400000 - total THEN o.size ELSE 0 END FROM a JOIN o ON a.o_custkey = o.o_custkey AND o.p = a.p + 1)
+SELECT o_custkey AS run_id, o_orderkey AS fetch_order, ok AS admitted FROM a""",
+)
+def op104_admitted(t):
+    requests = t.orders.select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("fetch_order"), F.floor("o_totalprice").alias("response_byte_limit"))
+    return run.admitted_requests(requests, limits=run.Limits(executions=3, total_bytes=400_000)).drop("response_byte_limit")
+
+
 @query("OP104_overall_status", f"WITH {_STATUS_SQL} SELECT count(*) AS requests, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status <> 'succeeded') AS failed, 'partial' AS status FROM s")
 def op104(t):
     return run.overall_status(run.run_status(_payloads(t)))

@@ -8,8 +8,9 @@ import unicodedata
 from collections.abc import Sequence
 
 from tarn.functions import geometry
-from tarn.plans.graph import MOST_SITES
 
+#: Sites that a query names at most.
+MOST_SITES = 200
 _IRI = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:[^\s<>\"{}|\\^`]+")
 
 

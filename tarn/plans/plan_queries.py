@@ -237,6 +237,29 @@ def op105(t):
     return t.customer.select("c_custkey", daily_target(site, F.lit("00060"), F.lit("2024-01-01"), F.lit("2024-01-31"), 100).alias("target"))
 
 
+_AT = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')"
+
+
+@query(
+    "OP105_other_targets",
+    f"""SELECT o_orderkey, 'https://api.waterdata.usgs.gov/ogcapi/v0/collections/continuous/items?f=json&limit=10&monitoring_location_id=USGS-' || CAST(o_custkey AS VARCHAR) || '&parameter_code=00060&time=' || replace(replace({_AT} || '/' || {_AT}, ':', '%3A'), '/', '%2F') AS continuous,
+'https://example.org/c/position?coords=POINT%28' || CAST(o_custkey AS VARCHAR) || '+-1%29&datetime=2024-01-01%2F2024-01-31&f=CoverageJSON&parameter-name=flow+rate' AS position,
+CASE WHEN o_orderdate = date_trunc('day', o_orderdate) THEN 'https://www.waterqualitydata.us/data/Result/search?characteristicName=Flow&mimeType=csv&siteid=S' || CAST(o_custkey AS VARCHAR) || '&startDateHi=' || strftime(o_orderdate, '%m-%d-%Y') || '&startDateLo=' || strftime(o_orderdate, '%m-%d-%Y') END AS water_quality,
+'https://example.org/c/items?' || CASE WHEN o_orderkey % 2 = 0 THEN 'bbox=1%2C2%2C3%2C4&' ELSE '' END || 'f=json&limit=50' AS features FROM orders""",
+)
+def op105_others(t):
+    from tarn.plans import targets
+
+    customer, at = F.col("o_custkey").cast("string"), F.col("o_orderdate")
+    return t.orders.select(
+        "o_orderkey",
+        targets.continuous_target(F.concat(F.lit("USGS-"), customer), F.lit("00060"), at, at, 10).alias("continuous"),
+        targets.position_target(F.lit("https://example.org/c"), customer, F.lit("-1"), F.lit("flow rate"), F.lit("2024-01-01"), F.lit("2024-01-31")).alias("position"),
+        targets.water_quality_target(F.concat(F.lit("S"), customer), F.lit("Flow"), at, at).alias("water_quality"),
+        targets.features_target(F.lit("https://example.org/c"), 50, F.when(F.col("o_orderkey") % 2 == 0, F.lit("1,2,3,4"))).alias("features"),
+    )
+
+
 def _graph(t: Tables) -> graph.Graph:
     """Suppliers are sites, nations providers, orders datasets, line items distributions, parts variables."""
     text = lambda c: F.col(c).cast("string")

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.functions import identity, temporal, text
 from tarn.operators import spatial
-from tarn.operators.lookup import product_of_parts
+from tarn.operators.lookup import product_of_parts, single_item
+from tarn.operators.ordering import page
+from tarn.operators.predicates import bound_query, in_bbox
 from tarn.plans import catalog
 from tarn.plans.registry import Tables, query
 from tarn.sinks import publish
 from tarn.sinks import text as sink
 from tarn.sources import delimited, documents, linked_data
+from tarn.storage import fresh_path
 
 # ruff: noqa: D103
 
@@ -36,6 +41,15 @@ def op02(t):
     return delimited.with_names(fine, ["p_partkey", "p_name", "p_type", "b"])
 
 
+@query("OP01_strict_csv_files", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand || ', \"x\"' AS b FROM part")
+def op01_files(t):
+    """Parts written to canonical CSV files, each with its header, and read again in splits; problems would be further rows."""
+    path = fresh_path(t.spark, "csv")
+    sink.write_csv(t.part.select("p_partkey", "p_name", F.concat(F.col("p_brand"), F.lit(', "x"')).alias("b")), path)
+    rows, problems = delimited.read_strict(t.spark, path)
+    return rows.unionByName(problems.select(*[F.col("problem").alias(c) for c in rows.columns]))
+
+
 @query("OP03_schema_table", "SELECT * FROM (VALUES (1, 'r_regionkey', 'int'), (2, 'r_name', 'string')) v(column_index, name, storage)")
 def op03(t):
     return delimited.schema_table(t.region)
@@ -113,9 +127,9 @@ def op06_status(t):
 
 @query("OP08_water_quality_names", "SELECT n_name AS \"Result.Name\", CAST(n_nationkey AS VARCHAR) AS \"Activity.Key\" FROM nation")
 def op08(t):
-    lines = sink.csv_records(t.nation.select("n_name", "n_nationkey"))
-    names = [n.replace("/", ".") for n in delimited.header_of('"Result/Name","Activity/Key"')]
-    return delimited.with_names(delimited.scan_lines(lines, 2).select("fields"), names)
+    path = fresh_path(t.spark, "csv")
+    sink.write_csv(t.nation.select(F.col("n_name").alias("Result/Name"), F.col("n_nationkey").alias("Activity/Key")), path)
+    return delimited.read_strict(t.spark, path, dots=True)[0]
 
 
 @query("OP09_features", "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS feature_id, c_name AS name, CAST(c_acctbal AS DOUBLE) AS balance, CAST(c_nationkey AS VARCHAR) AS code FROM customer")
@@ -127,29 +141,36 @@ def op09(t):
 
 @query("OP10_collection_scan", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'MACHINERY' AND CAST(c_nationkey AS DOUBLE) BETWEEN 2 AND 9 AND CAST(c_custkey AS DOUBLE) BETWEEN 5 AND 900 ORDER BY c_custkey LIMIT 40")
 def op10(t):
-    from tarn.operators.ordering import page
-    from tarn.operators.predicates import bound_query, in_bbox
-
     matching = bound_query(t.customer, {"c_mktsegment": "MACHINERY"}).where(in_bbox(F.col("c_nationkey").cast("double"), F.col("c_custkey").cast("double"), (2, 5, 9, 900)))
     return page(matching.select("c_custkey", "c_name"), ["c_custkey"], 40)
 
 
-@query("OP11_single_item", "SELECT c_custkey, c_name, CASE WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING') QUALIFY row_number() OVER (ORDER BY c_custkey) <= 2")
+@query(
+    "OP11_single_item",
+    """SELECT 'several' AS asked, c_custkey, c_name, CASE WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM (SELECT *, count(*) OVER () AS n FROM customer WHERE c_mktsegment = 'BUILDING') QUALIFY row_number() OVER (ORDER BY c_custkey) <= 2
+UNION ALL SELECT 'one', c_custkey, c_name, 'matched' FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'none', NULL, NULL, 'not_found' UNION ALL SELECT 'fallback', c_custkey, c_name, 'matched_by_fallback' FROM customer WHERE c_custkey = 9""",
+)
 def op11(t):
-    """At most two rows are asked for: one is the item, a second makes it ambiguous."""
-    from tarn.operators.ordering import page
-    from tarn.operators.predicates import bound_query
+    """At most two rows are asked for: one is the item, a second makes it ambiguous; without any, the linked data of the item's own address."""
+    of = lambda **query: bound_query(t.customer, query).select("c_custkey", "c_name")
+    cases = {"several": (of(c_mktsegment="BUILDING"), None), "one": (of(c_custkey=7), of(c_custkey=9)), "none": (of(c_custkey=-1), None), "fallback": (of(c_custkey=-1), of(c_custkey=9))}
+    out = None
+    for name, (matches, fallback) in cases.items():
+        own = single_item(matches, ["c_custkey"], fallback).select(F.lit(name).alias("asked"), "c_custkey", "c_name", "status")
+        out = own if out is None else out.unionByName(own)
+    return out
 
-    two = page(bound_query(t.customer, {"c_nationkey": 3, "c_mktsegment": "BUILDING"}), ["c_custkey"], 2)
-    from pyspark.sql import Window
 
-    return two.select("c_custkey", "c_name", F.when(F.count(F.lit(1)).over(Window.partitionBy("c_nationkey")) == 1, F.lit("matched")).otherwise(F.lit("ambiguous")).alias("status"))
-
-
-@query("OP12_queryables", "SELECT * FROM (VALUES ('customer', 'c_custkey', 'bigint'), ('customer', 'c_name', 'string'), ('customer', 'c_nationkey', 'int'), ('customer', 'c_acctbal', 'double'), ('customer', 'c_mktsegment', 'string'), ('region', 'r_regionkey', 'int'), ('region', 'r_name', 'string')) v(collection, property, type)")
+@query(
+    "OP12_queryables",
+    """SELECT 'c' || CAST(c_custkey AS VARCHAR) AS collection, p AS property, CASE WHEN p = 'geom' THEN NULL WHEN p = 'at' THEN 'string' ELSE 'integer' END AS type, CASE WHEN p = 'at' THEN 'date-time' WHEN p = 'geom' THEN 'geometry-any' END AS format, CASE WHEN p = 'n' THEN 'id' END AS role, CAST(NULL AS VARCHAR) AS problem
+FROM customer, unnest(['n', 'at', 'geom']) u(p) WHERE c_custkey % 7 > 1 UNION ALL SELECT 'c' || CAST(c_custkey AS VARCHAR), NULL, NULL, NULL, NULL, 'not_queryables' FROM customer WHERE c_custkey % 7 <= 1""",
+)
 def op12(t):
-    rows = [(c, f.name, f.dataType.simpleString()) for c in ("customer", "region") for f in getattr(t, c).schema]
-    return t.spark.createDataFrame(rows, "collection string, property string, type string")
+    """A JSON Schema for each customer; some are none."""
+    fine = '{"$schema": "x", "type": "object", "properties": {"n": {"type": "integer", "x-ogc-role": "id"}, "at": {"type": "string", "format": "date-time"}, "geom": {"type": ["object", "null"], "format": "geometry-any"}}}'
+    bodies = F.element_at(F.array(F.lit("{}"), F.lit("no schema"), *[F.lit(fine)] * 5), (F.col("c_custkey") % 7 + 1).cast("int"))
+    return documents.queryables(t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("collection"), bodies.alias("body")))
 
 
 @query("OP13_linked_data", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'embedded' WHEN 1 THEN 'alternate' ELSE 'none' END AS mode, CAST(CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS found, CASE WHEN page_id % 3 = 1 THEN '/d.jsonld' END AS target FROM pages")
@@ -209,9 +230,13 @@ def op28(t):
     return sink.redacted_view(t.pages.select("page_id", F.col("url").alias("page_url"), F.col("url").alias("shown")))
 
 
-@query("OP30_report", "SELECT (SELECT count(*) FROM nation) AS sites, (SELECT count(*) FROM orders) AS datasets, (SELECT count(*) FROM events) AS observations")
+@query(
+    "OP30_report",
+    """SELECT (SELECT count(*) FROM nation) AS sites, (SELECT count(*) FROM orders) AS datasets, (SELECT count(*) FROM region) AS problems, (SELECT count(*) FROM pages) AS requests, CAST(0 AS BIGINT) AS fetch_statuses,
+(SELECT count(*) FROM part) AS native_resources, (SELECT count(*) FROM events) AS observations, CAST(0 AS BIGINT) AS harmonized_resources""",
+)
 def op30(t):
-    return sink.report(sites=t.nation, datasets=t.orders, observations=t.events)
+    return sink.package_report({"sites": t.nation, "datasets": t.orders, "problems": t.region, "requests": t.pages, "native_resources": t.part, "observations": t.events})
 
 
 def _published(t: Tables):
@@ -227,6 +252,17 @@ def op31(t):
     return bodies.select("site_uri", F.get_json_object("body", "$.name").alias("name"), F.coalesce(F.json_array_length(F.get_json_object("body", "$.subjectOf")), F.lit(0)).alias("datasets"))
 
 
+@query(
+    "OP31_published_documents",
+    """WITH v AS (SELECT n_regionkey, n_name, n_nationkey, '{"@id":"https://example.org/d/' || CAST(n_nationkey AS VARCHAR) || '","@type":"Dataset","name":"' || n_name || '","temporalCoverage":"2024-01-01/..","distribution":[{"contentUrl":"https://example.org/d/' || CAST(n_nationkey AS VARCHAR)
+|| '.csv","encodingFormat":"text/csv"}],"variableMeasured":[{"@id":"https://example.org/v/' || CAST(n_nationkey % 3 AS VARCHAR) || '","name":"flow","unitText":"m3/s"}]}' AS d FROM nation),
+s AS (SELECT n_regionkey, string_agg(d, ',' ORDER BY 'https://example.org/d/' || CAST(n_nationkey AS VARCHAR)) AS ds FROM v GROUP BY 1)
+SELECT 'https://example.org/r/' || CAST(r_regionkey AS VARCHAR) AS site_uri, '{"@context":{"@vocab":"https://schema.org/","gsp":"http://www.opengis.net/ont/geosparql#"},"@id":"https://example.org/r/' || CAST(r_regionkey AS VARCHAR) || '","@type":"Place","name":"' || r_name || '","hasGeometry":{"asWKT":"POINT (1 2)"},"subjectOf":[' || ds || ']}' AS body FROM region JOIN s ON n_regionkey = r_regionkey""",
+)
+def op31_documents(t):
+    return publish.nested_profiles(*_published(t))
+
+
 @query("OP94_locations", "SELECT 'https://example.org/r/' || CAST(r_regionkey AS VARCHAR) AS site_uri, r_name AS name, 'POINT (1 2)' AS geometry FROM region")
 def op94(t):
     return linked_data.locations(_profiles(t)).select("site_uri", "name", "geometry")
@@ -286,16 +322,35 @@ def op51(t):
     return spatial.intersecting(*_areas(t), cell=5.0).select("area_id", "line_id")
 
 
-@query("OP51_ranked_mainstems")
+_SPHERE = "2 * 6371.01 * asin(sqrt(cos(radians(n_nationkey % 13 + 0.5)) ** 2 * sin(radians(least(n_nationkey * 4, r_regionkey * 20 + 10) - r_regionkey * 20) / 2) ** 2))"
+
+
+@query(
+    "OP51_ranked_mainstems",
+    f"""WITH p AS (SELECT CAST(r_regionkey AS VARCHAR) AS area_id, CAST(n_nationkey AS VARCHAR) AS line_id, {_SPHERE} AS km, n_nationkey % 2 = 0 AS current, n_regionkey = r_regionkey AS outlet, n_nationkey FROM region, nation WHERE n_nationkey % 13 < 10 AND n_nationkey * 4 > r_regionkey * 20),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY area_id ORDER BY current DESC, outlet DESC, km DESC, n_nationkey DESC, line_id) AS INTEGER) AS match_index, count(*) OVER (PARTITION BY area_id) AS n FROM p)
+SELECT CAST(r_regionkey AS VARCHAR) AS area_id, line_id, match_index, round(km, 6) AS km, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM region LEFT JOIN r ON area_id = CAST(r_regionkey AS VARCHAR)""",
+)
 def op51_ranked(t):
     areas, lines = _areas(t)
     facts = t.nation.select(F.col("n_nationkey").cast("string").alias("line_id"), (F.col("n_nationkey") % 2 == 0).alias("current"), F.col("n_regionkey").cast("string").alias("outlet_area"), F.col("n_nationkey").cast("double").alias("drainage"))
-    return spatial.ranked_mainstems(areas, lines, facts, cell=5.0)
+    return spatial.ranked_mainstems(areas, lines, facts, cell=5.0).select("area_id", "line_id", "match_index", F.round("km", 6).alias("km"), "status")
+
+
+def _double_hex(x: str) -> str:
+    """SQL for the little-endian hexadecimal bytes of a double that is one of the areas' coordinates."""
+    known = {float(v): struct.pack("<d", v).hex() for v in range(0, 91, 10)}
+    return "CASE " + x + "".join(f" WHEN {v} THEN '{h}'" for v, h in known.items()) + " END"
+
+
+_CORNERS = " || ".join(_double_hex(f"r_regionkey * 20 + {x}") + " || " + _double_hex(str(y)) for x, y in ((0, 0), (10, 0), (10, 10), (0, 10), (0, 0)))
 
 
-@query("OP40_areas", "SELECT count(DISTINCT r_regionkey) AS areas FROM region")
+@query("OP40_areas", f"SELECT CAST(r_regionkey AS VARCHAR) AS area_id, sha256(unhex('01' || '03000000' || '01000000' || '05000000' || {_CORNERS})) AS identity FROM region")
 def op40(t):
-    return _areas(t)[0].select(spatial.area_identity("area_wkt").alias("a")).agg(F.count_distinct("a").alias("areas"))
+    """Identities of boxes that are written from another corner and the other way round."""
+    turned = F.regexp_replace("area_wkt", r"\(\((.*?), (.*?), (.*?), (.*?), .*\)\)", "(($3, $2, $1, $4, $3))")
+    return _areas(t)[0].select("area_id", spatial.area_identity(turned).alias("identity"))
 
 
 @query("FN_temporal_intervals", "SELECT event_id, CASE WHEN event_id % 4 IN (0, 1) THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) END AS s, CASE WHEN event_id % 4 = 0 THEN date_trunc('second', ts) END AS e, CASE event_id % 4 WHEN 2 THEN 'invalid_temporal_coverage' WHEN 3 THEN 'invalid_temporal_endpoint' END AS problem FROM events")

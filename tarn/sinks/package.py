@@ -1,20 +1,29 @@
 """Packages: tables as files with a hashed manifest, written beside their place and moved there, verified, loaded, hydrated.
 
-Spark writes and hashes the files; the driver handles the manifest, which has a row for each file.
+Spark writes and hashes the files; the driver handles the manifest, which has a row for each file: MOST_FILES at most, each
+within Spark's 2 GB for a value. A package takes its place by one rename, which is atomic where the file system's is: on an
+object store readers should ask for the manifest, which is there last.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.functions.numbers import canonical_integer, canonical_logical
+from tarn.sinks.text import redacted_view, write_csv
+from tarn.sources.delimited import read_strict
+from tarn.storage import stored
 
 MANIFEST = "manifest.json"
+#: Files of a package at most (fixed value): its manifest is one document.
+MOST_FILES = 10_000
+FORMS = ("parquet", "csv")
 
 
 class Place:
@@ -24,6 +33,7 @@ class Place:
         self.spark, self.path = spark, path.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.full = self._fs.makeQualified(self._path).toString()
 
     def exists(self) -> bool:
         return self._fs.exists(self._path)
@@ -35,6 +45,13 @@ class Place:
         if not self._fs.rename(self._path, other._path):
             raise OSError(f"{self.path} can't become {other.path}")
 
+    def copy_from(self, source: str, name: str) -> None:
+        """One file of any file system, under another name."""
+        own = self.spark._jvm.org.apache.hadoop.fs
+        conf = self.spark._jsc.hadoopConfiguration()
+        origin = own.Path(source)
+        own.FileUtil.copy(origin.getFileSystem(conf), origin, self._fs, own.Path(self._path, name), False, conf)
+
     def write_text(self, name: str, text: str) -> None:
         out = self._fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(self._path, name), True)
         out.write(bytearray(text, "utf-8"))
@@ -45,26 +62,34 @@ class Place:
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """path (relative), bytes and sha256 of every data file below a package."""
+    """path (relative to the package), bytes and sha256 of every data file below it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("path", r"/([^/]+/[^/]+)$", 1)
-    return files.select(name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(~F.col("path").endswith(MANIFEST) & ~F.col("path").rlike(r"/[._]"))
+    name = F.substring(F.col("path"), len(Place(spark, path).full) + 2, 1 << 20)
+    return files.select(name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where((F.col("path") != MANIFEST) & ~F.col("path").rlike(r"(^|/)[._]"))
 
 
-def write_package(spark: SparkSession, path: str, tables: dict[str, DataFrame], metadata: dict | None = None, replace: bool = False) -> None:
-    """Writes tables as Parquet with microsecond times, without compression, and their manifest; nothing is seen at ``path`` before all is there.
+def write_package(spark: SparkSession, path: str, tables: dict[str, DataFrame], metadata: dict | None = None, replace: bool = False, form: str = "parquet", optional: Sequence[str] = ()) -> None:
+    """Writes tables and their manifest; nothing is seen at ``path`` before all is there.
 
-    An existing package is an error, or is replaced: it is moved aside first and put back if the new one can't take its place.
+    ``form`` is parquet (microsecond times, without compression) or csv (canonical texts). Files of ``optional`` tables may
+    be taken away later without the package becoming invalid. An existing package is an error, or is replaced: it is moved aside first and put back if the new one can't take its place.
     """
+    if form not in FORMS or (unknown := set(optional) - set(tables)):
+        raise ValueError(f"form is one of {FORMS}, and optional names tables" if form not in FORMS else f"no tables {sorted(unknown)}")
     place = Place(spark, path)
     if place.exists() and not replace:
         raise FileExistsError(path)
     staged = Place(spark, f"{place.path}.staged-{uuid.uuid4().hex}")
     try:
         for name, df in tables.items():
-            df.write.option("compression", "uncompressed").parquet(f"{staged.path}/{name}")
-        files = [r.asDict() for r in inventory(spark, staged.path).orderBy("path").collect()]
-        manifest = {"version": 1, "metadata": metadata or {}, "tables": {n: json.loads(df.schema.json()) for n, df in tables.items()}, "files": files}
+            if form == "csv":
+                write_csv(df, f"{staged.path}/{name}")
+            else:
+                df.write.option("compression", "uncompressed").parquet(f"{staged.path}/{name}")
+        files = [r.asDict() for r in inventory(spark, staged.path).orderBy("path").limit(MOST_FILES + 1).collect()]
+        if len(files) > MOST_FILES:
+            raise ValueError(f"more than {MOST_FILES} files: write fewer, larger ones")
+        manifest = {"version": 1, "form": form, "metadata": metadata or {}, "optional": sorted(optional), "tables": {n: json.loads(df.schema.json()) for n, df in tables.items()}, "files": files}
         staged.write_text(MANIFEST, json.dumps(manifest, sort_keys=True, indent=1))
         if verify_package(spark, staged.path).where("status <> 'verified'").count():
             raise OSError("what was written isn't what was meant")
@@ -90,19 +115,80 @@ def manifest_of(spark: SparkSession, path: str) -> dict:
 
 
 def verify_package(spark: SparkSession, path: str) -> DataFrame:
-    """Every file that is listed or there: path and status (verified, altered, missing, unlisted)."""
+    """Every file that is listed or there: path and status (verified, altered, missing, absent_optional, unlisted)."""
     schema = "path string, listed_bytes long, listed_sha256 string"
-    listed = spark.createDataFrame([(f["path"], f["bytes"], f["sha256"]) for f in manifest_of(spark, path)["files"]], schema)
+    manifest = manifest_of(spark, path)
+    listed = spark.createDataFrame([(f["path"], f["bytes"], f["sha256"]) for f in manifest["files"]], schema)
     both = listed.join(inventory(spark, path), "path", "full")
     same = (F.col("listed_sha256") == F.col("sha256")) & (F.col("listed_bytes") == F.col("bytes"))
-    return both.select("path", F.when(F.col("listed_sha256").isNull(), F.lit("unlisted")).when(F.col("sha256").isNull(), F.lit("missing")).when(same, F.lit("verified")).otherwise(F.lit("altered")).alias("status"))
+    optional = F.split_part("path", F.lit("/"), F.lit(1)).isin(*manifest.get("optional", []))
+    gone = F.when(optional, F.lit("absent_optional")).otherwise(F.lit("missing"))
+    return both.select("path", F.when(F.col("listed_sha256").isNull(), F.lit("unlisted")).when(F.col("sha256").isNull(), gone).when(same, F.lit("verified")).otherwise(F.lit("altered")).alias("status"))
+
+
+def verification(spark: SparkSession, path: str) -> DataFrame:
+    """One row: files, verified, absent_optional, broken, and the package's status: verified, verified_with_optional_absences or failed."""
+    found = verify_package(spark, path)
+    counted = found.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "verified").alias("verified"), F.count_if(F.col("status") == "absent_optional").alias("absent_optional"))
+    broken = F.col("files") - F.col("verified") - F.col("absent_optional")
+    status = F.when(broken > 0, F.lit("failed")).when(F.col("absent_optional") > 0, F.lit("verified_with_optional_absences")).otherwise(F.lit("verified"))
+    return counted.select("*", broken.alias("broken"), status.alias("status"))
 
 
 def load_package(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The verified tables of a package, under the schemas of its manifest."""
-    if bad := verify_package(spark, path).where("status <> 'verified'").orderBy("path").limit(5).collect():
+    """The verified tables of a package, under the schemas of its manifest. Of an optional table without files nothing is returned."""
+    found = verify_package(spark, path)
+    if bad := found.where("status NOT IN ('verified', 'absent_optional')").orderBy("path").limit(5).collect():
         raise ValueError(f"not verified: {[tuple(r) for r in bad]}")
-    return {name: spark.read.schema(T.StructType.fromJson(s)).parquet(f"{path}/{name}") for name, s in manifest_of(spark, path)["tables"].items()}
+    absent = {r["t"] for r in found.where("status = 'absent_optional'").select(F.split_part("path", F.lit("/"), F.lit(1)).alias("t")).distinct().collect()}  # optional tables at most
+    manifest = manifest_of(spark, path)
+    out = {}
+    for name, fields in manifest["tables"].items():
+        schema = T.StructType.fromJson(fields)
+        if name in absent:
+            continue
+        if manifest.get("form") == "csv":
+            texts, problems = read_strict(spark, f"{path}/{name}")
+            if bad := problems.limit(5).collect():
+                raise ValueError(f"no canonical records: {[tuple(r) for r in bad]}")
+            out[name] = hydrated(texts, schema)
+        else:
+            out[name] = spark.read.schema(schema).parquet(f"{path}/{name}")
+    return out
+
+
+#: The tables of a catalog (fixed values).
+CATALOG = ("sites", "datasets", "problems", "requests")
+
+
+def write_snapshot(spark: SparkSession, path: str, catalog: dict[str, DataFrame], replace: bool = False) -> None:
+    """A catalog as canonical CSV texts: datasets are required, the other tables of a catalog may be left out."""
+    if "datasets" not in catalog or (unknown := set(catalog) - set(CATALOG)):
+        raise ValueError("a snapshot has datasets" if "datasets" not in catalog else f"no tables of a catalog: {sorted(unknown)}")
+    write_package(spark, path, catalog, {"kind": "catalog_snapshot"}, replace, form="csv")
+
+
+def catalog_view(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The catalog's tables of a package or snapshot."""
+    return {n: df for n, df in load_package(spark, path).items() if n in CATALOG}
+
+
+def exported_requests(spark: SparkSession, path: str) -> DataFrame:
+    """The requests that a package records, in order of their ids, without users, queries and fragments of their URLs."""
+    tables = load_package(spark, path)
+    if "requests" not in tables:
+        raise ValueError("the package records no requests")
+    return redacted_view(tables["requests"]).orderBy("request_id")
+
+
+def replayed(spark: SparkSession, path: str, **hashes: str) -> dict[str, DataFrame]:
+    """The tables of a package for offline use, if it was made from what ``hashes`` name; its files are verified before and again after they are read."""
+    if not lineage_matches(spark, path, **hashes):
+        raise ValueError("the package was made from something else")
+    tables = {n: stored(df, "replayed") for n, df in load_package(spark, path).items()}
+    if verification(spark, path).first()["status"] == "failed":
+        raise ValueError("the package changed while it was read")
+    return tables
 
 
 def hydrated(rows: DataFrame, schema: T.StructType) -> DataFrame:

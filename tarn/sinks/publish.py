@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.text import identity_iri, text_is_safe, url_is_safe
+from tarn.functions.text import canonical_url, identity_iri, text_is_safe, url_is_safe
+from tarn.operators.lookup import joinable
+from tarn.sources.jsonld import documents
+from tarn.sources.linked_data import datasets, site_nodes
+from tarn.storage import stored
 
 CONTEXT = {"@vocab": "https://schema.org/", "gsp": "http://www.opengis.net/ont/geosparql#"}
 
@@ -13,7 +17,8 @@ CONTEXT = {"@vocab": "https://schema.org/", "gsp": "http://www.opengis.net/ont/g
 def nested_profiles(sites: DataFrame, datasets: DataFrame) -> DataFrame:
     """(site_uri, body): each site with its datasets, each of these with its distributions and variables, as compact JSON-LD.
 
-    A site's datasets travel as one value, as the document needs them; arrays are in order of their URIs.
+    A site's datasets travel as one value, as the document needs them: a site's document has to fit one (2 GB). What goes
+    into it is made distinct in the tasks first. Arrays are in order of their URIs.
     """
     distributions = F.array_sort(F.collect_set(F.when(F.col("distribution_url").isNotNull(), F.struct(F.col("distribution_url").alias("contentUrl"), F.col("media_type").alias("encodingFormat")))))
     variables = F.array_sort(F.collect_set(F.when(F.col("variable_uri").isNotNull() | F.col("variable_name").isNotNull(), F.struct(F.col("variable_uri").alias("@id"), F.col("variable_name").alias("name"), F.col("unit_uri").alias("unitCode"), F.col("unit_label").alias("unitText")))))
@@ -54,3 +59,74 @@ def _place(severity: Column) -> Column:
 def is_valid(found: DataFrame) -> bool:
     """Whether no finding is an error."""
     return found.where("severity = 'error'").isEmpty()
+
+
+#: Location types that may be texts, and severity, rule, message and fix of what a document may break.
+LOCATION_TYPES = ("hydrometricStation", "Unknown")
+DOCUMENT_RULES = {
+    "document.parse": ("error", "The input could not be parsed as bounded JSON-LD.", "Provide one UTF-8 JSON-LD document."),
+    "profile.version": ("error", "The document does not declare this profile version.", "Set the profile version."),
+    "profile.identifier": ("error", "The document does not declare this profile.", "Set the profile's IRI."),
+    "site.required": ("error", "The document contains no monitoring location.", "Add one hydrometric feature with an @id."),
+    "site.identifier": ("error", "A site has no canonical IRI.", "Set @id to one canonical absolute IRI."),
+    "site.location_type_missing": ("warning", "A site has no location type.", "Add a location type."),
+    "site.location_type": ("error", "A location type is neither a canonical IRI nor an approved text.", "Use a canonical IRI, hydrometricStation or Unknown."),
+    "site.provider": ("error", "A site does not identify its provider.", "Add a provider with an @id, a name and a URL."),
+    "site.provider_name": ("error", "A provider has no name.", "Name the provider."),
+    "site.provider_url": ("error", "A provider has no canonical URL.", "Add the provider's URL."),
+    "site.name": ("warning", "A site has no name.", "Name the site."),
+    "site.geometry": ("error", "A geometry is no point.", "Publish one POINT in longitude and latitude."),
+    "dataset.distribution": ("warning", "A dataset row has no distribution URL.", "Add a distribution with a content URL."),
+    "dataset.variable": ("warning", "A dataset row has no stable variable identity.", "Add a variable IRI, or provider and label."),
+}
+
+
+def _found(rule: str, pointer: Column, broken: Column) -> Column:
+    return F.when(broken, F.struct(F.lit(rule).alias("rule_id"), pointer.alias("json_pointer")))
+
+
+def document_findings(profiles: DataFrame, version: str, profile: str) -> DataFrame:
+    """Findings about whole documents (profile_uri, body), each once: errors, warnings, notes; by pointer and rule.
+
+    profile_uri, severity, json_pointer, rule_id, profile_version, message, suggested_fix. Pointers count a document's sites
+    and dataset rows from 0. Of a document that is none, or without a site, only that is said; a document is valid if no
+    finding is an error. What parsing found odd is a warning, as rule ``parser`` with its code.
+    """
+    read = stored(documents(profiles), "documents")
+    nodes = read.select("profile_uri", "body")
+    sites = site_nodes(nodes)
+    datasets_ = datasets(nodes).withColumn("place", F.row_number().over(Window.partitionBy("profile_uri").orderBy("dataset_uri", "dataset_name", "distribution_url", "variable_uri", "variable_name")) - 1)
+    parsed = ~F.array_contains("codes", "document_parse") & ~F.array_contains("codes", "fragment_budget")
+    whole = read.join(joinable(sites.groupBy("profile_uri").agg(F.count(F.lit(1)).alias("sites"))), "profile_uri", "left")
+    top = F.array_compact(
+        F.array(
+            _found("document.parse", F.lit(""), ~parsed),
+            _found("profile.version", F.lit("/profileVersion"), parsed & ~F.col("version").eqNullSafe(F.lit(version))),
+            _found("profile.identifier", F.lit("/profile"), parsed & ~F.col("profile").eqNullSafe(F.lit(profile))),
+            _found("site.required", F.lit("/@graph"), parsed & F.col("sites").isNull()),
+        )
+    )
+    odd = F.transform(F.filter("codes", lambda c: ~c.isin("document_parse", "fragment_budget")), lambda c: F.struct(F.concat(F.lit("parser."), c).alias("rule_id"), F.lit("").alias("json_pointer")))
+    at = lambda rest: F.concat(F.lit("/@graph/"), F.col("place").cast("string"), F.lit(rest))
+    kind = F.col("location_type")
+    is_iri = F.coalesce(identity_iri(kind) == kind, F.lit(False))
+    of_site = F.array_compact(
+        F.array(
+            _found("site.identifier", at("/@id"), ~F.coalesce(identity_iri(F.col("site_uri")) == F.col("site_uri"), F.lit(False))),
+            _found("site.location_type_missing", at("/@type"), kind.isNull()),
+            _found("site.location_type", at("/hyf:HY_HydroLocationType"), kind.isNotNull() & ~is_iri & ~kind.isin(*LOCATION_TYPES)),
+            _found("site.provider", at("/schema:provider"), F.col("provider_uri").isNull()),
+            _found("site.provider_name", at("/schema:provider/schema:name"), F.col("provider_name").isNull()),
+            _found("site.provider_url", at("/schema:provider/schema:url"), canonical_url(F.col("provider_url")).isNull()),
+            _found("site.name", at("/schema:name"), F.col("name").isNull()),
+            _found("site.geometry", at("/geo:hasGeometry/geo:asWKT"), F.col("wkt").isNotNull() & ~F.col("wkt").rlike(r"^\s*POINT\s*\(\s*[-+.0-9eE]+\s+[-+.0-9eE]+\s*\)\s*$")),
+        )
+    )
+    row = lambda rest: F.concat(F.lit("/dataset/"), F.col("place").cast("string"), F.lit(rest))
+    of_dataset = F.array_compact(F.array(_found("dataset.distribution", row("/schema:distribution"), F.col("distribution_url").isNull()), _found("dataset.variable", row("/schema:variableMeasured"), F.col("variable_id").isNull())))
+    with_sites = joinable(sites.select("profile_uri").distinct())
+    parts = [whole.select("profile_uri", F.explode(F.concat(top, odd)).alias("f")), sites.select("profile_uri", F.explode(of_site).alias("f")), datasets_.join(with_sites, "profile_uri", "left_semi").select("profile_uri", F.explode(of_dataset).alias("f"))]
+    all_ = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("profile_uri", "f.*").distinct()
+    said = lambda i, other: F.coalesce(F.create_map(*[F.lit(x) for r, v in DOCUMENT_RULES.items() for x in (r, v[i])])[F.col("rule_id")], F.lit(other))
+    out = all_.select("profile_uri", said(0, "warning").alias("severity"), "json_pointer", "rule_id", F.lit(version).alias("profile_version"), said(1, "Something in the document is odd.").alias("message"), said(2, "Correct or remove it.").alias("suggested_fix"))
+    return out.orderBy(_place(F.col("severity")), "json_pointer", "rule_id", "profile_uri")

@@ -74,6 +74,17 @@ def report(**tables: DataFrame) -> DataFrame:
     return out.drop("_one")
 
 
+#: What a package's report counts (fixed values).
+REPORTED = ("sites", "datasets", "problems", "requests", "fetch_statuses", "native_resources", "observations", "harmonized_resources")
+
+
+def package_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row with the eight counts of a package; a table that it hasn't counts as zero."""
+    if unknown := set(tables) - set(REPORTED):
+        raise ValueError(f"no tables of a report: {sorted(unknown)}")
+    return report(**tables).select(*[F.col(n) if n in tables else F.lit(0).cast("long").alias(n) for n in REPORTED])
+
+
 #: A sitemap holds so many locations at most (fixed value of its protocol).
 MOST_LOCATIONS = 50_000
 

@@ -75,6 +75,37 @@ def read_strict(spark: SparkSession, path: str, dots: bool = False) -> tuple[Dat
     return rows, scanned.where("problem IS NOT NULL").select("value", "problem")
 
 
+def csv_documents(docs: DataFrame, required: tuple[str, ...] = (), dots: bool = False) -> DataFrame:
+    """Whole CSV texts as they come from a service (doc_id, body): adds names, lines, problem, rows and columns.
+
+    problem: header (not unique, empty, malformed, or without a name that is ``required``), or that of the first line that
+    has one. A final line end ends the last record and begins none.
+    """
+    lines = F.transform(F.split(F.regexp_replace(F.col("body"), r"\n\z", ""), "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))
+    cut = docs.withColumn("_lines", lines)
+    head = F.regexp_replace(F.get(F.col("_lines"), F.lit(0)), "^\ufeff", "")
+    cut = cut.withColumn("_head", head).withColumn("names", F.when(problem(F.col("_head")).isNull(), fields(F.col("_head"))))
+    if dots:
+        cut = cut.withColumn("names", F.transform("names", lambda n: F.replace(n, F.lit("/"), F.lit("."))))
+    fine = (F.size(F.array_distinct("names")) == F.size("names")) & ~F.array_contains("names", "")
+    for name in required:
+        fine = fine & F.array_contains("names", name)
+    cut = cut.withColumn("lines", F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0)))).withColumn("columns", F.size("names"))
+    wrong = F.get(F.filter(F.transform("lines", lambda x: F.coalesce(problem(x), F.when(F.size(fields(x)) != F.col("columns"), F.lit("record_width")))), lambda p: p.isNotNull()), F.lit(0))
+    cut = cut.withColumn("problem", F.when(~F.coalesce(fine, F.lit(False)), F.lit("header")).otherwise(wrong))
+    return cut.select(*docs.columns, "names", "lines", "problem", F.size("lines").alias("rows"), "columns")
+
+
+def csv_document_rows(docs: DataFrame, required: tuple[str, ...] = (), dots: bool = False) -> DataFrame:
+    """doc_id, row (from 1) and record (map of names to texts) of CSV texts without a problem."""
+    rows = csv_documents(docs, required, dots).select("doc_id", "names", F.posexplode(F.when(F.col("problem").isNull(), F.col("lines"))).alias("row", "line"))
+    return rows.select("doc_id", (F.col("row") + 1).cast("long").alias("row"), F.map_from_arrays("names", fields(F.col("line"))).alias("record"))
+
+
+#: The columns of a water quality result, with dots for slashes, that harmonizing needs.
+WATER_QUALITY = ("MonitoringLocationIdentifier", "ActivityStartDate", "ActivityStartTime.Time", "ActivityStartTime.TimeZoneCode", "CharacteristicName", "ResultMeasureValue", "ResultMeasure.MeasureUnitCode")
+
+
 def with_names(rows: DataFrame, names: list[str], array: str = "fields") -> DataFrame:
     """Columns of an array of fields, by name, as text."""
     return rows.select(*[c for c in rows.columns if c != array], *[F.col(array)[i].alias(n) for i, n in enumerate(names)])

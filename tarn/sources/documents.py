@@ -53,6 +53,11 @@ def coverage_series(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "coverage_id", "parameter", "parameter_label", "unit", rfc3339_utc(F.col("p.t")).alias("datetime"), "x", "y", F.lit(None).cast("double").alias("z"), F.col("p.v").alias("value"))
 
 
+def coverage_sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, problem and rows of each coverage."""
+    return _coverages(docs).select("doc_id", "problem", F.when(F.col("problem").isNull(), F.size("times")).alias("rows"))
+
+
 def coverage_problems(docs: DataFrame) -> DataFrame:
     return _coverages(docs).where("problem IS NOT NULL").select("doc_id", "problem")
 
@@ -113,13 +118,66 @@ def page_status(docs: DataFrame, kind: str = "daily") -> DataFrame:
     return _value_pages(docs, kind).select("doc_id", "problem", F.when(F.col("problem").isNull(), F.size("d.features")).alias("rows"), reason.alias("stop_reason"), (reason != "complete_single_page").alias("truncated"))
 
 
-def feature_rows(docs: DataFrame, properties: dict[str, str]) -> DataFrame:
-    """Features of pages (doc_id, body): feature_id, geometry as JSON, and properties typed as given; identifiers are given as string."""
-    rows = docs.withColumn("d", F.from_json("body", _PAGE)).where("d.type = 'FeatureCollection'").select("doc_id", F.explode("d.features").alias("f"))
+def _feature_pages(docs: DataFrame, limit: int) -> DataFrame:
+    """docs: doc_id, body. Adds the parsed page and its problem."""
+    parsed = docs.withColumn("d", F.from_json("body", _PAGE))
+    n = F.size("d.features")
+    no = lambda test: ~F.coalesce(test, F.lit(False))
+    problem = (
+        F.when(no(F.col("d.type") == "FeatureCollection") | F.col("d.features").isNull(), F.lit("not_a_page"))
+        .when(no(F.forall("d.features", lambda f: F.coalesce(f["type"] == "Feature", F.lit(False)))), F.lit("feature_shape"))
+        .when(n > limit, F.lit("payload_limit"))
+        .when(F.coalesce(F.col("d.numberReturned") != n, F.lit(False)), F.lit("payload_count"))
+    )
+    return parsed.withColumn("problem", problem)
+
+
+def feature_page_status(docs: DataFrame, limit: int = 10_000) -> DataFrame:
+    """doc_id, problem, rows, stop_reason and truncated of each page of features (doc_id, body); ``limit`` was asked for.
+
+    stop_reason: single_page_budget (there is a next page), missing_next_link (more match than came, and no link), limit (as
+    many came as were asked for), no_next (all came); null where the page has a problem.
+    """
+    n = F.size("d.features")
+    more = F.exists("d.links", lambda link: (link["rel"] == "next") & (F.coalesce(link["href"], F.lit("")) != ""))
+    reason = (
+        F.when(F.col("problem").isNotNull(), F.lit(None).cast("string"))
+        .when(F.coalesce(more, F.lit(False)), F.lit("single_page_budget"))
+        .when(F.coalesce(F.col("d.numberMatched") > n, F.lit(False)), F.lit("missing_next_link"))
+        .when(n == limit, F.lit("limit"))
+        .otherwise(F.lit("no_next"))
+    )
+    return _feature_pages(docs, limit).select("doc_id", "problem", F.when(F.col("problem").isNull(), n).alias("rows"), reason.alias("stop_reason"), (reason != "no_next").alias("truncated"))
+
+
+def feature_rows(docs: DataFrame, properties: dict[str, str], limit: int = 10_000) -> DataFrame:
+    """Features of pages (doc_id, body) without a problem: feature_id, geometry as JSON, and properties typed as given; identifiers are given as string.
+
+    Pages with a problem give no rows: ``feature_page_status`` names them.
+    """
+    rows = _feature_pages(docs, limit).select("doc_id", F.explode(F.when(F.col("problem").isNull(), F.col("d.features"))).alias("f"))
     typed = [F.get_json_object("f.properties", f"$.{name}").try_cast(kind).alias(name) for name, kind in properties.items()]
     return rows.select("doc_id", F.col("f.id").alias("feature_id"), F.col("f.geometry").alias("geometry"), *typed)
 
 
+def feature_properties(docs: DataFrame, limit: int = 10_000) -> DataFrame:
+    """doc_id, place (from 1) and properties (JSON text) of the features of pages without a problem."""
+    rows = _feature_pages(docs, limit).select("doc_id", F.posexplode(F.when(F.col("problem").isNull(), F.col("d.features"))).alias("place", "f"))
+    return rows.select("doc_id", (F.col("place") + 1).cast("long").alias("place"), F.col("f.properties").alias("properties"))
+
+
+def queryables(docs: DataFrame) -> DataFrame:
+    """What a collection's features may be filtered by (collection, body: a JSON Schema): collection, property, type, format, role, problem.
+
+    A property may have several types, and then has none here. A body without properties has one row, with a problem.
+    """
+    schema = "type string, properties map<string, struct<type: string, format: string, title: string, `x-ogc-role`: string>>"
+    parsed = docs.select("collection", F.from_json("body", schema).alias("d")).withColumn("fine", F.coalesce((F.col("d.type") == "object") & F.col("d.properties").isNotNull(), F.lit(False)))
+    rows = parsed.select("collection", "fine", F.explode_outer(F.when(F.col("fine"), F.map_entries("d.properties"))).alias("p"))
+    kind = F.when(~F.col("p.value.type").startswith("["), F.col("p.value.type"))
+    return rows.select("collection", F.col("p.key").alias("property"), kind.alias("type"), F.col("p.value.format").alias("format"), F.col("p.value.`x-ogc-role`").alias("role"), F.when(~F.col("fine"), F.lit("not_queryables")).alias("problem"))
+
+
 _RESULTS = "head struct<vars: array<string>>, boolean boolean, results struct<bindings: array<map<string, struct<type: string, value: string, datatype: string, `xml:lang`: string>>>>"
 TERMS = ("uri", "literal", "typed-literal", "bnode")
 

@@ -1,12 +1,12 @@
 """Linked data in web pages and profiles: finding it, and flattening profiles to site and dataset rows.
 
-Profiles are JSON-LD in the compact form of schema.org. Known prefixes are taken off, and a property that may be one
-object or a list is always a list afterwards; unknown properties are ignored.
+Profiles are JSON-LD in any form (see ``jsonld``): graphs, expanded keys and values, nodes that only refer to others. A
+property that may be one object or a list is always a list afterwards; unknown properties are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.identity import dataset_id_of, distribution_id, variable_id_of
@@ -14,6 +14,7 @@ from tarn.functions.temporal import temporal_interval
 from tarn.functions.text import folded_label, identity_iri, media_type
 from tarn.operators.grouping import diagnostic, diagnostics
 from tarn.operators.predicates import HANDLERS, first_match
+from tarn.sources.jsonld import compacted
 
 _SCRIPT = r'(?is)<script[^>]*type\s*=\s*["\']?application/ld\+json["\']?[^>]*>(.*?)</script>'
 _LINK = r'(?is)<link\b(?=[^>]*rel\s*=\s*["\']?alternate)(?=[^>]*type\s*=\s*["\']?application/ld\+json)[^>]*href\s*=\s*["\']([^"\']+)'
@@ -44,32 +45,49 @@ def _iri(text: Column) -> Column:
     return F.when(F.trim(text).startswith("{"), F.coalesce(F.get_json_object(text, "$['@id']"), F.get_json_object(text, "$.url"))).when(F.trim(text).startswith("["), F.get_json_object(text, "$[0]['@id']")).otherwise(text)
 
 
-_NODE = "`@id` string, `@type` string, name string, description string, provider string, url string, subjectOf string, mainEntity string, geo string, hasGeometry string, referencedPosition string"
+_NODE = "`@id` string, `@type` string, name string, description string, provider string, url string, subjectOf string, mainEntity string, geo string, hasGeometry string, referencedPosition string, HY_HydroLocationType string"
 _DATASET = "array<struct<`@id`: string, `@type`: string, name: string, description: string, temporalCoverage: string, provider: string, license: string, distribution: string, variableMeasured: string>>"
 _DISTRIBUTION = "array<struct<`@id`: string, contentUrl: string, encodingFormat: string, conformsTo: string, name: string>>"
 _VARIABLE = "array<struct<`@id`: string, name: string, propertyID: string, unitText: string, unitCode: string, measurementTechnique: string>>"
 
 
 def _parsed(profiles: DataFrame) -> DataFrame:
-    """profiles: profile_uri, body."""
-    return profiles.withColumn("n", F.from_json(unprefixed(F.col("body")), _NODE))
+    """A row for each node of each document. profiles: profile_uri, body."""
+    return compacted(profiles).withColumn("n", F.from_json("body", _NODE))
+
+
+def _wkt(n: Column) -> Column:
+    return F.coalesce(F.get_json_object(n["hasGeometry"], "$.asWKT"), F.get_json_object(n["hasGeometry"], "$['asWKT']['@value']"))
+
+
+def _is_location(n: Column) -> Column:
+    """A node is a location if it has a geometry or position, or is a place with datasets."""
+    types = F.coalesce(n["@type"], F.lit(""))
+    return types.contains("HY_") | n["referencedPosition"].isNotNull() | _wkt(n).isNotNull() | (types.contains("Place") & n["subjectOf"].isNotNull())
 
 
 def _provider(text: Column) -> tuple[Column, Column]:
     return _iri(text), F.when(F.trim(text).startswith("{"), F.get_json_object(text, "$.name"))
 
 
+def site_nodes(profiles: DataFrame) -> DataFrame:
+    """What is checked about each site of each document: profile_uri, place (from 0), site_uri, name, location_type, provider and wkt as they are given."""
+    n = F.col("n")
+    uri, name = _provider(n["provider"])
+    url = F.when(F.trim(n["provider"]).startswith("{"), F.get_json_object(n["provider"], "$.url"))
+    found = _parsed(profiles).where(_is_location(n)).withColumn("place", F.row_number().over(Window.partitionBy("profile_uri").orderBy("node")) - 1)
+    return found.select("profile_uri", "place", n["@id"].alias("site_uri"), n["name"].alias("name"), _iri(n["HY_HydroLocationType"]).alias("location_type"), uri.alias("provider_uri"), name.alias("provider_name"), url.alias("provider_url"), _wkt(n).alias("wkt"))
+
+
 def locations(profiles: DataFrame) -> DataFrame:
-    """One site row for each profile that is a location: it has a geometry or position, or it is a place with datasets."""
+    """One site row for each node that is a location: it has a geometry or position, or it is a place with datasets."""
     n = F.col("n")
-    types = F.coalesce(n["@type"], F.lit(""))
-    wkt = F.coalesce(F.get_json_object(n["hasGeometry"], "$.asWKT"), F.get_json_object(n["hasGeometry"], "$['asWKT']['@value']"))
+    types, wkt = F.coalesce(n["@type"], F.lit("")), _wkt(n)
     lat, lon = F.get_json_object(n["geo"], "$.latitude"), F.get_json_object(n["geo"], "$.longitude")
     point = F.when(lat.isNotNull() & lon.isNotNull(), F.concat(F.lit("POINT ("), lon, F.lit(" "), lat, F.lit(")")))
     mainstem = _iri(F.get_json_object(n["referencedPosition"], "$.linearElement"))
     uri, name = _provider(n["provider"])
-    candidate = types.contains("HY_") | n["referencedPosition"].isNotNull() | wkt.isNotNull() | (types.contains("Place") & n["subjectOf"].isNotNull())
-    return _parsed(profiles).where(candidate).select(
+    return _parsed(profiles).where(_is_location(n)).select(
         F.coalesce(n["@id"], F.col("profile_uri")).alias("site_uri"), n["name"].alias("name"), n["description"].alias("description"), types.alias("site_type"), uri.alias("provider_uri"), name.alias("provider_name"),
         mainstem.alias("mainstem_uri"), n["url"].alias("landing_url"), F.col("profile_uri").alias("source_url"), F.coalesce(wkt, point).alias("geometry"),
     )

@@ -183,13 +183,14 @@ def test_query_results(spark):
 
 def test_runs_isolate_failures(spark):
     good = json.dumps({"type": "FeatureCollection", "features": [], "numberReturned": 0, "links": []})
-    rows = [("r1", "usgs_waterdata_daily", good), ("r2", "usgs_waterdata_daily", None), ("r3", "edr", "{}"), ("r4", "csv", "x")]
+    rows = [("r1", "usgs_waterdata_daily", good), ("r2", "usgs_waterdata_daily", None), ("r3", "edr", "{}"), ("r4", "csv", "x"), ("r5", "nwis_legacy_dv", "x"), ("r6", "csv", "a,a\n1,2")]
     payloads = spark.createDataFrame(rows, "request_id string, handler_id string, body string")
     for name, value in {"parameter": "flow", "site": "S", "parameter_code": "1", "statistic_id": "1", "time_start": "2024-01-01", "time_end": "2024-01-02"}.items():
         payloads = payloads.withColumn(name, F.lit(value))
     payloads = payloads.withColumn("lon", F.lit(0.0)).withColumn("lat", F.lit(0.0)).withColumn("page_limit", F.lit(5))
     statuses = run.run_status(payloads)
-    assert {r["request_id"]: r["status"] for r in statuses.collect()} == {"r1": "succeeded", "r2": "transport_failed", "r3": "parse_failed", "r4": "capability_failed"}
+    assert {r["request_id"]: r["status"] for r in statuses.collect()} == {"r1": "succeeded", "r2": "transport_failed", "r3": "parse_failed", "r4": "succeeded", "r5": "capability_failed", "r6": "parse_failed"}
+    assert {r["request_id"]: r["status"] for r in run.run_status(payloads, unavailable=["csv"]).collect()}["r4"] == "capability_failed"
     assert run.overall_status(statuses).first()["status"] == "partial"
     assert [p for _, _, p in run.preflight({"h": {"numpy": "1.0", "nothing-of-the-kind": "1", "pandas": "999"}})] == ["missing", None, "outdated"]
 
