@@ -123,7 +123,7 @@ UNION ALL SELECT r_regionkey, NULL, NULL, CASE WHEN NOT superseded THEN 'current
 def op54(t):
     names = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
     listed = F.concat(F.lit("["), F.array_join(F.transform("names", lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", "), F.lit("]"))
-    rows = t.region.join(names, F.col("r_regionkey") == F.col("n_regionkey"), "left").select("r_regionkey", F.when(F.col("r_regionkey") % 2 == 0, listed).otherwise(F.lit("")).alias("text"))
+    rows = t.region.join(lookup.joinable(names), F.col("r_regionkey") == F.col("n_regionkey"), "left").select("r_regionkey", F.when(F.col("r_regionkey") % 2 == 0, listed).otherwise(F.lit("")).alias("text"))
     found = lookup.replacements(rows, "text").drop("text")
     return found.withColumn("status", lookup.currentness_status(F.col("r_regionkey") > 0, F.col("replacement_uri")))
 

@@ -25,7 +25,7 @@ def nested_profiles(sites: DataFrame, datasets: DataFrame) -> DataFrame:
     one = datasets.groupBy("site_uri", "dataset_uri").agg(F.min("dataset_name").alias("name"), F.min("temporal_coverage").alias("coverage"), distributions.alias("distribution"), variables.alias("variables"))
     node = F.struct(F.col("dataset_uri").alias("@id"), F.lit("Dataset").alias("@type"), F.col("name"), F.col("coverage").alias("temporalCoverage"), "distribution", F.col("variables").alias("variableMeasured"))
     by_site = one.groupBy("site_uri").agg(F.array_sort(F.collect_list(node)).alias("subjectOf"))
-    joined = sites.join(by_site, "site_uri", "left")
+    joined = sites.join(joinable(by_site), "site_uri", "left")
     context = F.struct(*[F.lit(v).alias(k) for k, v in CONTEXT.items()])
     body = F.struct(context.alias("@context"), F.col("site_uri").alias("@id"), F.lit("Place").alias("@type"), F.col("name"), F.struct(F.col("geometry").alias("asWKT")).alias("hasGeometry"), "subjectOf")
     return joined.select("site_uri", F.to_json(body).alias("body"))
