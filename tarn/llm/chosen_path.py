@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -33,8 +33,10 @@ AGREE = 28
 LEAF, LEVELS = 1024, 8
 #: Part of the node above, in percent, from which on a large node is taken as a whole.
 DENSE = 75
-#: Shingles that one task compares at most where parts of a group meet, and those of a block that is compared on its own first.
-TASK_SHINGLES, BLOCK_SHINGLES = 4_000_000, 250_000
+#: Shingles that one task compares at most, and sets times shingles: the steps it takes where nothing is connected.
+TASK_SHINGLES, TASK_STEPS = 4_000_000, 10_000_000_000
+#: Members whose texts tell what a group's boilerplate is, about, and how often a large group is divided by it.
+SAMPLE, DIVISIONS = 64, 3
 
 _random = np.random.default_rng(20_240_901)
 _BYTE = _random.integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
@@ -261,36 +263,61 @@ def candidate_links(classes: DataFrame, leaf: int = LEAF, levels: int = LEVELS)
     return links
 
 
-def confirmed_links(members: DataFrame, percent: int, task_shingles: int = TASK_SHINGLES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Links (a, b) that connect the truly similar sets of each group. ``members``: group, key, n_shingles, text; a written table.
+def confirmed_links(members: DataFrame, percent: int, task_shingles: int = TASK_SHINGLES, depth: int = 0) -> DataFrame:
+    """Links (a, b) that connect the truly similar sets of each group. ``members``: group, key, n_shingles, text, label; a written table.
 
-    A group within ``block_shingles`` is compared in one task. A larger one goes in two rounds. First each block of it is
-    compared on its own, with a few members that all blocks get, which connects most of what belongs together: a large
-    group of near copies ends there, over as many tasks as it has blocks. Then the members outside the largest part are
-    compared with everything, in pairs of blocks of half of ``task_shingles``; within the largest part all is known.
+    A group that isn't too large is compared in one task; sets with one ``label`` are known to be connected. A larger group is dealt into blocks first, each compared on its own together with a few members that all blocks get: this
+    connects most of what belongs together, over as many tasks as there are blocks. What is still apart is divided by what
+    its texts have in common, see ``_divided``, and each division is confirmed like a group, some levels deep. Sets that
+    can't be told apart so, and those of the last level, are compared in pairs of blocks.
     """
     # Grouped sides are written, here and below: Spark can then split the partition of a group with very many members.
     weights = written(members.groupBy("group").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("n")), "weights")
-    sized = members.join(weights, "group")
-    no_label = F.lit(None).cast("binary").alias("label")
+    sized = members.join(weights, "group").withColumn("blocks", _blocks(F.col("weight"), F.col("n"), task_shingles))
     work = _confirm_group(percent)
-    links = _grouped(sized.where(F.col("weight") <= block_shingles).select("group", "key", "text", no_label), ["group"], work, "a binary, b binary")
-    large = sized.where(F.col("weight") > block_shingles)
+    links = _grouped(sized.where(F.col("blocks") == 1).select("group", "key", "text", "label"), ["group"], work, "a binary, b binary")
+    large = sized.where(F.col("blocks") > 1)
     if large.isEmpty():
         return links
-    blocks = F.ceil(2 * F.col("weight") / F.lit(block_shingles)).cast("int")
-    block = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     shared = F.pmod(F.xxhash64("key", F.lit(7)), F.col("n")) < 8
-    dealt = large.withColumn("block", F.explode(F.when(shared, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))))
-    first = written(_grouped(dealt.select("group", "block", "key", "text", no_label), ["group", "block"], work, "a binary, b binary"), "first")
-
-    known = large.join(components(first).select(F.col("node").alias("key"), F.col("component").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    parts = written(known.groupBy("group", "label").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("part_weight")), "parts")
-    largest = parts.groupBy("group").agg(F.max(F.struct("members", "label", "part_weight")).alias("main"), F.sum("part_weight").alias("all"))
-    open_ = known.join(written(largest.where(F.col("all") > F.col("main.part_weight")), "largest"), "group")
-    per_block = F.lit(task_shingles / 2)
-    n_main = F.ceil(F.col("main.part_weight") / per_block).cast("int")
-    n_rest = F.ceil((F.col("all") - F.col("main.part_weight")) / per_block).cast("int")
+    dealt = large.withColumn("block", F.explode(F.when(shared, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
+    first = written(_grouped(dealt.select("group", "block", "key", "text", "label"), ["group", "block"], work, "a binary, b binary"), "first")
+    links = links.unionByName(first)
+
+    before = large.where("label is not null").select(F.col("key").alias("a"), F.col("label").alias("b"))
+    labels = components(first.unionByName(before)).select(F.col("node").alias("key"), F.col("component").alias("label"))
+    known = large.drop("label").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    open_ = written(_still_apart(known), "open")
+    if open_.isEmpty():
+        return links
+    if depth == DIVISIONS:
+        return links.unionByName(_pairs_of_blocks(open_, work, task_shingles))
+    divided, alike = _divided(open_, percent)
+    deeper = confirmed_links(divided, percent, task_shingles, depth + 1)
+    return links.unionByName(deeper).unionByName(_pairs_of_blocks(alike, work, task_shingles))
+
+
+def _blocks(weight: Column, n: Column, task_shingles: int) -> Column:
+    """1 where one task compares ``n`` sets of so many shingles; else into how many blocks they go, two of which one task compares."""
+    steps = weight.cast("double") * n
+    one = (weight <= task_shingles) & (steps <= TASK_STEPS)
+    return F.when(one, 1).otherwise(F.greatest(F.ceil(2 * weight / F.lit(task_shingles)), F.ceil(F.sqrt(4 * steps / F.lit(float(TASK_STEPS)))))).cast("int")
+
+
+def _still_apart(known: DataFrame) -> DataFrame:
+    """The rows of groups that have more than one label."""
+    spread = known.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return known.join(written(spread.select("group"), "apart"), "group", "left_semi").select("group", "key", "n_shingles", "text", "label")
+
+
+def _pairs_of_blocks(rows: DataFrame, work: Callable, task_shingles: int) -> DataFrame:
+    """Links of each group's members: those outside the largest label's with everything, in pairs of blocks; within that label all is known."""
+    parts = written(rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("part_weight")), "parts")
+    largest = parts.groupBy("group").agg(F.max(F.struct("members", "label", "part_weight")).alias("main"), F.sum("part_weight").alias("all"), F.sum("members").alias("n"))
+    open_ = rows.join(written(largest.where(F.col("all") > F.col("main.part_weight")), "largest"), "group")
+    n_main = _blocks(F.col("main.part_weight"), F.col("main.members"), task_shingles)
+    n_rest = _blocks(F.col("all") - F.col("main.part_weight"), F.col("n") - F.col("main.members"), task_shingles)
     in_main = F.col("label") == F.col("main.label")
     own = F.pmod(F.xxhash64("key", F.lit(11)), F.when(in_main, n_main).otherwise(n_rest)).cast("int")
     pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -298,8 +325,50 @@ def confirmed_links(members: DataFrame, percent: int, task_shingles: int = TASK_
     with_rest = F.transform(F.sequence(F.lit(0), n_rest - 1), lambda j: pair(F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
     for_main = F.transform(F.sequence(F.lit(0), n_rest - 1), lambda j: pair(-1 - F.col("own"), j))
     spread = open_.withColumn("own", own).withColumn("block", F.explode(F.when(in_main, for_main).otherwise(F.concat(with_main, with_rest))))
-    second = _grouped(spread.select("group", "block.i", "block.j", "key", "text", "label"), ["group", "i", "j"], work, "a binary, b binary")
-    return links.unionByName(first).unionByName(second)
+    return _grouped(spread.select("group", "block.i", "block.j", "key", "text", "label"), ["group", "i", "j"], work, "a binary, b binary")
+
+
+def _divided(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Divides groups without parting similar sets: (members of the divisions, members that only blocks can compare).
+
+    Take any set of shingles as a group's boilerplate; here what more than half of some of its members have. Sets that share
+    a shingle outside of it go into one division. Two that share none have at most the smaller one's boilerplate in common,
+    and then a similarity t needs t * size of boilerplate in both, and 2t / (1 + t) * size in one: such sets of a group that
+    has one of the latter are left to the blocks. Pages of one template whose own words differ, however many, so need no
+    comparison at all.
+    """
+    boiled = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    sample = rows.join(written(boiled, "counts"), "group").where(F.pmod(F.xxhash64("key", F.lit(13)), F.col("n")) < SAMPLE)
+    common = written(_grouped(sample.select("group", "text"), ["group"], _boilerplate, "group binary, boilerplate binary"), "boilerplate")
+    schema = T.StructType.fromDDL("group binary, key binary, label binary, n_shingles long, shared long, rare array<long>")
+    arrow = to_arrow_schema(schema)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared, rare = [], []
+            for text, boilerplate in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                own = shingle_set(text)
+                in_both = np.isin(own, np.frombuffer(boilerplate or b"", dtype=np.uint64), assume_unique=True)
+                shared.append(int(in_both.sum()))
+                rare.append(own[~in_both].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(shared, pa.int64()), pa.array(rare, arrow[5].type)], schema=arrow)
+
+    pieces = written(rows.join(common, "group", "left").select("group", "key", "label", "n_shingles", "text", "boilerplate").mapInArrow(split, schema), "split")
+    tokens = pieces.select("group", "key", F.explode("rare").alias("shingle"))
+    nodes = written(tokens.groupBy("group", "shingle").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shingles")
+    stars = tokens.join(nodes, ["group", "shingle"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
+    division = components(stars).select(F.col("node").alias("key"), F.col("component").alias("division"))
+    placed = rows.join(division, "key").select(F.col("division").alias("group"), "key", "n_shingles", "text", "label")
+    heavy = F.col("shared") * (100 + percent) >= 2 * percent * F.col("n_shingles")
+    with_heavy = written(pieces.where(heavy).select("group").distinct(), "heavy")
+    alike = pieces.where(100 * F.col("shared") >= percent * F.col("n_shingles")).join(with_heavy, "group", "left_semi").select("key")
+    return written(_still_apart(placed), "divided"), written(_still_apart(rows.join(alike, "key", "left_semi")), "alike")
+
+
+def _boilerplate(values: tuple, columns: list[list]) -> Iterator[tuple]:
+    """The shingles that more than half of a group's texts have, sorted, as bytes."""
+    found, counts = np.unique(np.concatenate([shingle_set(t) for t in columns[0]]), return_counts=True)
+    yield values[0], found[2 * counts > len(columns[0])].tobytes()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, task_shingles: int = TASK_SHINGLES) -> DataFrame:
@@ -318,8 +387,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     groups = components(candidate_links(classes, leaf)).select(F.col("node").alias("key"), F.col("component").alias("group"))
     grouped = classes.join(groups, "key").select("id", "key", "group", "n_shingles")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    members = _own_texts(texts.join(grouped, texts["id"].eqNullSafe(grouped["id"])).select("group", "key", "n_shingles", "text"))
-    parts = components(confirmed_links(members, percent, task_shingles, min(task_shingles, BLOCK_SHINGLES)))
+    members = _own_texts(texts.join(grouped, texts["id"].eqNullSafe(grouped["id"])).select("group", "key", "n_shingles", "text")).withColumn("label", F.lit(None).cast("binary"))
+    parts = components(confirmed_links(members, percent, task_shingles))
     placed = rows.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = written(placed.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id")), "least")
     found = placed.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")))

@@ -85,6 +85,38 @@ def test_small_nodes_and_blocks_give_the_same(families):
     assert found(families, leaf=4, task_shingles=1500) == plain([tuple(r) for r in families.collect()])
 
 
+@pytest.fixture(scope="module")
+def templates(spark):
+    """Pages of two templates whose own words differ, some of them copied closely, and one that is nearly the bare template."""
+    own = random.Random(11)
+    fresh = lambda n: ["".join(own.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    texts = []
+    for _ in range(2):
+        template = fresh(120)
+        pages = [template + fresh(30) for _ in range(60)] + [template + fresh(n) for n in range(2, 30)]
+        copies = [page[:-2] + fresh(2) for page in pages[::7]] + [template[:-4] + fresh(4)]
+        texts += pages + copies + [copies[0][:-1] + fresh(1)]
+    own.shuffle(texts)
+    return spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("task_shingles", [2000, 8000])
+def test_templates_are_divided(templates, task_shingles):
+    assert found(templates, task_shingles=task_shingles) == plain([tuple(r) for r in templates.collect()])
+
+
+def test_divisions_part_no_similar_sets(spark, templates):
+    """Whatever similar pair is in a group, both are in one division, or both are left to the blocks."""
+    rows = [(b"g", str(i).encode(), len(cp.shingle_set(t.encode())), t.encode(), str(i).encode()) for i, t in templates.collect()]
+    members = cp.written(spark.createDataFrame(rows, "group binary, key binary, n_shingles long, text binary, label binary"), "members")
+    divided, alike = cp._divided(members, 75)
+    division = {bytes(r["key"]): bytes(r["group"]) for r in divided.collect()}
+    blocks = {bytes(r["key"]) for r in alike.collect()}
+    sets = [(r[1], set(cp.shingle_set(r[3]).tolist())) for r in rows]
+    pairs = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if 100 * len(x & y) >= 75 * len(x | y)]
+    assert pairs and all((a in division and division[a] == division.get(b)) or {a, b} <= blocks for a, b in pairs)
+
+
 def test_shingle_set():
     assert len(cp.shingle_set(b"")) == len(cp.shingle_set(None)) == len(cp.shingle_set(b" \n\t")) == 0
     assert len(cp.shingle_set(b"a b c d")) == 1 and len(cp.shingle_set(b"a b c d e f")) == 2
