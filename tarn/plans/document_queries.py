@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tarn import schemas
 from tarn.functions import temporal, text
-from tarn.operators import predicates
+from tarn.functions.json_text import json_problem
+from tarn.operators import predicates, spatial
 from tarn.operators.predicates import RoleMapping
 from tarn.plans import catalog, graph, harmonize, run
 from tarn.plans.plan_queries import _graph
@@ -89,11 +90,11 @@ def op02_rows(t):
     return rows.select("doc_id", F.col("record")["n"].alias("n"), F.col("record")["flag"].alias("flag"))
 
 
-def _linked(t: Tables):
+def _linked(t: Tables, table: str = "customer", number: str = "c_custkey", called: str = "c_name"):
     """A document for each customer, in one of five shapes; some say nothing of a dataset, some are no documents."""
-    key = F.col("c_custkey").cast("string")
+    key = F.col(number).cast("string")
     wrap = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    site, name = wrap("https://e.org/s/", key), F.col("c_name")
+    site, name = wrap("https://e.org/s/", key), F.col(called)
     data = wrap('"@type": "schema:Dataset", "schema:name": "D", "schema:distribution": {"schema:contentUrl": "https://e.org/', key, '.csv"}, "schema:variableMeasured": {"@id": "https://e.org/v", "schema:name": "flow"}')
     head = wrap('"@id": "', site, '", "@type": "hyf:HY_HydrometricFeature"')
     context = '"@context": {"schema": "https://schema.org/", "hyf": "https://www.opengis.net/def/schema/hy_features/hyf/", "x": "https://e.org/x/"}'
@@ -105,7 +106,7 @@ def _linked(t: Tables):
         wrap("{", context, ", ", head, "}"),
         F.lit("<html>"),
     ]
-    return t.customer.select(key.alias("profile_uri"), F.element_at(F.array(*shapes), (F.col("c_custkey") % 6 + 1).cast("int")).alias("body"))
+    return getattr(t, table).select(key.alias("profile_uri"), F.element_at(F.array(*shapes), (F.col(number) % 6 + 1).cast("int")).alias("body"))
 
 
 @query("OP94_locations_of_shapes", "SELECT CAST(c_custkey AS VARCHAR) AS source_url, 'https://e.org/s/' || CAST(c_custkey AS VARCHAR) AS site_uri, CASE WHEN c_custkey % 6 < 4 THEN c_name END AS name, 'HY_HydrometricFeature' AS site_type FROM customer WHERE c_custkey % 6 < 5")
@@ -123,11 +124,11 @@ def op14_contexts(t):
     return jsonld.documents(_linked(t)).select("profile_uri", F.size("nodes").alias("nodes"), F.array_join("codes", ",").alias("codes"))
 
 
-@query("OP22_profile_files", "SELECT 'https://e.org/s/' || CAST(c_custkey AS VARCHAR) AS site_uri, c_name AS name FROM customer WHERE c_custkey % 6 = 0")
+@query("OP22_profile_files", "SELECT 'https://e.org/s/' || CAST(s_suppkey AS VARCHAR) AS site_uri, CASE WHEN s_suppkey % 6 < 4 THEN s_name END AS name FROM supplier WHERE s_suppkey % 6 < 5")
 def op22(t):
-    """Documents written as files of one each, and read from these."""
+    """Documents of all suppliers written as files of one each, and read from these; some are no documents, and give no site."""
     path = fresh_path(t.spark, "profiles")
-    _linked(t).where("profile_uri % 6 = 0").select("body").write.option("maxRecordsPerFile", 1).text(path)
+    _linked(t, "supplier", "s_suppkey", "s_name").select("body").write.option("maxRecordsPerFile", 1).text(path)
     return linked_data.locations(jsonld.read_profiles(t.spark, path)).select("site_uri", "name")
 
 
@@ -262,3 +263,17 @@ def fn_ids(t):
 def fn_arrays(t):
     rows = t.customer.select("c_custkey", F.array("c_name", F.lit("x")).alias("a"))
     return rows.select("c_custkey", sink.canonical_text(F.col("a"), rows.schema["a"].dataType).alias("shown"))
+
+
+@query("FN_json_preflight", "SELECT event_id, CASE event_id % 8 WHEN 1 THEN 'syntax' WHEN 2 THEN 'duplicate_member' WHEN 3 THEN 'constant' WHEN 4 THEN 'depth' WHEN 5 THEN 'missing' WHEN 6 THEN 'bytes' WHEN 7 THEN 'members' END AS problem FROM events")
+def fn_json(t):
+    texts = ('{"a": [1, "x\\\\\\"}"]}', '{"a": 1,}', '{"a": 1, "a": 2}', '[NaN]', "[" * 9 + "]" * 9, None, '"' + "x" * 200 + '"', "[1, 2, 3, 4, 5, 6, 7, 8, 9]")
+    given = F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 8 + 1).cast("int"))
+    return t.events.select("event_id", json_problem(given, 100, 8, 7).alias("problem"))
+
+
+@query("FN_crs84", "SELECT event_id, round(degrees(event_id % 20000 * 1000 / 6378137.0), 9) AS lon, round(degrees(2 * atan(exp(event_id % 20000 * 1000 / 6378137.0)) - pi() / 2), 9) AS lat, CASE WHEN user_id <= 90 THEN CAST(user_id AS DOUBLE) END AS swapped FROM events")
+def fn_crs84(t):
+    at = (F.col("event_id") % 20_000 * 1000).cast("double")
+    web, swapped = spatial.to_crs84(at, at, "EPSG:3857"), spatial.to_crs84(F.col("user_id").cast("double"), F.lit(1.0), "EPSG:4326")
+    return t.events.select("event_id", F.round(web["lon"], 9).alias("lon"), F.round(web["lat"], 9).alias("lat"), swapped["lat"].alias("swapped"))

@@ -20,13 +20,15 @@ _READ = {T.StringType: str, T.LongType: int, T.IntegerType: int, T.DoubleType: f
 
 
 class Page(InputPartition):
-    def __init__(self, offset: int):
+    """A page by its offset; ``onward`` goes from page to page until the service has no more."""
+
+    def __init__(self, offset: int, onward: bool = False):
         super().__init__(offset)
-        self.offset = offset
+        self.offset, self.onward = offset, onward
 
 
 class FeatureCollections(DataSource):
-    """Options: url (of the items), properties (DDL of the columns), bbox, limit (of a page), timeout in seconds."""
+    """Options: url (of the items), properties (DDL of the columns), bbox, limit (of a page), pages (at most, where the service doesn't count), timeout in seconds."""
 
     @classmethod
     def name(cls) -> str:
@@ -43,6 +45,7 @@ class FeatureReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.fields = schema.fields
         self.url, self.limit, self.timeout = options["url"], int(options.get("limit", 1000)), float(options.get("timeout", 60))
+        self.pages = int(options.get("pages", 10_000))
         self.query = {"f": "json", **({"bbox": options["bbox"]} if "bbox" in options else {})}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -62,14 +65,29 @@ class FeatureReader(DataSourceReader):
             return json.load(response)
 
     def partitions(self) -> list[InputPartition]:
-        """A page for each ``limit`` features of those that match, as the service counts them."""
+        """A page for each ``limit`` features of those that match, as the service counts them; where it doesn't, one task goes from page to page."""
         matched = self._get(0, 1).get("numberMatched")
         if matched is None:
-            raise ValueError("the service doesn't say how many features match")
+            return [Page(0, onward=True)]
         return [Page(at) for at in range(0, matched, self.limit)] or [Page(0)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        page = self._get(partition.offset, self.limit)
+        """Rows of a page, or of all from it on: until a page is empty, or short without a link to the next, or ``pages`` have been read, which is an error."""
+        offset, last = partition.offset, None
+        for _ in range(self.pages if partition.onward else 1):
+            page = self._get(offset, self.limit)
+            yield from self._rows(page)
+            own = [f.get("id") for f in page["features"]]
+            linked = any(link.get("rel") == "next" for link in page.get("links", []))
+            if not own or (len(own) < self.limit and not linked):
+                return
+            if own == last:
+                raise ValueError("the service gives one page again and again")
+            offset, last = offset + len(own), own
+        if partition.onward:
+            raise ValueError(f"more than {self.pages} pages")
+
+    def _rows(self, page: dict) -> Iterator[tuple]:
         if page.get("numberReturned", len(page["features"])) != len(page["features"]):
             raise ValueError("a page doesn't hold what it says")
         for feature in page["features"]:

@@ -258,7 +258,8 @@ def service():
             asked.append(q)
             found = [f for f in features if "code" not in q or f["properties"]["code"] == q["code"]]
             page = found[int(q["offset"]) :][: int(q["limit"])]
-            body = json.dumps({"type": "FeatureCollection", "features": page, "numberMatched": len(found), "numberReturned": len(page)}).encode()
+            told = {} if self.path.startswith("/uncounted") else {"numberMatched": len(found)}
+            body = json.dumps({"type": "FeatureCollection", "features": page, "numberReturned": len(page), **told}).encode()
             self.send_response(200)
             self.end_headers()
             self.wfile.write(body)
@@ -279,6 +280,10 @@ def test_feature_collections(spark, service):
     read = lambda: spark.read.format("feature_collection").option("url", url).option("limit", 10).option("properties", "code string, n long, even boolean").load()
     rows = read().orderBy("n").collect()
     assert len(rows) == 25 and rows[3]["code"] == "03" and rows[4]["even"] is True and json.loads(rows[5]["geometry"])["coordinates"] == [5, 0]
+    uncounted = spark.read.format("feature_collection").option("url", url.replace("/items", "/uncounted")).option("limit", 10).option("properties", "n long")
+    assert sorted(r["n"] for r in uncounted.load().collect()) == list(range(25))
+    with pytest.raises(Exception, match="more than 1 pages"):
+        uncounted.option("pages", 1).load().collect()
     asked.clear()
     assert [r["n"] for r in read().where("code = '07'").collect()] == [7]
     assert all(q.get("code") == "07" for q in asked) and asked
