@@ -72,10 +72,18 @@ def op39(t):
     return t.orders.select("o_orderkey", predicates.valid_identifier(key, predicates.HUC).alias("huc"), predicates.valid_identifier(key, predicates.COMID).alias("comid"))
 
 
-@query("OP42_safe_urls", r"SELECT e.event_id, e.event_id % 4 IN (0, 3) AS safe FROM events e")
+#: Places in the list that may be requested: the even ones.
+_URLS = (
+    "http://example.org/a", "http://10.1.2.3/a", "https://8.8.8.8/?q", "https://user@example.org/", "http://172.32.0.1/", "http://172.16.5.4/", "http://169.253.1.1/", "http://169.254.169.254/latest", "http://100.128.0.1/", "http://100.64.0.1/",
+    "http://192.169.0.1/", "http://192.168.0.1:8080/", "HTTPS://Example.ORG:443", "http://[::1]/", "https://example.org./", "http://[fe80::1]:80/", "http://223.1.1.1/", "http://224.0.0.1/", "http://localhost.example.org/", "http://api.localhost/",
+    "http://192.0.3.1/", "http://192.0.2.1/", "http://a.b/#localhost", "ftp://example.org/", "http://11.0.0.1/", "http://0.0.0.0/", "http://126.0.0.1/", "http://127.1.2.3/",
+)
+
+
+@query("OP42_safe_urls", f"SELECT event_id, event_id % {len(_URLS)} % 2 = 0 AS safe FROM events")
 def op42(t):
-    hosts = F.element_at(F.array(*map(F.lit, ("http://example.org/a", "http://10.1.2.3/a", "https://user@example.org/", "https://8.8.8.8/?q"))), (F.col("event_id") % 4 + 1).cast("int"))
-    return t.events.select("event_id", text.url_is_safe(hosts).alias("safe"))
+    url = F.element_at(F.array(*map(F.lit, _URLS)), (F.col("event_id") % len(_URLS) + 1).cast("int"))
+    return t.events.select("event_id", text.url_is_safe(url).alias("safe"))
 
 
 @query("OP43_safe_texts", r"SELECT doc_id, NOT regexp_matches(text, '[\x00-\x1f\x7f-\x{9f}\x{ad}\x{200b}-\x{200f}\x{2028}-\x{202e}\x{feff}]') AND strlen(text) <= 4000 AS safe FROM documents")

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import json
 import urllib.parse
-import urllib.request
 from collections.abc import Iterator
 
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
+from tarn.sources.http import MOST_BYTES, fetched
+
 _READ = {T.StringType: str, T.LongType: int, T.IntegerType: int, T.DoubleType: float, T.BooleanType: bool}
 
 
@@ -28,7 +29,7 @@ class Page(InputPartition):
 
 
 class FeatureCollections(DataSource):
-    """Options: url (of the items), properties (DDL of the columns), bbox, limit (of a page), pages (at most, where the service doesn't count), timeout in seconds."""
+    """Options: url (of the items), properties (DDL of the columns), bbox, limit (of a page), pages (at most, where the service doesn't count), max_bytes (of a page), timeout in seconds."""
 
     @classmethod
     def name(cls) -> str:
@@ -45,7 +46,7 @@ class FeatureReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.fields = schema.fields
         self.url, self.limit, self.timeout = options["url"], int(options.get("limit", 1000)), float(options.get("timeout", 60))
-        self.pages = int(options.get("pages", 10_000))
+        self.pages, self.most_bytes = int(options.get("pages", 10_000)), int(options.get("max_bytes", MOST_BYTES))
         self.query = {"f": "json", **({"bbox": options["bbox"]} if "bbox" in options else {})}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -59,10 +60,7 @@ class FeatureReader(DataSourceReader):
 
     def _get(self, offset: int, limit: int) -> dict:
         url = f"{self.url}?{urllib.parse.urlencode({**self.query, 'limit': limit, 'offset': offset})}"
-        if urllib.parse.urlsplit(url).scheme not in ("http", "https"):
-            raise ValueError("only HTTP(S) collections are read")
-        with urllib.request.urlopen(url, timeout=self.timeout) as response:
-            return json.load(response)
+        return json.loads(fetched(url, self.timeout, self.most_bytes))
 
     def partitions(self) -> list[InputPartition]:
         """A page for each ``limit`` features of those that match, as the service counts them; where it doesn't, one task goes from page to page."""

@@ -19,6 +19,7 @@ from tarn.sinks import package, publish
 from tarn.sinks import text as sink
 from tarn.sources import delimited, documents, vocabularies
 from tarn.sources.features import FeatureCollections
+from tarn.sources.graph_results import GraphResults
 from tarn.streaming import observations as stream
 
 U = "http://qudt.org/vocab/unit/"
@@ -264,6 +265,15 @@ def service():
             self.end_headers()
             self.wfile.write(body)
 
+        def do_POST(self):
+            asked.append(self.rfile.read(int(self.headers["Content-Length"])).decode())
+            rows = [{"site": {"type": "uri", "value": "urn:a"}}, {"site": {"type": "uri", "value": "urn:b"}, "name": {"type": "typed-literal", "value": "2", "datatype": "urn:int"}}]
+            body = json.dumps({"head": {"vars": ["site", "name"]}, "results": {"bindings": rows}}).encode()
+            self.send_response(200)
+            self.send_header("Content-Type", "text/html" if "html" in asked[-1] else "application/sparql-results+json; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(body)
+
         def log_message(self, *args):
             pass
 
@@ -289,6 +299,17 @@ def test_feature_collections(spark, service):
     assert all(q.get("code") == "07" for q in asked) and asked
 
 
+def test_graph_results(spark, service):
+    url, asked = service
+    spark.dataSource.register(GraphResults)
+    read = lambda query, **more: spark.read.format("graph_results").option("url", url).option("query", query).options(**more).load()
+    rows = read("SELECT ?site ?name").orderBy("row", "variable_index").collect()
+    assert [tuple(r) for r in rows] == [(1, 1, "site", "uri", "urn:a", None, None), (2, 1, "site", "uri", "urn:b", None, None), (2, 2, "name", "literal", "2", "urn:int", None)] and asked[-1] == "SELECT ?site ?name"
+    for query, more, message in (("html", {}, "of type text/html"), ("x", {"max_bytes": 10}, "more than 10 bytes"), ("x", {"max_rows": 1}, "more than 1 rows")):
+        with pytest.raises(Exception, match=message):
+            read(query, **more).collect()
+
+
 def test_parameters():
     import datetime as dt
 
