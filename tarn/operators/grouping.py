@@ -79,9 +79,9 @@ def complete_products(rows: DataFrame, key: str, left: str, right: str) -> DataF
 
 
 def first_values(rows: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
-    """For each key its first value by ``order`` that isn't null, and whether others differ from it. Combined in the tasks first."""
+    """For each key its first value by ``order`` (of ties the least) that isn't null, and whether others differ from it. Combined in the tasks first."""
     known = F.col(value).isNotNull()
-    first = F.min_by(value, F.when(known, F.struct(*order)))
+    first = F.min_by(value, F.when(known, F.struct(*order, value)))
     return rows.groupBy(key).agg(F.when(F.count(value) > 0, first).alias("value"), F.coalesce(F.min(value) != F.max(value), F.lit(False)).alias("contradictory"))
 
 

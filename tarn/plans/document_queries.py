@@ -272,8 +272,8 @@ def fn_json(t):
     return t.events.select("event_id", json_problem(given, 100, 8, 7).alias("problem"))
 
 
-@query("FN_crs84", "SELECT event_id, round(degrees(event_id % 20000 * 1000 / 6378137.0), 9) AS lon, round(degrees(2 * atan(exp(event_id % 20000 * 1000 / 6378137.0)) - pi() / 2), 9) AS lat, CASE WHEN user_id <= 90 THEN CAST(user_id AS DOUBLE) END AS swapped FROM events")
+@query("FN_crs84", "SELECT event_id, round(degrees(event_id % 20000 * 1000 / 6378137.0), 6) AS lon, round(degrees(2 * atan(exp(event_id % 20000 * 1000 / 6378137.0)) - pi() / 2), 6) AS lat, CASE WHEN user_id <= 90 THEN CAST(user_id AS DOUBLE) END AS swapped FROM events")
 def fn_crs84(t):
     at = (F.col("event_id") % 20_000 * 1000).cast("double")
     web, swapped = spatial.to_crs84(at, at, "EPSG:3857"), spatial.to_crs84(F.col("user_id").cast("double"), F.lit(1.0), "EPSG:4326")
-    return t.events.select("event_id", F.round(web["lon"], 9).alias("lon"), F.round(web["lat"], 9).alias("lat"), swapped["lat"].alias("swapped"))
+    return t.events.select("event_id", F.round(web["lon"], 6).alias("lon"), F.round(web["lat"], 6).alias("lat"), swapped["lat"].alias("swapped"))

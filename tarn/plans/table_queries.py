@@ -176,7 +176,7 @@ def op72(t):
 
 @query(
     "OP73_first_value_and_conflict",
-    "SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_partkey)[1] AS value, count(DISTINCT l_returnflag) > 1 AS contradictory FROM lineitem GROUP BY 1",
+    "SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_partkey, l_returnflag)[1] AS value, count(DISTINCT l_returnflag) > 1 AS contradictory FROM lineitem GROUP BY 1",
 )
 def op73(t):
     return grouping.first_values(t.lineitem, "l_orderkey", "l_returnflag", ["l_linenumber", "l_partkey"])
