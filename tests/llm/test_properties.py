@@ -23,7 +23,7 @@ def test_word_ids(text):
     text = text.encode("utf-8", "ignore").decode()
     library = Tokenizer.from_file(WORD) if not hasattr(test_word_ids, "library") else test_word_ids.library
     test_word_ids.library = library
-    assert np.frombuffer(wordpieces.word_ids(WORD)(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(wordpieces.word_ids(WORD).encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=600, deadline=None)
