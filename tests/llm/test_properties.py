@@ -59,6 +59,8 @@ def test_chunks_join_to_the_payload(raw):
 @given(texts)
 def test_folding_and_contents(text):
     text = text.encode("utf-8", "ignore").decode()
-    assert len(toxicity.fold(text)) == len(text)
+    places = list(toxicity._places(text))
+    assert len(toxicity.fold(text)) == len(places) - 1 == len(text) - len(toxicity.UNSEEN.findall(text)) and places == sorted(set(places))
+    assert all(toxicity.fold(text[i]) == ch for i, ch in zip(places, toxicity.fold(text), strict=False))
     assert grace.content_of(text.encode()).decode() == "".join(c for c in text if c not in " \t\n\v\f\r")
     assert 0 <= toxicity.score_text(text, toxicity.Lexicon()) <= 1
