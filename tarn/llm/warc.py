@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tarn.llm.common import bound_batches, fresh_path, written
 
 #: Records of one archive file at most, and compressed bytes from which on it is closed: a file is small enough for a task.
-FILE_RECORDS, FILE_BYTES = 3000, 16 << 20
+FILE_RECORDS, FILE_BYTES = 10_000, 16 << 20
 #: Requests and metadata records in one row of a capture, about; what a capture has beyond goes into rows of their own.
 ATTACHED = 10_000
 EOL = "\r\n"
@@ -201,9 +201,8 @@ def assemble(records: DataFrame, attached: int = ATTACHED) -> DataFrame:
     main = records.where(F.col("type").isin("response", "revisit", "resource"))
     rest = records.where(F.col("type").isin("request", "metadata")).withColumn("nth", F.monotonically_increasing_id())
     named = rest.select("record_id", F.explode("concurrent_to").alias("other"))
-    # Grouped sides are written: very many records may name one, and Spark can then split that one's partition.
-    ids = written(main.select(F.col("record_id").alias("capture_id")).distinct(), "ids")
-    direct = named.join(ids, F.col("other") == F.col("capture_id")).select("record_id", "capture_id")
+    # Very many records may name one. This join has two plain sides, and grouped sides are written: Spark can split both.
+    direct = named.join(main.select(F.col("record_id").alias("other")), "other", "left_semi").select("record_id", F.col("other").alias("capture_id"))
     naming = main.select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("record_id")).select("record_id", "capture_id")
     near = written(direct.unionByName(naming).groupBy("record_id").agg(F.min("capture_id").alias("capture_id")), "near")
     through = named.join(near.withColumnRenamed("record_id", "via"), F.col("other") == F.col("via")).select("record_id", "capture_id")
