@@ -10,7 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tarn.llm import attribution, chosen_path, chunks, grace, packing, pieces, shards, toxicity
+from tarn.llm import attribution, chosen_path, chunks, grace, packing, pieces, toxicity
 from tarn.llm.common import vocabulary, written
 
 from .test_chosen_path import plain as near_plain
