@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarn.storage import fresh_path
 from tarn.storage import stored as written
 
-__all__ = ["bound_batches", "fresh_path", "free_name", "vocabulary", "written"]
+__all__ = ["blobs", "bound_batches", "fresh_path", "free_name", "vocabulary", "write_blobs", "written"]
 
 #: Rows and bytes of an Arrow batch at most (a batch has one row at least): with whole documents these bound a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
@@ -46,6 +47,20 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set(key, str(size))
 
 
+def write_blobs(files: DataFrame, path: str) -> None:
+    """Writes each row's ``content`` as a file of its own, wherever Spark can write. The last byte of each has to be 0.
+
+    Spark's text writer puts bytes down as they are and ends each row with a line end, which here is that 0; it commits a
+    task's files together, so a task that is run again leaves nothing behind.
+    """
+    files.select(F.expr("substring(content, 1, octet_length(content) - 1)").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+def blobs(spark: SparkSession, path: str) -> DataFrame:
+    """The files below ``path``, a row of ``content`` each."""
+    return spark.read.format("binaryFile").load(path).select("content")
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer file, on whichever machine this runs; TARN_TOKENIZERS names another folder."""
     if folder := os.environ.get("TARN_TOKENIZERS"):

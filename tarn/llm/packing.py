@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarn.llm.common import bound_batches, vocabulary, written
-from tarn.llm.wordpieces import word_ids
+from tarn.llm.wordpieces import Encoder
 
 CAPACITY = 2048
 
@@ -122,14 +122,12 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tok
     arrow = to_arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, words = TaskContext.get().partitionId(), defaultdict(int), word_ids(vocabulary(tokenizer))
+        part, seen, encode = TaskContext.get().partitionId(), defaultdict(int), Encoder(vocabulary(tokenizer))
         for batch in batches:
             rows: list[tuple] = []
             texts = batch.column(1).cast(pa.binary())
-            if batch.num_rows:
-                words.check(min((t.as_py() or b"" for t in texts.slice(0, 8)), key=len))
             for row, text in enumerate(texts.to_pylist()):
-                ids = words.encode(text or b"") + bytes(4)
+                ids = encode(text) + bytes(4)
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[start : start + 4 * capacity]
                     n = len(own) // 4

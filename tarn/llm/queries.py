@@ -12,7 +12,8 @@ from tarn.llm.secrets import op7_secrets
 from tarn.llm.shards import op5_shards
 from tarn.llm.toxicity import op6_toxicity
 from tarn.llm.warc import OP1_SQL, op1_warc
+from tarn.llm.wavelet import op13_wavelet
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pieces, op3_near_duplicates, op4_exact_dedup, op5_shards, op6_toxicity, op7_secrets, op8_attribution, op9_media, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pieces, op3_near_duplicates, op4_exact_dedup, op5_shards, op6_toxicity, op7_secrets, op8_attribution, op9_media, op10_packing, op13_wavelet)}
 
 SQL = {"op1_warc": OP1_SQL, "op3_near_duplicates": OP3_SQL, "op4_exact_dedup": OP4_SQL}

@@ -1,23 +1,27 @@
-"""Ids of the word-end BPE tokenizer, part by part.
+"""Ids of the word-end BPE tokenizer, word by word.
 
-Its normalizer and splitter never look across white space, so a document's ids are those of its words in a row. Parts of
-words repeat; each worker keeps the ids of those it has met, up to a bound, and asks the tokenizers library for the rest.
-Words with characters other than plain ones go to the library whole. One whole text of each batch is compared with the
-library's own encoding of it.
+Its normalizer and splitter never look across white space, so a document's ids are those of its words in a row. Words
+repeat; each worker keeps the ids of those it has met, up to a bound. A new word of plain characters is put together from
+its parts, which repeat more often still; the tokenizers library encodes new parts, and words with other characters whole.
+Of all texts one in CHECKED, chosen by a hash of its bytes however long it is, and the first one of each worker's task is
+encoded by the library as a whole as well; a difference is an error.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import zlib
 from array import array
 
 #: Characters whose lower case and NFC form need no context: ASCII and the precomposed Latin-1 letters.
 PLAIN = re.compile(r"[\t-\r -~À-ÿ]*")
 #: The splitter's own pattern (fixed value of the tokenizer file), for plain characters.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+")
-#: Parts of words that a worker remembers; beyond, it starts afresh.
-PARTS = 500_000
+#: Words, parts of words and hashes of compared texts that a worker remembers; beyond, it starts afresh.
+KEPT = 500_000
+#: One text in so many is compared with the library's own encoding of it.
+CHECKED = 50
 
 
 class _Parts(dict):
@@ -32,7 +36,7 @@ class _Parts(dict):
     def __missing__(self, part: str) -> bytes:
         ids = self.library_ids(part)
         if len(part) <= 64:
-            if len(self) >= PARTS:
+            if len(self) >= KEPT:
                 self.clear()
             self[part] = ids
         return ids
@@ -40,33 +44,62 @@ class _Parts(dict):
     def library_ids(self, text: str) -> bytes:
         return array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def plain(self, text: str) -> bool:
-        return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
-
-    def encode(self, raw: bytes) -> bytes:
-        text = raw.decode("utf-8", "replace")
-        if self.plain(text):
-            return b"".join(map(self.__getitem__, SPLIT.findall(text.lower())))
-        return b"".join([self.word(w) for w in raw.split()])
-
     def word(self, raw: bytes) -> bytes:
         text = raw.decode("utf-8", "replace")
-        if self.plain(text):
+        if PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special):
             return b"".join(map(self.__getitem__, SPLIT.findall(text.lower())))
         return self.library_ids(text)
 
-    def check(self, raw: bytes) -> None:
-        """Compares a whole text's ids with the library's; a difference, as of where it is split, is an error."""
-        text = raw.decode("utf-8", "replace")
-        if self.library_ids(text) != self.encode(raw):
-            raise ValueError(f"a text that begins {text[:80]!r} has other ids in the tokenizers library")
+
+class _Words(dict):
+    """The ids of words between white space, as bytes."""
+
+    def __init__(self, path: str):
+        self.parts = _Parts(path)
+        self.compared: set[int] = set()
+
+    def __missing__(self, raw: bytes) -> bytes:
+        ids = self.parts.word(raw)
+        if len(raw) <= 64:
+            if len(self) >= KEPT:
+                self.clear()
+            self[raw] = ids
+        return ids
+
+    def encode(self, raw: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, raw.split()))
+
+    def check(self, raw: bytes, ids: bytes, always: bool = False) -> None:
+        """Compares a text's ids with the library's, if the text is one of those to be compared; equal texts once."""
+        crc = zlib.crc32(raw)
+        if (always or crc % CHECKED == 0) and crc not in self.compared:
+            if len(self.compared) >= KEPT:
+                self.compared.clear()
+            self.compared.add(crc)
+            text = raw.decode("utf-8", "replace")
+            if self.parts.library_ids(text) != ids:
+                raise ValueError(f"a text that begins {text[:80]!r} has other ids in the tokenizers library")
 
 
 @functools.cache
-def _parts(path: str) -> _Parts:
-    return _Parts(path)
+def _words(path: str) -> _Words:
+    return _Words(path)
 
 
-def word_ids(path: str) -> _Parts:
+def word_ids(path: str) -> _Words:
     """The worker's tokenizer: ``encode`` goes from UTF-8 text to its ids, as little-endian unsigned 32-bit numbers in a row."""
-    return _parts(path)
+    return _words(path)
+
+
+class Encoder:
+    """Encodes the texts of one task, and compares those that are to be compared."""
+
+    def __init__(self, path: str):
+        self.words, self.first = word_ids(path), True
+
+    def __call__(self, raw: bytes | None) -> bytes:
+        raw = raw or b""
+        ids = self.words.encode(raw)
+        self.words.check(raw, ids, self.first and bool(raw))
+        self.first = self.first and not raw
+        return ids
