@@ -125,9 +125,8 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tok
         part, seen, encode = TaskContext.get().partitionId(), defaultdict(int), Encoder(vocabulary(tokenizer))
         for batch in batches:
             rows: list[tuple] = []
-            texts = batch.column(1).cast(pa.binary())
-            for row, text in enumerate(texts.to_pylist()):
-                ids = encode(text) + bytes(4)
+            for row, ids in enumerate(encode(batch.column(1))):
+                ids += bytes(4)
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[start : start + 4 * capacity]
                     n = len(own) // 4

@@ -212,8 +212,8 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         for batch in batches:
             begun = 0
-            for row, text in enumerate(batch.column(1).cast(pa.binary())):
-                ids.append(encode(text.as_py()) + end)
+            for row, own in enumerate(encode(batch.column(1))):
+                ids.append(own + end)
                 held += len(ids[-1]) // 4
                 if held >= shard_tokens:
                     rows.append(batch.column(0).slice(begun, row + 1 - begun))
