@@ -124,6 +124,36 @@ def op14_contexts(t):
     return jsonld.documents(_linked(t)).select("profile_uri", F.size("nodes").alias("nodes"), F.array_join("codes", ",").alias("codes"))
 
 
+@query(
+    "OP60_reached_nodes",
+    """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS profile_uri, c_custkey % 13 AS last FROM customer)
+SELECT profile_uri, 'n' || CAST(i AS VARCHAR) AS node, CAST(i AS INTEGER) AS steps FROM c, unnest(generate_series(0, last)) u(i)""",
+)
+def op60_reached(t):
+    """A document for each customer: a chain of up to thirteen nodes, each of which also names the first, and everything reached from that."""
+    key, last = F.col("c_custkey").cast("string"), (F.col("c_custkey") % 13).cast("int")
+    node = lambda i: F.concat(F.lit('{"@id": "n'), i.cast("string"), F.lit('", "schema:name": "'), key, F.lit('", "schema:isPartOf": [{"@id": "n0"}'), F.when(i < last, F.concat(F.lit(', {"@id": "n'), (i + 1).cast("string"), F.lit('"}'))).otherwise(F.lit("")), F.lit("]}"))
+    body = F.concat(F.lit('{"@graph": ['), F.array_join(F.transform(F.sequence(F.lit(0), last), node), ", "), F.lit("]}"))
+    nodes = jsonld.node_table(t.customer.select(key.alias("profile_uri"), body.alias("body")))
+    return jsonld.reached(nodes, nodes.where("node = 'n0'")).select("profile_uri", "node", "steps")
+
+
+@query(
+    "OP14_terms",
+    """WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS profile_uri, 'https://e.org/s/' || CAST(s_suppkey AS VARCHAR) AS node, s_name, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier)
+SELECT profile_uri, node, 'name' AS property, 0 AS nth, s_name AS value, NULL AS reference FROM s UNION ALL SELECT profile_uri, node, 'name', 1, 'der ' || s_name, NULL FROM s
+UNION ALL SELECT profile_uri, node, 'https://e.org/nation', 0, NULL, 'https://e.org/n/' || nation FROM s UNION ALL SELECT profile_uri, 'https://e.org/r', 'https://e.org/serves', 0, NULL, node FROM s
+UNION ALL SELECT profile_uri, node, '@type', 0, 'Organization', NULL FROM s UNION ALL SELECT profile_uri, node, 'https://e.org/list', CAST(i AS INTEGER), CAST(i AS VARCHAR), NULL FROM s, unnest(generate_series(0, 2)) u(i)""",
+)
+def op14_terms(t):
+    """A document for each supplier whose context has aliases, addresses, languages, lists, a base and a reversed name, as statements."""
+    context = '"@context": {"schema": "https://schema.org/", "id": "@id", "type": "@type", "@base": "https://e.org/s/", "ex": "https://e.org/", "nation": {"@id": "ex:nation", "@type": "@id"}, "label": {"@id": "schema:name", "@container": "@language"}, "servedBy": {"@reverse": "ex:serves", "@type": "@id"}, "list": {"@id": "ex:list", "@container": "@list"}}'
+    key, name = F.col("s_suppkey").cast("string"), F.col("s_name")
+    parts = ["{" + context + ', "id": "', key, '", "type": "schema:Organization", "label": {"de": "der ', name, '", "en": "', name, '"}, "nation": "ex:n/', F.col("s_nationkey").cast("string"), '", "servedBy": "../r", "list": [0, 1, 2]}']
+    body = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return jsonld.statements(jsonld.node_table(t.supplier.select(key.alias("profile_uri"), body.alias("body"))))
+
+
 @query("OP22_profile_files", "SELECT 'https://e.org/s/' || CAST(s_suppkey AS VARCHAR) AS site_uri, CASE WHEN s_suppkey % 6 < 4 THEN s_name END AS name FROM supplier WHERE s_suppkey % 6 < 5")
 def op22(t):
     """Documents of all suppliers written as files of one each, and read from these; some are no documents, and give no site."""

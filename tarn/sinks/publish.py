@@ -61,23 +61,40 @@ def is_valid(found: DataFrame) -> bool:
     return found.where("severity = 'error'").isEmpty()
 
 
-#: Location types that may be texts, and severity, rule, message and fix of what a document may break.
+#: Location types that may be texts; rule ids and severities of what a document may break, as are the pointers below.
 LOCATION_TYPES = ("hydrometricStation", "Unknown")
-DOCUMENT_RULES = {
-    "document.parse": ("error", "The input could not be parsed as bounded JSON-LD.", "Provide one UTF-8 JSON-LD document."),
-    "profile.version": ("error", "The document does not declare this profile version.", "Set the profile version."),
-    "profile.identifier": ("error", "The document does not declare this profile.", "Set the profile's IRI."),
-    "site.required": ("error", "The document contains no monitoring location.", "Add one hydrometric feature with an @id."),
-    "site.identifier": ("error", "A site has no canonical IRI.", "Set @id to one canonical absolute IRI."),
-    "site.location_type_missing": ("warning", "A site has no location type.", "Add a location type."),
-    "site.location_type": ("error", "A location type is neither a canonical IRI nor an approved text.", "Use a canonical IRI, hydrometricStation or Unknown."),
-    "site.provider": ("error", "A site does not identify its provider.", "Add a provider with an @id, a name and a URL."),
-    "site.provider_name": ("error", "A provider has no name.", "Name the provider."),
-    "site.provider_url": ("error", "A provider has no canonical URL.", "Add the provider's URL."),
-    "site.name": ("warning", "A site has no name.", "Name the site."),
-    "site.geometry": ("error", "A geometry is no point.", "Publish one POINT in longitude and latitude."),
-    "dataset.distribution": ("warning", "A dataset row has no distribution URL.", "Add a distribution with a content URL."),
-    "dataset.variable": ("warning", "A dataset row has no stable variable identity.", "Add a variable IRI, or provider and label."),
+SEVERITIES = {
+    "document.parse": "error",
+    "profile.version": "error",
+    "profile.identifier": "error",
+    "site.required": "error",
+    "site.identifier": "error",
+    "site.location_type_missing": "warning",
+    "site.location_type": "error",
+    "site.provider": "error",
+    "site.provider_name": "error",
+    "site.provider_url": "error",
+    "site.name": "warning",
+    "site.geometry": "error",
+    "dataset.distribution": "warning",
+    "dataset.variable": "warning",
+}
+#: What each rule found, and what to do.
+ADVICE = {
+    "document.parse": ("Nothing could be read: this is no JSON-LD.", "Check the text with a JSON parser."),
+    "profile.version": ("Readers can't tell which version of the profile applies.", "Give profileVersion the value asked for."),
+    "profile.identifier": ("Readers can't tell that the profile applies.", "Let profile name the profile asked for."),
+    "site.required": ("There is no site to publish.", "Describe a site, with type, @id and position."),
+    "site.identifier": ("A site can't be referred to.", "Let its @id be an IRI in normal form."),
+    "site.location_type_missing": ("What kind of place a site is remains open.", "Say so by HY_HydroLocationType."),
+    "site.location_type": ("A site is of a kind that nobody knows.", "Take a kind's IRI, or one of the two texts that are allowed."),
+    "site.provider": ("Nobody answers for a site.", "Name who provides it, by @id or URL."),
+    "site.provider_name": ("A provider is known by its address alone.", "Give its name too."),
+    "site.provider_url": ("A provider can't be visited.", "Give its web address in normal form."),
+    "site.name": ("People can't tell a site by its address.", "Give it a name."),
+    "site.geometry": ("A site's position can't be drawn as a point.", "Write it as POINT (longitude latitude)."),
+    "dataset.distribution": ("There is nothing to download of a dataset.", "Give a distribution's contentUrl."),
+    "dataset.variable": ("Two datasets of one variable can't be matched.", "Give the variable an IRI, or a name and a provider."),
 }
 
 
@@ -127,6 +144,7 @@ def document_findings(profiles: DataFrame, version: str, profile: str) -> DataFr
     with_sites = joinable(sites.select("profile_uri").distinct())
     parts = [whole.select("profile_uri", F.explode(F.concat(top, odd)).alias("f")), sites.select("profile_uri", F.explode(of_site).alias("f")), datasets_.join(with_sites, "profile_uri", "left_semi").select("profile_uri", F.explode(of_dataset).alias("f"))]
     all_ = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("profile_uri", "f.*").distinct()
-    said = lambda i, other: F.coalesce(F.create_map(*[F.lit(x) for r, v in DOCUMENT_RULES.items() for x in (r, v[i])])[F.col("rule_id")], F.lit(other))
-    out = all_.select("profile_uri", said(0, "warning").alias("severity"), "json_pointer", "rule_id", F.lit(version).alias("profile_version"), said(1, "Something in the document is odd.").alias("message"), said(2, "Correct or remove it.").alias("suggested_fix"))
+    said = lambda known, other: F.coalesce(F.create_map(*[F.lit(x) for item in known.items() for x in item])[F.col("rule_id")], F.lit(other))
+    message, fix = ({rule: parts[i] for rule, parts in ADVICE.items()} for i in (0, 1))
+    out = all_.select("profile_uri", said(SEVERITIES, "warning").alias("severity"), "json_pointer", "rule_id", F.lit(version).alias("profile_version"), said(message, "The document holds something unusual.").alias("message"), said(fix, "See the code behind the rule's name.").alias("suggested_fix"))
     return out.orderBy(_place(F.col("severity")), "json_pointer", "rule_id", "profile_uri")

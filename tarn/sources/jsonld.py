@@ -1,18 +1,24 @@
-"""JSON-LD as it comes, to compact nodes: contexts, known prefixes, graphs, expanded values, fragments and references.
+"""JSON-LD as it comes, to a table of nodes: contexts, known prefixes, graphs, containers, fragments and references.
 
-One document is a few kilobytes and is taken apart by a small function in Arrow batches; everything after that is columns.
-Contexts are never fetched: a document's own prefixes and terms count, and those of the vocabularies below.
+One document is a few kilobytes and is taken apart by a small function in Arrow batches: every object becomes a node once,
+with its properties, and what it holds becomes texts and references, however often and in whatever circle nodes name each
+other. Everything after that is columns; references are followed by joins on document and node. Contexts are never
+fetched: a document's own terms count, and the prefixes of the vocabularies below.
 """
 
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass, field, replace
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.storage import stored
+
 #: Prefixes that documents use, declared or not.
 PREFIXES = {
     "schema": "https://schema.org/",
@@ -25,196 +31,283 @@ PREFIXES = {
     "skos": "http://www.w3.org/2004/02/skos/core#",
 }
 _VOCABULARIES = (*sorted(set(PREFIXES.values())), "http://schema.org/", "http://www.opengis.net/def/schema/hy_features/hyf/")
-#: Properties that hold one text; of several values the first counts.
-TEXTS = {"name", "description", "temporalCoverage", "unitText", "encodingFormat", "measurementTechnique", "contentUrl"}
-#: Fragments of one node, and levels of references, at most.
-FRAGMENTS, DEPTH = 64, 8
+#: Fragments of one node at most.
+FRAGMENTS = 64
+#: Terms that lead to terms, at most.
+STEPS = 16
+
+
+@dataclass(frozen=True)
+class Term:
+    """What a context says of a name. Without an IRI what it names is left out."""
+
+    iri: str | None
+    kind: str | None = None
+    containers: tuple[str, ...] = ()
+    reverse: bool = False
+    context: object = None
+
+
+@dataclass(frozen=True)
+class Scope:
+    """The terms in force, and what relative names and addresses are added to."""
+
+    terms: dict[str, Term] = field(default_factory=dict)
+    vocabulary: str = ""
+    base: str = ""
 
 
 class _Document:
-    """The state of taking one document apart."""
+    """The state of taking one document apart: nodes (id to name to entries in order; an entry is a text or a reference) and what was odd."""
 
     def __init__(self):
         self.codes: list[str] = []
+        self.nodes: dict[str, dict[str, dict[tuple, None]]] = {}
+        self.fragments: dict[str, int] = {}
+        self.top: dict[str, None] = {}
+        self.unnamed = 0
 
     def note(self, code: str) -> None:
         if code not in self.codes:
             self.codes.append(code)
 
-    def scope(self, context, inherited: dict) -> dict:
-        """The terms in force under a context: prefixes and names to IRIs. A null clears them; addresses stay unread."""
-        own = dict(inherited)
+    def scope(self, context, scope: Scope) -> Scope:
+        """The scope below a context. A null clears all; addresses stay unread."""
         for entry in context if isinstance(context, list) else [context]:
             if entry is None:
-                own = {}
+                scope = Scope()
             elif isinstance(entry, dict):
-                for term, iri in entry.items():
-                    iri = iri.get("@id") if isinstance(iri, dict) else iri
-                    if isinstance(iri, str) and (term == "@vocab" or not term.startswith("@")):
-                        own[term] = iri
-                    elif iri is None:
-                        own.pop(term, None)
+                if "@import" in entry:
+                    self.note("remote_context_ignored")
+                terms = dict(scope.terms)
+                terms.update((name, self.term(said)) for name, said in entry.items() if not name.startswith("@"))
+                base, vocabulary = entry.get("@base", scope.base), entry.get("@vocab", scope.vocabulary)
+                scope = Scope(terms, scope.vocabulary, urljoin(scope.base, base) if isinstance(base, str) else "")
+                scope = replace(scope, vocabulary=self.iri(vocabulary, scope) or "" if isinstance(vocabulary, str) else "")
             elif isinstance(entry, str) and "schema.org" not in entry:
                 self.note("remote_context_ignored")
-        return own
-
-    def local(self, name: str, scope: dict) -> str:
-        """The name of a property or type without its vocabulary; unknown ones stay as they are."""
+        return scope
+
+    @staticmethod
+    def term(said) -> Term:
+        if not isinstance(said, dict):
+            return Term(said if isinstance(said, str) else None)
+        reverse, containers = said.get("@reverse"), said.get("@container") or ()
+        iri = reverse if isinstance(reverse, str) else said.get("@id", "") if said else None
+        return Term(iri if isinstance(iri, str) else None, said.get("@type"), (containers,) if isinstance(containers, str) else tuple(containers), isinstance(reverse, str), said.get("@context"))
+
+    def iri(self, name: str, scope: Scope, steps: int = STEPS) -> str | None:
+        """The IRI or keyword that a name stands for; an unknown name as it is, null if it is to be left out."""
+        if name.startswith("@"):
+            return name
+        term = scope.terms.get(name)
+        if term is not None and (term.iri is None or term.iri and term.iri != name):
+            return None if term.iri is None or not steps else self.iri(term.iri, scope, steps - 1)
         prefix, colon, rest = name.partition(":")
-        iri = scope.get(name)
-        if iri is None and colon and not rest.startswith("//"):
-            if prefix in scope:
-                iri = scope[prefix] + rest
-            elif prefix in PREFIXES:
+        if colon and not rest.startswith("//"):
+            known = scope.terms.get(prefix)
+            if known is not None and known.iri and prefix != name and steps:
+                return (self.iri(known.iri, scope, steps - 1) or "") + rest
+            if prefix in PREFIXES:
                 self.note("known_prefix_repaired")
-                iri = PREFIXES[prefix] + rest
-        elif iri is not None and ":" in iri and not iri.partition(":")[2].startswith("//"):
-            return self.local(iri, {k: v for k, v in scope.items() if k != name})
-        iri = iri or name
+                return PREFIXES[prefix] + rest
+        return name if colon else scope.vocabulary + name
+
+    def local(self, iri: str) -> str:
+        """The name of a property or type without its vocabulary; others stay as they are."""
         return next((iri[len(v) :] for v in _VOCABULARIES if iri.startswith(v)), iri)
 
-    def compact(self, value, scope: dict):
+    def address(self, text: str, scope: Scope) -> str:
+        """A node's id: a short form of an IRI made whole, a relative one put behind the base."""
+        prefix, colon, rest = text.partition(":")
+        if text.startswith("_:"):
+            return text
+        if colon:
+            return self.iri(text, replace(scope, terms={k: v for k, v in scope.terms.items() if k == prefix})) or text
+        return urljoin(scope.base, text) if scope.base else text
+
+    def add(self, node: str, name: str, entry: tuple) -> None:
+        self.nodes.setdefault(node, {}).setdefault(name, {})[entry] = None
+
+    def values(self, value, scope: Scope, outer: Scope, term: Term) -> list[tuple]:
+        """The entries (text, reference) of a value. ``outer`` is in force in nodes below."""
         if isinstance(value, list):
-            found = [self.compact(v, scope) for v in value]
-            return found[0] if len(found) == 1 else found
-        if not isinstance(value, dict):
-            return value
-        if "@context" in value:
-            scope = self.scope(value["@context"], scope)
-        if "@value" in value:
-            return value["@value"]
-        for many in ("@list", "@set"):
-            if many in value:
-                return self.compact(value[many], scope)
-        out: dict = {}
+            if value and all(isinstance(x, dict) and "@language" in x for x in value):
+                value = sorted(value, key=lambda x: not str(x["@language"]).startswith("en"))
+            return [e for v in value for e in self.values(v, scope, outer, term)]
+        if value is None:
+            return []
+        if isinstance(value, dict):
+            own = self.scope(value["@context"], outer) if "@context" in value else outer
+            said = {self.iri(k, own): v for k, v in value.items()}
+            if "@value" in said:
+                return self.values(said["@value"], scope, outer, Term("")) if not isinstance(said["@value"], dict) else [(json.dumps(said["@value"]), None)]
+            for many in ("@list", "@set"):
+                if many in said:
+                    return self.values(said[many], scope, outer, term)
+            return [(None, self.node(value, outer))]
+        if isinstance(value, str) and term.kind == "@id":
+            return [(None, self.address(value, scope))]
+        if isinstance(value, str) and term.kind == "@vocab":
+            return [(None, self.iri(value, scope) or value)]
+        return [(value if isinstance(value, str) else json.dumps(value), None)]
+
+    def node(self, value: dict, scope: Scope, top: bool = False) -> str:
+        """Takes an object apart; returns its id. Objects below it are nodes of their own."""
+        scope = outer = self.scope(value["@context"], scope) if "@context" in value else scope
+        keys = {k: self.iri(k, scope) for k in value if k != "@context"}
+        types = [t for k, v in value.items() if keys.get(k) == "@type" for t in (v if isinstance(v, list) else [v]) if isinstance(t, str)]
+        for t in sorted(types):
+            if t in scope.terms and scope.terms[t].context is not None:
+                scope = self.scope(scope.terms[t].context, scope)
+                keys = {k: self.iri(k, scope) for k in value if k != "@context"}
+        named = next((v for k, v in value.items() if keys.get(k) == "@id" and isinstance(v, str) and v), None)
+        own = self.address(named, scope) if named else f"_:#{self.unnamed}"
+        self.unnamed += not named
+        rest = {k for k in keys.values() if k not in ("@id", "@graph")}
+        if top and (rest or named or "@graph" not in keys.values()):
+            self.top[own] = None
+        if rest:
+            self.fragments[own] = self.fragments.get(own, 0) + 1
+            if self.fragments[own] > FRAGMENTS:
+                raise ValueError("fragment_budget")
+        self.nodes.setdefault(own, {})
+        for t in types:
+            self.add(own, "@type", (self.local(self.iri(t, outer) or t), None))
+        self.members(own, value, keys, scope, outer, top)
+        return own
+
+    def members(self, own: str, value: dict, keys: dict, scope: Scope, outer: Scope, top: bool) -> None:
         for key, v in value.items():
-            if key == "@context":
-                continue
-            if key == "@type":
-                types = [self.local(t, scope) for t in (v if isinstance(v, list) else [v]) if isinstance(t, str)]
-                out[key] = types[0] if len(types) == 1 else types
-                continue
-            if key.startswith("@") or isinstance(v, list) and v and all(isinstance(x, dict) and "@language" in x for x in v):
-                spoken = v if key.startswith("@") else next((x for x in v if x["@language"].startswith("en")), v[0]).get("@value")
-                out[key if key.startswith("@") else self.local(key, scope)] = self.compact(spoken, scope) if key == "@graph" else spoken
-                continue
-            name, own = self.local(key, scope), self.compact(v, scope)
-            if name in TEXTS and isinstance(own, list) and own:
-                own = own[0]
-            out[name] = _together(out[name], own) if name in out else own
-        return out
-
-    def fragments(self, value, index: dict) -> None:
-        """Gathers the fragments of every node with an id, wherever they stand."""
-        if isinstance(value, list):
-            for v in value:
-                self.fragments(v, index)
-        elif isinstance(value, dict):
-            if isinstance(value.get("@id"), str) and len(value) > 1:
-                own = index.setdefault(value["@id"], [])
-                own.append(value)
-                if len(own) > FRAGMENTS:
-                    raise ValueError("fragment_budget")
-            for v in value.values():
-                self.fragments(v, index)
-
-    def resolved(self, value, index: dict, path: tuple = ()):
-        """The value with references to known nodes replaced by these, and fragments of a node in one."""
-        if isinstance(value, list):
-            return [self.resolved(v, index, path) for v in value]
-        if not isinstance(value, dict):
-            return value
-        own = value.get("@id")
-        if isinstance(own, str) and own in index:
-            if own in path or len(path) >= DEPTH:
-                return {"@id": own}
-            path = (*path, own)
-            value = _merged(own, index[own])
-        return {k: v if k in ("@id", "@type") else self.resolved(v, index, path) for k, v in value.items()}
-
-
-def _together(a, b):
-    """The values of both, each once."""
-    out = []
-    for v in (*(a if isinstance(a, list) else [a]), *(b if isinstance(b, list) else [b])):
-        if v not in out:
-            out.append(v)
-    return out[0] if len(out) == 1 else out
-
-
-def _merged(own: str, parts: list[dict]) -> dict:
-    out = {"@id": own}
-    for part in parts:
-        for key, v in part.items():
-            if key != "@id":
-                merged = _together(out[key], v) if key in out else v
-                out[key] = merged[0] if key in TEXTS and isinstance(merged, list) and merged else merged
-    return out
-
-
-def _flat(value) -> list[dict]:
-    """The nodes of a document: what stands beside a graph, then what is in it."""
-    out = []
-    for node in value if isinstance(value, list) else [value]:
-        if isinstance(node, dict):
-            rest = {k: v for k, v in node.items() if k != "@graph"}
-            if rest or "@graph" not in node:
-                out.append(rest)
-            out += _flat(node["@graph"]) if "@graph" in node else []
-    return out
+            iri, term = keys.get(key), scope.terms.get(key, Term(""))
+            if iri in ("@graph", "@included"):
+                for part in v if isinstance(v, list) else [v]:
+                    if isinstance(part, dict):
+                        self.node(part, outer, top)
+            elif iri == "@reverse" and isinstance(v, dict):
+                for name, given in v.items():
+                    for _, other in self.values(given, scope, outer, Term("", "@id")):
+                        if other:
+                            self.add(other, self.local(self.iri(name, scope) or name), (None, own))
+            elif iri == "@nest":
+                for part in v if isinstance(v, list) else [v]:
+                    if isinstance(part, dict):
+                        self.members(own, part, {k: self.iri(k, scope) for k in part}, scope, outer, top)
+            elif iri is not None and not iri.startswith("@"):
+                inner = self.scope(term.context, scope) if term.context is not None else scope
+                below = self.scope(term.context, outer) if term.context is not None else outer
+                entries = [e for part in self.contained(v, term) for e in self.values(part, inner, below, term)]
+                for entry in entries:
+                    if not term.reverse:
+                        self.add(own, self.local(iri), entry)
+                    elif entry[1]:
+                        self.add(entry[1], self.local(iri), (None, own))
+
+    @staticmethod
+    def contained(value, term: Term) -> list:
+        """The values that a container holds under languages, ids, types or other keys; any other value as it is."""
+        if not isinstance(value, dict) or not set(term.containers) & {"@language", "@id", "@type", "@index", "@graph"} or any(k.startswith("@") and k != "@none" for k in value):
+            return [value]
+        if "@language" in term.containers:
+            return [x for _, x in sorted(value.items(), key=lambda kv: not kv[0].startswith("en"))]
+        if not set(term.containers) & {"@id", "@type", "@index"}:
+            return [value]
+        mark = next((m for m in ("@id", "@type") if m in term.containers), None)
+        return [{mark: k, **x} if mark and isinstance(x, dict) and k != "@none" else x for k, given in value.items() for x in (given if isinstance(given, list) else [given])]
 
 
 def nodes_of(text: str | None) -> tuple[list[dict], list[str]]:
-    """A document's top nodes in compact form, in order, and codes of what was odd about it; ``document_parse`` if it is no document."""
+    """A document's nodes, the top ones first and in order, and codes of what was odd; ``document_parse`` if it is no document.
+
+    A node: id (``_:`` before those that the document doesn't name), place (from 0, of top nodes alone), types, and
+    properties, each a list of entries [text, reference]. What only refers to a node that isn't described is no node.
+    """
     document = _Document()
     try:
         parsed = json.loads(text)
         if not isinstance(parsed, dict | list):
             raise ValueError("document_parse")
-        top = _flat(document.compact(parsed if isinstance(parsed, dict) or len(parsed) != 1 else parsed[0], {}))
-        index: dict = {}
-        document.fragments(top, index)
+        for node in parsed if isinstance(parsed, list) else [parsed]:
+            if isinstance(node, dict):
+                document.node(node, Scope(), True)
     except (TypeError, ValueError, RecursionError) as error:
         return [], [str(error) if str(error) == "fragment_budget" else "document_parse"]
-    for node in top:  # a dataset may name its site instead of being named by it
-        about = node.get("about")
-        if "Dataset" in str(node.get("@type")) and isinstance(about, dict) and about.get("@id") in index and node.get("@id"):
-            index[about["@id"]].append({"@id": about["@id"], "subjectOf": {"@id": node["@id"]}})
-    seen, out = set(), []
-    for node in top:
-        own = node.get("@id")
-        if own not in seen or own is None:
-            out.append(document.resolved(node, index))
-        seen.add(own)
-    return out, document.codes
+    for own, said in list(document.nodes.items()):  # a dataset may name its site instead of being named by it
+        if any("Dataset" in t for t, _ in said.get("@type", ())):
+            for _, site in said.get("about", ()):
+                if document.nodes.get(site):
+                    document.add(site, "subjectOf", (None, own))
+    rest = [own for own, said in document.nodes.items() if said and own not in document.top]
+    return [
+        {"id": own, "place": place, "types": [t for t, _ in said.get("@type", ())], "properties": {k: [{"v": v, "r": r} for v, r in entries] for k, entries in said.items() if k != "@type"}}
+        for own, place, said in ((own, place if place < len(document.top) else None, document.nodes[own]) for place, own in enumerate([*document.top, *rest]))
+    ], document.codes
 
 
 _TEXTS = T.ArrayType(T.StringType())
 
 
-@F.pandas_udf(T.StructType([T.StructField("nodes", _TEXTS), T.StructField("codes", _TEXTS), T.StructField("version", T.StringType()), T.StructField("profile", T.StringType())]))
+@F.pandas_udf(T.StructType([T.StructField("nodes", _TEXTS), T.StructField("parts", _TEXTS), T.StructField("codes", _TEXTS), T.StructField("version", T.StringType()), T.StructField("profile", T.StringType())]))
 def _taken_apart(bodies: pd.Series) -> pd.DataFrame:
     rows = []
     for text in bodies:
         nodes, codes = nodes_of(text)
-        said = {}
-        for node in nodes:
-            for key, v in node.items():
+        top, said = [n for n in nodes if n["place"] is not None], {}
+        for node in top:
+            for key, entries in node["properties"].items():
                 name = key.replace("#", "/").replace(":", "/").rsplit("/", 1)[-1]
                 if name in ("profileVersion", "profile"):
-                    said.setdefault(name, v.get("@id") if isinstance(v, dict) else v)
-        rows.append(([json.dumps(n) for n in nodes], codes, *(None if said.get(k) is None else str(said[k]) for k in ("profileVersion", "profile"))))
-    return pd.DataFrame(rows, columns=["nodes", "codes", "version", "profile"])
+                    said.setdefault(name, entries[0]["v"] if entries[0]["r"] is None else entries[0]["r"])
+        rows.append(([n["id"] for n in top], [json.dumps(n) for n in nodes], codes, said.get("profileVersion"), said.get("profile")))
+    return pd.DataFrame(rows, columns=["nodes", "parts", "codes", "version", "profile"])
 
 
 def documents(profiles: DataFrame) -> DataFrame:
-    """profiles (profile_uri, body) with nodes, codes, version and profile of each document."""
-    return profiles.withColumn("_d", _taken_apart("body")).select(*profiles.columns, "_d.nodes", "_d.codes", "_d.version", "_d.profile")
+    """profiles (profile_uri, body) with nodes (ids of the top ones), parts (all nodes, as JSON), codes, version and profile of each document."""
+    return profiles.withColumn("_d", _taken_apart("body")).select(*profiles.columns, "_d.nodes", "_d.parts", "_d.codes", "_d.version", "_d.profile")
+
+
+#: A node of a document: text and reference are looked up in ``properties`` by name.
+NODE = "id string, place int, types array<string>, properties map<string, array<struct<v: string, r: string>>>"
+
+
+def node_table(profiles: DataFrame) -> DataFrame:
+    """A row for each node of each document: profile_uri, node, place, types, properties. Stored: it is joined with itself to follow references.
+
+    As many rows and entries as the documents have objects and values: nothing is copied to where it is referred to.
+    """
+    parts = documents(profiles).select("profile_uri", F.explode("parts").alias("n")).select("profile_uri", F.from_json("n", NODE).alias("n"))
+    return stored(parts.select("profile_uri", F.col("n.id").alias("node"), "n.place", "n.types", "n.properties"), "nodes")
+
+
+def statements(nodes: DataFrame) -> DataFrame:
+    """A row for each entry of each node: profile_uri, node, property, nth (from 0), value, reference. Types are property ``@type``."""
+    typed = F.transform("types", lambda t: F.struct(t.alias("v"), F.lit(None).cast("string").alias("r")))
+    every = nodes.select("profile_uri", "node", F.explode(F.map_concat("properties", F.map_from_arrays(F.array(F.lit("@type")), F.array(typed)))).alias("property", "entries"))
+    return every.select("profile_uri", "node", "property", F.posexplode("entries").alias("nth", "e")).select("profile_uri", "node", "property", "nth", F.col("e.v").alias("value"), F.col("e.r").alias("reference"))
+
+
+def followed(rows: DataFrame, reference: str, nodes: DataFrame, out: str) -> DataFrame:
+    """rows (with profile_uri) and the node that ``reference`` names in the same document, as the struct ``out``; null if it isn't described there."""
+    target = nodes.select(F.col("profile_uri").alias("_p"), F.col("node").alias("_n"), F.struct("node", "types", "properties").alias(out))
+    return rows.join(target, (F.col("profile_uri") == F.col("_p")) & (F.col(reference) == F.col("_n")), "left").drop("_p", "_n")
+
 
+def reached(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """What can be reached from each start (profile_uri, node) over references: profile_uri, start, node, steps (the fewest; 0 for itself).
 
-def compacted(profiles: DataFrame) -> DataFrame:
-    """A row for each top node of each document: profile_uri, node (from 0), body (the node alone, compact), codes."""
-    return documents(profiles).select("profile_uri", F.posexplode("nodes").alias("node", "body"), "codes")
+    A join for each step from what the last one found anew; a node that a start has reached is marked by its row, so
+    circles end and references of any depth are followed. References to nodes that aren't described are reached too.
+    """
+    edges = stored(statements(nodes).where("reference is not null").select("profile_uri", F.col("node").alias("via"), F.col("reference").alias("node")).distinct(), "edges")
+    all_ = newest = stored(starts.select("profile_uri", F.col("node").alias("start"), "node", F.lit(0).alias("steps")).distinct(), "reached")
+    steps = 0
+    while not newest.isEmpty():
+        steps += 1
+        step = newest.select("profile_uri", "start", F.col("node").alias("via"), (F.col("steps") + 1).alias("steps")).join(edges, ["profile_uri", "via"]).select("profile_uri", "start", "node", "steps").distinct()
+        newest = stored(step.join(all_, ["profile_uri", "start", "node"], "left_anti"), "newest")
+        all_ = all_.unionByName(newest) if steps % 8 else stored(all_.unionByName(newest), "reached")
+    return all_
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Linked data in web pages and profiles: finding it, and flattening profiles to site and dataset rows.
 
-Profiles are JSON-LD in any form (see ``jsonld``): graphs, expanded keys and values, nodes that only refer to others. A
-property that may be one object or a list is always a list afterwards; unknown properties are ignored.
+Profiles are JSON-LD in any form, as a table of nodes (see ``jsonld``). A property is a list of texts and references
+there; what it refers to is found by a join on document and node. Unknown properties are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from tarn.functions.temporal import temporal_interval
 from tarn.functions.text import folded_label, identity_iri, media_type
 from tarn.operators.grouping import diagnostic, diagnostics
 from tarn.operators.predicates import HANDLERS, first_match
-from tarn.sources.jsonld import compacted
+from tarn.sources.jsonld import followed, node_table
 
 _SCRIPT = r'(?is)<script[^>]*type\s*=\s*["\']?application/ld\+json["\']?[^>]*>(.*?)</script>'
 _LINK = r'(?is)<link\b(?=[^>]*rel\s*=\s*["\']?alternate)(?=[^>]*type\s*=\s*["\']?application/ld\+json)[^>]*href\s*=\s*["\']([^"\']+)'
@@ -35,77 +35,93 @@ def unprefixed(body: Column) -> Column:
     return F.regexp_replace(body, r'"(?:schema:|https?://schema\.org/|hyf:|gsp:|dc(?:t|terms)?:|skos:)([A-Za-z]+)"\s*:', '"$1":')
 
 
-def _list(text: Column) -> Column:
-    """JSON text of a list, whether it was one or a single value."""
-    return F.when(text.isNull(), F.lit("[]")).when(F.trim(text).startswith("["), text).when(F.trim(text).startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(F.to_json(F.array(text)))
+def _entry(properties: Column, name: str) -> Column:
+    """The first entry of a property; null without one."""
+    return F.get(properties[name], F.lit(0))
 
 
-def _iri(text: Column) -> Column:
-    """An IRI given as a text or as an object with an @id or url."""
-    return F.when(F.trim(text).startswith("{"), F.coalesce(F.get_json_object(text, "$['@id']"), F.get_json_object(text, "$.url"))).when(F.trim(text).startswith("["), F.get_json_object(text, "$[0]['@id']")).otherwise(text)
+def _text(properties: Column, name: str) -> Column:
+    """A property as a text: what it says or, failing that, what it refers to."""
+    entry = _entry(properties, name)
+    return F.coalesce(entry["v"], entry["r"])
 
 
-_NODE = "`@id` string, `@type` string, name string, description string, provider string, url string, subjectOf string, mainEntity string, geo string, hasGeometry string, referencedPosition string, HY_HydroLocationType string"
-_DATASET = "array<struct<`@id`: string, `@type`: string, name: string, description: string, temporalCoverage: string, provider: string, license: string, distribution: string, variableMeasured: string>>"
-_DISTRIBUTION = "array<struct<`@id`: string, contentUrl: string, encodingFormat: string, conformsTo: string, name: string>>"
-_VARIABLE = "array<struct<`@id`: string, name: string, propertyID: string, unitText: string, unitCode: string, measurementTechnique: string>>"
+def _named(node: Column) -> Column:
+    """A node's id, if the document names it."""
+    return F.when(~node.startswith("_:"), node)
 
 
-def _parsed(profiles: DataFrame) -> DataFrame:
-    """A row for each node of each document. profiles: profile_uri, body."""
-    return compacted(profiles).withColumn("n", F.from_json("body", _NODE))
+def _iri(properties: Column, name: str) -> Column:
+    """A property as an IRI: what it refers to, if that has a name, or its text."""
+    entry = _entry(properties, name)
+    return F.coalesce(_named(entry["r"]), entry["v"])
 
 
-def _wkt(n: Column) -> Column:
-    return F.coalesce(F.get_json_object(n["hasGeometry"], "$.asWKT"), F.get_json_object(n["hasGeometry"], "$['asWKT']['@value']"))
+def _reference(properties: Column, name: str) -> Column:
+    return _entry(properties, name)["r"]
 
 
-def _is_location(n: Column) -> Column:
-    """A node is a location if it has a geometry or position, or is a place with datasets."""
-    types = F.coalesce(n["@type"], F.lit(""))
-    return types.contains("HY_") | n["referencedPosition"].isNotNull() | _wkt(n).isNotNull() | (types.contains("Place") & n["subjectOf"].isNotNull())
+def _provider(entry: Column, node: Column) -> tuple[Column, Column, Column]:
+    """URI, name and URL of a provider: a text, or a node with an id or URL."""
+    uri = F.coalesce(_named(entry["r"]), _text(node["properties"], "url"), entry["v"])
+    return uri, _text(node["properties"], "name"), _text(node["properties"], "url")
 
 
-def _provider(text: Column) -> tuple[Column, Column]:
-    return _iri(text), F.when(F.trim(text).startswith("{"), F.get_json_object(text, "$.name"))
+def _type(types: Column) -> Column:
+    """One type as it is, several as a JSON list, none as nothing."""
+    return F.when(F.size(types) == 1, F.get(types, F.lit(0))).when(F.size(types) > 1, F.to_json(types)).otherwise(F.lit(""))
+
+
+def _sites(nodes: DataFrame) -> DataFrame:
+    """The top nodes that are locations, with the nodes of their geometry and provider: one has a geometry or position, or is a place with datasets."""
+    p = F.col("properties")
+    top = nodes.where("place is not null").withColumn("_geometry", _reference(p, "hasGeometry")).withColumn("provider", _entry(p, "provider"))
+    found = followed(top, "_geometry", nodes, "geometry").withColumn("wkt", _text(F.col("geometry.properties"), "asWKT"))
+    types = _type(F.col("types"))
+    site = types.contains("HY_") | p["referencedPosition"].isNotNull() | F.col("wkt").isNotNull() | (types.contains("Place") & p["subjectOf"].isNotNull())
+    return followed(found.where(site).withColumn("_provider", F.col("provider.r")), "_provider", nodes, "provider_node")
 
 
 def site_nodes(profiles: DataFrame) -> DataFrame:
     """What is checked about each site of each document: profile_uri, place (from 0), site_uri, name, location_type, provider and wkt as they are given."""
-    n = F.col("n")
-    uri, name = _provider(n["provider"])
-    url = F.when(F.trim(n["provider"]).startswith("{"), F.get_json_object(n["provider"], "$.url"))
-    found = _parsed(profiles).where(_is_location(n)).withColumn("place", F.row_number().over(Window.partitionBy("profile_uri").orderBy("node")) - 1)
-    return found.select("profile_uri", "place", n["@id"].alias("site_uri"), n["name"].alias("name"), _iri(n["HY_HydroLocationType"]).alias("location_type"), uri.alias("provider_uri"), name.alias("provider_name"), url.alias("provider_url"), _wkt(n).alias("wkt"))
+    p = F.col("properties")
+    uri, name, url = _provider(F.col("provider"), F.col("provider_node"))
+    found = _sites(node_table(profiles)).withColumn("place", F.row_number().over(Window.partitionBy("profile_uri").orderBy("place")) - 1)
+    return found.select("profile_uri", "place", _named(F.col("node")).alias("site_uri"), _text(p, "name").alias("name"), _iri(p, "HY_HydroLocationType").alias("location_type"), uri.alias("provider_uri"), name.alias("provider_name"), url.alias("provider_url"), "wkt")
 
 
 def locations(profiles: DataFrame) -> DataFrame:
-    """One site row for each node that is a location: it has a geometry or position, or it is a place with datasets."""
-    n = F.col("n")
-    types, wkt = F.coalesce(n["@type"], F.lit("")), _wkt(n)
-    lat, lon = F.get_json_object(n["geo"], "$.latitude"), F.get_json_object(n["geo"], "$.longitude")
+    """One site row for each top node that is a location: it has a geometry or position, or it is a place with datasets."""
+    p, nodes = F.col("properties"), node_table(profiles)
+    found = _sites(nodes).withColumn("_geo", _reference(p, "geo")).withColumn("_position", _reference(p, "referencedPosition"))
+    found = followed(followed(found, "_geo", nodes, "geo"), "_position", nodes, "position")
+    lat, lon = _text(F.col("geo.properties"), "latitude"), _text(F.col("geo.properties"), "longitude")
     point = F.when(lat.isNotNull() & lon.isNotNull(), F.concat(F.lit("POINT ("), lon, F.lit(" "), lat, F.lit(")")))
-    mainstem = _iri(F.get_json_object(n["referencedPosition"], "$.linearElement"))
-    uri, name = _provider(n["provider"])
-    return _parsed(profiles).where(_is_location(n)).select(
-        F.coalesce(n["@id"], F.col("profile_uri")).alias("site_uri"), n["name"].alias("name"), n["description"].alias("description"), types.alias("site_type"), uri.alias("provider_uri"), name.alias("provider_name"),
-        mainstem.alias("mainstem_uri"), n["url"].alias("landing_url"), F.col("profile_uri").alias("source_url"), F.coalesce(wkt, point).alias("geometry"),
+    uri, name, _ = _provider(F.col("provider"), F.col("provider_node"))
+    return found.select(
+        F.coalesce(_named(F.col("node")), F.col("profile_uri")).alias("site_uri"), _text(p, "name").alias("name"), _text(p, "description").alias("description"), _type(F.col("types")).alias("site_type"), uri.alias("provider_uri"), name.alias("provider_name"),
+        _iri(F.col("position.properties"), "linearElement").alias("mainstem_uri"), _text(p, "url").alias("landing_url"), F.col("profile_uri").alias("source_url"), F.coalesce("wkt", point).alias("geometry"),
     )
 
 
 def datasets(profiles: DataFrame) -> DataFrame:
     """A row for each dataset, distribution and variable of each profile; a dataset without one of them has a null in its place."""
-    site = F.coalesce(F.col("n.`@id`"), F.col("profile_uri"))
-    sets = _parsed(profiles).select("profile_uri", site.alias("site_uri"), F.col("n.provider").alias("site_provider"), F.explode(F.from_json(_list(F.col("n.subjectOf")), _DATASET)).alias("d"))
-    flat = sets.where(F.col("d.`@type`").contains("Dataset")).withColumn("dist", F.from_json(_list(F.col("d.distribution")), _DISTRIBUTION)).withColumn("var", F.from_json(_list(F.col("d.variableMeasured")), _VARIABLE))
-    flat = flat.withColumn("dist", F.explode_outer("dist")).withColumn("var", F.explode_outer("var"))
-    uri, name = _provider(F.coalesce("d.provider", "site_provider"))
-    unit = F.col("var.unitCode")
+    p, nodes = F.col("properties"), node_table(profiles)
+    site = F.coalesce(_named(F.col("node")), F.col("profile_uri"))
+    named = nodes.where("place is not null").select("profile_uri", site.alias("site_uri"), _entry(p, "provider").alias("site_provider"), F.explode(p["subjectOf"]).alias("_set")).withColumn("_set", F.col("_set.r"))
+    sets = followed(named, "_set", nodes, "d").where(_type(F.col("d.types")).contains("Dataset")).withColumn("provider", F.coalesce(_entry(F.col("d.properties"), "provider"), "site_provider")).withColumn("_provider", F.col("provider.r"))
+    flat = followed(sets, "_provider", nodes, "provider_node").withColumn("_dist", F.explode_outer(F.col("d.properties")["distribution"])).withColumn("_dist", F.col("_dist.r"))
+    flat = followed(flat, "_dist", nodes, "dist").withColumn("_var", F.explode_outer(F.col("d.properties")["variableMeasured"])).withColumn("_var", F.col("_var.r"))
+    flat = followed(flat, "_var", nodes, "var")
+    uri, name, _ = _provider(F.col("provider"), F.col("provider_node"))
+    d, dist, var = F.col("d.properties"), F.col("dist.properties"), F.col("var.properties")
+    # A distribution or variable that is named and not described is still that one.
+    variable = F.coalesce(_named(F.col("_var")), _iri(var, "propertyID"))
     base = flat.select(
-        "profile_uri", "site_uri", _iri(F.col("d.`@id`")).alias("dataset_uri"), F.col("d.name").alias("dataset_name"), F.col("d.description").alias("dataset_description"), F.col("d.temporalCoverage").alias("temporal_coverage"),
-        uri.alias("provider_uri"), name.alias("provider_name"), _iri(F.col("d.license")).alias("license"), F.col("dist.contentUrl").alias("distribution_url"), media_type(F.col("dist.encodingFormat")).alias("media_type"),
-        F.from_json(_list(F.col("dist.conformsTo")), "array<string>").alias("conforms_to"), _iri(F.coalesce("var.`@id`", "var.propertyID")).alias("variable_uri"), F.col("var.name").alias("variable_name"), _iri(unit).alias("unit_uri"),
-        F.col("var.unitText").alias("unit_label"), F.col("var.measurementTechnique").alias("measurement_technique"),
+        "profile_uri", "site_uri", _named(F.col("d.node")).alias("dataset_uri"), _text(d, "name").alias("dataset_name"), _text(d, "description").alias("dataset_description"), _text(d, "temporalCoverage").alias("temporal_coverage"),
+        uri.alias("provider_uri"), name.alias("provider_name"), _iri(d, "license").alias("license"), _text(dist, "contentUrl").alias("distribution_url"), media_type(_text(dist, "encodingFormat")).alias("media_type"),
+        F.coalesce(F.transform(dist["conformsTo"], lambda e: F.coalesce(e["r"], e["v"])), F.array().cast("array<string>")).alias("conforms_to"), variable.alias("variable_uri"), _text(var, "name").alias("variable_name"), _iri(var, "unitCode").alias("unit_uri"),
+        _text(var, "unitText").alias("unit_label"), _text(var, "measurementTechnique").alias("measurement_technique"),
     )
     base = base.withColumn("span", temporal_interval(F.col("temporal_coverage")))
     parts = {"_site": identity_iri(F.col("site_uri")), "_dataset": identity_iri(F.col("dataset_uri")), "_provider": identity_iri(F.col("provider_uri")), "_url": identity_iri(F.col("distribution_url")), "_variable": identity_iri(F.col("variable_uri"))}

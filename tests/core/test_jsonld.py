@@ -40,16 +40,72 @@ def test_every_shape_gives_the_same_rows(spark):
     assert codes["undeclared"] == ["known_prefix_repaired"] and codes["nested"] == []
 
 
+def entries(node, name):
+    return [e["v"] if e["r"] is None else (e["r"],) for e in node["properties"][name]]
+
+
+def plain(text, *names):
+    """Top nodes: id, types and what is asked for; and the codes."""
+    nodes, codes = jsonld.nodes_of(text if isinstance(text, str) else json.dumps(text))
+    return [(n["id"], n["types"], *(entries(n, x) if x in n["properties"] else None for x in names)) for n in nodes if n["place"] is not None], codes
+
+
 def test_odd_documents():
     for bad in (None, "", "{", "3", '"x"', "[" * 100_000):
         assert jsonld.nodes_of(bad) == ([], ["document_parse"])
-    assert jsonld.nodes_of("[]") == ([], []) and jsonld.nodes_of("{}") == ([{}], [])
+    assert jsonld.nodes_of("[]") == ([], []) and plain("{}") == ([("_:#0", [])], [])
     many = json.dumps([{"@id": "a", "n": i} for i in range(jsonld.FRAGMENTS + 1)])
     assert jsonld.nodes_of(many) == ([], ["fragment_budget"])
-    circle = json.dumps({"@graph": [{"@id": "a", "p": {"@id": "b"}, "n": 1}, {"@id": "b", "p": {"@id": "a"}, "n": 2}]})
-    assert jsonld.nodes_of(circle)[0] == [{"@id": "a", "p": {"@id": "b", "p": {"@id": "a"}, "n": 2}, "n": 1}, {"@id": "b", "p": {"@id": "a", "p": {"@id": "b"}, "n": 1}, "n": 2}]
+    circle = {"@graph": [{"@id": "a", "p": {"@id": "b"}, "n": 1}, {"@id": "b", "p": {"@id": "a"}, "n": 2}]}
+    assert plain(circle, "p", "n") == ([("a", [], [("b",)], ["1"]), ("b", [], [("a",)], ["2"])], [])
     spoken = {"@context": "https://x.org/c", "schema:name": [{"@value": "eins", "@language": "de"}, {"@value": "one", "@language": "en"}], "http://schema.org/description": "d"}
-    assert jsonld.nodes_of(json.dumps(spoken)) == ([{"name": "one", "description": "d"}], ["remote_context_ignored", "known_prefix_repaired"])
+    assert plain(spoken, "name", "description") == ([("_:#0", [], ["one", "eins"], ["d"])], ["remote_context_ignored", "known_prefix_repaired"])
+
+
+def test_output_is_linear_in_the_input(spark):
+    """Eight nodes that all name each other stay eight; a chain of references keeps its end."""
+    mesh = json.dumps({"@graph": [{"@id": f"n{i}", "p": [{"@id": f"n{j}"} for j in range(8) if j != i]} for i in range(8)]})
+    nodes, codes = jsonld.nodes_of(mesh)
+    assert len(nodes) == 8 and codes == [] and len(json.dumps(nodes)) < 4000
+    chain = {"@id": "c12", "schema:name": "end"}
+    for i in range(11, -1, -1):
+        chain = {"@id": f"c{i}", "schema:isPartOf": chain}
+    df = spark.createDataFrame([("mesh", mesh), ("chain", json.dumps(chain)), ("none", "<")], "profile_uri string, body string")
+    table = jsonld.node_table(df)
+    found = {(r["profile_uri"], r["start"], r["node"]): r["steps"] for r in jsonld.reached(table, table.where("node in ('c0', 'n3')")).collect()}
+    assert found == {**{("chain", "c0", f"c{i}"): i for i in range(13)}, **{("mesh", "n3", f"n{i}"): int(i != 3) for i in range(8)}}
+    last = jsonld.followed(spark.createDataFrame([("chain", "c12"), ("chain", "x"), ("none", "c12")], "profile_uri string, ref string"), "ref", table, "at").collect()
+    assert sorted((r["profile_uri"], r["ref"], r["at"] and r["at"]["properties"]["name"][0]["v"]) for r in last) == [("chain", "c12", "end"), ("chain", "x", None), ("none", "c12", None)]
+    rows = {(r["node"], r["property"], r["nth"], r["value"], r["reference"]) for r in jsonld.statements(table).where("profile_uri = 'chain'").collect()}
+    assert ("c12", "name", 0, "end", None) in rows and ("c11", "isPartOf", 0, None, "c12") in rows and len(rows) == 13
+
+
+def test_terms_and_containers():
+    context = {
+        "id": "@id", "type": "@type", "ex": "https://e.org/", "@base": "https://b.org/x/", "knows": {"@id": "ex:knows", "@type": "@id"}, "kind": {"@id": "ex:kind", "@type": "@vocab"}, "label": {"@id": "schema:name", "@container": "@language"},
+        "partOf": {"@reverse": "ex:has"}, "gone": None, "steps": {"@id": "ex:steps", "@container": "@list"}, "byId": {"@id": "ex:byId", "@container": "@id"}, "byType": {"@id": "ex:byType", "@container": "@type"}, "byKey": {"@id": "ex:byKey", "@container": "@index"},
+        "inner": {"@id": "ex:inner", "@context": {"v": "ex:innerV"}}, "Special": {"@id": "ex:Special", "@context": {"v": "ex:specialV"}}, "v": "ex:v",
+    }
+    body = {
+        "@context": context, "id": "a", "type": "ex:T", "knows": ["b", "../c", "ex:d"], "kind": "v", "label": {"de": "eins", "en": "one"}, "partOf": {"id": "w"}, "gone": 1, "steps": {"@list": [1, 2, True]},
+        "byId": {"k1": {"v": 1}, "k2": {"v": 2}}, "byType": {"Special": {"id": "t", "v": 3}}, "byKey": {"x": 5, "y": [6, 7]}, "inner": {"id": "i", "v": 4}, "@reverse": {"ex:made": {"id": "m"}}, "@included": [{"id": "inc", "v": 8}],
+    }
+    nodes, codes = jsonld.nodes_of(json.dumps(body))
+    by = {n["id"]: n for n in nodes}
+    at, e = "https://b.org/x/", "https://e.org/"
+    a = by[at + "a"]
+    assert a["types"] == [e + "T"] and entries(a, e + "knows") == [(at + "b",), ("https://b.org/c",), (e + "d",)] and entries(a, e + "kind") == [(e + "v",)] and entries(a, "name") == ["one", "eins"]
+    assert entries(by[at + "w"], e + "has") == [(at + "a",)] and entries(by[at + "m"], e + "made") == [(at + "a",)] and "gone" not in a["properties"] and entries(a, e + "steps") == ["1", "2", "true"]
+    assert entries(a, e + "byId") == [(at + "k1",), (at + "k2",)] and entries(by[at + "k2"], e + "v") == ["2"] and by[at + "t"]["types"] == [e + "Special"] and entries(by[at + "t"], e + "specialV") == ["3"]
+    assert entries(a, e + "byKey") == ["5", "6", "7"] and entries(by[at + "i"], e + "innerV") == ["4"] and entries(by[at + "inc"], e + "v") == ["8"] and codes == ["known_prefix_repaired"]
+
+
+def test_scopes_end_where_their_objects_end():
+    body = {"@context": {"n": "https://e.org/outer"}, "n": 1, "https://e.org/p": [{"@context": {"n": "https://e.org/inner"}, "n": 2}, {"@context": None, "n": 3}, {"n": 4}]}
+    nodes = jsonld.nodes_of(json.dumps(body))[0]
+    assert [{k: entries(n, k) for k in n["properties"] if k != "https://e.org/p"} for n in nodes] == [{"https://e.org/outer": ["1"]}, {"https://e.org/inner": ["2"]}, {"n": ["3"]}, {"https://e.org/outer": ["4"]}]
+    round_about = {"@context": {"a": "b", "b": "a", "c": "c:c"}, "a": 1, "c": 2}
+    assert len(jsonld.nodes_of(json.dumps(round_about))[0]) == 1
 
 
 def test_profile_files(spark, tmp_path):
