@@ -96,8 +96,13 @@ def fallback_lookup(inputs: DataFrame, key: str, advertised: str, reference: Dat
 
 
 def with_currentness(rows: DataFrame, uri: str, current: DataFrame, current_uri: str, columns: dict[str, str]) -> DataFrame:
-    """Overwrites ``columns`` (of rows: of current) where the row's URI has a current entry; rows without a URI stay as they are."""
-    fresh = current.select(F.col(current_uri).alias("_uri"), *[F.col(c).alias(f"_{k}") for k, c in columns.items()]).dropDuplicates(["_uri"])
+    """Overwrites ``columns`` (of rows: of current) where the row's URI has a current entry; rows without a URI stay as they are.
+
+    Of several current entries of a URI the first counts, by the values of ``columns`` in their order, nulls last.
+    """
+    values = F.struct(*[F.col(c).alias(f"_{k}") for k, c in columns.items()])
+    first = F.min_by(values, F.struct(*[x for c in columns.values() for x in (F.col(c).isNull(), F.col(c))]))
+    fresh = current.groupBy(F.col(current_uri).alias("_uri")).agg(first.alias("_first")).select("_uri", "_first.*")
     joined = rows.join(joinable(fresh), F.col(uri) == F.col("_uri"), "left")
     return joined.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
@@ -168,9 +173,10 @@ def dereferenced(nodes: DataFrame, node_id: str, reference: str) -> DataFrame:
 def resolved_redirects(edges: DataFrame, starts: DataFrame, limit: int = 10) -> DataFrame:
     """Follows redirects (url -> location) from each start: start, final, hops, problem (null, redirect_loop or too_many_redirects).
 
-    One equi-join for each hop, ``limit`` at most; urls have one location each. Many starts may meet at one URL.
+    One equi-join for each hop, ``limit`` at most. Of several locations of a URL the least counts. Many starts may meet at
+    one URL.
     """
-    steps = joinable(edges.select(F.col("url").alias("_from"), F.col("location").alias("_to")).dropDuplicates(["_from"]))
+    steps = joinable(edges.groupBy(F.col("url").alias("_from")).agg(F.min("location").alias("_to")))
     now = starts.select(F.col("url").alias("start"), F.col("url").alias("final"), F.lit(0).alias("hops"), F.array("url").alias("seen"))
     for _ in range(limit):
         open_ = ~F.array_contains(F.slice("seen", 1, F.greatest(F.size("seen") - 1, F.lit(0))), F.col("final"))

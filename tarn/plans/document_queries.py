@@ -275,6 +275,20 @@ def op88_area(t):
     return graph.sites_in_area(graph.Graph(sites, *[getattr(g, n) for n in g.__dataclass_fields__ if n != "sites"]), "POLYGON ((0 0, 60 0, 0 30, 0 0))")
 
 
+@query(
+    "OP88_sites_in_areas",
+    """SELECT CAST(p_partkey AS VARCHAR) AS area_id, CAST(s_suppkey AS VARCHAR) AS site, s_name AS name, CAST(s_nationkey AS VARCHAR) AS provider, 'POINT (' || CAST(s_suppkey % 60 AS VARCHAR) || ' ' || CAST(s_nationkey AS VARCHAR) || ')' AS site_wkt
+FROM supplier, part WHERE s_suppkey % 60 >= p_partkey % 50 AND s_nationkey >= p_size % 20 AND s_suppkey % 60 - p_partkey % 50 + 2 * (s_nationkey - p_size % 20) <= 12""",
+)
+def op88_areas(t):
+    """A triangle for each part, edges included."""
+    sites = t.supplier.select(F.col("s_suppkey").cast("string").alias("site"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("provider"), F.concat(F.lit("POINT ("), (F.col("s_suppkey") % 60).cast("string"), F.lit(" "), F.col("s_nationkey").cast("string"), F.lit(")")).alias("site_wkt"))
+    x, y = F.col("p_partkey") % 50, F.col("p_size") % 20
+    wkt = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *[F.concat_ws(" ", a.cast("string"), b.cast("string")) for a, b in ((x, y), (x + 12, y), (x, y + 6), (x, y))]), F.lit("))"))
+    g = _graph(t)
+    return graph.sites_in_areas(graph.Graph(sites, *[getattr(g, n) for n in g.__dataclass_fields__ if n != "sites"]), t.part.select(F.col("p_partkey").cast("string").alias("area_id"), wkt.alias("area_wkt")))
+
+
 @query("OP98_schema_violations", "SELECT * FROM (VALUES ('name', 'string', 'int'), ('geometry', 'string', NULL), ('more', NULL, 'string')) v(\"column\", wanted, found)")
 def op98_schema(t):
     own = [f.name for f in schemas.SITES if f.name not in ("name", "geometry")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarn.operators import grouping, lookup, predicates
+from tarn.operators import grouping, lookup, points, predicates
 from tarn.operators.ordering import global_number
 from tarn.plans.registry import Tables, query
 
@@ -103,6 +103,38 @@ def op52(t):
     return points.join(lookup.joinable(found), "wkt", "left").withColumn("status", F.when(F.col("mainstem").isNull(), F.lit("not_found")).otherwise(F.lit("matched")))
 
 
+@query(
+    "OP52_points_in_areas",
+    """WITH p AS (SELECT o_orderkey, (o_orderkey * 17 % 680) / 2.0 - 170 AS x, (o_orderkey * 29 % 320) / 2.0 - 80 AS y FROM orders),
+a AS (SELECT c_custkey, c_custkey * 37 % 340 - 170 AS x, c_custkey * 53 % 160 - 80 AS y, 1 + c_custkey % 9 AS r FROM customer)
+SELECT o_orderkey, c_custkey AS area_id FROM p, a WHERE abs(p.x - a.x) + abs(p.y - a.y) <= r""",
+)
+def op52_areas(t):
+    """Every order as a point, every customer as a square on its corner, edges included."""
+    x, y, r = F.col("c_custkey") * 37 % 340 - 170, F.col("c_custkey") * 53 % 160 - 80, 1 + F.col("c_custkey") % 9
+    corners = [(x - r, y), (x, y - r), (x + r, y), (x, y + r), (x - r, y)]
+    wkt = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *[F.concat_ws(" ", a.cast("string"), b.cast("string")) for a, b in corners]), F.lit("))"))
+    areas = t.customer.select(F.col("c_custkey").alias("area_id"), wkt.alias("area_wkt"))
+    return points.in_areas(t.orders.select("o_orderkey"), F.col("o_orderkey") * 17 % 680 / 2 - 170, F.col("o_orderkey") * 29 % 320 / 2 - 80, areas)
+
+
+@query(
+    "OP52_catchment_mainstems",
+    """WITH p AS (SELECT c_custkey, (c_custkey * 7 % 720) / 2.0 - 180 AS x, (c_custkey * 11 % 360) / 2.0 - 90 AS y FROM customer), m AS (SELECT n_nationkey AS k, n_name AS uri FROM nation WHERE n_nationkey % 4 <> 3 UNION ALL SELECT n_nationkey, 'b' || n_name FROM nation WHERE n_nationkey % 4 = 1),
+i AS (SELECT c_custkey, n_nationkey AS comid FROM p LEFT JOIN nation ON x BETWEEN n_nationkey * 14 - 178 AND n_nationkey * 14 - 164 AND y BETWEEN -60 AND 60)
+SELECT c_custkey, comid, uri, CAST(CASE WHEN uri IS NOT NULL THEN row_number() OVER (PARTITION BY c_custkey, comid ORDER BY uri) END AS INTEGER) AS match_index,
+CASE WHEN uri IS NULL THEN 'not_found' WHEN comid % 4 = 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM i LEFT JOIN m ON comid = k""",
+)
+def op52_catchments(t):
+    """Every customer as a point, every nation as a catchment; some have two mainstems, some have none."""
+    n = F.col("n_nationkey")
+    west, east = (n * 14 - 178).cast("string"), (n * 14 - 164).cast("string")
+    box = F.concat(F.lit("POLYGON (("), west, F.lit(" -60, "), east, F.lit(" -60, "), east, F.lit(" 60, "), west, F.lit(" 60, "), west, F.lit(" -60))"))
+    catchments = t.nation.select(n.alias("comid"), box.alias("wkt"))
+    mapping = t.nation.where("n_nationkey % 4 <> 3").select(n.alias("k"), F.col("n_name").alias("uri")).unionByName(t.nation.where("n_nationkey % 4 = 1").select(n.alias("k"), F.concat(F.lit("b"), "n_name").alias("uri")))
+    return points.points_to_mainstems(t.customer, "c_custkey", F.col("c_custkey") * 7 % 720 / 2 - 180, F.col("c_custkey") * 11 % 360 / 2 - 90, catchments, mapping, "k", "uri")
+
+
 @query(
     "OP53_currentness",
     """SELECT d.doc_id, d.source, coalesce(CASE l.quality WHEN 1 THEN 'current' WHEN 0 THEN 'superseded' END, d.lang) AS lang, d.n_chars

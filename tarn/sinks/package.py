@@ -225,5 +225,5 @@ def frictionless(spark: SparkSession, path: str) -> str:
     for name, schema in sorted(manifest["tables"].items()):
         fields = [{"name": f["name"], "type": kinds.get(f["type"] if isinstance(f["type"], str) else "", "any")} for f in schema["fields"]]
         own = [f for f in manifest["files"] if f["path"].startswith(f"{name}/")]
-        resources.append({"name": name, "path": [f["path"] for f in own], "format": "parquet", "bytes": sum(f["bytes"] for f in own), "schema": {"fields": fields}})
+        resources.append({"name": name, "path": [f["path"] for f in own], "format": manifest.get("form", "parquet"), "bytes": sum(f["bytes"] for f in own), "schema": {"fields": fields}})
     return json.dumps({"profile": "data-package", "resources": resources}, sort_keys=True)
