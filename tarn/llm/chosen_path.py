@@ -12,7 +12,9 @@ compared block by block.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,10 @@ from tarn.llm.common import bound_batches, free_name, written
 from tarn.llm.components import components
 
 WORDS = 5
-#: Independent trees, and minwise tokens of a sketch; nodes below a tree's root choose among the tokens after the trees'.
-TREES, TOKENS = 10, 64
-#: A pair is a candidate if so many tokens agree. At a similarity of 0.75 fewer agree once in ten million pairs.
-AGREE = 28
+#: Minwise tokens of a sketch: the trees' own, one each, and those that nodes below a tree's root choose among, so many at least.
+TOKENS, CHOICE = 64, 24
+#: Chance that a pair at the threshold meets in a node of some tree, if all nodes are large down to the last level; and that its sketches don't tell.
+RECALL, MISSED = 0.95, 5e-8
 #: Documents of a node that are compared exhaustively, and levels at most.
 LEAF, LEVELS = 1024, 8
 #: Part of the node above, in percent, from which on a large node is taken as a whole.
@@ -49,6 +51,40 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
+def tree_recall(percent: int, levels: int) -> float:
+    """The chance that one tree keeps a pair with this similarity together for so many levels below its root.
+
+    The root's token agrees with the chance of the similarity t. A node chooses one token or, for 1 / t of them on average,
+    two, and each agrees with chance t: the pair has one common node below each on average, and whether any is left after
+    some levels follows from the chances one level further down.
+    """
+    t = percent / 100
+    two, lost = 1 / t - 1, 0.0
+    for _ in range(levels):
+        one = 1 - t + t * lost
+        lost = (1 - two) * one + two * one * one
+    return t * (1 - lost)
+
+
+def trees_for(recall: float, percent: int, levels: int) -> int:
+    """Independent trees so that a pair at the threshold meets in one of them with the chance ``recall``."""
+    if not 50 <= percent <= 100 or not 0 < recall < 1:
+        raise ValueError("percent is from 50 to 100, and recall between 0 and 1")
+    found = tree_recall(percent, levels)
+    trees = 1 if found >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - found))
+    if trees > TOKENS - CHOICE:
+        raise ValueError(f"a recall of {recall} takes {trees} trees; a sketch has tokens for {TOKENS - CHOICE}")
+    return trees
+
+
+def agreeing(percent: int) -> int:
+    """Tokens of two sketches that have to agree; of pairs at the threshold fewer do with the chance MISSED at most."""
+    t, below, k = percent / 100, 0.0, 0
+    while (below := below + math.comb(TOKENS, k) * t**k * (1 - t) ** (TOKENS - k)) <= MISSED:
+        k += 1
+    return k
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of an odd number modulo 2**64, and of its inverse, at least ``n`` of each."""
     if len(_powers[0]) < n:
@@ -97,13 +133,13 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, trees: int) -> DataFrame:
     """id, n_shingles, key (digest of the set; null if it is empty), nodes (one for each tree), sketch (16 bits a token)."""
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([slim.schema["id"], T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     arrow = to_arrow_schema(schema)
-    tree = np.arange(TREES, dtype=np.uint64) << np.uint64(32)
+    tree = np.arange(trees, dtype=np.uint64) << np.uint64(32)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +148,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 own = shingle_set(text)
                 if len(own):
                     least = minwise(own)
-                    nodes = _mix(least[:TREES].astype(np.uint64) + tree).view(np.int64)
+                    nodes = _mix(least[:trees].astype(np.uint64) + tree).view(np.int64)
                     row = len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), nodes, least.astype("<u2").tobytes()
                 else:
                     row = 0, None, None, None
@@ -167,13 +203,13 @@ def _stars(labels: np.ndarray, names: list) -> Iterator[tuple]:
         yield from ((names[i], first) for i in own[1:].tolist())
 
 
-def similar_sketches(_: tuple, columns: list[list]) -> Iterator[tuple]:
+def similar_sketches(agree: int, _: tuple, columns: list[list]) -> Iterator[tuple]:
     """Compares a node's documents exhaustively by their sketches; links those of a group to one of them."""
     keys, sketch = columns
     tokens = np.frombuffer(b"".join(sketch), dtype="<u2").reshape(len(keys), TOKENS)
     labels = np.arange(len(keys))
     for i in range(len(keys) - 1):
-        near = np.flatnonzero((tokens[i + 1 :] == tokens[i]).sum(axis=1) >= AGREE) + i + 1
+        near = np.flatnonzero((tokens[i + 1 :] == tokens[i]).sum(axis=1) >= agree) + i + 1
         if len(near):
             merged = np.unique(labels[near])
             labels[np.isin(labels, merged)] = labels[i]
@@ -226,8 +262,9 @@ def _confirm_group(percent: int):
     return work
 
 
-def candidate_links(classes: DataFrame, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
-    """Links (a, b) of sets that may be similar, from the trees. ``classes``: key, nodes, sketch of distinct sets; a written table."""
+def candidate_links(classes: DataFrame, percent: int, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
+    """Links (a, b) of sets that may be similar, from the trees: one for each of a set's ``nodes``. ``classes``: key, nodes, sketch of distinct sets; a written table."""
+    trees = F.size("nodes")
     nodes = classes.select("key", F.explode("nodes").alias("node"), F.lit(None).cast("long").alias("above"))
     small, whole = [], []
     for level in range(levels + 1):
@@ -245,19 +282,19 @@ def candidate_links(classes: DataFrame, leaf: int = LEAF, levels: int = LEVELS)
         large = large.where(~dense)
         if level == levels:
             break
-        # The node's own number chooses: one token, and in a third of the nodes two. Members of a node choose alike.
-        free = TOKENS - TREES
-        token = lambda salt: F.lit(TREES) + F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(free)).cast("int")  # noqa: E731, B023
-        chosen = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(3)) == 0, F.array_distinct(F.array(token(0), token(1)))).otherwise(F.array(token(0)))
+        # The node's own number chooses: one token, and as many nodes two as it takes. Members of a node choose alike.
+        token = lambda salt: trees + F.pmod(F.xxhash64("node", F.lit(salt)), TOKENS - trees).cast("int")
+        both = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(percent)) < 100 - percent
+        chosen = F.when(both, F.array_distinct(F.array(token(0), token(1)))).otherwise(F.array(token(0)))
         nodes = (
-            large.withColumn("token", F.explode(chosen))
-            .join(classes.select("key", "sketch"), "key")
+            large.join(classes.select("key", "sketch", "nodes"), "key")
+            .withColumn("token", F.explode(chosen))
             .select("key", F.xxhash64("node", "token", F.substring(F.col("sketch"), 2 * F.col("token") + 1, F.lit(2))).alias("node"), F.col("n").alias("above"))
         )
     for_sketches = small[0]
     for more in small[1:]:
         for_sketches = for_sketches.unionByName(more)
-    links = _grouped(for_sketches.join(classes.select("key", "sketch"), "key").select("node", "key", "sketch"), ["node"], similar_sketches, "a binary, b binary")
+    links = _grouped(for_sketches.join(classes.select("key", "sketch"), "key").select("node", "key", "sketch"), ["node"], partial(similar_sketches, agreeing(percent)), "a binary, b binary")
     for more in whole:
         links = links.unionByName(more)
     return links
@@ -371,20 +408,21 @@ def _boilerplate(values: tuple, columns: list[list]) -> Iterator[tuple]:
     yield values[0], found[2 * counts > len(columns[0])].tobytes()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, task_shingles: int = TASK_SHINGLES, recall: float = RECALL) -> DataFrame:
     """Each row's id, n_shingles, component_id and kept.
 
     Rows are linked if 100 * intersection >= percent * union for their sets of shingles; rows with equal sets always
     are. component_id is the smallest id that can be reached through links, the row's own included; kept tells whether
     it is the row's own. An empty set (null or empty text, white space) is linked with nothing. Rows that repeat are
     linked and kept alike. Null ids are larger than any other: a component has one only if all its ids are null, and its
-    rows are kept. An empty table gives no rows. Further columns of the input play no part. A very long text counts with
-    all its shingles; a task holds the text and eight bytes for each of its characters and shingles while it hashes them.
+    rows are kept. An empty table gives no rows. Further columns of the input play no part. Of pairs at the threshold at
+    least ``recall`` are found where every node is large down to the last level; pairs that are more alike, or in corpora
+    whose trees have fewer levels, are found more often. percent is from 50 to 100. A very long text counts with all its shingles; a task holds the text and eight bytes for each of its characters and shingles while it hashes them.
     """
-    rows = written(sketches(docs, id_col, text_col), "sketches")
+    rows = written(sketches(docs, id_col, text_col, trees_for(recall, percent, LEVELS)), "sketches")
     sets = rows.where("key is not null")
     classes = written(sets.groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "n_shingles", "nodes", "sketch")).alias("one")).select("key", "one.id", "one.n_shingles", "one.nodes", "one.sketch"), "classes")
-    groups = components(candidate_links(classes, leaf)).select(F.col("node").alias("key"), F.col("component").alias("group"))
+    groups = components(candidate_links(classes, percent, leaf)).select(F.col("node").alias("key"), F.col("component").alias("group"))
     grouped = classes.join(groups, "key").select("id", "key", "group", "n_shingles")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     members = _own_texts(texts.join(grouped, texts["id"].eqNullSafe(grouped["id"])).select("group", "key", "n_shingles", "text")).withColumn("label", F.lit(None).cast("binary"))

@@ -139,3 +139,42 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(links).collect()}
     assert got == {1: 1, 2: 1, 4: 4, 5: 4, 6: 4, 7: 4, 8: 8, 9: 8, 100: 1, **{200 + i: 1 for i in range(50)}}
     assert components(links.limit(0)).count() == 0
+
+
+def test_trees_follow_from_the_recall_that_is_asked_for():
+    assert cp.trees_for(0.95, 75, 8) == 10 and cp.agreeing(75) == 28 and cp.tree_recall(75, 0) == 0.75
+    assert cp.trees_for(0.99, 75, 8) > 10 > cp.trees_for(0.8, 75, 8) and cp.trees_for(0.9, 100, 8) == 1
+    rng, met = random.Random(2), 0
+    for _ in range(20_000):  # the same by chance: a pair's nodes in one tree, level by level
+        nodes = int(rng.random() < 0.75)
+        for _ in range(8):
+            nodes = sum(rng.random() < 0.75 for _ in range(nodes) for _ in range(1 + (rng.random() < 1 / 3)))
+        met += nodes > 0
+    assert abs(met / 20_000 - cp.tree_recall(75, 8)) < 0.02
+    for bad in ((0.999999, 75), (0.95, 40), (1.0, 75)):
+        with pytest.raises(ValueError):
+            cp.trees_for(*bad, 8)
+
+
+def test_recall_in_deep_trees(spark):
+    """Sets that all share two fifths of their shingles: nodes of eight at most lie five levels down, and pairs at 0.75 still meet."""
+    rng = random.Random(13)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    common, texts = fresh(84), []
+    for i in range(900):
+        own = fresh(122)
+        texts.append(common + own)
+        if i < 120:  # 176 shingles in common of 202 and 202: similar by 0.77
+            texts.append(common + own[:96] + fresh(26))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [shingles(" ".join(t)) for t in texts[:240]]
+    pairs = [(2 * i, 2 * i + 1) for i in range(120)]
+    assert all(0.75 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.82 for a, b in pairs)
+    rows = cp.written(cp.sketches(df, "doc_id", "text", cp.trees_for(cp.RECALL, 75, cp.LEVELS)), "test")
+    named = {bytes(r["key"]): r["id"] for r in rows.collect()}
+    links = [(named[bytes(r["a"])], named[bytes(r["b"])]) for r in cp.candidate_links(rows, 75, leaf=8).collect()]
+    group = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    met = sum(a in group and group[a] == group.get(b) for a, b in pairs)
+    assert met >= 0.9 * len(pairs)
+    components_ = {r["doc_id"]: r["component_id"] for r in cp.near_duplicates(df, leaf=8).collect()}
+    assert sum(components_[a] == components_[b] for a, b in pairs) >= met
