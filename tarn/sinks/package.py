@@ -1,16 +1,21 @@
 """Packages: tables as files with a hashed manifest, written beside their place and moved there, verified, loaded, hydrated.
 
-Spark writes and hashes the files; the driver handles the manifest, which has a row for each file: MOST_FILES at most, each
-within Spark's 2 GB for a value. A package takes its place by one rename, which is atomic where the file system's is: on an
-object store readers should ask for the manifest, which is there last.
+Spark writes and hashes the files, of any size; the driver handles the manifest, which has a row for each file: MOST_FILES
+at most. A package takes its place by one rename, which is atomic where the file system's is. Where it isn't, as on object
+stores, a package is written as one generation of many (``write_generation``): a folder of its own that never changes, and
+a numbered pointer to it, written last and only if nobody else has written that number. Readers pin a generation.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +23,7 @@ from pyspark.sql import types as T
 from tarn.functions.numbers import canonical_integer, canonical_logical
 from tarn.sinks.text import redacted_view, write_csv
 from tarn.sources.delimited import read_strict
+from tarn.sources.files import digests
 from tarn.storage import stored
 
 MANIFEST = "manifest.json"
@@ -57,15 +63,45 @@ class Place:
         out.write(bytearray(text, "utf-8"))
         out.close()
 
+    def create_text(self, name: str, text: str) -> bool:
+        """Writes a file unless it is there already; whether it was written. Of several writers one succeeds.
+
+        Local files get their name once they are whole; elsewhere the file system's own create-if-absent decides, and a
+        reader may meet the file before it is whole.
+        """
+        if self._fs.getScheme() == "file":
+            folder = unquote(self._path.toUri().getPath())
+            os.makedirs(folder, exist_ok=True)
+            with tempfile.NamedTemporaryFile("w", dir=folder, prefix=".", delete_on_close=False) as file:
+                file.write(text)
+                file.close()
+                try:
+                    os.link(file.name, f"{folder}/{name}")
+                except FileExistsError:
+                    return False
+            return True
+        try:
+            out = self._fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(self._path, name), False)
+            out.write(bytearray(text, "utf-8"))
+            out.close()
+        except Py4JJavaError:
+            if self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(self._path, name)):
+                return False
+            raise
+        return True
+
+    def names(self) -> list[str]:
+        """What stands in the folder, by name; nothing if it isn't there."""
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._path)) if self.exists() else []
+
     def read_text(self, name: str) -> str:
         return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()["value"]
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """path (relative to the package), bytes and sha256 of every data file below it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.substring(F.col("path"), len(Place(spark, path).full) + 2, 1 << 20)
-    return files.select(name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where((F.col("path") != MANIFEST) & ~F.col("path").rlike(r"(^|/)[._]"))
+    return digests(spark, path).select(name.alias("path"), "bytes", "sha256").where((F.col("path") != MANIFEST) & ~F.col("path").rlike(r"(^|/)[._]"))
 
 
 def write_package(spark: SparkSession, path: str, tables: dict[str, DataFrame], metadata: dict | None = None, replace: bool = False, form: str = "parquet", optional: Sequence[str] = ()) -> None:
@@ -110,6 +146,56 @@ def write_package(spark: SparkSession, path: str, tables: dict[str, DataFrame],
         aside.remove()
 
 
+POINTERS = "pointers"
+
+
+def generations(spark: SparkSession, path: str) -> dict[int, str]:
+    """The generations of a package, number to folder. A pointer that is still being written isn't one yet."""
+    place, found = Place(spark, f"{path}/{POINTERS}"), {}
+    for name in place.names():
+        if name.isdigit():
+            text = place.read_text(name)
+            if text and text.endswith("\n"):
+                found[int(name)] = f"{path}/{text.strip()}"
+    return found
+
+
+def write_generation(spark: SparkSession, path: str, tables: dict[str, DataFrame], metadata: dict | None = None, form: str = "parquet", optional: Sequence[str] = (), after: int | None = None) -> int:
+    """Writes tables as the next generation of the package at ``path``; returns its number.
+
+    The files get a folder of their own. The pointer with the number after ``after`` (the latest, if none is given) comes
+    last and is written only if it isn't there: of two writers that start from one generation one succeeds, and the other
+    gets FileExistsError and leaves nothing behind. What readers have pinned stays as it is.
+    """
+    latest = max(generations(spark, path), default=0) if after is None else after
+    own = f"generation-{uuid.uuid4().hex}"
+    write_package(spark, f"{path}/{own}", tables, metadata, form=form, optional=optional)
+    if not Place(spark, f"{path}/{POINTERS}").create_text(f"{latest + 1:08d}", own + "\n"):
+        Place(spark, f"{path}/{own}").remove()
+        raise FileExistsError(f"generation {latest + 1} of {path} is another writer's")
+    return latest + 1
+
+
+def pinned(spark: SparkSession, path: str, generation: int | None = None) -> str:
+    """The folder of a generation, the latest by default: every function that takes a package's path takes it."""
+    known = generations(spark, path)
+    if not known or generation is not None and generation not in known:
+        raise FileNotFoundError(f"no generation {'' if generation is None else generation} of {path}")
+    return known[max(known) if generation is None else generation]
+
+
+def retire(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Removes the files of all but the latest ``keep`` generations, whose numbers it returns; pointers stay, so numbers aren't used again."""
+    if keep < 1:
+        raise ValueError("the latest generation stays")
+    old = sorted(generations(spark, path).items())[:-keep]
+    gone = [(n, Place(spark, folder)) for n, folder in old]
+    removed = [n for n, place in gone if place.exists()]
+    for _, place in gone:
+        place.remove()
+    return removed
+
+
 def manifest_of(spark: SparkSession, path: str) -> dict:
     return json.loads(Place(spark, path).read_text(MANIFEST))
 

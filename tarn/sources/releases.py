@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.sinks.package import Place
+from tarn.sources.files import digests
 
 RECEIPT = "receipt.json"
 ASSET = "asset"
 
 
 def _facts(spark: SparkSession, path: str) -> DataFrame:
-    """bytes and sha256 of one file; it has to fit Spark's 2 GB for a value."""
-    return spark.read.format("binaryFile").load(path).select(F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """bytes and sha256 of one file, of any size."""
+    return digests(spark, path).select("bytes", "sha256")
 
 
 def install(spark: SparkSession, source: str, target: str, release: str, size: int, sha256: str) -> None:
