@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn import schemas
 from tarn.functions import temporal, text
 from tarn.functions.json_text import json_problem
 from tarn.operators import predicates, spatial
+from tarn.operators.lookup import small
 from tarn.operators.predicates import RoleMapping
 from tarn.plans import catalog, graph, harmonize, run
 from tarn.plans.plan_queries import _graph
 from tarn.plans.registry import Tables, query
 from tarn.sinks import package, publish
 from tarn.sinks import text as sink
-from tarn.sources import delimited, documents, jsonld, linked_data, releases
+from tarn.sources import delimited, documents, jsonld, linked_data, releases, scans
 from tarn.storage import fresh_path
 
 # ruff: noqa: D103
@@ -243,10 +245,42 @@ def op115(t):
     return t.spark.createDataFrame([(h, package.lineage_matches(t.spark, path, catalog=h)) for h in ("h1", "h2")], "catalog string, fine boolean")
 
 
-@query("OP106_preflight", "SELECT * FROM (VALUES ('csv', 'pyarrow', NULL), ('csv', 'nothing-of-the-kind', 'missing'), ('edr', 'pandas', 'outdated')) v(handler_id, package, problem)")
+@query("OP106_preflight", "SELECT event_id, CASE event_type WHEN 'click' THEN 'missing' WHEN 'view' THEN 'outdated' END AS problem FROM events")
 def op106(t):
-    found = run.preflight({"csv": {"pyarrow": "1.0", "nothing-of-the-kind": "1"}, "edr": {"pandas": "999"}})
-    return t.spark.createDataFrame(found, "handler_id string, package string, problem string")
+    """Event types as handlers; each event with what its handler lacks."""
+    needs = {"click": "nothing-of-the-kind", "view": "pandas"}
+    kinds = [r["event_type"] for r in t.events.select("event_type").distinct().limit(100).collect()]  # handlers of a registry
+    found = run.preflight({k: {needs.get(k, "pyarrow"): "999" if k == "view" else "1.0"} for k in kinds})
+    return t.events.join(small(t.spark.createDataFrame(found, "event_type string, package string, problem string")), "event_type").select("event_id", "problem")
+
+
+def _scans(t: Tables):
+    """A scan for each customer: pages of four orders; some say how many match, wrongly too, and some links lead back."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    dealt = t.orders.select("o_custkey", "o_orderkey", F.floor((F.row_number().over(order) - 1) / 4).cast("int").alias("page"), F.count(F.lit(1)).over(Window.partitionBy("o_custkey")).alias("n"))
+    pages = dealt.groupBy("o_custkey", "page", "n").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("id"))).alias("features"))
+    k, last = F.col("o_custkey") % 6, F.col("page") + 1 >= F.ceil(F.col("n") / 4)
+    matched = F.when(k.isin(0, 5), F.col("n")).when(k == 2, F.col("n") + 3).when(k == 4, F.col("n") + F.when(F.col("page") > 0, 1).otherwise(0))
+    onward = F.when((k == 5) & (F.col("page") == 1) | (k == 3) & last, F.lit("p0")).when(~last, F.concat(F.lit("p"), (F.col("page") + 1).cast("string")))
+    links = F.when(onward.isNotNull(), F.array(F.struct(F.lit("next").alias("rel"), onward.alias("href")))).otherwise(F.array().cast("array<struct<rel: string, href: string>>"))
+    body = F.to_json(F.struct("features", matched.alias("numberMatched"), links.alias("links")))
+    return pages.select(F.col("o_custkey").alias("scan_id"), "page", F.concat(F.lit("p"), F.col("page").cast("string")).alias("url"), body.alias("body"))
+
+
+@query(
+    "OP10_scan_status",
+    """WITH RECURSIVE o AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1),
+p AS (SELECT c, n, CAST(i AS INTEGER) AS page, least(4, n - 4 * i) AS f, CASE WHEN c % 6 IN (0, 5) THEN n WHEN c % 6 = 2 THEN n + 3 WHEN c % 6 = 4 THEN n + CASE WHEN i > 0 THEN 1 ELSE 0 END END AS m,
+  CASE WHEN (c % 6 = 5 AND i = 1) OR (c % 6 = 3 AND 4 * (i + 1) >= n) THEN 0 WHEN 4 * (i + 1) < n THEN i + 1 END AS nxt FROM o, unnest(generate_series(0, CAST(ceil(n / 4.0) AS BIGINT) - 1)) u(i)),
+q AS (SELECT *, coalesce(first_value(m IGNORE NULLS) OVER (PARTITION BY c ORDER BY page), m) AS known, CAST(sum(f) OVER (PARTITION BY c ORDER BY page) AS BIGINT) AS total FROM p),
+w AS (SELECT *, CASE WHEN NOT bool_or(coalesce(m <> known, false) OR coalesce(total > known, false)) OVER (PARTITION BY c ORDER BY page) THEN known END AS k, least(total, 10) AS rows FROM q),
+s AS (SELECT *, CASE WHEN rows >= k THEN 'number_matched' WHEN rows >= 10 THEN 'limit' WHEN nxt IS NULL THEN 'no_next' WHEN nxt <= page THEN 'repeated_next' WHEN page = 2 THEN 'page_budget' END AS stop FROM w WHERE page < 3)
+SELECT c AS scan_id, page + 1 AS pages, rows, stop AS stop_reason, CASE stop WHEN 'number_matched' THEN false WHEN 'limit' THEN total > 10 OR nxt IS NOT NULL OR coalesce(rows < k, false) WHEN 'no_next' THEN coalesce(rows < k, false) ELSE true END AS truncated
+FROM s WHERE stop IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c ORDER BY page) = 1""",
+)
+def op10_scans(t):
+    """Where a scan along next links ends, ten features and three pages at most."""
+    return scans.scan_status(_scans(t), 10, 3)
 
 
 @query(

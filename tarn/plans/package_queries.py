@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarn.operators import predicates
+from tarn.operators.lookup import small
 from tarn.plans import run
 from tarn.plans.registry import Tables, query
 from tarn.plans.source_queries import _coverages, _pages
@@ -15,12 +16,24 @@ from tarn.storage import fresh_path
 
 # ruff: noqa: D103
 
-_HANDLERS = ", ".join(f"({i + 1}, '{h.name}', '{h.outcome}', '{h.lifecycle}')" for i, h in enumerate(predicates.HANDLERS))
+#: Addresses by the key's remainder, and which handler takes them.
+_ADDRESSES = (
+    "https://e.org/collections/x/position?a=1", "https://api.waterdata.usgs.gov/ogcapi/v0/collections/continuous/items", "http://api.waterdata.usgs.gov/ogcapi/v0/collections/latest-daily/items?f=json",
+    "https://waterservices.usgs.gov/nwis/iv/?sites=1", "https://waterservices.usgs.gov/nwis/dv?sites=1", "https://www.waterqualitydata.us/data/Result/search?x", "https://e.org/collections/lakes/items", "https://e.org/a.csv?x=1", "https://e.org/a.html",
+)
 
 
-@query("OP36_handlers", f"SELECT * FROM (VALUES {_HANDLERS}) v(precedence, handler_id, outcome, lifecycle)")
+@query(
+    "OP36_handlers",
+    """SELECT page_id, h.* FROM pages JOIN (VALUES (0, 1, 'edr', 'fetch', 'active'), (1, 2, 'usgs_waterdata_continuous', 'fetch', 'active'), (2, 3, 'usgs_waterdata_daily', 'fetch', 'active'), (3, 4, 'nwis_legacy_iv', 'fetch', 'deprecated'), (4, 5, 'nwis_legacy_dv', 'fetch', 'deprecated'),
+(5, 6, 'wqp', 'fetch', 'active'), (6, 7, 'ogc_api_features', 'fetch', 'active'), (7, 8, 'csv', 'fetch', 'active'), (8, 9, 'unknown', 'reference_only', 'active')) k(r, precedence, handler_id, outcome, lifecycle) ON page_id % 9 = r
+CROSS JOIN LATERAL (SELECT k.precedence, k.handler_id, k.outcome, k.lifecycle) h""",
+)
 def op36(t):
-    return predicates.handler_table(t.spark)
+    """What the registry says of the handler that takes each page's address."""
+    address = F.element_at(F.array(*map(F.lit, _ADDRESSES)), (F.col("page_id") % len(_ADDRESSES) + 1).cast("int"))
+    facts = t.pages.select("page_id", address.alias("access_url"), F.lit(None).cast("string").alias("media_type"), F.lit(None).cast("array<string>").alias("conforms_to"))
+    return predicates.classified(facts).join(small(predicates.handler_table(t.spark)), "handler_id").select("page_id", "precedence", "handler_id", "outcome", "lifecycle")
 
 
 def _written(t: Tables) -> str:
@@ -34,10 +47,15 @@ def op24(t):
     return package.load_package(t.spark, _written(t))["datasets"]
 
 
-@query("OP25_package_files", "SELECT * FROM (VALUES ('datasets', 'verified'), ('sites', 'verified')) v(part, status)")
+@query("OP25_package_files", "SELECT 'datasets' AS part, 'verified' AS status, s_suppkey AS key FROM supplier UNION ALL SELECT 'sites', 'verified', n_nationkey FROM nation")
 def op25(t):
-    found = package.verify_package(t.spark, _written(t))
-    return found.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("part"), "status").distinct()
+    """The keys that each file of a package holds, and the file's status."""
+    path = _written(t)
+    part = lambda c: F.split_part(c, F.lit("/"), F.lit(1))
+    status = package.verify_package(t.spark, path).select("path", "status")
+    held = lambda name, key: t.spark.read.parquet(f"{path}/{name}").select(F.concat(F.lit(f"{name}/"), F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0)).alias("path"), F.col(key).alias("key"))
+    rows = held("datasets", "s_suppkey").unionByName(held("sites", "n_nationkey"))
+    return rows.join(small(status), "path").select(part(F.col("path")).alias("part"), "status", "key")
 
 
 @query("OP26_replaced_package", "SELECT r_regionkey, r_name FROM region")

@@ -69,15 +69,30 @@ def op58(t):
     return rows.select("event_id", "dimension", "target_uri", "rule_id")
 
 
-@query("OP20_vocabularies", f"WITH u(d, uri) AS (VALUES {_UNIT_ROWS}), r(rule_id, a, b) AS (VALUES {_RULES}) SELECT rule_id, u.d AS dimension, a AS from_unit_uri, b AS to_unit_uri FROM r JOIN u ON uri = a")
+@query(
+    "OP20_vocabularies",
+    f"""WITH u(d, uri) AS (VALUES {_UNIT_ROWS}), r(rule_id, a, b) AS (VALUES {_RULES}), s(event_type, mapped, known, su, sl) AS (VALUES {_SERIES_SQL})
+SELECT event_id, rule_id, u.d AS dimension, a AS from_unit_uri, b AS to_unit_uri FROM events JOIN s USING (event_type) JOIN u ON su = uri JOIN r ON a = su""",
+)
 def op20(t):
+    """Every rule that leads away from each event's unit."""
     spark = t.spark
-    return vocabularies.rules(spark).drop("dimension").join(vocabularies.units(spark).select("dimension", "unit_uri"), F.col("from_unit_uri") == F.col("unit_uri")).select("rule_id", "dimension", "from_unit_uri", "to_unit_uri")
+    known = vocabularies.rules(spark).drop("dimension").join(vocabularies.units(spark).select("dimension", "unit_uri"), F.col("from_unit_uri") == F.col("unit_uri"))
+    rows = series(t).select("event_id", F.col("source_unit_uri").alias("from_unit_uri"))
+    return rows.join(small(known.drop("unit_uri")), "from_unit_uri").select("event_id", "rule_id", "dimension", "from_unit_uri", "to_unit_uri")
 
 
-@query("OP114_target_units", f"SELECT * FROM (VALUES ('thermodynamic-temperature', '{_U}DEG_C', 'deg C'), ('length', '{_U}FT', 'ft'), ('volume-flow-rate', '{_U}M3-PER-SEC', 'm3/s')) v(dimension, target_uri, target_label)")
+@query(
+    "OP114_target_units",
+    f"""WITH u(d, uri) AS (VALUES {_UNIT_ROWS}), s(event_type, mapped, known, su, sl) AS (VALUES {_SERIES_SQL})
+SELECT event_id, u.d AS dimension, '{_U}' || CASE u.d WHEN 'length' THEN 'FT' WHEN 'volume-flow-rate' THEN 'M3-PER-SEC' ELSE 'DEG_C' END AS target_uri, CASE u.d WHEN 'length' THEN 'ft' WHEN 'volume-flow-rate' THEN 'm3/s' ELSE 'deg C' END AS target_label
+FROM events JOIN s USING (event_type) JOIN u ON su = uri""",
+)
 def op114(t):
-    return vocabularies.target_units(t.spark, {"length": f"{_U}FT"})
+    """The target of each event's dimension, where feet are wanted of lengths."""
+    dimensions = vocabularies.units(t.spark).select("dimension", F.col("unit_uri").alias("source_unit_uri"))
+    targets = vocabularies.target_units(t.spark, {"length": f"{_U}FT"})
+    return series(t).join(small(dimensions), "source_unit_uri").join(small(targets), "dimension").select("event_id", "dimension", "target_uri", "target_label")
 
 
 _ZONES = ", ".join(f"('{c}', {m})" for c, m in vocabularies.ZONES.items())
