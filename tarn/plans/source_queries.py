@@ -325,6 +325,21 @@ def op51(t):
 _SPHERE = "2 * 6371.01 * asin(sqrt(cos(radians(n_nationkey % 13 + 0.5)) ** 2 * sin(radians(least(n_nationkey * 4, r_regionkey * 20 + 10) - r_regionkey * 20) / 2) ** 2))"
 
 
+@query(
+    "OP51_geodesic_lengths",
+    """WITH a AS (SELECT c_custkey, c_custkey * 7 % 300 - 150 AS w, 1 + c_custkey % 5 AS n FROM customer), l AS (SELECT s_suppkey, s_suppkey * 11 % 280 - 140 AS w, 2 + s_suppkey % 7 AS n FROM supplier)
+SELECT CAST(c_custkey AS VARCHAR) AS area_id, CAST(s_suppkey AS VARCHAR) AS line_id, round(6378.137 * radians(least(a.w + a.n, l.w + l.n) - greatest(a.w, l.w)), 6) AS km FROM a, l WHERE least(a.w + a.n, l.w + l.n) > greatest(a.w, l.w)""",
+)
+def op51_lengths(t):
+    """Boxes over the equator and lines along it, where a degree of the ellipsoid is known."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    w, e = F.col("c_custkey") * 7 % 300 - 150, F.col("c_custkey") * 7 % 300 - 149 + F.col("c_custkey") % 5
+    areas = t.customer.select(F.col("c_custkey").cast("string").alias("area_id"), text("POLYGON ((", w, " -1, ", e, " -1, ", e, " 1, ", w, " 1, ", w, " -1))").alias("area_wkt"))
+    w, e = F.col("s_suppkey") * 11 % 280 - 140, F.col("s_suppkey") * 11 % 280 - 138 + F.col("s_suppkey") % 7
+    lines = t.supplier.select(F.col("s_suppkey").cast("string").alias("line_id"), text("LINESTRING (", w, " 0, ", e, " 0)").alias("line_wkt"))
+    return spatial.intersecting(areas, lines, on="ellipsoid").select("area_id", "line_id", F.round("km", 6).alias("km"))
+
+
 @query(
     "OP51_ranked_mainstems",
     f"""WITH p AS (SELECT CAST(r_regionkey AS VARCHAR) AS area_id, CAST(n_nationkey AS VARCHAR) AS line_id, {_SPHERE} AS km, n_nationkey % 2 = 0 AS current, n_regionkey = r_regionkey AS outlet, n_nationkey FROM region, nation WHERE n_nationkey % 13 < 10 AND n_nationkey * 4 > r_regionkey * 20),
