@@ -254,6 +254,22 @@ def op106(t):
     return t.events.join(small(t.spark.createDataFrame(found, "event_type string, package string, problem string")), "event_type").select("event_id", "problem")
 
 
+@query(
+    "OP16_written_results",
+    """SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS "row", 'urn:' || CAST(o_orderkey AS VARCHAR) AS site, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS label FROM orders WHERE o_custkey % 5 <> 0""",
+)
+def op16(t):
+    """An endpoint's answers for each customer, written as they came and read as tables; some answers are to another question."""
+    site = F.struct(F.lit("uri").alias("type"), F.concat(F.lit("urn:"), F.col("o_orderkey").cast("string")).alias("value"))
+    label = F.when(F.col("o_orderkey") % 3 != 0, F.struct(F.lit("literal").alias("type"), F.col("o_orderpriority").alias("value")))
+    rows = F.array_sort(F.collect_list(F.struct("o_orderkey", F.struct(site.alias("site"), label.alias("label")).alias("b"))))
+    answers = t.orders.groupBy("o_custkey").agg(rows.alias("rows")).select("o_custkey", F.when(F.col("o_custkey") % 5 == 0, F.lit('{"head": {}, "boolean": true}')).otherwise(F.to_json(F.struct(F.struct(F.array(F.lit("site"), F.lit("label")).alias("vars")).alias("head"), F.struct(F.transform("rows", lambda r: r["b"]).alias("bindings")).alias("results")))).alias("body"))
+    path = fresh_path(t.spark, "answers")
+    answers.write.json(path)
+    docs = t.spark.read.schema("o_custkey long, body string").json(path).withColumnRenamed("o_custkey", "doc_id")
+    return documents.wide(documents.select_bindings(docs), ["site", "label"])
+
+
 def _scans(t: Tables):
     """A scan for each customer: pages of four orders; some say how many match, wrongly too, and some links lead back."""
     order = Window.partitionBy("o_custkey").orderBy("o_orderkey")

@@ -30,6 +30,8 @@ MANIFEST = "manifest.json"
 #: Files of a package at most (fixed value): its manifest is one document.
 MOST_FILES = 10_000
 FORMS = ("parquet", "csv")
+#: How Parquet is written: nothing in a file depends on how values repeat or how a writer compresses them, and a file of up to 256 MiB is one row group.
+PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.size": str(256 << 20), "parquet.writer.version": "v1"}
 
 
 class Place:
@@ -107,7 +109,7 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 def write_package(spark: SparkSession, path: str, tables: dict[str, DataFrame], metadata: dict | None = None, replace: bool = False, form: str = "parquet", optional: Sequence[str] = ()) -> None:
     """Writes tables and their manifest; nothing is seen at ``path`` before all is there.
 
-    ``form`` is parquet (microsecond times, without compression) or csv (canonical texts). Files of ``optional`` tables may
+    ``form`` is parquet (microsecond times, without compression or dictionaries: equal rows in equal order give equal bytes) or csv (canonical texts). Files of ``optional`` tables may
     be taken away later without the package becoming invalid. An existing package is an error, or is replaced: it is moved aside first and put back if the new one can't take its place.
     """
     if form not in FORMS or (unknown := set(optional) - set(tables)):
@@ -121,7 +123,7 @@ def write_package(spark: SparkSession, path: str, tables: dict[str, DataFrame],
             if form == "csv":
                 write_csv(df, f"{staged.path}/{name}")
             else:
-                df.write.option("compression", "uncompressed").parquet(f"{staged.path}/{name}")
+                df.write.options(**PLAIN).parquet(f"{staged.path}/{name}")
         files = [r.asDict() for r in inventory(spark, staged.path).orderBy("path").limit(MOST_FILES + 1).collect()]
         if len(files) > MOST_FILES:
             raise ValueError(f"more than {MOST_FILES} files: write fewer, larger ones")

@@ -94,3 +94,15 @@ def test_a_pointer_that_is_being_written_is_none(spark, tmp_path):
     package.write_generation(spark, path, {"t": spark.range(1)})
     (tmp_path / "p" / package.POINTERS / "00000002").write_text("generation-")
     assert list(package.generations(spark, path)) == [1]
+
+
+def test_equal_tables_give_equal_bytes(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(5000).select("id", (F.col("id") % 7).cast("string").alias("s"), (F.col("id") / 3).alias("x"), F.timestamp_micros(F.col("id") * 1_000_003).alias("at")).coalesce(1)
+    for name in ("a", "b"):
+        package.write_package(spark, str(tmp_path / name), {"t": rows})
+    found = [package.inventory(spark, str(tmp_path / n)).select("bytes", "sha256").collect() for n in ("a", "b")]
+    assert found[0] == found[1] and len(found[0]) == 1
+    meta = pq.ParquetFile(next((tmp_path / "a" / "t").glob("*.parquet"))).metadata
+    assert meta.num_row_groups == 1 and all("DICTIONARY" not in str(meta.row_group(0).column(i).encodings) for i in range(4))
