@@ -41,13 +41,21 @@ def _encoding(path: str):
 LONG_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{5000,}")
 
 
+def _one_piece(encoding, text: str) -> list[int]:
+    """The ids of one piece. The library has no public way to encode a piece without its splitter; a version without this one is told."""
+    single = getattr(encoding, "_encode_single_piece", None)
+    if single is None:
+        raise RuntimeError("this version of tiktoken can't encode a run of white space that is too long for its splitter")
+    return single(text)
+
+
 def _ids(encoding, text: str) -> list[int]:
     """The ids of a text. Of a run of white space the splitter makes one piece, but for its last character where more text follows."""
     ids, at = [], 0
     for run in LONG_WHITE.finditer(text):
         end = run.end() - (run.end() < len(text))
         ids += encoding.encode_ordinary(text[at : run.start()])
-        ids += encoding._encode_single_piece(text[run.start() : end])
+        ids += _one_piece(encoding, text[run.start() : end])
         at = end
     return ids + encoding.encode_ordinary(text[at:])
 

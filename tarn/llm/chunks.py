@@ -12,6 +12,7 @@ digest only sends a payload the longer way, so results don't depend on the field
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +28,8 @@ from tarn.llm.common import bound_batches, written
 
 #: Bytes of a chunk: least, and most. A cut is where the hash's upper bits are zero, once in 2**CUT_BITS bytes.
 LEAST, MOST, CUT_BITS = 512, 8192, 11
-#: Bits of the field of repeated digests: 2 MiB, whatever the input.
-FIELD_BITS = 24
+#: Bits of the field of repeated digests: SPARSE for each, rounded up to a power of two between the powers given. It has 16 MiB at most, whatever the input.
+SPARSE, FIELD_BITS = 256, (16, 27)
 _GEAR = np.random.default_rng(1_013).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -58,7 +59,13 @@ def chunks_of(raw: bytes) -> list[tuple[bytes, bytes]]:
 
 
 def _slot(digest: bytes) -> int:
-    return int.from_bytes(digest[:4], "big") >> (32 - FIELD_BITS)
+    """A digest's place in the largest field; in a smaller one it is that of the upper bits."""
+    return int.from_bytes(digest[:4], "big") >> (32 - FIELD_BITS[1])
+
+
+def field_bits(repeated: int) -> int:
+    """Bits of an address in a field for so many digests."""
+    return min(max(math.ceil(math.log2(max(1, SPARSE * repeated))), FIELD_BITS[0]), FIELD_BITS[1])
 
 
 @dataclass(frozen=True)
@@ -95,14 +102,16 @@ def store_media(media: DataFrame, id_col: str, media_col: str) -> MediaStore:
 
     manifest = written(slim.mapInArrow(index, manifest_schema), "manifest")
     pairs = manifest.select(F.explode(F.arrays_zip("digests", "slots")).alias("c")).select("c.digests", "c.slots")
-    repeated = pairs.groupBy("digests", "slots").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    words = repeated.groupBy(F.shiftright("slots", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slots & 63)")).alias("bits")).toArrow()
-    table = np.zeros(1 << (FIELD_BITS - 6), dtype=np.int64)  # and so many rows at most were gathered
+    repeated = written(pairs.groupBy("digests", "slots").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slots"), "repeated")
+    bits = field_bits(repeated.count())
+    left_out = FIELD_BITS[1] - bits
+    words = repeated.select(F.shiftright("slots", left_out).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), dtype=np.int64)  # and so many rows at most were gathered
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
     field = spark.sparkContext.broadcast(table)
 
     def repeats(parts: list[tuple[bytes, bytes]]) -> bool:
-        slots = np.array([_slot(d) for d, _ in parts])
+        slots = np.array([_slot(d) for d, _ in parts]) >> left_out
         return bool(((field.value[slots >> 6] >> (slots & 63)) & 1).any())
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

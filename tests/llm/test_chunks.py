@@ -75,3 +75,8 @@ def test_cuts_follow_content():
     for k in (1, 2, 4, 8, 16):
         gear[k:] = gear[k:] + (gear[:-k] << k)
     assert int(gear[131]) == hash_at
+
+
+def test_the_field_grows_with_what_repeats_up_to_its_bound():
+    assert [chunks.field_bits(n) for n in (0, 1, 1000, 100_000, 10**9)] == [16, 16, 18, 25, 27]
+    assert chunks._slot(b"\xff" * 20) == (1 << 27) - 1 and chunks._slot(bytes(20)) == 0
