@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +27,41 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths handed out within each scope that is open, by application; the innermost scope is last.
+_scopes: dict[str, list[list[str]]] = {}
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes, when it is left, all tables and files that were written to the shared folder within it.
+
+    What an operator returns reads such tables: write or collect it before the scope is left. A long session that doesn't
+    open scopes keeps the intermediate tables of all its calls until it ends. Scopes may be nested; threads share them.
+    """
+    open_ = _scopes.setdefault(spark.sparkContext.applicationId, [])
+    own: list[str] = []
+    open_.append(own)
+    try:
+        yield
+    finally:
+        open_[:] = [x for x in open_ if x is not own]
+        for name in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets. All of an application's are removed when it ends."""
+    """A path in the shared folder that no other call gets. All of an application's are removed when it ends, those of a scope when that is left."""
     context = spark.sparkContext
     folder = f"{shared_folder(spark)}/tarn-{context.applicationId}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(context._jsc.hadoopConfiguration())
     files.mkdirs(path)
     files.deleteOnExit(path)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    fresh = f"{folder}/{name}-{uuid.uuid4().hex}"
+    if open_ := _scopes.get(context.applicationId):
+        open_[-1].append(fresh)
+    return fresh
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -151,3 +151,20 @@ def test_single_items_and_areas(spark):
         predicates.area_of(F.lit("x"), "country")
     with pytest.raises(ValueError):
         spatial.to_crs84(F.lit(1.0), F.lit(1.0), "EPSG:27700")
+
+
+def test_a_scope_removes_what_was_written_in_it(spark):
+    from tarn.storage import scope, stored
+
+    there = lambda df: len(df.inputFiles()) and all(__import__("os").path.exists(f.removeprefix("file://")) for f in df.inputFiles())
+    before = stored(spark.range(3), "kept")
+    with scope(spark):
+        outer = stored(spark.range(4), "outer")
+        with pytest.raises(ZeroDivisionError), scope(spark):
+            inner = stored(spark.range(5), "inner")
+            assert inner.count() == 5 and there(inner)
+            raise ZeroDivisionError
+        assert not there(inner) and there(outer) and outer.count() == 4
+    assert not there(outer) and there(before) and before.count() == 3
+    after = stored(spark.range(6), "kept")
+    assert there(after)
