@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.common import written
+from tarn.llm.crc_sql import crc32_sql
 
 
 def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,3 +66,11 @@ def op5_shards(spark, sf_dir: str) -> DataFrame:
     """Eight shards of all documents under the law ``bytes``."""
     dealt = balanced_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {crc32_sql("coalesce(text, '')")} AS crc FROM documents),
+p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id, crc, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id, crc, size) AS place FROM d),
+s AS (SELECT *, CAST(least(7, ((2 * ahead + size) * 8) // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard, CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import written
+from tarn.llm.crc_sql import crc32_sql
 
 #: Letters of a word, and how often it has to occur in the corpus, at least.
 LETTERS, TIMES = 5, 3
@@ -107,3 +108,19 @@ def op11_spelling(spark, sf_dir: str) -> DataFrame:
     words = planted_words(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     counted = words.where(F.char_length("word") >= LETTERS).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TIMES)
     return spelling_forms(counted)
+
+
+OP11_SQL = f"""
+WITH RECURSIVE u AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{5,}}')), '{UPPER}', '{LOWER}') AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS k FROM u GROUP BY ALL),
+h AS (SELECT run, k, {crc32_sql("(doc_id || ':' || run)")} AS h FROM c),
+w AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+o AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+x AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM o),
+l AS (SELECT DISTINCT a.word AS word, b.word AS near, b.n AS m FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, w.word, w.n FROM x JOIN w ON rest = w.word UNION SELECT w.word, x.word, x.n FROM x JOIN w ON rest = w.word),
+f AS MATERIALIZED (SELECT word, n, coalesce(k, 0) AS n_near, CASE WHEN m >= 2 * n THEN near END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
+  FROM w LEFT JOIN (SELECT word, near, m, count(*) OVER (PARTITION BY word) AS k FROM l QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, encode(near)) = 1) USING (word)),
+r(word, root, depth) AS (SELECT word, word, 0 FROM f UNION ALL SELECT r.word, f.form, depth + 1 FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, depth) AS root FROM r GROUP BY word) USING (word)
+"""
