@@ -30,6 +30,8 @@ from tarn.operators.lookup import joinable
 
 #: Tokens from which on a shard is closed, and bytes of text for which a range of documents is planned.
 SHARD_TOKENS, RANGE_BYTES = 4 << 20, 64 << 20
+#: Rows of an Arrow batch: the more texts, the fewer different words for each.
+ROWS = 2048
 #: Bits of a block of a plane.
 BLOCK = 1 << 16
 #: magic, planes, part, nth, tokens, bytes of the documents' stream.
@@ -41,7 +43,7 @@ def planes_of(ids: np.ndarray) -> Iterator[np.ndarray]:
     """The planes of a sequence of ids, from the highest bit of its largest id, as arrays of booleans."""
     ids = ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4")
     for bit in range(int(ids.max()).bit_length() - 1 if len(ids) else -1, -1, -1):
-        ones = (ids >> bit & 1).astype(bool)
+        ones = ids & ids.dtype.type(1 << bit) != 0
         yield ones
         ids = np.concatenate((np.compress(~ones, ids), np.compress(ones, ids)))
 
@@ -58,7 +60,7 @@ def pack_shard(ids: np.ndarray, documents: pa.RecordBatch, part: int = 0, nth: i
         planes += 1
         bits = np.packbits(ones, bitorder="little")
         blocks = [squeeze(bits[at : at + BLOCK // 8].tobytes()) for at in range(0, len(bits), BLOCK // 8)]
-        held = np.add.reduceat(ones, range(0, len(ones), BLOCK), dtype="<u8")
+        held = np.add.reduceat(np.bitwise_count(bits), range(0, len(bits), BLOCK // 8), dtype="<u8")
         out += [struct.pack("<QI", len(ones) - int(held.sum()), len(blocks)), np.array([len(b) for b in blocks], "<u4").tobytes(), (np.cumsum(held) - held).astype("<u8").tobytes(), *blocks]
     out[0] = HEAD.pack(MAGIC, planes, part, nth, len(ids), len(listed))
     return b"".join(out) + b"\0"
@@ -190,7 +192,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     wholly equal rows are interchangeable. Further columns of the input play no part. An empty table gives no shards.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, ROWS)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("tie"))
     size = slim.agg(F.sum(F.coalesce(F.octet_length("text").cast("long"), F.lit(0)) + 1)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
