@@ -116,18 +116,40 @@ def schema_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)], "column_index int, name string, storage string")
 
 
+def _hash_leaves(rows: DataFrame, number: str, columns: list[str]) -> DataFrame:
+    """n (from 0), and each column's value as the text that is hashed: c0, c1, …"""
+    text = lambda c: F.coalesce(F.concat(F.lit("V"), F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("N"))
+    return rows.select((F.col(number) - 1).alias("n"), *[text(c).alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def _hash_level(level: DataFrame, columns: list[str], fan: int) -> DataFrame:
+    """The next level of the tree: ``fan`` texts or hashes of a column to one hash."""
+    join = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c]), "\n"), 256).alias(c)
+    return level.groupBy(F.floor(F.col("n") / fan).alias("chunk")).agg(*[join(f"c{i}") for i in range(len(columns))]).withColumnRenamed("chunk", "n")
+
+
+def _hash_of_columns(columns: list[str]) -> Column:
+    return F.sha2(F.concat_ws("\n", *[F.concat_ws(":", F.lit(c), F.col(f"c{i}")) for i, c in enumerate(columns)]), 256)
+
+
+def block_hashes(rows: DataFrame, number: str, columns: list[str], fan: int = 1024) -> DataFrame:
+    """block (from 0) and result_sha256 of each block of ``fan`` times ``fan`` rows: values to chunks, chunks to columns, columns to the block.
+
+    ``number`` numbers the rows from 1. A table of one block has the hash that ``result_hash`` gives.
+    """
+    level = _hash_level(_hash_level(_hash_leaves(rows, number, columns), columns, fan), columns, fan)
+    return level.select(F.col("n").alias("block"), _hash_of_columns(columns).alias("result_sha256"))
+
+
 def result_hash(rows: DataFrame, number: str, columns: list[str], fan: int = 1024) -> DataFrame:
     """One row, the hash of a table: values to chunks of ``fan`` rows, chunks to chunks of chunks, columns to the table.
 
     ``number`` numbers the rows from 1. No task holds more than ``fan`` values of a column: a tree, not one long list.
     """
-    text = lambda c: F.coalesce(F.concat(F.lit("V"), F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("N"))
-    level = rows.select((F.col(number) - 1).alias("n"), *[text(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    level = _hash_leaves(rows, number, columns)
     size = level.agg(F.coalesce(F.max("n"), F.lit(-1))).first()[0] + 1
     levels = 0
     while size > 1 or levels < 2:  # values to chunks, chunks to a column, however few
-        join = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c]), "\n"), 256).alias(c)  # noqa: B023, E731
-        level = level.groupBy(F.floor(F.col("n") / fan).alias("chunk")).agg(*[join(f"c{i}") for i in range(len(columns))]).withColumnRenamed("chunk", "n")
+        level = _hash_level(level, columns, fan)
         size, levels = -(-size // fan), levels + 1
-    table = F.sha2(F.concat_ws("\n", *[F.concat_ws(":", F.lit(c), F.col(f"c{i}")) for i, c in enumerate(columns)]), 256)
-    return level.select(table.alias("result_sha256"))
+    return level.select(_hash_of_columns(columns).alias("result_sha256"))
