@@ -94,8 +94,12 @@ def admitted(rows: DataFrame, by: Sequence[str], order: Sequence[str], size: str
     return rows.repartition(*by).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in (*by, *order)]).mapInArrow(fold, target)
 
 
-def page(rows: DataFrame, order: Sequence[str], limit: int, offset: int = 0) -> DataFrame:
-    """A page of the total order; 1 to 1000 rows, no more than 10,000 from the beginning."""
+def page(rows: DataFrame, order: Sequence[str], limit: int | None, offset: int = 0) -> DataFrame:
+    """A page of the total order; 1 to 1000 rows, no more than 10,000 from the beginning. Without a limit (null) all rows, in order."""
+    if limit is None:
+        if offset:
+            raise ValueError("an offset is a page's")
+        return export_order(rows, *order)
     if not (1 <= limit <= 1000 and 0 <= offset and limit + offset <= 10_000):
         raise ValueError("limit is from 1 to 1000, and limit and offset together at most 10000")
     return rows.orderBy(*nulls_last(*order)).offset(offset).limit(limit)

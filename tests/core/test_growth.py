@@ -1,6 +1,9 @@
 """What only tables beyond a limit show: results stay whole, and work follows what differs."""
 
-from tarn.plans.catalogue import QUERIES
+import duckdb
+import pytest
+
+from tarn.plans.catalogue import QUERIES, SQL
 from tarn.sources import delimited
 
 
@@ -17,3 +20,16 @@ def test_features_of_many_customers_come_in_several_pages(spark, tmp_path):
     spark.range(25_000).selectExpr("id AS c_custkey", "'c' AS c_name", "3 AS c_nationkey", "0.5D AS c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
     found = QUERIES["OP09_features"](spark, str(tmp_path))
     assert found.count() == 25_000 == found.select("feature_id").distinct().count()
+
+
+@pytest.mark.parametrize("name", ["OP88_sites_in_area"])
+def test_more_sites_than_a_page_holds(spark, tmp_path, name):
+    spark.range(27_000).selectExpr("id AS s_suppkey", "concat('s', id) AS s_name", "CAST(3 AS INT) AS s_nationkey", "0D AS s_acctbal").write.parquet(str(tmp_path / "supplier.parquet"))
+    for table in ("nation", "lineitem", "orders", "part"):
+        (tmp_path / f"{table}.parquet").symlink_to(f"/root/testdata/sf0.001/{table}.parquet")
+    with duckdb.connect() as con:
+        for table in ("supplier", "nation"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet{'/*.parquet' if table == 'supplier' else ''}')")
+        theirs = sorted(r[0] for r in con.execute(f"SELECT site FROM ({SQL[name]})").fetchall())
+    mine = sorted(r["site"] for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert mine == theirs and len(mine) > 1000
