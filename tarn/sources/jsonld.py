@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -263,8 +263,16 @@ def _taken_apart(bodies: pd.Series) -> pd.DataFrame:
 
 
 def documents(profiles: DataFrame) -> DataFrame:
-    """profiles (profile_uri, body) with nodes (ids of the top ones), parts (all nodes, as JSON), codes, version and profile of each document."""
-    return profiles.withColumn("_d", _taken_apart("body")).select(*profiles.columns, "_d.nodes", "_d.parts", "_d.codes", "_d.version", "_d.profile")
+    """profiles (profile_uri, body) with nodes (ids of the top ones), parts (all nodes, as JSON), codes, version and profile of each document.
+
+    Taking documents apart is the long part of any job here, and a small compressed file may hold very many: they are dealt
+    out to all tasks first.
+    """
+    tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    profiles = profiles.repartition(tasks, "profile_uri", "body")
+    # Else Spark would filter by what it finds before documents are dealt out, and so take them apart twice.
+    once = _taken_apart.asNondeterministic()
+    return profiles.withColumn("_d", once("body")).select(*profiles.columns, "_d.nodes", "_d.parts", "_d.codes", "_d.version", "_d.profile")
 
 
 #: A node of a document: text and reference are looked up in ``properties`` by name.
@@ -276,7 +284,12 @@ def node_table(profiles: DataFrame) -> DataFrame:
 
     As many rows and entries as the documents have objects and values: nothing is copied to where it is referred to.
     """
-    parts = documents(profiles).select("profile_uri", F.explode("parts").alias("n")).select("profile_uri", F.from_json("n", NODE).alias("n"))
+    return node_rows(documents(profiles))
+
+
+def node_rows(read: DataFrame) -> DataFrame:
+    """The same of documents that have been taken apart: profile_uri and parts."""
+    parts = read.select("profile_uri", F.explode("parts").alias("n")).select("profile_uri", F.from_json("n", NODE).alias("n"))
     return stored(parts.select("profile_uri", F.col("n.id").alias("node"), "n.place", "n.types", "n.properties"), "nodes")
 
 
@@ -287,10 +300,18 @@ def statements(nodes: DataFrame) -> DataFrame:
     return every.select("profile_uri", "node", "property", F.posexplode("entries").alias("nth", "e")).select("profile_uri", "node", "property", "nth", F.col("e.v").alias("value"), F.col("e.r").alias("reference"))
 
 
-def followed(rows: DataFrame, reference: str, nodes: DataFrame, out: str) -> DataFrame:
-    """rows (with profile_uri) and the node that ``reference`` names in the same document, as the struct ``out``; null if it isn't described there."""
-    target = nodes.select(F.col("profile_uri").alias("_p"), F.col("node").alias("_n"), F.struct("node", "types", "properties").alias(out))
-    return rows.join(target, (F.col("profile_uri") == F.col("_p")) & (F.col(reference) == F.col("_n")), "left").drop("_p", "_n")
+def followed(rows: DataFrame, reference: str, nodes: DataFrame, out: str, **fields: Column) -> DataFrame:
+    """rows (with profile_uri) and the node that ``reference`` names in the same document, as the struct ``out``; null if it isn't described there.
+
+    ``fields``, of a node's columns, are what is wanted of it instead of node, types and properties; nodes with none of them
+    take no part in the join. Nodes compress so well that Spark would take a table of millions for a small one by the size
+    of its files, and broadcast it: the join is hinted to be one by shuffles.
+    """
+    wanted = nodes.select(F.col("profile_uri").alias("_p"), F.col("node").alias("_n"), *([c.alias(f"_f_{name}") for name, c in fields.items()] or ["node", "types", "properties"]))
+    if fields:
+        wanted = wanted.where(F.coalesce(*[F.when(F.col(f"_f_{name}").isNotNull(), F.lit(True)) for name in fields]))
+    target = wanted.select("_p", "_n", F.struct(*([F.col(f"_f_{name}").alias(name) for name in fields] or ["node", "types", "properties"])).alias(out))
+    return rows.join(target.hint("merge"), (F.col("profile_uri") == F.col("_p")) & (F.col(reference) == F.col("_n")), "left").drop("_p", "_n")
 
 
 def reached(nodes: DataFrame, starts: DataFrame) -> DataFrame:
@@ -304,8 +325,8 @@ def reached(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     steps = 0
     while not newest.isEmpty():
         steps += 1
-        step = newest.select("profile_uri", "start", F.col("node").alias("via"), (F.col("steps") + 1).alias("steps")).join(edges, ["profile_uri", "via"]).select("profile_uri", "start", "node", "steps").distinct()
-        newest = stored(step.join(all_, ["profile_uri", "start", "node"], "left_anti"), "newest")
+        step = newest.select("profile_uri", "start", F.col("node").alias("via"), (F.col("steps") + 1).alias("steps")).join(edges.hint("merge"), ["profile_uri", "via"]).select("profile_uri", "start", "node", "steps").distinct()
+        newest = stored(step.join(all_.hint("merge"), ["profile_uri", "start", "node"], "left_anti"), "newest")
         all_ = all_.unionByName(newest) if steps % 8 else stored(all_.unionByName(newest), "reached")
     return all_
 

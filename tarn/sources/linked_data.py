@@ -62,9 +62,14 @@ def _reference(properties: Column, name: str) -> Column:
 
 
 def _provider(entry: Column, node: Column) -> tuple[Column, Column, Column]:
-    """URI, name and URL of a provider: a text, or a node with an id or URL."""
-    uri = F.coalesce(_named(entry["r"]), _text(node["properties"], "url"), entry["v"])
-    return uri, _text(node["properties"], "name"), _text(node["properties"], "url")
+    """URI, name and URL of a provider: a text, or a node (its name and url) with an id or URL."""
+    return F.coalesce(_named(entry["r"]), node["url"], entry["v"]), node["name"], node["url"]
+
+
+def _with_provider(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows with the node that the entry ``provider`` refers to."""
+    p = F.col("properties")
+    return followed(rows.withColumn("_provider", F.col("provider.r")), "_provider", nodes, "provider_node", name=_text(p, "name"), url=_text(p, "url"))
 
 
 def _type(types: Column) -> Column:
@@ -72,56 +77,70 @@ def _type(types: Column) -> Column:
     return F.when(F.size(types) == 1, F.get(types, F.lit(0))).when(F.size(types) > 1, F.to_json(types)).otherwise(F.lit(""))
 
 
-def _sites(nodes: DataFrame) -> DataFrame:
-    """The top nodes that are locations, with the nodes of their geometry and provider: one has a geometry or position, or is a place with datasets."""
-    p = F.col("properties")
-    top = nodes.where("place is not null").withColumn("_geometry", _reference(p, "hasGeometry")).withColumn("provider", _entry(p, "provider"))
-    found = followed(top, "_geometry", nodes, "geometry").withColumn("wkt", _text(F.col("geometry.properties"), "asWKT"))
-    types = _type(F.col("types"))
-    site = types.contains("HY_") | p["referencedPosition"].isNotNull() | F.col("wkt").isNotNull() | (types.contains("Place") & p["subjectOf"].isNotNull())
-    return followed(found.where(site).withColumn("_provider", F.col("provider.r")), "_provider", nodes, "provider_node")
+def _sites(nodes: DataFrame, **facts: Column) -> DataFrame:
+    """The top nodes that are locations, with ``facts`` of their columns, geometry and provider: one has a geometry or position, or is a place with datasets."""
+    p, types = F.col("properties"), _type(F.col("types"))
+    place = types.contains("HY_") | p["referencedPosition"].isNotNull() | (types.contains("Place") & p["subjectOf"].isNotNull())
+    top = nodes.where("place is not null").select("profile_uri", "node", "place", *[c.alias(name) for name, c in facts.items()], _reference(p, "hasGeometry").alias("_geometry"), _entry(p, "provider").alias("provider"), place.alias("_is_place"))
+    found = followed(top, "_geometry", nodes, "geometry", wkt=_text(p, "asWKT")).withColumn("wkt", F.col("geometry.wkt")).where(F.col("_is_place") | F.col("wkt").isNotNull())
+    return _with_provider(found.drop("_geometry", "geometry", "_is_place"), nodes)
 
 
 def site_nodes(profiles: DataFrame) -> DataFrame:
     """What is checked about each site of each document: profile_uri, place (from 0), site_uri, name, location_type, provider and wkt as they are given."""
+    return sites_of_nodes(node_table(profiles))
+
+
+def sites_of_nodes(nodes: DataFrame) -> DataFrame:
+    """The same of a table of nodes."""
     p = F.col("properties")
     uri, name, url = _provider(F.col("provider"), F.col("provider_node"))
-    found = _sites(node_table(profiles)).withColumn("place", F.row_number().over(Window.partitionBy("profile_uri").orderBy("place")) - 1)
-    return found.select("profile_uri", "place", _named(F.col("node")).alias("site_uri"), _text(p, "name").alias("name"), _iri(p, "HY_HydroLocationType").alias("location_type"), uri.alias("provider_uri"), name.alias("provider_name"), url.alias("provider_url"), "wkt")
+    found = _sites(nodes, name=_text(p, "name"), location_type=_iri(p, "HY_HydroLocationType")).withColumn("place", F.row_number().over(Window.partitionBy("profile_uri").orderBy("place")) - 1)
+    return found.select("profile_uri", "place", _named(F.col("node")).alias("site_uri"), "name", "location_type", uri.alias("provider_uri"), name.alias("provider_name"), url.alias("provider_url"), "wkt")
 
 
 def locations(profiles: DataFrame) -> DataFrame:
     """One site row for each top node that is a location: it has a geometry or position, or it is a place with datasets."""
     p, nodes = F.col("properties"), node_table(profiles)
-    found = _sites(nodes).withColumn("_geo", _reference(p, "geo")).withColumn("_position", _reference(p, "referencedPosition"))
-    found = followed(followed(found, "_geo", nodes, "geo"), "_position", nodes, "position")
-    lat, lon = _text(F.col("geo.properties"), "latitude"), _text(F.col("geo.properties"), "longitude")
+    facts = {"name": _text(p, "name"), "description": _text(p, "description"), "site_type": _type(F.col("types")), "landing_url": _text(p, "url"), "_geo": _reference(p, "geo"), "_position": _reference(p, "referencedPosition")}
+    found = followed(_sites(nodes, **facts), "_geo", nodes, "geo", latitude=_text(p, "latitude"), longitude=_text(p, "longitude"))
+    found = followed(found, "_position", nodes, "position", mainstem=_iri(p, "linearElement"))
+    lat, lon = F.col("geo.latitude"), F.col("geo.longitude")
     point = F.when(lat.isNotNull() & lon.isNotNull(), F.concat(F.lit("POINT ("), lon, F.lit(" "), lat, F.lit(")")))
     uri, name, _ = _provider(F.col("provider"), F.col("provider_node"))
     return found.select(
-        F.coalesce(_named(F.col("node")), F.col("profile_uri")).alias("site_uri"), _text(p, "name").alias("name"), _text(p, "description").alias("description"), _type(F.col("types")).alias("site_type"), uri.alias("provider_uri"), name.alias("provider_name"),
-        _iri(F.col("position.properties"), "linearElement").alias("mainstem_uri"), _text(p, "url").alias("landing_url"), F.col("profile_uri").alias("source_url"), F.coalesce("wkt", point).alias("geometry"),
+        F.coalesce(_named(F.col("node")), F.col("profile_uri")).alias("site_uri"), "name", "description", "site_type", uri.alias("provider_uri"), name.alias("provider_name"),
+        F.col("position.mainstem").alias("mainstem_uri"), "landing_url", F.col("profile_uri").alias("source_url"), F.coalesce("wkt", point).alias("geometry"),
     )
 
 
 def datasets(profiles: DataFrame) -> DataFrame:
     """A row for each dataset, distribution and variable of each profile; a dataset without one of them has a null in its place."""
-    p, nodes = F.col("properties"), node_table(profiles)
+    return datasets_of_nodes(node_table(profiles))
+
+
+def datasets_of_nodes(nodes: DataFrame) -> DataFrame:
+    """The same of a table of nodes."""
+    p = F.col("properties")
     site = F.coalesce(_named(F.col("node")), F.col("profile_uri"))
     named = nodes.where("place is not null").select("profile_uri", site.alias("site_uri"), _entry(p, "provider").alias("site_provider"), F.explode(p["subjectOf"]).alias("_set")).withColumn("_set", F.col("_set.r"))
-    sets = followed(named, "_set", nodes, "d").where(_type(F.col("d.types")).contains("Dataset")).withColumn("provider", F.coalesce(_entry(F.col("d.properties"), "provider"), "site_provider")).withColumn("_provider", F.col("provider.r"))
-    flat = followed(sets, "_provider", nodes, "provider_node").withColumn("_dist", F.explode_outer(F.col("d.properties")["distribution"])).withColumn("_dist", F.col("_dist.r"))
-    flat = followed(flat, "_dist", nodes, "dist").withColumn("_var", F.explode_outer(F.col("d.properties")["variableMeasured"])).withColumn("_var", F.col("_var.r"))
-    flat = followed(flat, "_var", nodes, "var")
+    facts = {
+        "node": F.col("node"), "name": _text(p, "name"), "description": _text(p, "description"), "coverage": _text(p, "temporalCoverage"), "license": _iri(p, "license"), "provider": _entry(p, "provider"),
+        "distribution": F.transform(p["distribution"], lambda e: e["r"]), "variable": F.transform(p["variableMeasured"], lambda e: e["r"]),
+    }
+    sets = followed(named, "_set", nodes.where(_type(F.col("types")).contains("Dataset")), "d", **facts).where("d.node is not null").drop("_set").withColumn("provider", F.coalesce("d.provider", "site_provider"))
+    flat = _with_provider(sets, nodes).withColumn("_dist", F.explode_outer("d.distribution"))
+    conforms = F.transform(p["conformsTo"], lambda e: F.coalesce(e["r"], e["v"]))
+    flat = followed(flat, "_dist", nodes, "dist", url=_text(p, "contentUrl"), format=_text(p, "encodingFormat"), conforms=conforms).withColumn("_var", F.explode_outer("d.variable"))
+    flat = followed(flat, "_var", nodes, "var", property=_iri(p, "propertyID"), name=_text(p, "name"), unit=_iri(p, "unitCode"), label=_text(p, "unitText"), technique=_text(p, "measurementTechnique"))
     uri, name, _ = _provider(F.col("provider"), F.col("provider_node"))
-    d, dist, var = F.col("d.properties"), F.col("dist.properties"), F.col("var.properties")
     # A distribution or variable that is named and not described is still that one.
-    variable = F.coalesce(_named(F.col("_var")), _iri(var, "propertyID"))
+    variable = F.coalesce(_named(F.col("_var")), F.col("var.property"))
     base = flat.select(
-        "profile_uri", "site_uri", _named(F.col("d.node")).alias("dataset_uri"), _text(d, "name").alias("dataset_name"), _text(d, "description").alias("dataset_description"), _text(d, "temporalCoverage").alias("temporal_coverage"),
-        uri.alias("provider_uri"), name.alias("provider_name"), _iri(d, "license").alias("license"), _text(dist, "contentUrl").alias("distribution_url"), media_type(_text(dist, "encodingFormat")).alias("media_type"),
-        F.coalesce(F.transform(dist["conformsTo"], lambda e: F.coalesce(e["r"], e["v"])), F.array().cast("array<string>")).alias("conforms_to"), variable.alias("variable_uri"), _text(var, "name").alias("variable_name"), _iri(var, "unitCode").alias("unit_uri"),
-        _text(var, "unitText").alias("unit_label"), _text(var, "measurementTechnique").alias("measurement_technique"),
+        "profile_uri", "site_uri", _named(F.col("d.node")).alias("dataset_uri"), F.col("d.name").alias("dataset_name"), F.col("d.description").alias("dataset_description"), F.col("d.coverage").alias("temporal_coverage"),
+        uri.alias("provider_uri"), name.alias("provider_name"), F.col("d.license").alias("license"), F.col("dist.url").alias("distribution_url"), media_type(F.col("dist.format")).alias("media_type"),
+        F.coalesce("dist.conforms", F.array().cast("array<string>")).alias("conforms_to"), variable.alias("variable_uri"), F.col("var.name").alias("variable_name"), F.col("var.unit").alias("unit_uri"),
+        F.col("var.label").alias("unit_label"), F.col("var.technique").alias("measurement_technique"),
     )
     base = base.withColumn("span", temporal_interval(F.col("temporal_coverage")))
     parts = {"_site": identity_iri(F.col("site_uri")), "_dataset": identity_iri(F.col("dataset_uri")), "_provider": identity_iri(F.col("provider_uri")), "_url": identity_iri(F.col("distribution_url")), "_variable": identity_iri(F.col("variable_uri"))}
