@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tarn.functions.text import canonical_url, identity_iri, text_is_safe, url_is_safe
 from tarn.operators.lookup import joinable
-from tarn.sources.jsonld import documents
-from tarn.sources.linked_data import datasets, site_nodes
+from tarn.sources.jsonld import documents, node_rows
+from tarn.sources.linked_data import datasets_of_nodes, sites_of_nodes
 from tarn.storage import stored
 
 CONTEXT = {"@vocab": "https://schema.org/", "gsp": "http://www.opengis.net/ont/geosparql#"}
@@ -109,12 +109,13 @@ def document_findings(profiles: DataFrame, version: str, profile: str) -> DataFr
     and dataset rows from 0. Of a document that is none, or without a site, only that is said; a document is valid if no
     finding is an error. What parsing found odd is a warning, as rule ``parser`` with its code.
     """
-    read = stored(documents(profiles), "documents")
-    nodes = read.select("profile_uri", "body")
-    sites = site_nodes(nodes)
-    datasets_ = datasets(nodes).withColumn("place", F.row_number().over(Window.partitionBy("profile_uri").orderBy("dataset_uri", "dataset_name", "distribution_url", "variable_uri", "variable_name")) - 1)
+    read = stored(documents(profiles).drop("body", "nodes"), "documents")
+    nodes = node_rows(read)
+    sites = stored(sites_of_nodes(nodes), "sites")
+    with_sites = stored(sites.select("profile_uri").distinct(), "with_sites").hint("merge")
+    datasets_ = datasets_of_nodes(nodes).join(with_sites, "profile_uri", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("profile_uri").orderBy("dataset_uri", "dataset_name", "distribution_url", "variable_uri", "variable_name")) - 1)
     parsed = ~F.array_contains("codes", "document_parse") & ~F.array_contains("codes", "fragment_budget")
-    whole = read.join(joinable(sites.groupBy("profile_uri").agg(F.count(F.lit(1)).alias("sites"))), "profile_uri", "left")
+    whole = read.drop("parts").join(with_sites.withColumn("sites", F.lit(True)), "profile_uri", "left")
     top = F.array_compact(
         F.array(
             _found("document.parse", F.lit(""), ~parsed),
@@ -141,8 +142,7 @@ def document_findings(profiles: DataFrame, version: str, profile: str) -> DataFr
     )
     row = lambda rest: F.concat(F.lit("/dataset/"), F.col("place").cast("string"), F.lit(rest))
     of_dataset = F.array_compact(F.array(_found("dataset.distribution", row("/schema:distribution"), F.col("distribution_url").isNull()), _found("dataset.variable", row("/schema:variableMeasured"), F.col("variable_id").isNull())))
-    with_sites = joinable(sites.select("profile_uri").distinct())
-    parts = [whole.select("profile_uri", F.explode(F.concat(top, odd)).alias("f")), sites.select("profile_uri", F.explode(of_site).alias("f")), datasets_.join(with_sites, "profile_uri", "left_semi").select("profile_uri", F.explode(of_dataset).alias("f"))]
+    parts = [whole.select("profile_uri", F.explode(F.concat(top, odd)).alias("f")), sites.select("profile_uri", F.explode(of_site).alias("f")), datasets_.select("profile_uri", F.explode(of_dataset).alias("f"))]
     all_ = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("profile_uri", "f.*").distinct()
     said = lambda known, other: F.coalesce(F.create_map(*[F.lit(x) for item in known.items() for x in item])[F.col("rule_id")], F.lit(other))
     message, fix = ({rule: parts[i] for rule, parts in ADVICE.items()} for i in (0, 1))

@@ -2,9 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.plans.catalogue import QUERIES, SQL
-from tarn.sources import delimited
+from tarn.sinks import publish
+from tarn.sources import delimited, jsonld, linked_data
 
 
 def test_blocks_of_rows_have_hashes_of_their_own(spark):
@@ -33,3 +35,12 @@ def test_more_sites_than_a_page_holds(spark, tmp_path, name):
         theirs = sorted(r[0] for r in con.execute(f"SELECT site FROM ({SQL[name]})").fetchall())
     mine = sorted(r["site"] for r in QUERIES[name](spark, str(tmp_path)).collect())
     assert mine == theirs and len(mine) > 1000
+
+
+def test_linked_documents_are_dealt_out_once_and_never_broadcast(spark):
+    rows = spark.createDataFrame([(f"p{i}", '{"@id": "https://e.org/%d", "@type": "hyf:HY_X", "schema:subjectOf": {"@type": "schema:Dataset", "schema:name": "d"}}' % i) for i in range(20)], "profile_uri string, body string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    parts = plan(jsonld.documents(rows).select("profile_uri", F.explode("parts").alias("n")))
+    assert parts.count("ArrowEvalPython") == 1 and "Exchange" in parts[parts.index("ArrowEvalPython") :]
+    for df in (linked_data.datasets(rows), linked_data.locations(rows), publish.document_findings(rows, "1", "p")):
+        assert "Broadcast" not in plan(df) and df.count() >= 20
