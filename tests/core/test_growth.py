@@ -4,9 +4,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tarn.operators import points, spatial
 from tarn.plans.catalogue import QUERIES, SQL
 from tarn.sinks import publish
 from tarn.sources import delimited, jsonld, linked_data
+from tarn.storage import stored
 
 
 def test_blocks_of_rows_have_hashes_of_their_own(spark):
@@ -44,3 +46,15 @@ def test_linked_documents_are_dealt_out_once_and_never_broadcast(spark):
     assert parts.count("ArrowEvalPython") == 1 and "Exchange" in parts[parts.index("ArrowEvalPython") :]
     for df in (linked_data.datasets(rows), linked_data.locations(rows), publish.document_findings(rows, "1", "p")):
         assert "Broadcast" not in plan(df) and df.count() >= 20
+
+
+def test_equal_shapes_are_worked_out_once(spark, monkeypatch):
+    box = "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"
+    areas = spark.createDataFrame([(f"a{i}", box) for i in range(30)], "area_id string, area_wkt string")
+    lines = spark.createDataFrame([(f"l{i}", "LINESTRING (1 1, 5 1)") for i in range(20)], "line_id string, line_wkt string")
+    kept = {}
+    for module in (spatial, points):
+        monkeypatch.setattr(module, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    assert spatial.intersecting(areas, lines).count() == 600 and kept["lengths"].count() == 1
+    at = spark.range(50).selectExpr("id", "1D AS x", "1D AS y")
+    assert points.in_areas(at, F.col("x"), F.col("y"), areas).count() == 1500 and kept["found"].count() == 1
