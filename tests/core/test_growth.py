@@ -54,7 +54,7 @@ def test_equal_shapes_are_worked_out_once(spark, monkeypatch):
     lines = spark.createDataFrame([(f"l{i}", "LINESTRING (1 1, 5 1)") for i in range(20)], "line_id string, line_wkt string")
     kept = {}
     for module in (spatial, points):
-        monkeypatch.setattr(module, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+        monkeypatch.setattr(module, "stored", lambda df, name: kept.update({name: stored(df, name)}) or kept[name])
     assert spatial.intersecting(areas, lines).count() == 600 and kept["lengths"].count() == 1
     at = spark.range(50).selectExpr("id", "1D AS x", "1D AS y")
     assert points.in_areas(at, F.col("x"), F.col("y"), areas).count() == 1500 and kept["found"].count() == 1
