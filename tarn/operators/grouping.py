@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.operators.lookup import joinable, small
+from tarn.storage import stored
+
+#: Fragments of a node up to which they are gathered as they are; of nodes with more only the values that are kept.
+GATHERED = 10_000
 
 
 def collapsed(rows: DataFrame, key: str | list[str], order: Sequence[str], facts: Sequence[str], count: str = "variable_count") -> DataFrame:
@@ -53,9 +57,29 @@ def completeness(stages: DataFrame) -> DataFrame:
 def merged_fragments(nodes: DataFrame, node_id: str, order: str, values: Sequence[str]) -> DataFrame:
     """Fragments of one node in one row: array properties joined in the order of the fragments, each value once, at its first place.
 
-    The arrays ``values`` have elements of one type. Values are made distinct in the tasks, each with its first place, so a
-    node gathers what it keeps and not all of its fragments. A node without values has empty arrays.
+    The arrays ``values`` have elements of one type. A node's fragments meet in one shuffle of the rows as they are. Nodes
+    with more than ``GATHERED`` of them go another way: see ``_merged_by_value``. A node without values has empty arrays.
     """
+    counted = nodes.groupBy(F.col(node_id).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = stored(counted.where(F.col("_n") > GATHERED).select("_hot"), "hot")
+    if hot.isEmpty():
+        return _merged_whole(nodes, node_id, order, values)
+    same = F.col(node_id).eqNullSafe(F.col("_hot"))
+    rest, large = (nodes.join(small(hot), same, how) for how in ("left_anti", "left_semi"))
+    return _merged_whole(rest, node_id, order, values).unionByName(_merged_by_value(large, node_id, order, values))
+
+
+def _merged_whole(nodes: DataFrame, node_id: str, order: str, values: Sequence[str]) -> DataFrame:
+    """Each node with all of its fragments in one row, dealt out before they are collected: few fragments of a node are in one task before that."""
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = nodes.select(node_id, order, *values).repartition(tasks, node_id)
+    gathered = dealt.groupBy(node_id).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("_all"))
+    joined = lambda c: F.flatten(F.transform("_all", lambda x: F.coalesce(x[c], F.array().cast(nodes.schema[c].dataType))))
+    return gathered.select(node_id, *[F.array_distinct(joined(c)).alias(c) for c in values])
+
+
+def _merged_by_value(nodes: DataFrame, node_id: str, order: str, values: Sequence[str]) -> DataFrame:
+    """The same where nodes have very many fragments: values are made distinct in the tasks, each with its first place, so a node gathers what it keeps."""
 
     def parts_of(k: int, c: str) -> Column:
         none = F.array().cast(nodes.schema[c].dataType)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import points, spatial
+from tarn.operators import grouping, points, spatial
 from tarn.plans.catalogue import QUERIES, SQL
 from tarn.sinks import publish
 from tarn.sources import delimited, jsonld, linked_data
@@ -58,3 +58,18 @@ def test_equal_shapes_are_worked_out_once(spark, monkeypatch):
     assert spatial.intersecting(areas, lines).count() == 600 and kept["lengths"].count() == 1
     at = spark.range(50).selectExpr("id", "1D AS x", "1D AS y")
     assert points.in_areas(at, F.col("x"), F.col("y"), areas).count() == 1500 and kept["found"].count() == 1
+
+
+def test_fragments_are_shuffled_once_and_as_they_are(spark, monkeypatch):
+    rows = [(i % 5, i % 3, [f"v{i % 7}", None, f"w{i % 2}"], [] if i % 4 else None) for i in range(200)] + [(None, 1, ["x", "x"], ["y"])]
+    df = spark.createDataFrame(rows, "node int, o int, v array<string>, w array<string>")
+    merged = grouping.merged_fragments(df, "node", "o", ["v", "w"])
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Generate" not in plan
+    kept = lambda found: {r["node"]: (r["v"], r["w"]) for r in found.collect()}
+    whole = kept(merged)
+    assert whole[None] == (["x"], ["y"]) and len(whole) == 6
+    assert kept(grouping._merged_by_value(df, "node", "o", ["v", "w"])) == whole
+    monkeypatch.setattr(grouping, "GATHERED", 1)
+    split = grouping.merged_fragments(df, "node", "o", ["v", "w"])
+    assert kept(split) == whole and split.count() == 6
