@@ -39,8 +39,14 @@ def counts_with_zeros(parents: DataFrame, key: str, rows: DataFrame, rows_key: s
 
 
 def distinct_coverage(rows: DataFrame, key: str, **columns: str) -> DataFrame:
-    """For each key the number of distinct values of several columns."""
-    return rows.groupBy(key).agg(*[F.count_distinct(c).alias(out) for out, c in columns.items()])
+    """For each key the number of distinct values of several columns.
+
+    A task keeps each value that it meets, once for each column. Rows are dealt out to all tasks first, equal ones to one:
+    what comes out of a join may be in few tasks, by the small size of its shuffled bytes.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*dict.fromkeys([key, *columns.values()])).repartition(tasks, key, *columns.values())
+    return dealt.groupBy(key).agg(*[F.count_distinct(c).alias(out) for out, c in columns.items()])
 
 
 def completeness(stages: DataFrame) -> DataFrame:

@@ -73,3 +73,10 @@ def test_fragments_are_shuffled_once_and_as_they_are(spark, monkeypatch):
     monkeypatch.setattr(grouping, "GATHERED", 1)
     split = grouping.merged_fragments(df, "node", "o", ["v", "w"])
     assert kept(split) == whole and split.count() == 6
+
+
+def test_distinct_values_are_counted_by_all_tasks(spark):
+    df = spark.range(300).selectExpr("id % 3 AS k", "id % 7 AS a", "IF(id % 5 = 0, NULL, concat('v', id % 11)) AS b")
+    counted = grouping.distinct_coverage(df, "k", a_count="a", b_count="b", again="a")
+    assert "REPARTITION_BY_NUM" in counted._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, counted.collect())) == [(k, 7, 11, 7) for k in range(3)]
