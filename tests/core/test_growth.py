@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.operators import grouping, points, spatial
+from tarn.plans import graph
 from tarn.plans.catalogue import QUERIES, SQL
 from tarn.sinks import publish
 from tarn.sources import delimited, jsonld, linked_data
@@ -80,3 +81,16 @@ def test_distinct_values_are_counted_by_all_tasks(spark):
     counted = grouping.distinct_coverage(df, "k", a_count="a", b_count="b", again="a")
     assert "REPARTITION_BY_NUM" in counted._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, counted.collect())) == [(k, 7, 11, 7) for k in range(3)]
+
+
+def test_datasets_of_a_variable_are_distinct_before_they_are_combined(spark):
+    pairs = lambda names, rows: spark.createDataFrame(rows + rows[:1], ", ".join(f"{n} string" for n in names.split()))
+    tables = {
+        "subject_of": pairs("site dataset", [("s1", "d1"), ("s2", "d1"), ("s1", "d2"), ("s1", "d3")]), "datasets": pairs("dataset dataset_name temporal_coverage", [("d1", "one", None), ("d2", None, None), ("d3", "x", None)]),
+        "distributions": pairs("dataset distribution access_url media_type", [("d1", "a", "u", "m"), ("d1", "b", "u", None)]), "measured": pairs("dataset variable", [("d1", "v1"), ("d1", "v2"), ("d2", "v1"), ("d3", "v3")]),
+        "variables": pairs("variable variable_name variable_match unit_uri unit_label", [("v1", "n", "flow", None, "l"), ("v2", "n", "flow", None, "l"), ("v3", "n", "other", None, "l")]),
+    }
+    found = graph.datasets_by_variable(graph.Graph(sites=None, positions=None, providers=None, **tables), "flow")
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [(r["site"], r["dataset"], r["distribution"], r["variable"]) for r in found.collect()]
+    assert rows == sorted((s, "d1", d, v) for s in ("s1", "s2") for d in "ab" for v in ("v1", "v2"))[:4] + [("s1", "d2", None, "v1")] + [("s2", "d1", d, v) for d in "ab" for v in ("v1", "v2")]
