@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.operators.lookup import small
 from tarn.storage import stored
 
 #: Prefixes that documents use, declared or not.
@@ -35,6 +36,10 @@ _VOCABULARIES = (*sorted(set(PREFIXES.values())), "http://schema.org/", "http://
 FRAGMENTS = 64
 #: Terms that lead to terms, at most.
 STEPS = 16
+#: Starts, nodes that refer to others, and references of a document up to which these are followed within its row.
+GATHERED = 1_000
+#: The same of all documents that one task gathers, about.
+ENTRIES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -317,11 +322,52 @@ def followed(rows: DataFrame, reference: str, nodes: DataFrame, out: str, **fiel
 def reached(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """What can be reached from each start (profile_uri, node) over references: profile_uri, start, node, steps (the fewest; 0 for itself).
 
-    A join for each step from what the last one found anew; a node that a start has reached is marked by its row, so
-    circles end and references of any depth are followed. References to nodes that aren't described are reached too.
+    Circles end, references of any depth are followed, and references to nodes that aren't described are reached too. A
+    document's references meet in one shuffle and are followed within its row, in as many tasks as all references ask for: a
+    task's memory doesn't grow with the table. Documents with more than ``GATHERED`` go another way: see ``_reached_by_joins``.
     """
-    edges = stored(statements(nodes).where("reference is not null").select("profile_uri", F.col("node").alias("via"), F.col("reference").alias("node")).distinct(), "edges")
-    all_ = newest = stored(starts.select("profile_uri", F.col("node").alias("start"), "node", F.lit(0).alias("steps")).distinct(), "reached")
+    named = F.array_compact(F.array_distinct(F.flatten(F.transform(F.map_values("properties"), lambda entries: entries["r"]))))
+    links = nodes.select("profile_uri", "node", named.alias("named")).where("profile_uri IS NOT NULL AND size(named) > 0")
+    begun = starts.select("profile_uri", "node", F.lit(None).cast(_TEXTS).alias("named"), F.lit(1).alias("entries"))
+    rows = stored(links.withColumn("entries", F.size("named") + 1).unionByName(begun), "links")
+    counted = rows.groupBy(F.col("profile_uri").alias("_hot")).agg(F.sum("entries").alias("_n"))
+    hot = stored(counted.where(F.col("_n") > GATHERED).select("_hot"), "hot")
+    if hot.isEmpty():
+        return _reached_within(rows)
+    same = F.col("profile_uri").eqNullSafe(F.col("_hot"))
+    rest, large = (rows.join(small(hot), same, how) for how in ("left_anti", "left_semi"))
+    return _reached_within(rest).unionByName(_reached_by_joins(large))
+
+
+def _reached_within(rows: DataFrame) -> DataFrame:
+    """The same of documents' links (named: what a node refers to) and starts (named is null), each document in one row.
+
+    What is reached is kept by levels, from the start on. A level is what the last one names that is in none yet; there are as
+    many as nodes that refer to others, at most.
+    """
+    entries = rows.agg(F.sum("entries")).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // ENTRIES))
+    is_start = F.col("named").isNull()
+    sets = F.collect_set(F.when(is_start, F.struct("node"))).alias("starts"), F.collect_list(F.when(~is_start, F.struct("node", "named"))).alias("links")
+    gathered = rows.repartition(tasks, "profile_uri").groupBy("profile_uri").agg(*sets).select("profile_uri", F.explode("starts.node").alias("start"), "links")
+
+    def level(levels: Column, _: Column) -> Column:
+        newest = F.element_at(levels, -1)
+        via = F.filter("links", lambda link: F.array_contains(newest, link["node"]))
+        found = F.array_except(F.flatten(F.transform(via, lambda link: link["named"])), F.flatten(levels))
+        return F.when(F.size(newest) == 0, levels).otherwise(F.concat(levels, F.array(found)))
+
+    levels = F.aggregate("links", F.array(F.array("start")), level)
+    return gathered.select("profile_uri", "start", F.posexplode(levels).alias("steps", "at")).select("profile_uri", "start", F.explode("at").alias("node"), "steps")
+
+
+def _reached_by_joins(rows: DataFrame) -> DataFrame:
+    """The same where documents have very many references: a join for each step from what the last one found anew.
+
+    A node that a start has reached is marked by its row.
+    """
+    edges = stored(rows.select("profile_uri", F.col("node").alias("via"), F.explode("named").alias("node")).distinct(), "edges")
+    all_ = newest = stored(rows.where("named IS NULL").select("profile_uri", F.col("node").alias("start"), "node", F.lit(0).alias("steps")).distinct(), "reached")
     steps = 0
     while not newest.isEmpty():
         steps += 1

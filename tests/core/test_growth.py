@@ -1,5 +1,7 @@
 """What only tables beyond a limit show: results stay whole, and work follows what differs."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +96,40 @@ def test_datasets_of_a_variable_are_distinct_before_they_are_combined(spark):
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
     rows = [(r["site"], r["dataset"], r["distribution"], r["variable"]) for r in found.collect()]
     assert rows == sorted((s, "d1", d, v) for s in ("s1", "s2") for d in "ab" for v in ("v1", "v2"))[:4] + [("s1", "d2", None, "v1")] + [("s2", "d1", d, v) for d in "ab" for v in ("v1", "v2")]
+
+
+def test_references_are_followed_within_a_documents_row(spark, monkeypatch):
+    """Odd graphs, against plain Python; in more tasks where there is more; by joins where a document has very many."""
+    own = random.Random(5)
+    graphs = {f"g{g}": {f"n{i}": [f"n{own.randrange(12)}" for _ in range(own.choice([0, 0, 1, 2, 5]))] for i in range(9)} for g in range(30)}
+    graphs |= {"chain": {f"n{i}": [f"n{i + 1}"] for i in range(14)}, "own": {"n0": ["n0", "n0"]}, "none": {"n0": []}}
+    rows = [(p, node, 0, [], {"a": [(None, r) for r in refs[:2]] + [("text", None)], "b": [(None, r) for r in refs[1:]]}) for p, graph in graphs.items() for node, refs in graph.items()]
+    nodes = spark.createDataFrame([*rows, (None, "n0", 0, [], {"a": [(None, "n1")]}), ("g0", None, 0, [], {"a": [(None, "n1")]}), ("bare", "n0", 0, [], None)], f"profile_uri string, {jsonld.NODE.replace('id', 'node', 1)}")
+    begun = [(p, s) for p in graphs for s in ("n0", "n3", "elsewhere")]
+    odd = [(None, "n0"), ("g0", None), ("bare", "n0"), ("not there", "n0")]
+    starts = spark.createDataFrame([*begun, *begun[:5], *odd], "profile_uri string, node string")
+    want = {(p, s, s, 0) for p, s in odd}
+    for p, s in begun:
+        found = {s: 0}
+        for node in (queue := [s]):
+            new = dict.fromkeys(r for r in graphs[p].get(node, []) if r not in found)
+            found |= dict.fromkeys(new, found[node] + 1)
+            queue += new
+        want |= {(p, s, node, steps) for node, steps in found.items()}
+
+    def check(tables):
+        written = []
+        monkeypatch.setattr(jsonld, "stored", lambda df, name: written.append(name) or stored(df, name))
+        reached = jsonld.reached(nodes, starts)
+        rows = [(r["profile_uri"], r["start"], r["node"], r["steps"]) for r in reached.collect()]
+        assert len(rows) == len(want) and set(rows) == want and set(written) == tables
+        return reached
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    whole = check({"links", "hot"})
+    assert "Join" not in plan(whole) and plan(whole).split("Initial Plan")[-1].count("Exchange ") == 1 and whole.rdd.getNumPartitions() == 4
+    monkeypatch.setattr(jsonld, "ENTRIES", 50)
+    assert check({"links", "hot"}).rdd.getNumPartitions() > 8
+    for gathered in (25, 0):  # those with most, or all
+        monkeypatch.setattr(jsonld, "GATHERED", gathered)
+        check({"links", "hot", "edges", "reached", "newest"})
