@@ -2,8 +2,8 @@
 
 One document is a few kilobytes and is taken apart by a small function in Arrow batches: every object becomes a node once,
 with its properties, and what it holds becomes texts and references, however often and in whatever circle nodes name each
-other. Everything after that is columns; references are followed by joins on document and node. Contexts are never
-fetched: a document's own terms count, and the prefixes of the vocabularies below.
+other. Everything after that is columns; a reference is followed by a join on document and node, chains of them within a
+document's row. Contexts are never fetched: a document's own terms count, and the prefixes of the vocabularies below.
 """
 
 from __future__ import annotations
