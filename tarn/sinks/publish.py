@@ -65,6 +65,7 @@ def is_valid(found: DataFrame) -> bool:
 LOCATION_TYPES = ("hydrometricStation", "Unknown")
 SEVERITIES = {
     "document.parse": "error",
+    "document.jsonld": "error",
     "profile.version": "error",
     "profile.identifier": "error",
     "site.required": "error",
@@ -82,6 +83,7 @@ SEVERITIES = {
 #: What each rule found, and what to do.
 ADVICE = {
     "document.parse": ("Nothing could be read: this is no JSON-LD.", "Check the text with a JSON parser."),
+    "document.jsonld": ("This is JSON, but one node is described in more pieces than are put together, so none of it was read.", "Describe each node in one place."),
     "profile.version": ("Readers can't tell which version of the profile applies.", "Give profileVersion the value asked for."),
     "profile.identifier": ("Readers can't tell that the profile applies.", "Let profile name the profile asked for."),
     "site.required": ("There is no site to publish.", "Describe a site, with type, @id and position."),
@@ -114,11 +116,13 @@ def document_findings(profiles: DataFrame, version: str, profile: str) -> DataFr
     sites = stored(sites_of_nodes(nodes), "sites")
     with_sites = stored(sites.select("profile_uri").distinct(), "with_sites").hint("merge")
     datasets_ = datasets_of_nodes(nodes).join(with_sites, "profile_uri", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("profile_uri").orderBy("dataset_uri", "dataset_name", "distribution_url", "variable_uri", "variable_name")) - 1)
-    parsed = ~F.array_contains("codes", "document_parse") & ~F.array_contains("codes", "fragment_budget")
+    is_json, in_bounds = ~F.array_contains("codes", "document_parse"), ~F.array_contains("codes", "fragment_budget")
+    parsed = is_json & in_bounds
     whole = read.drop("parts").join(with_sites.withColumn("sites", F.lit(True)), "profile_uri", "left")
     top = F.array_compact(
         F.array(
-            _found("document.parse", F.lit(""), ~parsed),
+            _found("document.parse", F.lit(""), ~is_json),
+            _found("document.jsonld", F.lit(""), ~in_bounds),
             _found("profile.version", F.lit("/profileVersion"), parsed & ~F.col("version").eqNullSafe(F.lit(version))),
             _found("profile.identifier", F.lit("/profile"), parsed & ~F.col("profile").eqNullSafe(F.lit(profile))),
             _found("site.required", F.lit("/@graph"), parsed & F.col("sites").isNull()),

@@ -9,6 +9,10 @@ document's row. Contexts are never fetched: a document's own terms count, and th
 from __future__ import annotations
 
 import json
+import re
+import sys
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from urllib.parse import urljoin
 
@@ -34,8 +38,8 @@ PREFIXES = {
 _VOCABULARIES = (*sorted(set(PREFIXES.values())), "http://schema.org/", "http://www.opengis.net/def/schema/hy_features/hyf/")
 #: Fragments of one node at most.
 FRAGMENTS = 64
-#: Terms that lead to terms, at most.
-STEPS = 16
+#: Digits of a whole number beyond which it is kept as the text that it is: Python reads no more at once.
+DIGITS = 4_000
 #: Starts, nodes that refer to others, and references of a document up to which these are followed within its row.
 GATHERED = 1_000
 #: The same of all documents that one task gathers, about.
@@ -62,6 +66,10 @@ class Scope:
     base: str = ""
 
 
+class _TooManyFragments(Exception):
+    """A node has more than ``FRAGMENTS``."""
+
+
 class _Document:
     """The state of taking one document apart: nodes (id to name to entries in order; an entry is a text or a reference) and what was odd."""
 
@@ -87,32 +95,42 @@ class _Document:
                 terms = dict(scope.terms)
                 terms.update((name, self.term(said)) for name, said in entry.items() if not name.startswith("@"))
                 base, vocabulary = entry.get("@base", scope.base), entry.get("@vocab", scope.vocabulary)
-                scope = Scope(terms, scope.vocabulary, urljoin(scope.base, base) if isinstance(base, str) else "")
+                scope = Scope(terms, scope.vocabulary, self.joined(scope.base, base) if isinstance(base, str) else "")
                 scope = replace(scope, vocabulary=self.iri(vocabulary, scope) or "" if isinstance(vocabulary, str) else "")
             elif isinstance(entry, str) and "schema.org" not in entry:
                 self.note("remote_context_ignored")
         return scope
 
-    @staticmethod
-    def term(said) -> Term:
+    def joined(self, base: str, text: str) -> str:
+        """An address behind a base; one that can't be taken apart stays as it is, and is noted."""
+        try:
+            return urljoin(base, text)
+        except ValueError:
+            self.note("address_invalid")
+            return text
+
+    def term(self, said) -> Term:
         if not isinstance(said, dict):
             return Term(said if isinstance(said, str) else None)
-        reverse, containers = said.get("@reverse"), said.get("@container") or ()
+        reverse, containers = said.get("@reverse"), said.get("@container") or []
+        containers = containers if isinstance(containers, list) else [containers]
+        if not all(isinstance(c, str) for c in containers):
+            self.note("container_invalid")
         iri = reverse if isinstance(reverse, str) else said.get("@id", "") if said else None
-        return Term(iri if isinstance(iri, str) else None, said.get("@type"), (containers,) if isinstance(containers, str) else tuple(containers), isinstance(reverse, str), said.get("@context"))
+        return Term(iri if isinstance(iri, str) else None, said.get("@type"), tuple(c for c in containers if isinstance(c, str)), isinstance(reverse, str), said.get("@context"))
 
-    def iri(self, name: str, scope: Scope, steps: int = STEPS) -> str | None:
-        """The IRI or keyword that a name stands for; an unknown name as it is, null if it is to be left out."""
+    def iri(self, name: str, scope: Scope, via: frozenset = frozenset()) -> str | None:
+        """The IRI or keyword that a name stands for, over any number of terms (``via``: those passed); an unknown name as it is, null if it is to be left out."""
         if name.startswith("@"):
             return name
         term = scope.terms.get(name)
         if term is not None and (term.iri is None or term.iri and term.iri != name):
-            return None if term.iri is None or not steps else self.iri(term.iri, scope, steps - 1)
+            return None if term.iri is None or name in via else self.iri(term.iri, scope, via | {name})
         prefix, colon, rest = name.partition(":")
         if colon and not rest.startswith("//"):
             known = scope.terms.get(prefix)
-            if known is not None and known.iri and prefix != name and steps:
-                return (self.iri(known.iri, scope, steps - 1) or "") + rest
+            if known is not None and known.iri and prefix != name and prefix not in via:
+                return (self.iri(known.iri, scope, via | {prefix}) or "") + rest
             if prefix in PREFIXES:
                 self.note("known_prefix_repaired")
                 return PREFIXES[prefix] + rest
@@ -129,7 +147,7 @@ class _Document:
             return text
         if colon:
             return self.iri(text, replace(scope, terms={k: v for k, v in scope.terms.items() if k == prefix})) or text
-        return urljoin(scope.base, text) if scope.base else text
+        return self.joined(scope.base, text) if scope.base else text
 
     def add(self, node: str, name: str, entry: tuple) -> None:
         self.nodes.setdefault(node, {}).setdefault(name, {})[entry] = None
@@ -175,7 +193,7 @@ class _Document:
         if rest:
             self.fragments[own] = self.fragments.get(own, 0) + 1
             if self.fragments[own] > FRAGMENTS:
-                raise ValueError("fragment_budget")
+                raise _TooManyFragments
         self.nodes.setdefault(own, {})
         for t in types:
             self.add(own, "@type", (self.local(self.iri(t, outer) or t), None))
@@ -221,22 +239,76 @@ class _Document:
         return [{mark: k, **x} if mark and isinstance(x, dict) and k != "@none" else x for k, given in value.items() for x in (given if isinstance(given, list) else [given])]
 
 
+def _matched(text: str) -> bool:
+    """Whether all brackets of a text, outside of strings, are closed by their like."""
+    open_ = []
+    for bracket in re.findall(r"[][{}]", re.sub(r'"(?:[^"\\]|\\.)*"', "", text, flags=re.DOTALL)):
+        if bracket in "[{":
+            open_.append(bracket)
+        elif not open_ or open_.pop() + bracket not in ("[]", "{}"):
+            return False
+    return not open_
+
+
+@contextmanager
+def _room(text: str) -> Iterator[None]:
+    """Room for calls as deep as a text may be nested, and terms may lead to terms."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(before + 8 * len(text))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def _parsed(text: str, deep: bool):
+    """The value that a JSON text holds; JSONDecodeError if it holds none. ``deep``: nested more than the parser in C goes."""
+    for read in (int, lambda digits: int(digits) if len(digits) <= DIGITS else digits):
+        decoder = json.JSONDecoder(parse_int=read)
+        if deep:
+            decoder.parse_object, decoder.parse_array, decoder.parse_string = json.decoder.JSONObject, json.decoder.JSONArray, json.decoder.py_scanstring
+            decoder.scan_once = json.scanner.py_make_scanner(decoder)
+        try:
+            return decoder.decode(text)
+        except json.JSONDecodeError:
+            raise
+        except ValueError:  # a number too long for Python
+            continue
+    raise AssertionError("a number is kept as it is")
+
+
 def nodes_of(text: str | None) -> tuple[list[dict], list[str]]:
     """A document's nodes, the top ones first and in order, and codes of what was odd; ``document_parse`` if it is no document.
 
     A node: id (``_:`` before those that the document doesn't name), place (from 0, of top nodes alone), types, and
     properties, each a list of entries [text, reference]. What only refers to a node that isn't described is no node.
+
+    Only a text that is no JSON, or neither object nor array, is no document. Documents may be nested to any depth. Any other
+    failure is an error of this library, and is raised.
     """
+    try:
+        return _nodes_of(text, False)
+    except RecursionError:
+        if not _matched(text):
+            return [], ["document_parse"]
+        with _room(text):
+            return _nodes_of(text, True)
+
+
+def _nodes_of(text: str | None, deep: bool) -> tuple[list[dict], list[str]]:
     document = _Document()
     try:
-        parsed = json.loads(text)
-        if not isinstance(parsed, dict | list):
-            raise ValueError("document_parse")
+        parsed = None if text is None else _parsed(text, deep)
+    except json.JSONDecodeError:
+        parsed = None
+    if not isinstance(parsed, dict | list):
+        return [], ["document_parse"]
+    try:
         for node in parsed if isinstance(parsed, list) else [parsed]:
             if isinstance(node, dict):
                 document.node(node, Scope(), True)
-    except (TypeError, ValueError, RecursionError) as error:
-        return [], [str(error) if str(error) == "fragment_budget" else "document_parse"]
+    except _TooManyFragments:
+        return [], ["fragment_budget"]
     for own, said in list(document.nodes.items()):  # a dataset may name its site instead of being named by it
         if any("Dataset" in t for t, _ in said.get("@type", ())):
             for _, site in said.get("about", ()):
@@ -249,6 +321,11 @@ def nodes_of(text: str | None) -> tuple[list[dict], list[str]]:
     ], document.codes
 
 
+def _plain(text: str | None) -> str | None:
+    """A text with a question mark for each half of a pair of surrogates, as Spark reads it from JSON: Arrow takes no such halves."""
+    return text and text.encode("utf-8", "replace").decode()
+
+
 _TEXTS = T.ArrayType(T.StringType())
 
 
@@ -263,7 +340,7 @@ def _taken_apart(bodies: pd.Series) -> pd.DataFrame:
                 name = key.replace("#", "/").replace(":", "/").rsplit("/", 1)[-1]
                 if name in ("profileVersion", "profile"):
                     said.setdefault(name, entries[0]["v"] if entries[0]["r"] is None else entries[0]["r"])
-        rows.append(([n["id"] for n in top], [json.dumps(n) for n in nodes], codes, said.get("profileVersion"), said.get("profile")))
+        rows.append(([_plain(n["id"]) for n in top], [json.dumps(n) for n in nodes], codes, _plain(said.get("profileVersion")), _plain(said.get("profile"))))
     return pd.DataFrame(rows, columns=["nodes", "parts", "codes", "version", "profile"])
 
 

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tarn.sinks import publish
 from tarn.sources import jsonld, linked_data
 
 SITE = {"@id": "https://e.org/s", "@type": ["hyf:HY_HydrometricFeature"], "schema:name": "One", "gsp:hasGeometry": {"gsp:asWKT": {"@value": "POINT (1 2)", "@type": "gsp:wktLiteral"}}}
@@ -114,3 +115,29 @@ def test_profile_files(spark, tmp_path):
     read = jsonld.read_profiles(spark, str(tmp_path))
     assert read.count() == 2 and linked_data.locations(read).select("name").distinct().collect()[0]["name"] == "One"
     assert {r["u"] for r in read.select(F.regexp_extract("profile_uri", "[^/]+$", 0).alias("u")).collect()} == {"a.jsonld", "b.jsonld"}
+
+
+def test_only_what_is_no_json_is_no_document(spark):
+    """Odd contexts, depth and long numbers don't cost a document its nodes, and what can't be read is no parse error."""
+    ex = lambda **said: {"@context": {"a": {"@id": "https://e.org/a", **said}}, "a": {"x": 1}}
+    assert plain({"@context": {"@base": "http://[x"}, "@id": "a", "n": 1}, "n") == ([("a", [], ["1"])], ["address_invalid"])
+    assert plain({"@context": {"@base": "https://e.org/"}, "@id": "//[x", "n": 1}, "n") == ([("//[x", [], ["1"])], ["address_invalid"])
+    for odd in (5, [{}], [["@list"]]):
+        nodes, codes = jsonld.nodes_of(json.dumps(ex(**{"@container": odd})))
+        assert len(nodes) == 2 and codes == ["container_invalid"]
+    assert plain('{"n": ' + "7" * 5000 + "}", "n") == ([("_:#0", [], ["7" * 5000])], [])
+    terms = {f"t{i}": f"t{i + 1}" for i in range(40)}
+    assert plain({"@context": {**terms, "t40": "https://e.org/x"}, "t0": 1}, "https://e.org/x") == ([("_:#0", [], ["1"])], [])
+    for depth in (500, 5_000, 30_000):
+        nodes, codes = jsonld.nodes_of("".join(f'{{"@id": "n{i}", "p": ' for i in range(depth)) + "[" * depth + '"end]"' + "]" * depth + "}" * depth)
+        assert len(nodes) == depth and codes == [] and entries(next(n for n in nodes if n["id"] == f"n{depth - 1}"), "p") == ["end]"]
+    for bad in ("[" * 30_000 + "]" * 29_999, "[" * 30_000 + "}" * 30_000, "[" * 30_000 + "x" + "]" * 30_000):
+        assert jsonld.nodes_of(bad) == ([], ["document_parse"])
+    many = json.dumps([{"@id": "a", "n": i} for i in range(jsonld.FRAGMENTS + 1)])
+    rows = spark.createDataFrame([("many", many), ("none", "<"), ("base", json.dumps({"@context": {"@base": "http://[x"}, "@graph": [SITE, {"@id": "x", "n": 1}]})), ("half", '{"@id": "\\ud800", "n": 1}')], "profile_uri string, body string")
+    found = {}
+    for r in publish.document_findings(rows, "1", "p").collect():
+        found.setdefault(r["profile_uri"], set()).add((r["rule_id"], r["severity"]))
+    assert found["many"] == {("document.jsonld", "error")} and found["none"] == {("document.parse", "error")}
+    assert ("parser.address_invalid", "warning") in found["base"] and not {r for r, _ in found["base"]} & {"document.parse", "site.required"}
+    assert [r["nodes"] for r in jsonld.documents(rows).where("profile_uri = 'half'").collect()] == [["?"]]
