@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import grouping, points, spatial
+from tarn.operators import grouping, points, sets, spatial
 from tarn.plans import graph
 from tarn.plans.catalogue import QUERIES, SQL
 from tarn.sinks import publish
@@ -133,3 +133,29 @@ def test_references_are_followed_within_a_documents_row(spark, monkeypatch):
     for gathered in (25, 0):  # those with most, or all
         monkeypatch.setattr(jsonld, "GATHERED", gathered)
         check({"links", "hot", "edges", "reached", "newest"})
+
+
+@pytest.mark.parametrize("many", ["left", "right"])
+def test_results_are_handed_back_by_tasks_that_follow_from_their_rows(spark, monkeypatch, many):
+    """Whichever side a key has more rows of; with keys that are one task's, and keys that are several tasks' in both directions."""
+    own = random.Random(9)
+    counts = {"left": {f"a{i}": own.choice([0, 1, 3]) for i in range(6)} | {"a0": 90}, "right": {f"b{i}": own.choice([0, 1, 2]) for i in range(6)} | {"b0": 3}}
+    if many == "right":
+        counts = {"left": dict(zip(counts["left"], counts["right"].values())), "right": dict(zip(counts["right"], counts["left"].values()))}
+    rows = {side: [(key, None if side == "right" and i == 1 else f"{key}-{i}") for key, n in of.items() for i in range(n)] for side, of in counts.items()}
+    pairs = [(f"a{i}", f"b{j}", 10 * i + j) for i in range(6) for j in range(6) if i == j or own.random() < 0.4] + [("a0", "elsewhere", 1)]
+    want = sorted(((x, k, y) for a, b, k in pairs for key, x in rows["left"] if key == a for other, y in rows["right"] if other == b), key=repr)
+    df = [spark.createDataFrame(rows[side], f"_{side} string, {side} string") for side in ("left", "right")]
+    found = lambda: sets.handed_back(df[0], spark.createDataFrame(pairs, "_left string, _right string, k long"), df[1])
+    read = lambda x: sorted(map(tuple, x.collect()), key=repr)
+    whole = found()
+    assert read(whole) == want and len(want) > 200 and whole.columns == ["left", "k", "right"] and whole.rdd.getNumPartitions() == 4
+    for held in (2, 1 << 16):
+        for name, value in {"TASK_ROWS": 30, "LEAST": 10, "HELD": held}.items():
+            monkeypatch.setattr(sets, name, value)
+        dealt = found()
+        assert read(dealt) == want and dealt.rdd.getNumPartitions() == -(-len(want) // 30)
+        sizes = [n for n in dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]]
+        assert max(sizes) < len(want) / 2
+    plan = dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.index("SortMergeJoin") < plan.index("Exchange")  # nothing is shuffled after the join that makes the rows
