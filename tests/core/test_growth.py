@@ -159,3 +159,16 @@ def test_results_are_handed_back_by_tasks_that_follow_from_their_rows(spark, mon
         assert max(sizes) < len(want) / 2
     plan = dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.index("SortMergeJoin") < plan.index("Exchange")  # nothing is shuffled after the join that makes the rows
+
+
+def test_areas_and_points_meet_in_as_many_tasks_as_their_result_asks_for(spark, monkeypatch):
+    monkeypatch.setattr(sets, "TASK_ROWS", 100)
+    monkeypatch.setattr(sets, "LEAST", 10)
+    box = "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"
+    areas = spark.createDataFrame([(f"a{i}", box) for i in range(30)], "area_id string, area_wkt string")
+    lines = spark.createDataFrame([(f"l{i}", "LINESTRING (1 1, 5 1)") for i in range(20)], "line_id string, line_wkt string")
+    found = spatial.intersecting(areas, lines, digits=2)
+    assert found.rdd.getNumPartitions() == 6 and found.distinct().count() == 600 and {r["km"] for r in found.collect()} == {111.18}
+    at = spark.createDataFrame([(i, 1.0, 1.0) for i in range(50)], "id long, x double, y double")
+    inside = points.in_areas(at, F.col("x"), F.col("y"), areas)
+    assert inside.rdd.getNumPartitions() == 15 and inside.distinct().count() == 1500
